@@ -33,3 +33,61 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r US
 ORACLE = {
     "op1_jaccard_join": OP1,
 }
+
+
+def _quality_sql() -> str:
+    """The rules and the estimation of operator 4, its rounds unrolled."""
+    from .quality_rules import ITERATIONS, LEAST, MAX_REPEAT_PERCENT, MIN_WORDS, MOST, RULES, START_KEEP, START_REJECT
+
+    rules = range(len(RULES))
+    vote = [f"CAST({when} AS INTEGER) AS v{j}" for j, (_, _, when) in enumerate(RULES)]
+    names = ", ".join(f"v{j}" for j in rules)
+
+    def posterior() -> str:
+        terms = (f"{'-' if keep else ''}v{j} * ln(a{j} / (1.0::DOUBLE - a{j}))" for j, (_, keep, _) in enumerate(RULES))
+        return f"1.0::DOUBLE / (1.0::DOUBLE + exp({' + '.join(terms)}))"
+
+    steps = [f"a0 AS MATERIALIZED (SELECT {', '.join(f'{START_KEEP if keep else START_REJECT}::DOUBLE AS a{j}' for j, (_, keep, _) in enumerate(RULES))})"]
+    for t in range(ITERATIONS):
+        new = []
+        for j, (_, keep, _) in enumerate(RULES):
+            right = "q" if keep else "(1.0::DOUBLE - q)"
+            new.append(f"greatest({LEAST}::DOUBLE, least({MOST}::DOUBLE, (coalesce(sum(n * v{j} * {right}), 0) + 1.0::DOUBLE) / (coalesce(sum(n * v{j}), 0) + 2.0::DOUBLE))) AS a{j}")
+        steps.append(f"a{t + 1} AS MATERIALIZED (SELECT {', '.join(new)} FROM (SELECT p.*, {posterior()} AS q FROM patterns p, a{t}))")
+    return rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), split AS MATERIALIZED (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM texts
+), threes AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM split WHERE len(w) >= 3
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM threes
+), repeated AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+  FROM windows, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY doc_id
+), counts AS MATERIALIZED (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         CAST(len(l) AS BIGINT) AS n_lines,
+         CAST(length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS BIGINT) AS n_upper,
+         CAST(length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) AS BIGINT) AS n_letters,
+         CAST(length(regexp_replace(text, '[^!]+', '', 'g')) AS BIGINT) AS n_bangs
+  FROM split LEFT JOIN repeated USING (doc_id)
+), voted AS MATERIALIZED (
+  SELECT *, {', '.join(vote)} FROM counts
+), patterns AS MATERIALIZED (
+  SELECT {names}, CAST(count(*) AS DOUBLE) AS n FROM voted GROUP BY ALL
+), {', '.join(steps)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND posterior >= 0.5 AS kept
+FROM (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {posterior()} AS posterior FROM voted, a{ITERATIONS})
+"""
+
+
+ORACLE["op4_quality_rules"] = _quality_sql()
