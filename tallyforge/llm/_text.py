@@ -74,6 +74,14 @@ class _Powers:
 _powers = _Powers()
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; it depends on nothing else."""
+    up, down = _powers.upto(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUE[data] * up[:-1], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts])
+
+
 @dataclass
 class Piece:
     """Some whole documents of a batch: rows ``first`` to ``first + n``, their lower-cased bytes and words."""
@@ -96,10 +104,7 @@ class Piece:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        up, down = _powers.upto(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[self.data] * up[:-1], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        return span_hashes(self.data, self.starts, self.ends)
 
     def text(self, a: int, b: int) -> str:
         """Words a to b (exclusive), joined by single spaces."""
