@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_components
+from .language_id import identify_languages
 from .quality_rules import quality_scores
 from .token_file import token_file
 
@@ -28,6 +29,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
@@ -36,5 +41,6 @@ QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_decontaminate": op2_decontaminate,
     "op4_quality_rules": op4_quality_rules,
+    "op8_language_id": op8_language_id,
     "op9_token_file": op9_token_file,
 }
