@@ -10,6 +10,7 @@ from .jaccard_join import jaccard_components
 from .language_id import identify_languages
 from .quality_rules import quality_scores
 from .token_file import token_file
+from .toxicity import toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +38,15 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), train_rows=60_000, threshold=0.3)
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_decontaminate": op2_decontaminate,
     "op4_quality_rules": op4_quality_rules,
     "op8_language_id": op8_language_id,
     "op9_token_file": op9_token_file,
+    "op10_toxicity": op10_toxicity,
 }
