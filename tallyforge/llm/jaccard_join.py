@@ -11,7 +11,7 @@ component.  The steps, each a Spark job over the whole table:
 3. Documents with equal sets collapse into one class under their smallest doc_id.
 4. Prefix shingles found in one class only are dropped.  Classes that share a shingle are candidates.
    Large groups are dealt at random into small blocks first, and only pairs inside blocks are checked;
-   that already connects most of a group of near copies at a cost linear in its size.
+   that does small groups completely, and connects most of a group of near copies at a cost linear in its size.
 5. What is still apart is then joined exactly: only pairs from different components, only from
    groups that hold several, each pair at its first common shingle only.
 6. Length, positional and suffix filters (the suffix filter is a lower bound of the symmetric
@@ -43,8 +43,8 @@ from .components import connected_components
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
 BITMAP_WORDS = 16
-#: Mean size of the blocks into which a group of candidates is dealt at first.
-BLOCK = 6
+#: Mean size of the blocks into which a group of candidates is dealt at first; smaller groups are one block.
+BLOCK = 12
 
 
 def _sets(piece: tx.Piece, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,10 +185,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     # every other candidate pair whose classes are still apart
     placed = cards.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    order = placed.select("rep", "n", "component", *maps, F.expr("transform(g, e -> e.shingle)").alias("s"), F.posexplode("g").alias("k", "g"))
-    order = order.select("rep", "n", "component", *maps, "g.pos", "g.shingle", F.expr("slice(s, 1, k)").alias("earlier"))
+    # groups of one block are done: every pair of theirs was a candidate above
+    placed = placed.withColumn("g", F.filter("g", lambda e: e["c"] > BLOCK)).filter(F.size("g") > 0)
     held = placed.select("component", F.explode("g.shingle").alias("shingle")).groupBy("shingle", "component").agg(F.count("*").alias("m"))
     mixed = held.groupBy("shingle").agg(F.max_by("component", F.struct("m", "component")).alias("major"), F.count("*").alias("k")).filter("k > 1")
+    order = placed.select("rep", "n", "component", *maps, F.expr("transform(g, e -> e.shingle)").alias("s"), F.posexplode("g").alias("k", "g"))
+    order = order.select("rep", "n", "component", *maps, "g.pos", "g.shingle", F.expr("slice(s, 1, k)").alias("earlier"))
     order = order.join(mixed.select("shingle", "major"), "shingle")
     x, y = order.filter("component != major").alias("x"), order.alias("y")
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.rep") < F.col("y.rep")))

@@ -117,3 +117,64 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+
+ORACLE["op6_backoff_lm"] = r"""
+WITH texts AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), words AS MATERIALIZED (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w FROM texts
+), unigrams AS MATERIALIZED (
+  SELECT w, count(*) AS c FROM words GROUP BY w
+), total AS (SELECT count(*) AS n FROM words
+), pairs AS MATERIALIZED (
+  SELECT doc_id, i, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v, w FROM words
+), bigrams AS MATERIALIZED (
+  SELECT v, w, count(*) AS c FROM pairs WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2
+), scored AS (
+  SELECT p.doc_id, count(*) FILTER (p.v IS NOT NULL AND b.c IS NULL) AS n_backoff,
+         sum(CASE WHEN p.v IS NULL THEN log10(y.c::DOUBLE / n) WHEN b.c IS NOT NULL THEN log10(b.c::DOUBLE / x.c) ELSE log10(0.4 * y.c::DOUBLE / n) END) AS s
+  FROM pairs p CROSS JOIN total LEFT JOIN bigrams b ON p.v = b.v AND p.w = b.w
+  LEFT JOIN unigrams x ON p.v = x.w JOIN unigrams y ON p.w = y.w GROUP BY p.doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_backoff, 0) AS BIGINT) AS n_backoff, round(s / len(w), 6) AS score
+FROM texts LEFT JOIN scored USING (doc_id)
+"""
+
+ORACLE["op7_url_filter"] = r"""
+WITH parts AS MATERIALIZED (
+  SELECT page_id, nullif(lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '') AS host,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1)) AS path,
+         TIMESTAMP '2024-01-01 12:00:00' + to_days(CAST((page_id * 7919) % 366 AS INTEGER)) AS fetched_at
+  FROM pages
+), hosts AS (
+  SELECT host, CAST('0x' || substr(md5(host), 1, 7) AS BIGINT) AS c FROM (SELECT DISTINCT host FROM parts WHERE host IS NOT NULL)
+), domains AS (
+  SELECT domain, CAST('0x' || substr(md5(domain), 1, 7) AS BIGINT) AS c
+  FROM (SELECT DISTINCT array_to_string(string_split(host, '.')[-3:], '.') AS domain FROM hosts)
+), prefixes AS (
+  SELECT prefix, CAST('0x' || substr(md5(prefix), 1, 7) AS BIGINT) AS c
+  FROM (SELECT DISTINCT host || '/' || string_split(path, '/')[2] AS prefix FROM parts WHERE host IS NOT NULL)
+  WHERE prefix IS NOT NULL AND prefix NOT LIKE '%/'
+), entries AS (
+  SELECT 'host' AS kind, host AS value, 'add' AS action, TIMESTAMP '2024-01-01' + to_days(CAST(c % 200 AS INTEGER)) AS at FROM hosts WHERE c % 3 = 0
+  UNION ALL SELECT 'host', host, 'remove', TIMESTAMP '2024-01-01' + to_days(CAST(c % 200 + 30 + c % 50 AS INTEGER)) FROM hosts WHERE c % 6 = 0
+  UNION ALL SELECT 'host', host, 'add', TIMESTAMP '2024-01-01' + to_days(CAST(c % 200 + 120 AS INTEGER)) FROM hosts WHERE c % 12 = 0
+  UNION ALL SELECT 'domain', domain, 'add', TIMESTAMP '2024-01-01' + to_days(CAST(c % 300 AS INTEGER)) FROM domains WHERE c % 5 = 0
+  UNION ALL SELECT 'prefix', prefix, 'add', TIMESTAMP '2024-01-01' + to_days(CAST(c % 366 AS INTEGER)) FROM prefixes WHERE c % 7 = 0
+), changed AS (
+  SELECT * FROM (SELECT *, lag(action) OVER (PARTITION BY kind, value ORDER BY at) AS before FROM entries) WHERE action IS DISTINCT FROM before
+), spans AS (
+  SELECT kind, value, at AS valid_from, upto AS valid_to FROM (SELECT *, lead(at) OVER (PARTITION BY kind, value ORDER BY at) AS upto FROM changed) WHERE action = 'add'
+), keys AS (
+  SELECT page_id, fetched_at, 'host' AS kind, host AS value FROM parts WHERE host IS NOT NULL
+  UNION ALL SELECT page_id, fetched_at, 'domain', array_to_string(string_split(host, '.')[i:], '.') FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM parts WHERE host IS NOT NULL)
+  UNION ALL SELECT page_id, fetched_at, 'prefix', host || '/' || array_to_string(s[1:i], '/')
+  FROM (SELECT *, unnest(range(1, least(4, len(s)) + 1)) AS i FROM (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM parts WHERE host IS NOT NULL))
+), listed AS (
+  SELECT page_id, count(*) AS n, min(valid_from) AS since FROM keys JOIN spans USING (kind, value)
+  WHERE valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to) GROUP BY page_id
+)
+SELECT page_id AS capture_id, host, fetched_at, coalesce(n, 0) > 0 AS blocked, coalesce(n, 0) AS n_entries, since AS blocked_since
+FROM parts LEFT JOIN listed USING (page_id)
+"""
