@@ -157,15 +157,15 @@ WITH parts AS MATERIALIZED (
   FROM (SELECT DISTINCT host || '/' || string_split(path, '/')[2] AS prefix FROM parts WHERE host IS NOT NULL)
   WHERE prefix IS NOT NULL AND prefix NOT LIKE '%/'
 ), entries AS (
-  SELECT 'host' AS kind, host AS value, 'add' AS action, TIMESTAMP '2024-01-01' + to_days(CAST(c % 200 AS INTEGER)) AS at FROM hosts WHERE c % 3 = 0
+  SELECT 'host' AS kind, host AS value, 'add' AS action, TIMESTAMP '2024-01-01' + to_days(CAST(c % 200 AS INTEGER)) AS moment FROM hosts WHERE c % 3 = 0
   UNION ALL SELECT 'host', host, 'remove', TIMESTAMP '2024-01-01' + to_days(CAST(c % 200 + 30 + c % 50 AS INTEGER)) FROM hosts WHERE c % 6 = 0
   UNION ALL SELECT 'host', host, 'add', TIMESTAMP '2024-01-01' + to_days(CAST(c % 200 + 120 AS INTEGER)) FROM hosts WHERE c % 12 = 0
   UNION ALL SELECT 'domain', domain, 'add', TIMESTAMP '2024-01-01' + to_days(CAST(c % 300 AS INTEGER)) FROM domains WHERE c % 5 = 0
   UNION ALL SELECT 'prefix', prefix, 'add', TIMESTAMP '2024-01-01' + to_days(CAST(c % 366 AS INTEGER)) FROM prefixes WHERE c % 7 = 0
 ), changed AS (
-  SELECT * FROM (SELECT *, lag(action) OVER (PARTITION BY kind, value ORDER BY at) AS before FROM entries) WHERE action IS DISTINCT FROM before
+  SELECT * FROM (SELECT *, lag(action) OVER (PARTITION BY kind, value ORDER BY moment) AS before FROM entries) WHERE action IS DISTINCT FROM before
 ), spans AS (
-  SELECT kind, value, at AS valid_from, upto AS valid_to FROM (SELECT *, lead(at) OVER (PARTITION BY kind, value ORDER BY at) AS upto FROM changed) WHERE action = 'add'
+  SELECT kind, value, moment AS valid_from, upto AS valid_to FROM (SELECT *, lead(moment) OVER (PARTITION BY kind, value ORDER BY moment) AS upto FROM changed) WHERE action = 'add'
 ), keys AS (
   SELECT page_id, fetched_at, 'host' AS kind, host AS value FROM parts WHERE host IS NOT NULL
   UNION ALL SELECT page_id, fetched_at, 'domain', array_to_string(string_split(host, '.')[i:], '.') FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM parts WHERE host IS NOT NULL)
