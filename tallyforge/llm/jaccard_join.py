@@ -135,28 +135,35 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(shingles, "doc_id long, grams array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link, each verified once on whole sets."""
-    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ids")
-    sets = shingle_sets(docs.select(F.col("doc_id").cast("long"), "text").join(broadcast_if_small(ids), "doc_id", "left_semi"), n).dropDuplicates(["doc_id"])
-    sets = durable(sets, "jaccard-sets")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that link, each verified once on whole sets (doc_id, grams)."""
     joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     both = joined.select("a", "b", common.alias("i"), (F.size("ga") + F.size("gb") - common).alias("u"))
-    return both.filter(F.col("i") * 100 >= F.col("u") * percent).select("a", "b")
+    return durable(both.filter(F.col("i") * 100 >= F.col("u") * percent).select("a", "b").distinct(), "jaccard-links")
+
+
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose ends are not in one component yet."""
+    side = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    placed = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return placed.filter("ca is null or cb is null or ca != cb").select("a", "b")
 
 
 def _may_link(percent: int, first_common: bool) -> Column:
-    """Length, positional and suffix filters on a pair of rows x and y that share a shingle."""
+    """Length and positional filters on a pair of rows x and y that share a shingle."""
     nx, ny = F.col("x.n"), F.col("y.n")
     length = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
     after = F.least(nx - F.col("x.pos"), ny - F.col("y.pos"))
     before = F.lit(0) if first_common else F.least("x.pos", "y.pos")
     # |x n y| >= percent (|x| + |y|) / (100 + percent)
-    positional = (after + before) * (100 + percent) >= (nx + ny) * percent
+    return length & ((after + before) * (100 + percent) >= (nx + ny) * percent)
+
+
+def _near_enough(percent: int) -> Column:
+    """Suffix filter: differing parity bits are a lower bound of the symmetric difference."""
     apart = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(BITMAP_WORDS)), F.lit(0))
-    suffix = apart * (100 + percent) <= (nx + ny) * (100 - percent)
-    return length & positional & suffix
+    return apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -167,26 +174,37 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     with_sets = profiles.filter("n > 0 and doc_id is not null")
     # rows that repeat a doc_id with another text are joined through that id
     classes = durable(with_sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    reps = with_sets.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "prefix")).alias("m")).select(F.col("m.doc_id").alias("rep"), F.posexplode("m.prefix").alias("pos", "shingle"))
+    chosen = with_sets.join(broadcast_if_small(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n")), ["doc_id", "s1", "s2", "n"], "left_semi")
+    reps = chosen.select(F.col("doc_id").alias("rep"), F.posexplode("prefix").alias("pos", "shingle"))
     shared = reps.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
     groups = durable(reps.join(shared, "shingle"), "jaccard-groups")
-    facts = with_sets.join(broadcast_if_small(durable(groups.select(F.col("rep").alias("doc_id")).distinct(), "jaccard-reps")), "doc_id", "left_semi")
-    facts = facts.select(F.col("doc_id").alias("rep"), "n", *maps).dropDuplicates(["rep"])
     lists = groups.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pos", "shingle", "c"))).alias("g"))
+    facts = with_sets.select(F.col("doc_id").alias("rep"), "n", *maps).join(broadcast_if_small(durable(groups.select("rep").distinct(), "jaccard-reps")), "rep", "left_semi").dropDuplicates(["rep"])
     cards = durable(facts.join(lists, "rep"), "jaccard-cards")
 
     # candidates inside random blocks
-    rows = cards.select("rep", "n", *maps, F.explode("g").alias("g")).select("rep", "n", *maps, "g.pos", "g.shingle", F.pmod(F.xxhash64("rep", "g.shingle"), F.ceil(F.col("g.c") / BLOCK)).alias("block"))
+    rows = cards.select("rep", "n", F.explode("g").alias("g")).select("rep", "n", "g.pos", "g.shingle", F.pmod(F.xxhash64("rep", "g.shingle"), F.ceil(F.col("g.c") / BLOCK)).alias("block"))
     x, y = rows.alias("x"), rows.alias("y")
     near = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.rep") < F.col("y.rep")) & _may_link(percent, False))
-    near = durable(near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "jaccard-near")
-    links = durable(_verified(docs, near, n, percent), "jaccard-links")
+    near = near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    bits = cards.select("rep", "n", *maps)
+    near = near.join(bits.alias("x"), F.col("a") == F.col("x.rep")).join(bits.alias("y"), F.col("b") == F.col("y.rep")).filter(_near_enough(percent)).select("a", "b")
+    near = durable(near, "jaccard-near")
+    large = cards.filter(F.exists("g", lambda e: e["c"] > BLOCK)).select(F.col("rep").alias("doc_id"))
+    wanted = durable(large.unionByName(near.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct(), "jaccard-ids")
+    sets = durable(shingle_sets(docs.select(F.col("doc_id").cast("long"), "text").join(broadcast_if_small(wanted), "doc_id", "left_semi"), n), "jaccard-sets")
+
+    # one or two partners of each class first: that connects most, and spares most other checks
+    star = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(near.groupBy("a").agg(F.max("b").alias("b"))).distinct()
+    links = _verified(star, sets, percent)
+    known = connected_components(links)
+    rest = durable(_apart(near.join(star, ["a", "b"], "left_anti"), known), "jaccard-rest")
+    links = links.unionByName(_verified(rest, sets, percent))
     known = connected_components(links)
 
-    # every other candidate pair whose classes are still apart
-    placed = cards.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    # groups of one block are done: every pair of theirs was a candidate above
-    placed = placed.withColumn("g", F.filter("g", lambda e: e["c"] > BLOCK)).filter(F.size("g") > 0)
+    # every other candidate pair whose classes are still apart; groups of one block are done
+    placed = cards.withColumn("g", F.filter("g", lambda e: e["c"] > BLOCK)).filter(F.size("g") > 0)
+    placed = placed.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     held = placed.select("component", F.explode("g.shingle").alias("shingle")).groupBy("shingle", "component").agg(F.count("*").alias("m"))
     mixed = held.groupBy("shingle").agg(F.max_by("component", F.struct("m", "component")).alias("major"), F.count("*").alias("k")).filter("k > 1")
     order = placed.select("rep", "n", "component", *maps, F.expr("transform(g, e -> e.shingle)").alias("s"), F.posexplode("g").alias("k", "g"))
@@ -194,13 +212,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     order = order.join(mixed.select("shingle", "major"), "shingle")
     x, y = order.filter("component != major").alias("x"), order.alias("y")
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.rep") < F.col("y.rep")))
-    far = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & _may_link(percent, True) & ~F.arrays_overlap("x.earlier", "y.earlier"))
-    far = far.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    far = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & _may_link(percent, True) & _near_enough(percent) & ~F.arrays_overlap("x.earlier", "y.earlier"))
+    far = far.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     far = durable(far.join(near, ["a", "b"], "left_anti"), "jaccard-far")
-    more = durable(_verified(docs, far, n, percent), "jaccard-links")
+    links = links.unionByName(_verified(far, sets, percent))
     repeated = with_sets.join(classes, ["s1", "s2", "n"]).filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     twice = profiles.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1 and doc_id is not null")
-    links = links.unionByName(more).unionByName(repeated.join(twice, repeated["b"] == twice["doc_id"], "left_semi"))
+    links = links.unionByName(repeated.join(twice, repeated["b"] == twice["doc_id"], "left_semi"))
     final = connected_components(links)
 
     named = profiles.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
