@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import fact_queries, record_queries
+from . import document_queries, fact_queries, record_queries
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _part in (fact_queries, record_queries):
+for _part in (fact_queries, record_queries, document_queries):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
