@@ -10,6 +10,7 @@ doc_id ranges; both reach the scan.
 Encoding: a text is cut only where the vocabulary's pre-tokeniser always cuts: before white space whose next
 character is none, and before ASCII punctuation that follows an ASCII letter.  Each distinct piece is
 encoded once per worker and found again by its hash and length; the ids are the same as of the whole text.
+A text that holds a special token's string is one piece.
 
 Defined results: a null or empty text is just the end id; rows that repeat a doc_id are written one after
 another, ordered by text; a null doc_id sorts first; an empty table writes a file without rows; extra columns
@@ -54,6 +55,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Strings that are one token wherever they stand; a text that holds one is not cut.
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -91,6 +94,11 @@ class Encoder:
             last = offsets[1:][np.diff(offsets) > 0] - 1
             start[last] = _PUNCTUATION[data[last]] & (last > 0) & _LETTER[data[np.maximum(last - 1, 0)]]
             start[offsets[:-1][np.diff(offsets) > 0]] = True
+            whole = data.tobytes()
+            if any(s in whole for s in self.special):
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    if any(s in whole[a:b] for s in self.special):
+                        start[a + 1 : b] = False
         starts = np.flatnonzero(start)
         ends = np.concatenate([starts[1:], [len(data)]]) if len(starts) else starts
         keys, first, back = np.unique(tx.span_hashes(data, starts, ends), return_index=True, return_inverse=True)

@@ -10,8 +10,8 @@ letters, else 1) and is run over both at once, so a misspelled term is found wit
 product automaton's states are built when first reached and remembered.  Words near a term that clean
 training documents use are learned as innocent.
 
-Each hit has a context window of ``WINDOW`` characters to either side: a hit inside quotation marks, or after
-a word of reporting in the window, counts as quoted, any other as abuse.  A document's numbers of exact,
+Each hit has a context window of ``WINDOW`` characters to either side: a hit inside quotation marks, or right
+after words that speak of a word, counts as quoted, any other as abuse.  A document's numbers of exact,
 misspelled and quoted hits fall into one of at most 48 cells; the score is the cell's smoothed share of toxic
 documents in the training sample.
 
@@ -47,7 +47,7 @@ MAX_TERMS = 20_000
 #: Words of a worker's memory; a full one starts anew.
 MEMORY = 1_000_000
 _OPEN, _CLOSE = "\"“«„‘‹", "\"”»“’›"
-_REPORTED = re.compile(r"\b(said|says|called|calls|quoted?|quoting|wrote|writes|word|term|slur)\b")
+_REPORTED = re.compile(r"\b(the (word|term|slur|insult)|so-called)\W*$")
 
 
 class FuzzyLexicon:
@@ -132,9 +132,9 @@ class FuzzyLexicon:
 
 
 def _quoted(text: str, a: int, b: int) -> bool:
-    """Is text[a:b] inside quotation marks, or told of others, judging by its context window?"""
+    """Is text[a:b] (of lower-cased text) inside quotation marks, or spoken of as a word, judging by its context window?"""
     before, after = text[max(0, a - WINDOW) : a].rsplit("\n", 1)[-1], text[b : b + WINDOW].split("\n", 1)[0]
-    if _REPORTED.search(before.lower()) and any(c in before + after for c in _OPEN):
+    if _REPORTED.search(before):
         return True
     for o, c in zip(_OPEN, _CLOSE, strict=True):
         left = before.count(o) % 2 == 1 if o == c else before.rfind(o) > before.rfind(c)
