@@ -103,3 +103,15 @@ GENERIC_TITLES = ("informacion general", "actividad economica", "identificacion"
 EXCEPTIONAL_TEXT = ("empresa en marcha", "incumplimiento", "reexpresion", "salvedad", "cambio de politica", "cambios en las politicas", "incertidumbre material")
 NAVIGATION_ACTIONS = ("company.view", "period.change", "source.open", "comparison.view", "search.view")
 JOB_STEPS = ("statements", "metrics", "documents", "summaries")
+
+#: Patterns of sentences, advice, unit headers, numbers and covers.
+LEADING_PAGE_NUMBER = r"^\s*[0-9]{1,3}\s+(?=[A-ZÁÉÍÓÚÑ(\-])"
+SENTENCE_BOUNDARY = r"(?<=[.!?])\s+(?=(?:-\s*[A-ZÁÉÍÓÚÑ0-9]|\([a-z]\)|[A-ZÁÉÍÓÚÑ0-9]))"
+INVESTMENT_ADVICE = r"\b(?:comprar|vender|mantener)\b.{0,50}\b(?:accion|acciones|valor|valores|inversion)\b"
+BOILERPLATE_BEGINNINGS = ("a continuacion presentamos", "a continuacion se presenta")
+STANDARD_PHRASE = "normas internacionales de informacion financiera"
+MONEY_OR_PERCENT = r"US\$|S/|%|\b[0-9]{1,3}(?:[.,][0-9]{3})+"
+DOLLARS, SOLES = r"us\s*\$|dolares", r"s/|soles"
+SCALE_WORDS = (("thousands", r"\(\s*0{3}\s*\)|\bmiles\b"), ("millions", r"\bmillones\b"), ("units", r"\bunidades\b|expresad[oa]s? en (?:soles|dolares)"))
+COVER_PERIOD = r"(estados financieros.{0,100}?31 de diciembre de 20[0-9]{2})"
+LABEL_STOP_WORDS = ("de", "del", "y", "la", "el", "los", "las", "neto", "netos")

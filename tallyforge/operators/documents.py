@@ -65,11 +65,9 @@ def excerpt(c: Column | str, n: int = 320) -> Column:
 def explicit_scale(header: Column, currency: Column) -> Column:
     """OP-90: the one scale that a header names in the wanted currency and no other; else null."""
     text = fold(header)
-    dollars, soles = text.rlike(r"us\s*\$|dolares"), text.rlike(r"s/|soles")
+    dollars, soles = text.rlike(K.DOLLARS), text.rlike(K.SOLES)
     fits = F.when(currency == "USD", dollars & ~soles).when(currency == "PEN", soles & ~dollars).otherwise(F.lit(False))
-    thousands, millions = text.rlike(r"\(\s*0{3}\s*\)|\bmiles\b"), text.rlike(r"\bmillones\b")
-    units = text.rlike(r"\bunidades\b|expresad[oa]s? en (?:soles|dolares)")
-    named = F.array_compact(F.array(F.when(thousands, "thousands"), F.when(millions, "millions"), F.when(units, "units")))
+    named = F.array_compact(F.array(*(F.when(text.rlike(pattern), name) for name, pattern in K.SCALE_WORDS)))
     return F.when(fits & (F.size(named) == 1), named[0])
 
 
@@ -82,7 +80,7 @@ def number_tokens(line: Column | str) -> Column:
 def doc_identity(text: Column, name: Column, year: Column, scope: Column) -> Column:
     """OP-90: does a cover name the company, the year and the scope."""
     cover = fold(text)
-    found = F.regexp_extract(cover, r"(estados financieros.{0,100}?31 de diciembre de 20[0-9]{2})", 1)
+    found = F.regexp_extract(cover, K.COVER_PERIOD, 1)
     same = squash(text).contains(squash(name)) & (F.right(found, F.lit(4)).try_cast("int") == year)
     return F.coalesce((found != "") & same & (found.contains("consolidad") == (scope == "consolidated")), F.lit(False))
 
@@ -160,7 +158,7 @@ def evidence_lines(facts: DataFrame, lines: DataFrame) -> DataFrame:
     A line proves a fact if it has all words of the label and its last two numbers are the amounts.  The pair
     is joined on document and last number, so only plausible lines meet.
     """
-    words = lambda c: F.array_except(F.transform(F.regexp_extract_all(fold(c), F.lit("[a-z]+"), F.lit(0)), lambda x: F.when(x == "propiedades", "propiedad").otherwise(x)), F.lit(["de", "del", "y", "la", "el", "los", "las", "neto", "netos"]))
+    words = lambda c: F.array_except(F.transform(F.regexp_extract_all(fold(c), F.lit("[a-z]+"), F.lit(0)), lambda x: F.when(x == "propiedades", "propiedad").otherwise(x)), F.lit(list(K.LABEL_STOP_WORDS)))
     f = facts.filter("current <> 0 and comparative is not null").select("doc_id", "account_code", words("label").alias("lw"), F.col("current").cast("decimal(30,6)").alias("a"), F.col("comparative").cast("decimal(30,6)").alias("b")).filter(F.size("lw") > 0)
     x = lines.select("doc_id", "line_no", "line", words("line").alias("w"), number_tokens("line").alias("v")).filter(F.size("v") >= 2)
     x = x.select("doc_id", "line_no", "line", "w", F.element_at("v", -2).alias("a"), F.element_at("v", -1).alias("b"))
@@ -172,8 +170,8 @@ def evidence_lines(facts: DataFrame, lines: DataFrame) -> DataFrame:
 
 def sentences(fragments: DataFrame) -> DataFrame:
     """OP-85: fragment columns with ord and sentence."""
-    clean = F.regexp_replace("text", r"^\s*[0-9]{1,3}\s+(?=[A-ZÁÉÍÓÚÑ(\-])", "")
-    split = F.split(collapse(clean), r"(?<=[.!?])\s+(?=(?:-\s*[A-ZÁÉÍÓÚÑ0-9]|\([a-z]\)|[A-ZÁÉÍÓÚÑ0-9]))", -1)
+    clean = F.regexp_replace("text", K.LEADING_PAGE_NUMBER, "")
+    split = F.split(collapse(clean), K.SENTENCE_BOUNDARY, -1)
     strip = lambda x: F.regexp_replace(x, r"^[ \-]+|[ \-]+$", "")
     return fragments.select(*[c for c in fragments.columns if c != "text"], F.posexplode(F.filter(F.transform(split, strip), lambda x: x != "")).alias("ord", "sentence"))
 
@@ -188,8 +186,8 @@ def is_narrative(c: Column | str, verbs=K.NARRATIVE_VERBS) -> Column:
     return (
         n.between(70, 560) & (count("_") <= 3) & (numbers <= 10) & (count(r"\p{L}") / n >= 0.48) & (count(r"\p{Nd}") / n <= 0.18)
         & (F.size(F.split(c, r"\s+", -1)) >= 11) & ((numbers < 4) | contains_any(text, verbs))
-        & ~text.rlike(r"\b(?:comprar|vender|mantener)\b.{0,50}\b(?:accion|acciones|valor|valores|inversion)\b")
-        & ~(text.startswith("a continuacion presentamos") | text.startswith("a continuacion se presenta"))
+        & ~text.rlike(K.INVESTMENT_ADVICE)
+        & ~(text.startswith(K.BOILERPLATE_BEGINNINGS[0]) | text.startswith(K.BOILERPLATE_BEGINNINGS[1]))
     )
 
 
@@ -198,11 +196,11 @@ def sentence_score(c: Column, fiscal_year: Column, keywords: tuple[str, ...], ma
     text = F.lower(unaccent(c))
     return (
         F.lit(1.0) + F.least(count_terms(text, keywords), F.lit(3)) * 1.6
-        + F.when(c.rlike(r"US\$|S/|%|\b[0-9]{1,3}(?:[.,][0-9]{3})+"), 1.8).otherwise(0.0)
+        + F.when(c.rlike(K.MONEY_OR_PERCENT), 1.8).otherwise(0.0)
         + F.when(c.contains(fiscal_year.cast("string")), 0.8).otherwise(0.0)
         + F.least(count_terms(text, material), F.lit(2)) * 1.0
         + F.when(F.length(c).between(110, 380), 0.5).otherwise(0.0)
-        - F.when(text.contains("normas internacionales de informacion financiera"), 1.5).otherwise(0.0)
+        - F.when(text.contains(K.STANDARD_PHRASE), 1.5).otherwise(0.0)
     )
 
 
