@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -160,9 +161,9 @@ def _may_link(percent: int, first_common: bool) -> Column:
     return length & ((after + before) * (100 + percent) >= (nx + ny) * percent)
 
 
-def _near_enough(percent: int) -> Column:
+def _near_enough(percent: int, prefix: str = "b", words: int = BITMAP_WORDS) -> Column:
     """Suffix filter: differing parity bits are a lower bound of the symmetric difference."""
-    apart = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(BITMAP_WORDS)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"x.{prefix}{i}").bitwiseXOR(F.col(f"y.{prefix}{i}"))) for i in range(words)), F.lit(0))
     return apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
 
 
@@ -183,9 +184,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     cards = durable(facts.join(lists, "rep"), "jaccard-cards")
 
     # candidates inside random blocks
-    rows = cards.select("rep", "n", F.explode("g").alias("g")).select("rep", "n", "g.pos", "g.shingle", F.pmod(F.xxhash64("rep", "g.shingle"), F.ceil(F.col("g.c") / BLOCK)).alias("block"))
+    # parity bits fold: the exclusive or of the map's quarters is the map of a quarter of the size
+    quarter = BITMAP_WORDS // 4
+    folded = [reduce(Column.bitwiseXOR, [F.col(f"b{i + k * quarter}") for k in range(4)]).alias(f"q{i}") for i in range(quarter)]
+    small = [f"q{i}" for i in range(quarter)]
+    rows = cards.select("rep", "n", *folded, F.explode("g").alias("g")).select("rep", "n", *small, "g.pos", "g.shingle", F.pmod(F.xxhash64("rep", "g.shingle"), F.ceil(F.col("g.c") / BLOCK)).alias("block"))
     x, y = rows.alias("x"), rows.alias("y")
-    near = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.rep") < F.col("y.rep")) & _may_link(percent, False))
+    near = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.rep") < F.col("y.rep")) & _may_link(percent, False) & _near_enough(percent, "q", quarter))
     near = near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     bits = cards.select("rep", "n", *maps)
     near = near.join(bits.alias("x"), F.col("a") == F.col("x.rep")).join(bits.alias("y"), F.col("b") == F.col("y.rep")).filter(_near_enough(percent)).select("a", "b")
