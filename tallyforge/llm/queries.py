@@ -61,7 +61,7 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), train_rows=60_000, threshold=0.3)
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), train_rows=30_000, threshold=0.3)
 
 
 QUERIES = {

@@ -25,8 +25,10 @@ labels every score is 0; each input row gives one output row; extra columns are
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -188,7 +190,7 @@ def _forms(words: set[str]) -> set[str]:
 
 
 def _word_counts(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """word, clean (documents); and word, around, doc for toxic documents, one row for each surrounding."""
+    """word, clean (documents); and word, doc, before, after for toxic documents, one row for each surrounding."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
@@ -200,12 +202,18 @@ def _word_counts(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
                 total.clear()
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.string()), "clean": pa.array(list(total.values()), pa.int64())})
 
-    words = F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0)")
-    toxic = sample.filter("toxic").select(F.xxhash64(F.lower("text")).alias("doc"), words.alias("w")).filter("size(w) > 0")
-    toxic = toxic.select("doc", F.posexplode("w").alias("i", "word"), "w")
-    forms = ", ".join(f"if(length(word) > {k}, concat(left(word, {k}), '*'), null)" for k in STEMS)
-    around = F.expr("xxhash64(if(i > 0, w[i - 1], ''), if(i + 1 < size(w), w[i + 1], ''))").alias("around")
-    toxic = toxic.select(F.explode(F.expr(f"array_compact(array(word, {forms}))")).alias("word"), "doc", around).distinct()
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                low = (text or "").lower()
+                words = ["", *WORD.findall(low), ""]
+                doc = int.from_bytes(hashlib.blake2b(low.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+                near = [zlib.crc32(w.encode("utf-8", "replace")) for w in words]
+                rows = list({(form, near[i - 1], near[i + 1]) for i in range(1, len(words) - 1) for form in _forms({words[i]})})
+                columns = [pa.array([r[k] for r in rows], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([columns[0], pa.array([doc] * len(rows), pa.int64()), *columns[1:]], ["word", "doc", "before", "after"])
+
+    toxic = sample.filter("toxic").select("text").mapInArrow(around, "word string, doc long, before long, after long").distinct()
     counted = sample.filter("not toxic").select("text").mapInArrow(clean, "word string, clean long").groupBy("word").agg(F.sum("clean").alias("clean"))
     return counted, toxic
 
@@ -213,7 +221,7 @@ def _word_counts(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
 def learn_lexicon(sample: DataFrame, precision: float = 0.95, chance: float = 0.1) -> list[str]:
     """Terms, and stems ending in a star, from a training sample (text, toxic).
 
-    A term needs so many surroundings in toxic documents that fewer than ``chance`` words of the
+    A term needs so many different words before it, and after it, in toxic documents that fewer than ``chance`` words of the
     vocabulary would have them by accident, given the share of toxic documents.
     """
     rows, positive = sample.agg(F.count("*"), F.count_if("toxic")).first()
@@ -225,7 +233,7 @@ def learn_lexicon(sample: DataFrame, precision: float = 0.95, chance: float = 0.
             return []
         share = min(0.9, documents / rows)
         least = max(5, math.ceil(math.log(vocabulary / chance) / -math.log(share)))
-        support = seen.groupBy("word").agg(F.countDistinct("around").alias("n"), F.countDistinct("doc").alias("d")).filter((F.col("n") >= least) & (F.col("d") >= least))
+        support = seen.groupBy("word").agg(F.least(F.countDistinct("before"), F.countDistinct("after")).alias("n"), F.countDistinct("doc").alias("d")).filter((F.col("n") >= least) & (F.col("d") >= least))
         rated = support.join(clean, "word", "left").withColumn("clean", F.coalesce("clean", F.lit(0)))
         good = rated.filter((F.col("n") >= F.lit(precision) * (F.col("n") + F.col("clean"))) & (F.length("word") >= 3))
         return [r["word"] for r in good.orderBy(F.desc("n"), "word").limit(MAX_TERMS).select("word").collect()]
@@ -240,7 +248,7 @@ def learn_lexicon(sample: DataFrame, precision: float = 0.95, chance: float = 0.
     return sorted(w for w in found if not covered(w))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: int = 60_000, threshold: float = 0.3) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: int = 30_000, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of ``docs`` (doc_id, text, ...)."""
     spark = docs.sparkSession
     sample = durable(_sample(docs, labels, train_rows), "toxicity-sample")
