@@ -138,7 +138,11 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that link, each verified once on whole sets (doc_id, grams)."""
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
+    # pairs are two numbers a row: counted, they go to the sets, which then need not move for this side
+    first = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")).join(broadcast_if_small(pairs), "a")
+    asked = broadcast_if_small(pairs.select("b").distinct())
+    second = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")).join(asked, "b", "left_semi")
+    joined = first.join(second, "b")
     common = F.size(F.array_intersect("ga", "gb"))
     both = joined.select("a", "b", common.alias("i"), (F.size("ga") + F.size("gb") - common).alias("u"))
     return durable(both.filter(F.col("i") * 100 >= F.col("u") * percent).select("a", "b").distinct(), "jaccard-links")
@@ -201,6 +205,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     # one or two partners of each class first: that connects most, and spares most other checks
     star = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(near.groupBy("a").agg(F.max("b").alias("b"))).distinct()
+    star = durable(star, "jaccard-star")
     links = _verified(star, sets, percent)
     known = connected_components(links)
     rest = durable(_apart(near.join(star, ["a", "b"], "left_anti"), known), "jaccard-rest")
