@@ -9,15 +9,19 @@ A stretch is at most ``SLACK`` times as long as the template.  A stretch can onl
 most the remaining share of the template's distinct words is absent from it, so stretches are first looked for
 with that bound, on hashed words of the whole text; nothing that could pass is left out.
 
-Defined results: each input row gives one output row; a null or wordless text, or one without a template that
-reaches ``coverage``, has null licence, place and coverage 0; of several the best coverage wins, then the
+All hits of a document are kept: the best is taken, then the best of those that do not overlap it, and so on, and what
+lies between taken hits is searched anew until nothing is found.
+
+Defined results: each input row gives one output row; ``hits`` has all its hits by place, and licence, coverage and place
+are those of the best hit.  A null or wordless text, or one without a template that reaches ``coverage``, has no hits, null
+licence and place and coverage 0.  Of overlapping hits the best coverage wins, then the
 longer template, then the first name, then the first place; extra columns are ignored.  Words are runs of letters, digits and
 non-ASCII characters, lower-cased.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,17 +34,23 @@ from . import _text as tx
 
 SLACK = 1.5
 
-#: Well-known public notices and the opening grants of public licences.
+#: Well-known public notices (one-line ones end in -line) and the opening grants of public licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-line": "under the BSD License",
+    "BSD-2-Clause-line": "under the BSD 2-Clause License",
+    "BSD-3-Clause-line": "under the BSD 3-Clause License",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "ISC-line": "under the ISC License",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "MIT-line": "under the MIT License",
+    "MPL-2.0-line": "under the Mozilla Public License 2.0",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 
@@ -95,17 +105,18 @@ class _Template:
         self.sorted = np.unique(np.array(self.words, np.uint64))
 
 
-def _best(words: np.ndarray, template: _Template, coverage: float) -> tuple[float, int, int] | None:
-    """Best coverage of the template in the text, with the first and last (exclusive) word of that place."""
+def _places(words: np.ndarray, template: _Template, coverage: float) -> set[tuple[float, int, int]]:
+    """Coverage, first and last (exclusive) word of the places of the template in the text; places may overlap."""
     at = np.searchsorted(template.sorted, words)
     at[at == len(template.sorted)] = 0
     places = np.flatnonzero(template.sorted[at] == words)
     kinds = at[places].tolist()
     absent = template.n - int(np.ceil(coverage * template.n - 1e-9))
     needed, width = max(1, template.distinct - absent), int(template.n * SLACK) + 1
+    found: set[tuple[float, int, int]] = set()
     if len(set(kinds)) < needed:
-        return None
-    best, seen, start = None, Counter(), 0
+        return found
+    seen, start = Counter(), 0
     spots = places.tolist()
     for end, place in enumerate(spots):
         seen[kinds[end]] += 1
@@ -120,13 +131,33 @@ def _best(words: np.ndarray, template: _Template, coverage: float) -> tuple[floa
             stretch = words[spots[start] : place + 1].tolist()
             pairs = patience_align(template.words, stretch)
             share = len(pairs) / template.n
-            if share >= coverage and (best is None or share > best[0]):
-                best = (share, spots[start] + pairs[0][1], spots[start] + pairs[-1][1] + 1)
-    return best
+            if share >= coverage:
+                found.add((share, spots[start] + pairs[0][1], spots[start] + pairs[-1][1] + 1))
+    return found
+
+
+def _hits(words: np.ndarray, known: list[_Template], coverage: float) -> list[tuple[str, float, int, int]]:
+    """Name, coverage, first and last (exclusive) word of the hits that do not overlap, the best one first."""
+    hits: list[tuple] = []
+    todo = [(0, len(words))]
+    while todo:
+        a, b = todo.pop()
+        found = sorted((-share, -x.n, x.name, a + first, a + last) for x in known for share, first, last in _places(words[a:b], x, coverage))
+        taken: list[tuple[int, int]] = []
+        for hit in found:
+            first, last = hit[3:]
+            k = bisect_left(taken, (first, last))
+            if (k == 0 or taken[k - 1][1] <= first) and (k == len(taken) or last <= taken[k][0]):
+                insort(taken, (first, last))
+                hits.append(hit)
+        if taken:
+            todo += [(p, q) for p, q in zip([a, *(last for _, last in taken)], [*(first for first, _ in taken), b], strict=True) if p < q]
+    return [(name, -share, first, last) for share, _, name, first, last in sorted(hits)]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.85) -> DataFrame:
-    """doc_id, license, coverage, first_word and last_word (exclusive) of each row of ``docs``."""
+    """doc_id, license, coverage, first_word and last_word (exclusive) of the best hit, and all hits, of each row of ``docs``."""
+    hit = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
     texts = dict(templates if templates is not None else TEMPLATES)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,14 +170,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
                 own = np.concatenate([[0], np.cumsum(np.isin(hashes, every))])[piece.word_offsets]
                 rows: list[tuple] = []
                 for d, (a, b) in enumerate(zip(piece.word_offsets[:-1].tolist(), piece.word_offsets[1:].tolist(), strict=True)):
-                    found = None
-                    for x in known if own[d + 1] > own[d] else ():
-                        hit = _best(hashes[a:b], x, coverage) if own[d + 1] - own[d] >= coverage * x.n - 1e-9 else None
-                        if hit and (found is None or (hit[0], x.n) > (found[1], found[4])):
-                            found = (x.name, *hit, x.n)
-                    rows.append(found or (None, 0.0, None, None, 0))
+                    n = own[d + 1] - own[d]
+                    found = _hits(hashes[a:b], [x for x in known if n >= coverage * x.n - 1e-9], coverage) if n else []
+                    rows.append((*(found[0] if found else (None, 0.0, None, None)), [dict(zip(hit.names, x, strict=True)) for x in sorted(found, key=lambda x: x[2])]))
                 columns = zip(*rows, strict=True)
-                kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=False))], ["doc_id", "license", "coverage", "first_word", "last_word"])
+                kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.list_(hit))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], ["doc_id", "license", "coverage", "first_word", "last_word", "hits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, license string, coverage double, first_word long, last_word long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, license string, coverage double, first_word long, last_word long, hits array<struct<license: string, coverage: double, first_word: long, last_word: long>>")

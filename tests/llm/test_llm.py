@@ -290,6 +290,22 @@ def test_licenses(spark, odd, empty):
     assert scan_licenses(odd, templates={}).count() == 10
 
 
+def test_license_lines_and_all_hits(spark):
+    lines = {
+        "Released under the MIT License.": "MIT-line", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": None, "Distributed under the BSD License.": "BSD-line",
+        "Licensed under the BSD 3-Clause License.": "BSD-3-Clause-line", "Licensed under the ISC License.": "ISC-line", "Released under the Mozilla Public License 2.0.": "MPL-2.0-line",
+    }
+    texts = ["Some text.\n" + x for x in lines]
+    several = " ".join(["alpha " * 30 + x for x in [*lines, TEMPLATES["MIT"], "Released under the MIT License. Released under the MIT License."]])
+    got = {r["doc_id"]: r for r in scan_licenses(table(spark, [(i, t, "en") for i, t in enumerate([*texts, several])])).collect()}
+    assert [got[i]["license"] for i in range(len(texts))] == list(lines.values())
+    hits = got[len(texts)]["hits"]
+    assert [h["license"] for h in hits] == [*filter(None, lines.values()), "MIT", "MIT-line", "MIT-line"]
+    assert all(a["last_word"] <= b["first_word"] for a, b in itertools.pairwise(hits)) and all(h["coverage"] == 1 for h in hits)
+    assert got[len(texts)]["license"] == "MIT" and got[4]["hits"] == []
+
+
 # ---- 6
 
 
