@@ -3,7 +3,8 @@
 The lexicon is learned from labelled documents: words that occur in toxic ones, in several different
 surroundings (copies of one document share them), and hardly in others.  A second round looks only at toxic
 documents that the first round's words do not explain, so words that merely stand beside an insult stay out.
-Beginnings of words are candidates too, so that inflected forms need not all occur in training.
+Beginnings of words are candidates too, so that inflected forms need not all occur in training; they stand beside
+the whole words, which alone may be misspelled.
 
 The lexicon is a trie; the automaton accepts every word within an edit budget of a term (none under 5
 letters, else 1) and is run over both at once, so a misspelled term is found without listing spellings.  The
@@ -243,8 +244,8 @@ def learn_lexicon(sample: DataFrame, precision: float = 0.95, chance: float = 0.
     explained = toxic.join(F.broadcast(known), "word", "left_semi").select("doc").distinct()
     rest = durable(toxic.join(explained, "doc", "left_anti"), "toxicity-rest")
     found = set(first) | set(terms(rest, rest.select("doc").distinct().count()))
-    # a stem makes longer stems and whole words that begin with it needless
-    covered = lambda w: any(w.rstrip("*")[:k] + "*" in found for k in STEMS if k < len(w.rstrip("*")))
+    # a stem makes longer stems needless, but not whole words: only these have an edit budget
+    covered = lambda w: w.endswith("*") and any(w[:k] + "*" in found for k in STEMS if k < len(w) - 1)
     return sorted(w for w in found if not covered(w))
 
 

@@ -438,3 +438,25 @@ def test_toxicity_held_out(spark, odd, empty):
     assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in got)
     assert toxicity_scores(odd, lab).count() == 10 and toxicity_scores(empty, lab).count() == 0
     assert {r["score"] for r in toxicity_scores(odd, lab.limit(0)).collect()} == {0.0}
+
+
+def test_toxicity_misspelled_held_out(spark):
+    rng = random.Random(12)
+    plain = ["lorem", "ipsum", "dolor", "sit", "amet", "magna", "aliqua", "tempor", "labore", "veniam"]
+    known = ["scumbag", "worthless", "idiot"]
+    # the first, a middle and the last letter changed, one left out and one put in
+    wrong = [w for x in known for w in ("1" + x[1:], x[:3] + "0" + x[4:], x[:-1] + "7", x[:1] + x[2:], x[:2] + "q" + x[2:])]
+    rows, labels, spelled = [], [], {}
+    for i in range(1200):
+        words = rng.choices(plain, k=rng.randint(5, 40))
+        toxic = i % 4 == 0
+        if toxic:
+            held = zlib.crc32(str(i).encode()) % 4 == 2
+            spelled[i] = rng.choice(wrong if held else known)
+            words[rng.randrange(len(words))] = spelled[i]
+        rows.append((i, " ".join(words), "en"))
+        labels.append((i, int(toxic)))
+    got = toxicity_scores(table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [r for r in got if r["held_out"]]
+    assert {spelled[r["doc_id"]] for r in held if r["doc_id"] in spelled} == set(wrong)
+    assert not [spelled.get(r["doc_id"]) for r in held if r["predicted"] != int(r["doc_id"] in spelled)]
