@@ -57,21 +57,40 @@ def similar_pairs(current: DataFrame, previous: DataFrame, least: float = 0.48)
     return scored.select(*GROUP, "current_number", "previous_number", F.bround("score", 4).alias("score"))
 
 
-def greedy_pairs(scored: DataFrame, rounds: int = 100) -> DataFrame:
+def _tied_blocks(top: DataFrame) -> DataFrame:
+    """Pairs inside blocks of ``top`` where every current note ties with every previous one, and none has a best pair outside.
+
+    Notes with the same ties (a hash of their set) are twins.  A note whose ties are all twins of each other, and as many as its
+    ties' own twins, is in such a block; there one-by-one choice takes the k-th of one side with the k-th of the other.
+    """
+
+    def twins(own: str, other: str, p: str) -> DataFrame:
+        sides = top.groupBy(*GROUP, own, "score").agg(F.count("*").alias(f"ties_{p}"), F.first(f"best_{p}").alias(f"best_{p}"), F.bit_xor(F.xxhash64(other)).alias("ties"))
+        same = Window.partitionBy(*GROUP, "score", "ties", f"ties_{p}")
+        numbered = sides.withColumn(f"twins_{p}", F.count("*").over(same)).withColumn(f"k_{p}", F.row_number().over(same.orderBy(own)))
+        return numbered.filter(F.col(f"ties_{p}") == F.col(f"best_{p}")).select(*GROUP, own, f"ties_{p}", f"twins_{p}", f"k_{p}")
+
+    pairs = top.select(*GROUP, "current_number", "previous_number", "score")
+    both = pairs.join(twins("current_number", "previous_number", "c"), [*GROUP, "current_number"]).join(twins("previous_number", "current_number", "p"), [*GROUP, "previous_number"])
+    return both.filter("twins_c = ties_p and twins_p = ties_c and k_c = k_p").select(*pairs.columns)
+
+
+def greedy_pairs(scored: DataFrame) -> DataFrame:
     """OP-44: one-to-one pairs by falling score (ties: lower numbers first).
 
-    Each round takes every pair that is the best of both its ends and drops what those ends touched.  The order
-    is total, so this gives what taking pairs one by one gives, in a few rounds.
+    Each round takes every pair that is the best of both its ends, and whole blocks of tied pairs, and drops what
+    those ends touched, until no pair is left.  The order is total, so a round always takes some pair, and this gives what
+    taking pairs one by one gives.  Rows with a null are ignored.
     """
-    order = [F.desc("score"), F.col("current_number"), F.col("previous_number")]
-    left, taken = scored, None
-    for _ in range(rounds):
-        best_c = F.row_number().over(Window.partitionBy(*GROUP, "current_number").orderBy(*order)) == 1
-        best_p = F.row_number().over(Window.partitionBy(*GROUP, "previous_number").orderBy(*order)) == 1
-        marked = left.withColumn("both", best_c & best_p)
-        now = checkpointed(marked.filter("both").drop("both"))
-        if now.isEmpty():
+    c, p = Window.partitionBy(*GROUP, "current_number"), Window.partitionBy(*GROUP, "previous_number")
+    best = lambda w, other, s: lambda df: df.withColumn(f"most_{s}", F.max("score").over(w)).withColumn(f"best_{s}", F.count_if(F.col("score") == F.col(f"most_{s}")).over(w)).withColumn(f"first_{s}", F.min(F.when(F.col("score") == F.col(f"most_{s}"), F.col(other))).over(w))
+    left, taken = scored.dropna(subset=[*GROUP, "current_number", "previous_number", "score"]), None
+    while True:
+        top = checkpointed(left.transform(best(c, "previous_number", "c")).transform(best(p, "current_number", "p")).filter("score = most_c and score = most_p"))
+        if top.isEmpty():
             break
+        mutual = top.filter("first_c = previous_number and first_p = current_number").select(*GROUP, "current_number", "previous_number", "score")
+        now = checkpointed(mutual.union(_tied_blocks(top).select(mutual.columns)).distinct())
         taken = now if taken is None else taken.unionByName(now)
         left = left.join(now.select(*GROUP, "current_number"), [*GROUP, "current_number"], "left_anti")
         left = checkpointed(left.join(now.select(*GROUP, "previous_number"), [*GROUP, "previous_number"], "left_anti"))

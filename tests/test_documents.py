@@ -87,6 +87,14 @@ def test_greedy_pairs_is_one_by_one(spark):
     assert {(r["company"], r["current_number"], r["previous_number"]) for r in got.collect()} == expected
 
 
+def test_tied_notes_are_all_matched(spark):
+    schema = "company string, scope string, note_number int, title string, topic string"
+    cur = spark.createDataFrame([("c", "s", i, "Deuda financiera corriente", "debt") for i in range(150)], schema)
+    prev = spark.createDataFrame([("c", "s", 1000 + i, "Deuda financiera corriente neta", "debt") for i in range(150)], schema)
+    got = matching.match_notes(cur, prev).collect()
+    assert {(r["current_number"], r["previous_number"], r["status"]) for r in got} == {(i, 1000 + i, "matched") for i in range(150)} and len(got) == 150
+
+
 def test_similarity_and_match(spark):
     schema = "company string, scope string, note_number int, title string, topic string"
     cur = spark.createDataFrame([("c", "s", 1, "Deuda financiera y préstamos", "debt"), ("c", "s", 2, "Hechos posteriores", "x"), ("c", "s", 3, "Inventarios", "other")], schema)
