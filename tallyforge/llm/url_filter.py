@@ -7,7 +7,7 @@ entries at the same instant the removal counts last.  Every capture (id, url, fe
 its fetch: its host, its host's parent domains and its path prefixes are looked up among the intervals, and those
 that hold at that time decide.
 
-A capture asks for a handful of keys (labels and path depth), so the join is an equi-join on key with a time
+A capture asks for a handful of keys (its labels, and its path at the depths that prefix entries have), so the join is an equi-join on key with a time
 condition; a hot host makes its keys hot on the capture side only, where Spark splits skewed partitions.
 
 Defined results: a null or unparsable url has a null host and is never listed; a null fetched_at is never
@@ -20,9 +20,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Path segments that a prefix entry may have.
-MAX_DEPTH = 4
-
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
     """kind, value, valid_from and valid_to (null: still listed) of dated entries."""
@@ -51,11 +48,13 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     labels = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("value")))
     segments = F.filter(F.split("path", "/"), lambda x: x != "")
-    depth = F.least(F.lit(MAX_DEPTH), F.size(segments))
-    prefixes = F.when(depth > 0, F.transform(F.sequence(F.lit(1), depth), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat("host", F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")).alias("value"))))
+    spans = validity_intervals(entries)
+    # the path is looked up at every depth that some prefix entry has, however deep
+    known = spans.filter("kind = 'prefix'").select((F.size(F.split("value", "/")) - 1).alias("depth")).filter("depth > 0").distinct()
+    depths = F.lit(sorted(r["depth"] for r in known.collect())).cast("array<int>")
+    prefixes = F.transform(F.filter(depths, lambda i: i <= F.size(segments)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat("host", F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")).alias("value")))
     keys = F.array_compact(F.concat(F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("value"))), domains, F.coalesce(prefixes, F.array())))
     lookups = asked.select("url", "fetched_at", F.explode(keys).alias("k")).select("url", "fetched_at", "k.*")
-    spans = validity_intervals(entries)
     active = lookups.join(spans, ["kind", "value"]).filter("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)")
     listed = active.groupBy("url", "fetched_at").agg(F.count("*").alias("n"), F.min("valid_from").alias("since"))
     out = numbered.join(listed, ["url", "fetched_at"], "left")

@@ -342,6 +342,14 @@ def test_url_filter(spark):
     assert filter_urls(c, e.limit(0)).filter("blocked").count() == 0 and filter_urls(c.limit(0), e).count() == 0
 
 
+def test_deep_prefixes(spark):
+    paths = ["a", "a/b", "a/b/c/d", "a/b/c/d/e", "a/b/c/d/e/f/g"]
+    e = spark.createDataFrame([("prefix", f"h{i}.com/{p}", "add") for i, p in enumerate(paths)], "kind string, value string, action string").selectExpr("*", "timestamp'2024-01-01 00:00:00' as at")
+    urls = [f"http://h{i}.com/{p}{tail}" for i, p in enumerate(paths) for tail in ("", "/z?q=1", "z")]
+    c = spark.createDataFrame(list(enumerate(urls)), "capture_id int, url string").selectExpr("*", "timestamp'2024-02-01 00:00:00' as fetched_at")
+    assert {r["capture_id"]: r["n_entries"] for r in filter_urls(c, e).collect()} == {i: int(i % 3 < 2) for i in range(len(urls))}
+
+
 # ---- 8
 
 
