@@ -1,19 +1,22 @@
 """Operator 6: language-model scores by stupid backoff, computed relationally.
 
-S(w | v) = c(v w) / c(v) where the bigram is kept, else ``backoff`` * c(w) / N.  Counts cover all words of all
-documents; bigrams seen less than ``min_count`` times are not kept, as usual, which is what makes the score back
-off.  A document's score is the mean of log10 S over its words after the first, and of c(w) / N for the first.
+S(w | u v) = c(u v w) / c(u v) if the longest n-gram occurs, else ``backoff`` * S(w | v), and so on down to
+c(w) / N; a word that does not occur at all gets ``backoff`` / N.  Counts are of all other documents of the table (a
+document's own n-grams are taken off), so what only it says is unseen and backs off.  No count is cut off.  A
+document's score is the mean of log10 S over its words.
 
-The n-gram tables are aggregated per hash before the shuffle and partitioned by it; documents explode into
-n-grams, each joined with its counts by hash, and the logs are summed per document.  Log S splits into
-terms of one table each: log c(v w) - log c(v), or log backoff + log c(w) - log N.
+Documents are gathered into blocks of about ``block_words`` words.  Each block counts its n-grams of all orders
+once and sends a sorted list of distinct hashes and counts to every hash bucket.  A bucket holds the count table of
+its hashes: it sums the lists, and answers each with the sums, in the list's order.  Blocks meet their answers again
+and sum the logs per document.  So an n-gram moves once a block, not once an occurrence: the hottest n-gram
+is one number a block, and buckets are even.  Blocks and buckets are bounded (``block_words``, ``bucket_entries``) whatever the
+input; where their product grows too large (beyond some TB), raise both with the executors' memory.
 
-A word that is a thousandth of the corpus would make a hot key; Spark's skew join splits the exploded side,
-and counts are pre-aggregated.
+N-grams are 64-bit hashes of their words.
 
-Defined results: a null or wordless text has n_words 0 and a null score; each input row gives one output row
-(rows are numbered, so repeated rows and null ids do not mix); extra columns are ignored; an empty table
-gives an empty result.  Words are lower-cased (A-Z) runs of anything but white space.
+Defined results: a null or wordless text has n_words 0 and a null score; each input row gives one output row and is a document of
+its own (so repeated rows see each other's n-grams, and null ids do not mix); extra columns are ignored; an empty table
+gives an empty result; N is 1 at least.  Words are lower-cased (A-Z) runs of anything but white space.
 """
 
 from __future__ import annotations
@@ -28,35 +31,132 @@ from pyspark.sql import functions as F
 from . import _text as tx
 from ._spark import durable
 
+BLOCK_WORDS = 2_000_000
+BLOCK_ROWS = 200_000
+BUCKET_ENTRIES = 4_000_000
 
-def _word_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id and the words' hashes of each row, in order."""
+
+def _list(values: np.ndarray, edge: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(values))
+
+
+def _blocks(docs: DataFrame, block_words: int) -> DataFrame:
+    """Blocks of whole documents: doc_id and size (words) of each document, the distinct words' hashes and the words as places among these."""
+
+    def block(ids: list[pa.Array], sizes: list[np.ndarray], words: list[np.ndarray]) -> pa.RecordBatch:
+        every, place = np.unique(np.concatenate(words), return_inverse=True)
+        size = np.concatenate(sizes)
+        one = lambda x: np.array([0, len(x)])
+        doc_id = pa.ListArray.from_arrays(pa.array(one(size), pa.int32()), pa.concat_arrays(ids))
+        return pa.RecordBatch.from_arrays([doc_id, _list(size.astype(np.int32), one(size)), _list(every.view(np.int64), one(every)), _list(place.astype(np.int32), one(place))], ["doc_id", "size", "vocabulary", "word"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, words, n, rows = [], [], [], 0, 0
         for batch in batches:
             for piece in tx.pieces(batch.column(1), tx.SPACES):
-                words = pa.ListArray.from_arrays(pa.array(piece.word_offsets, pa.int32()), pa.array(piece.hashes().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), words], ["doc_id", "w"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, w array<long>")
-
-
-def backoff_scores(docs: DataFrame, backoff: float = 0.4, min_count: int = 2) -> DataFrame:
-    """doc_id, n_words, n_backoff and score of each row of ``docs`` (doc_id, text, ...)."""
-    words = _word_hashes(docs).withColumn("row", F.monotonically_increasing_id())
-    words = durable(words, "lm-words")
-    single = words.select("row", F.explode("w").alias("w"))
-    unigrams = durable(single.groupBy("w").agg(F.count("*").alias("c")), "lm-unigrams")
-    total = unigrams.agg(F.sum("c")).first()[0] or 0
-    pair = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda v, w: F.struct(v.alias("v"), w.alias("w")))
-    pairs = words.select("row", F.explode(pair).alias("p")).select("row", F.col("p.v"), F.col("p.w"), F.xxhash64("p.v", "p.w").alias("k"))
-    bigrams = pairs.groupBy("k").agg(F.count("*").alias("c")).filter(F.col("c") >= min_count)
-    joined = pairs.groupBy("row", "k", "v", "w").agg(F.count("*").alias("m")).join(bigrams, "k", "left")
-    # each occurrence needs one more count: of its first word if the bigram is kept, of its second if not
-    seen = F.col("c").isNotNull()
-    needs = joined.select("row", F.when(seen, F.col("v")).otherwise(F.col("w")).alias("w"), F.when(seen, -F.col("m")).otherwise(F.col("m")).alias("sign"), (F.col("m") * F.when(seen, F.log10("c")).otherwise(F.lit(float(np.log10(backoff))) - F.log10(F.lit(max(total, 1))))).alias("base"))
-    first = words.filter("size(w) > 0").select("row", F.element_at("w", 1).alias("w"), F.lit(1).cast("long").alias("sign"), (-F.log10(F.lit(max(total, 1)))).alias("base"), F.lit(True).alias("opening"))
-    needs = needs.withColumn("opening", F.lit(False)).unionByName(first)
-    scored = needs.join(unigrams, "w").groupBy("row").agg(F.sum(F.col("base") + F.col("sign") * F.log10("c")).alias("s"), F.sum(F.when((F.col("sign") > 0) & ~F.col("opening"), F.col("sign")).otherwise(0)).alias("n_backoff"))
-    out = words.select("row", "doc_id", F.size("w").cast("long").alias("n_words")).join(scored, "row", "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_backoff", F.lit(0)).cast("long").alias("n_backoff"), F.round(F.col("s") / F.col("n_words"), 6).alias("score"))
+                h = piece.hashes()
+                if ids and (n + len(h) > block_words or rows + piece.n > BLOCK_ROWS):
+                    yield block(ids, sizes, words)
+                    ids, sizes, words, n, rows = [], [], [], 0, 0
+                ids.append(batch.column(0).slice(piece.first, piece.n))
+                sizes.append(piece.counts)
+                words.append(h)
+                n, rows = n + len(h), rows + piece.n
+        if ids:
+            yield block(ids, sizes, words)
+
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id array<long>, size array<int>, vocabulary array<long>, word array<int>")
+    return found.withColumn("block", F.monotonically_increasing_id())
+
+
+def _flat(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten()).astype(dtype, copy=False)
+
+
+def _grams(size: np.ndarray, vocabulary: np.ndarray, word: np.ndarray, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Documents' word offsets, and for each order the n-grams' hashes and first words."""
+    hashes, offsets = vocabulary.view(np.uint64)[word], np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    return offsets, [tx.ngrams(hashes, offsets, n) for n in range(1, order + 1)]
+
+
+def _asked(blocks: DataFrame, order: int, bits: int) -> DataFrame:
+    """bucket, block and the block's distinct n-grams (all orders) of that bucket, ascending, with their counts."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                size, vocabulary, word = (_flat(batch.column(k).slice(i, 1), t) for k, t in ((1, np.int32), (2, np.int64), (3, np.int32)))
+                keys, n = np.unique(np.concatenate([g for g, _ in _grams(size, vocabulary, word, order)[1]]), return_counts=True)
+                edge = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
+                edge = np.concatenate([edge, [len(keys)]])
+                full = np.flatnonzero(np.diff(edge))
+                ends = np.concatenate([edge[full], [len(keys)]])
+                block = np.full(len(full), batch.column(0)[i].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(block), _list(keys.view(np.int64), ends), _list(n.astype(np.int32), ends)], ["bucket", "block", "key", "n"])
+
+    return blocks.select("block", "size", "vocabulary", "word").mapInArrow(ask, "bucket int, block long, key array<long>, n array<int>")
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """block, bucket and the corpus counts of the n-grams that the block asked for, in its order."""
+
+    def count(table: pa.Table) -> pa.Table:
+        # one bucket's part of the count table, and its join with the lists
+        keys, n = _flat(table.column("key"), np.int64), _flat(table.column("n"), np.int64)
+        at = np.unique(keys, return_inverse=True)[1]
+        total = np.bincount(at, weights=n).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(table.column("key").combine_chunks().value_lengths().to_numpy(zero_copy_only=False))])
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "count": _list(total[at], ends)})
+
+    return asked.groupBy("bucket").applyInArrow(count, "block long, bucket int, count array<long>")
+
+
+def _scored(blocks: DataFrame, answers: DataFrame, order: int, backoff: float, total: int) -> DataFrame:
+    """doc_id, n_words, n_backoff and score of each document of each block."""
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        size, vocabulary, word = (_flat(left.column(k), t) for k, t in (("size", np.int32), ("vocabulary", np.int64), ("word", np.int32)))
+        offsets, grams = _grams(size, vocabulary, word, order)
+        docs, m = len(size), len(word)
+        doc = np.repeat(np.arange(docs), size)
+        keys = np.unique(np.concatenate([g for g, _ in grams]))
+        counts = _flat(right.sort_by("bucket").column("count"), np.int64)
+        others = np.zeros((order + 1, m), np.int64)  # of the n-gram that begins at a word: its count in other documents
+        for n, (g, at) in enumerate(grams, 1):
+            place = np.searchsorted(keys, g)
+            _, own, times = np.unique(doc[at] * max(1, len(keys)) + place, return_inverse=True, return_counts=True)
+            others[n, at] = counts[place] - times[own]
+        before = np.arange(m) - offsets[doc]
+        rest = np.maximum(1, total - size.astype(np.int64))[doc]
+        longest = np.minimum(before + 1, order)  # the longest n-gram that ends at a word
+        logs, steps, open_ = np.zeros(m), np.zeros(m, np.int64), np.ones(m, bool)
+        for n in range(order, 0, -1):
+            here = np.flatnonzero(open_ & (longest >= n))
+            first = here - n + 1
+            c = others[n, first]
+            seen = c > 0
+            hit = here[seen]
+            logs[hit] = np.log10(c[seen]) - np.log10(others[n - 1, first[seen]] if n > 1 else rest[hit])
+            open_[hit] = False
+            steps[here[~seen]] += 1
+        logs[open_] = -np.log10(rest[open_])
+        logs += steps * np.log10(backoff)
+        sums = np.concatenate([[0.0], np.cumsum(logs)])
+        back = np.concatenate([[0], np.cumsum(steps > 0)])
+        sums, back = sums[offsets[1:]] - sums[offsets[:-1]], back[offsets[1:]] - back[offsets[:-1]]
+        mean = np.divide(sums, size, out=np.zeros(docs), where=size > 0)
+        return pa.table({"doc_id": left.column("doc_id").combine_chunks().flatten(), "n_words": pa.array(size, pa.int64()), "n_backoff": pa.array(back, pa.int64()), "score": pa.array(mean, mask=size == 0)})
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, n_backoff long, score double")
+
+
+def backoff_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, block_words: int = BLOCK_WORDS, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
+    """doc_id, n_words, n_backoff (words not scored in their longest context) and score of each row of ``docs`` (doc_id, text, ...)."""
+    blocks = durable(_blocks(docs, block_words), "lm-blocks")
+    total = blocks.agg(F.sum(F.size("word").cast("long"))).first()[0] or 0
+    bits = max(0, (-(-total * order // bucket_entries) - 1).bit_length())
+    answers = _answered(_asked(blocks, order, bits))
+    found = _scored(blocks, answers, order, backoff, total)
+    return found.withColumn("score", F.round("score", 6))

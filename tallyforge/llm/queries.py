@@ -43,7 +43,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_scores(_table(spark, sf_dir, "documents"), backoff=0.4, min_count=2)
+    return backoff_scores(_table(spark, sf_dir, "documents"), order=3, backoff=0.4)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

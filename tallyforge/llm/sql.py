@@ -124,18 +124,24 @@ WITH texts AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), words AS MATERIALIZED (
   SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w FROM texts
-), unigrams AS MATERIALIZED (
-  SELECT w, count(*) AS c FROM words GROUP BY w
 ), total AS (SELECT count(*) AS n FROM words
-), pairs AS MATERIALIZED (
-  SELECT doc_id, i, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v, w FROM words
-), bigrams AS MATERIALIZED (
-  SELECT v, w, count(*) AS c FROM pairs WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2
+), grams AS MATERIALIZED (
+  SELECT doc_id, i, w AS g1, lag(w) OVER p || ' ' || w AS g2, lag(w, 2) OVER p || ' ' || lag(w) OVER p || ' ' || w AS g3, lag(w) OVER p AS h2, lag(w, 2) OVER p || ' ' || lag(w) OVER p AS h3
+  FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), own AS MATERIALIZED (
+  SELECT doc_id, g, count(*) AS m FROM (SELECT doc_id, unnest([g1, g2, g3]) AS g FROM grams) WHERE g IS NOT NULL GROUP BY doc_id, g
+), every AS MATERIALIZED (SELECT g, sum(m) AS c FROM own GROUP BY g
+), others AS MATERIALIZED (SELECT doc_id, g, c - m AS c FROM own JOIN every USING (g)
+), found AS (
+  SELECT x.doc_id, least(i, 3) AS longest, greatest(1, n - len(t.w)) AS rest, a1.c AS c1, a2.c AS c2, a3.c AS c3, b2.c AS d2, b3.c AS d3
+  FROM grams x CROSS JOIN total JOIN texts t ON t.doc_id = x.doc_id JOIN others a1 ON a1.doc_id = x.doc_id AND a1.g = g1
+  LEFT JOIN others a2 ON a2.doc_id = x.doc_id AND a2.g = g2 LEFT JOIN others a3 ON a3.doc_id = x.doc_id AND a3.g = g3
+  LEFT JOIN others b2 ON b2.doc_id = x.doc_id AND b2.g = h2 LEFT JOIN others b3 ON b3.doc_id = x.doc_id AND b3.g = h3
 ), scored AS (
-  SELECT p.doc_id, count(*) FILTER (p.v IS NOT NULL AND b.c IS NULL) AS n_backoff,
-         sum(CASE WHEN p.v IS NULL THEN log10(y.c::DOUBLE / n) WHEN b.c IS NOT NULL THEN log10(b.c::DOUBLE / x.c) ELSE log10(0.4 * y.c::DOUBLE / n) END) AS s
-  FROM pairs p CROSS JOIN total LEFT JOIN bigrams b ON p.v = b.v AND p.w = b.w
-  LEFT JOIN unigrams x ON p.v = x.w JOIN unigrams y ON p.w = y.w GROUP BY p.doc_id
+  SELECT doc_id, count(*) FILTER (CASE longest WHEN 3 THEN c3 = 0 WHEN 2 THEN c2 = 0 ELSE c1 = 0 END) AS n_backoff,
+         sum(CASE WHEN c3 > 0 THEN log10(c3::DOUBLE / d3) WHEN c2 > 0 THEN (longest - 2) * log10(0.4) + log10(c2::DOUBLE / d2)
+                  WHEN c1 > 0 THEN (longest - 1) * log10(0.4) + log10(c1::DOUBLE / rest) ELSE longest * log10(0.4) - log10(rest) END) AS s
+  FROM found GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_backoff, 0) AS BIGINT) AS n_backoff, round(s / len(w), 6) AS score
 FROM texts LEFT JOIN scored USING (doc_id)
@@ -170,7 +176,7 @@ WITH parts AS MATERIALIZED (
   SELECT page_id, fetched_at, 'host' AS kind, host AS value FROM parts WHERE host IS NOT NULL
   UNION ALL SELECT page_id, fetched_at, 'domain', array_to_string(string_split(host, '.')[i:], '.') FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM parts WHERE host IS NOT NULL)
   UNION ALL SELECT page_id, fetched_at, 'prefix', host || '/' || array_to_string(s[1:i], '/')
-  FROM (SELECT *, unnest(range(1, least(4, len(s)) + 1)) AS i FROM (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM parts WHERE host IS NOT NULL))
+  FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM parts WHERE host IS NOT NULL))
 ), listed AS (
   SELECT page_id, count(*) AS n, min(valid_from) AS since FROM keys JOIN spans USING (kind, value)
   WHERE valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to) GROUP BY page_id
