@@ -8,27 +8,27 @@ component.  The steps, each a Spark job over the whole table:
    Any total order keeps the prefix filter exact; the sketch only makes prefixes selective.
 2. One pass over the texts yields, per document, the set's size, a 128-bit signature of the set, a
    parity bitmap and the prefix, which any linked pair must share a shingle of.
-3. Documents with equal sets collapse into one class under their smallest doc_id.
+3. Rows with equal sets collapse into one class, which has a number of its own.
 4. Prefix shingles found in one class only are dropped.  Classes that share a shingle are candidates.
    Large groups are dealt at random into small blocks first, and only pairs inside blocks are checked;
    that does small groups completely, and connects most of a group of near copies at a cost linear in its size.
 5. What is still apart is then joined exactly: only pairs from different components, only from
-   groups that hold several, each pair at its first common shingle only.
+   groups that hold several, each pair at its first common shingle only, and dealt to tasks in squares.
 6. Length, positional and suffix filters (the suffix filter is a lower bound of the symmetric
    difference, from the parity bitmaps) thin out candidates inside the join; survivors are verified
    once, on the sets themselves.
 
-Hash collisions: shingles are 64-bit hashes, classes 128-bit signatures.
+Hash collisions: shingles are 64-bit hashes, classes 128-bit signatures; a row is found again by its doc_id and a 64-bit
+hash of its text.
 
 Defined results: null or wordless text has an empty set, ``n_shingles`` 0, and is its own component.
-Rows that repeat a doc_id are one node; each input row gives one output row.  A null doc_id cannot
+Rows that repeat a doc_id are one document, linked through all their texts; each input row gives one output row.  A null doc_id cannot
 name a component: the row is returned with a null ``component_id``.  Extra columns are ignored.
 An empty table gives an empty result.  Equal sets tie to the smallest doc_id.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -38,14 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import broadcast_if_small, durable
+from ._spark import broadcast_if_small, durable, merged, packed
 from .components import connected_components
 
 SKETCH_BITS = 20
-SKETCH_PARTS = 64
 BITMAP_WORDS = 16
 #: Mean size of the blocks into which a group of candidates is dealt at first; smaller groups are one block.
 BLOCK = 12
+#: Sides of the squares of pairs that one task checks of a group whose classes are still apart.
+X_ROWS, Y_ROWS = 256, 2048
 
 
 def _sets(piece: tx.Piece, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,23 +76,13 @@ def _shingle_sketch(docs: DataFrame, n: int) -> np.ndarray:
             for piece in tx.pieces(batch.column(0), tx.SPACES):
                 total += np.bincount((_sets(piece, n)[0] & np.uint64(width - 1)).astype(np.int64), minlength=width)
         if total.any():
-            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(total, SKETCH_PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+            yield packed(total)
 
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in table.column("counts"))
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    found = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
-    sketch = np.zeros(width, np.int64)
-    step = width // SKETCH_PARTS
-    for row in found.collect():
-        sketch[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(row["counts"], np.int64)
-    return sketch
+    return merged(docs.select("text").mapInArrow(count, "part int, data binary"), width, np.int64, np.add)
 
 
 def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, signature, bitmap and rare-first prefix of each row."""
+    """doc_id, h, size, signature, bitmap and rare-first prefix of each row of docs (doc_id, text, h)."""
     sketch = docs.sparkSession.sparkContext.broadcast(_shingle_sketch(docs, n))
     bits = BITMAP_WORDS * 64
     names = [f"b{i}" for i in range(BITMAP_WORDS)]
@@ -116,32 +107,32 @@ def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 place = np.arange(len(grams)) - edge[of]
                 chosen = order[place < keep[of]]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32()), pa.array(grams[chosen].view(np.int64)))
-                ids = batch.column(0).slice(piece.first, piece.n)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size), *map(pa.array, sums), *(pa.array(np.ascontiguousarray(maps[:, i])) for i in range(BITMAP_WORDS)), lists], ["doc_id", "n", "s1", "s2", *names, "prefix"])
+                ids, texts = (batch.column(k).slice(piece.first, piece.n) for k in (0, 2))
+                yield pa.RecordBatch.from_arrays([ids, texts, pa.array(size), *map(pa.array, sums), *(pa.array(np.ascontiguousarray(maps[:, i])) for i in range(BITMAP_WORDS)), lists], ["doc_id", "h", "n", "s1", "s2", *names, "prefix"])
 
-    schema = "doc_id long, n long, s1 long, s2 long, " + ", ".join(f"{x} long" for x in names) + ", prefix array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(profile, schema)
+    schema = "doc_id long, h long, n long, s1 long, s2 long, " + ", ".join(f"{x} long" for x in names) + ", prefix array<long>"
+    return docs.select("doc_id", "text", "h").mapInArrow(profile, schema)
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id and the distinct shingle hashes of each row."""
+    """node and the distinct shingle hashes of each row of docs (node, text)."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in tx.pieces(batch.column(1), tx.SPACES):
                 grams, of = _sets(piece, n)
                 edge = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=piece.n))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(grams.view(np.int64)))], ["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(grams.view(np.int64)))], ["node", "grams"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(shingles, "doc_id long, grams array<long>")
+    return docs.select("node", "text").mapInArrow(shingles, "node long, grams array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link, each verified once on whole sets (doc_id, grams)."""
+    """Those of ``pairs`` (a, b) that link, each verified once on whole sets (node, grams)."""
     # pairs are two numbers a row: counted, they go to the sets, which then need not move for this side
-    first = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")).join(broadcast_if_small(pairs), "a")
+    first = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")).join(broadcast_if_small(pairs), "a")
     asked = broadcast_if_small(pairs.select("b").distinct())
-    second = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")).join(asked, "b", "left_semi")
+    second = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")).join(asked, "b", "left_semi")
     joined = first.join(second, "b")
     common = F.size(F.array_intersect("ga", "gb"))
     both = joined.select("a", "b", common.alias("i"), (F.size("ga") + F.size("gb") - common).alias("u"))
@@ -173,35 +164,41 @@ def _near_enough(percent: int, prefix: str = "b", words: int = BITMAP_WORDS) ->
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text, ...)."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     profiles = durable(_profiles(docs, n, percent), "jaccard-profiles")
     maps = [f"b{i}" for i in range(BITMAP_WORDS)]
     with_sets = profiles.filter("n > 0 and doc_id is not null")
-    # rows that repeat a doc_id with another text are joined through that id
-    classes = durable(with_sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    chosen = with_sets.join(broadcast_if_small(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n")), ["doc_id", "s1", "s2", "n"], "left_semi")
-    reps = chosen.select(F.col("doc_id").alias("rep"), F.posexplode("prefix").alias("pos", "shingle"))
+    # each class has a number of its own, and is read from the row (doc_id, hash of its text) with the smallest doc_id
+    classes = with_sets.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "h")).alias("r")).select("s1", "s2", "n", F.col("r.doc_id").alias("doc_id"), F.col("r.h").alias("h"))
+    classes = durable(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
+    chosen = with_sets.join(broadcast_if_small(classes), ["doc_id", "h", "s1", "s2", "n"])
+    copied = not profiles.groupBy("doc_id", "h").count().filter("count > 1 and doc_id is not null").isEmpty()
+    if copied:
+        chosen = chosen.dropDuplicates(["node"])
+    reps = chosen.select("node", F.posexplode("prefix").alias("pos", "shingle"))
     shared = reps.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
     groups = durable(reps.join(shared, "shingle"), "jaccard-groups")
-    lists = groups.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pos", "shingle", "c"))).alias("g"))
-    facts = with_sets.select(F.col("doc_id").alias("rep"), "n", *maps).join(broadcast_if_small(durable(groups.select("rep").distinct(), "jaccard-reps")), "rep", "left_semi").dropDuplicates(["rep"])
-    cards = durable(facts.join(lists, "rep"), "jaccard-cards")
+    lists = groups.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "shingle", "c"))).alias("g"))
+    facts = chosen.select("node", "n", *maps).join(broadcast_if_small(durable(groups.select("node").distinct(), "jaccard-reps")), "node", "left_semi")
+    cards = durable(facts.join(lists, "node"), "jaccard-cards")
 
     # candidates inside random blocks
     # parity bits fold: the exclusive or of the map's quarters is the map of a quarter of the size
     quarter = BITMAP_WORDS // 4
     folded = [reduce(Column.bitwiseXOR, [F.col(f"b{i + k * quarter}") for k in range(4)]).alias(f"q{i}") for i in range(quarter)]
     small = [f"q{i}" for i in range(quarter)]
-    rows = cards.select("rep", "n", *folded, F.explode("g").alias("g")).select("rep", "n", *small, "g.pos", "g.shingle", F.pmod(F.xxhash64("rep", "g.shingle"), F.ceil(F.col("g.c") / BLOCK)).alias("block"))
+    rows = cards.select("node", "n", *folded, F.explode("g").alias("g")).select("node", "n", *small, "g.pos", "g.shingle", F.pmod(F.xxhash64("node", "g.shingle"), F.ceil(F.col("g.c") / BLOCK)).alias("block"))
     x, y = rows.alias("x"), rows.alias("y")
-    near = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.rep") < F.col("y.rep")) & _may_link(percent, False) & _near_enough(percent, "q", quarter))
-    near = near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    bits = cards.select("rep", "n", *maps)
-    near = near.join(bits.alias("x"), F.col("a") == F.col("x.rep")).join(bits.alias("y"), F.col("b") == F.col("y.rep")).filter(_near_enough(percent)).select("a", "b")
+    near = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node")) & _may_link(percent, False) & _near_enough(percent, "q", quarter))
+    near = near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    bits = cards.select("node", "n", *maps)
+    near = near.join(bits.alias("x"), F.col("a") == F.col("x.node")).join(bits.alias("y"), F.col("b") == F.col("y.node")).filter(_near_enough(percent)).select("a", "b")
     near = durable(near, "jaccard-near")
-    large = cards.filter(F.exists("g", lambda e: e["c"] > BLOCK)).select(F.col("rep").alias("doc_id"))
-    wanted = durable(large.unionByName(near.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct(), "jaccard-ids")
-    sets = durable(shingle_sets(docs.select(F.col("doc_id").cast("long"), "text").join(broadcast_if_small(wanted), "doc_id", "left_semi"), n), "jaccard-sets")
+    large = cards.filter(F.exists("g", lambda e: e["c"] > BLOCK)).select("node")
+    asked = large.unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = durable(classes.select("doc_id", "h", "node").join(asked, "node", "left_semi"), "jaccard-ids")
+    sets = shingle_sets(docs.join(broadcast_if_small(wanted), ["doc_id", "h"]), n)
+    sets = durable(sets.dropDuplicates(["node"]) if copied else sets, "jaccard-sets")
 
     # one or two partners of each class first: that connects most, and spares most other checks
     star = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(near.groupBy("a").agg(F.max("b").alias("b"))).distinct()
@@ -214,23 +211,41 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     # every other candidate pair whose classes are still apart; groups of one block are done
     placed = cards.withColumn("g", F.filter("g", lambda e: e["c"] > BLOCK)).filter(F.size("g") > 0)
-    placed = placed.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = placed.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     held = placed.select("component", F.explode("g.shingle").alias("shingle")).groupBy("shingle", "component").agg(F.count("*").alias("m"))
-    mixed = held.groupBy("shingle").agg(F.max_by("component", F.struct("m", "component")).alias("major"), F.count("*").alias("k")).filter("k > 1")
-    order = placed.select("rep", "n", "component", *maps, F.expr("transform(g, e -> e.shingle)").alias("s"), F.posexplode("g").alias("k", "g"))
-    order = order.select("rep", "n", "component", *maps, "g.pos", "g.shingle", F.expr("slice(s, 1, k)").alias("earlier"))
-    order = order.join(mixed.select("shingle", "major"), "shingle")
-    x, y = order.filter("component != major").alias("x"), order.alias("y")
-    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.rep") < F.col("y.rep")))
-    far = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & _may_link(percent, True) & _near_enough(percent) & ~F.arrays_overlap("x.earlier", "y.earlier"))
-    far = far.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    mixed = held.groupBy("shingle").agg(F.max_by("component", F.struct("m", "component")).alias("major"), F.max("m").alias("most"), F.sum("m").alias("all"), F.count("*").alias("k")).filter("k > 1")
+    # the pairs of a large group are dealt to squares of X_ROWS by Y_ROWS
+    mixed = mixed.select("shingle", "major", F.ceil((F.col("all") - F.col("most")) / X_ROWS).cast("int").alias("kx"), F.ceil(F.col("all") / Y_ROWS).cast("int").alias("ky"))
+    order = placed.select("node", "n", "component", *maps, F.expr("transform(g, e -> e.shingle)").alias("s"), F.posexplode("g").alias("k", "g"))
+    order = order.select("node", "n", "component", *maps, "g.pos", "g.shingle", F.expr("slice(s, 1, k)").alias("earlier"))
+    order = order.join(mixed, "shingle")
+    own = lambda k: F.pmod(F.xxhash64("node", "shingle"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    x = order.filter("component != major").withColumn("bx", own("kx")).withColumn("by", every("ky")).alias("x")
+    y = order.withColumn("by", own("ky")).withColumn("bx", every("kx")).alias("y")
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
+    square = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.bx") == F.col("y.bx")) & (F.col("x.by") == F.col("y.by"))
+    far = x.join(y, square & apart & _may_link(percent, True) & _near_enough(percent) & ~F.arrays_overlap("x.earlier", "y.earlier"))
+    far = far.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     far = durable(far.join(near, ["a", "b"], "left_anti"), "jaccard-far")
     links = links.unionByName(_verified(far, sets, percent))
-    repeated = with_sets.join(classes, ["s1", "s2", "n"]).filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    twice = profiles.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1 and doc_id is not null")
-    links = links.unionByName(repeated.join(twice, repeated["b"] == twice["doc_id"], "left_semi"))
-    final = connected_components(links)
-
-    named = profiles.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
-    named = named.withColumn("node", F.coalesce("rep", "doc_id")).join(final, "node", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
+
+    # rows that repeat a doc_id are one document: its classes are linked
+    twice = durable(profiles.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1 and doc_id is not null").select("doc_id"), "jaccard-twice")
+    repeats = not twice.isEmpty()
+    if repeats:
+        of = with_sets.select("doc_id", "s1", "s2", "n").join(twice, "doc_id", "left_semi").distinct().join(classes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"])
+        of = durable(of.select("doc_id", "node"), "jaccard-repeated")
+        least = of.groupBy("doc_id").agg(F.min("node").alias("a"))
+        links = links.unionByName(of.join(least, "doc_id").filter("a != node").select("a", F.col("node").alias("b")))
+    final = durable(connected_components(links).join(classes.select("node", "doc_id"), "node"), "jaccard-final")
+    smallest = final.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    linked = final.join(smallest, "component").select("node", "smallest")
+    named = classes.join(linked, "node", "left").select("s1", "s2", "n", F.coalesce("smallest", "doc_id").alias("smallest"))
+    out = profiles.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id"))
+    if repeats:
+        out = durable(out, "jaccard-rows")
+        one = out.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("one"))
+        out = out.join(one, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("one", "component_id").alias("component_id"))
+    return out
