@@ -17,10 +17,9 @@ document fingerprints before they leave the task; it only saves work, the join d
 Spark's, so a large benchmark is shuffled, and a small one broadcast, by its measured size.
 
 Defined results: null or wordless texts and items have no words and no hits; an empty benchmark
-leaves every document clean; each input row gives one output row, except that rows that repeat a
-doc_id are answered together (one row for each, the hits of all of them); a null doc_id is returned
-without hits; an item_id that repeats counts once in ``n_items``; a null item_id is ignored; extra columns
-are ignored.
+leaves every document clean; each input row gives one output row and is answered by its own text (rows are
+numbered), so neither a doc_id that repeats with another text nor a null doc_id mixes with others; an item_id
+that repeats counts once in ``n_items``; a null item_id is ignored; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import durable
+from ._spark import durable, merged, packed
 
 BITMAP_BYTES = 1 << 22
 FINGERPRINT = "array<struct<print:long,long:boolean,at:int,lead:int,words:string>>"
@@ -91,11 +90,16 @@ def _prints(column: pa.Array, k: int, window: int, lengths: list[int], items: bo
 
 def _bitmap(items: DataFrame) -> np.ndarray:
     """The fingerprints' low bits, or-ed over all tasks: a fixed size, whatever the benchmark."""
-    bytes_ = items.selectExpr(f"int(shiftright(print & {BITMAP_BYTES * 8 - 1}, 3)) as byte", "shiftleft(1, int(print & 7)) as bit")
-    bitmap = np.zeros(BITMAP_BYTES, np.uint8)
-    for row in bytes_.groupBy("byte").agg(F.bit_or("bit").alias("bits")).collect():
-        bitmap[row["byte"]] = row["bits"]
-    return bitmap
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITMAP_BYTES, np.uint8)
+        for batch in batches:
+            at = np.asarray(batch.column(0)) & (BITMAP_BYTES * 8 - 1)
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        if bits.any():
+            yield packed(bits)
+
+    return merged(items.select("print").mapInArrow(mark, "part int, data binary"), BITMAP_BYTES, np.uint8, np.bitwise_or)
 
 
 _TYPES = (("print", pa.int64()), ("long", pa.bool_()), ("at", pa.int32()), ("lead", pa.int32()), ("words", pa.string()))
@@ -116,7 +120,7 @@ def item_prints(benchmark: DataFrame, k: int, window: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, window: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_words) of each row of docs, and the hits (doc_id, item_id, first, last) in words, last exclusive."""
+    """(row, doc_id, n_words) of each row of docs, and the hits (row, item_id, first, last) in words, last exclusive."""
     items = durable(item_prints(benchmark, k, window), "decon-items")
     short = items.filter("not long").select(F.size(F.split("words", " ")).alias("n")).distinct()
     lengths = sorted(r["n"] for r in short.collect())  # under ``window`` of them
@@ -131,28 +135,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, window: int
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), pa.array(piece.counts), pa.array(each, pa.list_(pa.struct(_TYPES)))], ["doc_id", "n_words", "prints"])
 
     read = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(prints, f"doc_id long, n_words long, prints {FINGERPRINT}")
-    read = durable(read, "decon-docs")
-    d = read.filter("doc_id is not null").select("doc_id", F.inline("prints")).select("doc_id", "print", "long", "at", "lead", F.split("words", " ").alias("w"))
+    read = durable(read.withColumn("row", F.monotonically_increasing_id()), "decon-docs")
+    d = read.select("row", F.inline("prints")).select("row", "print", "long", "at", "lead", F.split("words", " ").alias("w"))
     i = items.select("item_id", "print", "long", F.col("lead").alias("ilead"), F.split("words", " ").alias("iw"))
     both = d.join(i, ["print", "long"])
     # words that match to the left of the fingerprint, and from its first word on
     run = "aggregate(sequence({}), struct(0 as n, true as same), (s, j) -> struct(s.n + int(s.same and w[lead {} j] <=> iw[ilead {} j]) as n, s.same and w[lead {} j] <=> iw[ilead {} j] as same), s -> s.n)"
     back = run.format("1, least(lead, ilead)", "-", "-", "-", "-")
     ahead = run.format("0, least(size(w) - lead, size(iw) - ilead) - 1", "+", "+", "+", "+")
-    both = both.select("doc_id", "item_id", "long", "at", F.size("iw").alias("n"), F.expr(f"if(least(lead, ilead) > 0, {back}, 0)").alias("l"), F.expr(ahead).alias("r"))
+    both = both.select("row", "item_id", "long", "at", F.size("iw").alias("n"), F.expr(f"if(least(lead, ilead) > 0, {back}, 0)").alias("l"), F.expr(ahead).alias("r"))
     hits = both.filter((F.col("r") >= F.when(F.col("long"), F.lit(k)).otherwise(F.col("n"))) & (F.col("l") + F.col("r") >= F.when(F.col("long"), F.lit(window)).otherwise(F.col("n"))))
-    return read.select("doc_id", "n_words"), hits.select("doc_id", "item_id", (F.col("at") - F.col("l")).alias("first"), (F.col("at") + F.col("r")).alias("last")).distinct()
+    return read.select("row", "doc_id", "n_words"), hits.select("row", "item_id", (F.col("at") - F.col("l")).alias("first"), (F.col("at") + F.col("r")).alias("last")).distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each row of ``docs``."""
     read, hits = contamination(docs, benchmark, k, window)
     hits = durable(hits, "decon-hits")
-    before = Window.partitionBy("doc_id").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
-    spans = hits.select("doc_id", "first", "last").distinct().withColumn("reached", F.max("last").over(before))
+    before = Window.partitionBy("row").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    spans = hits.select("row", "first", "last").distinct().withColumn("reached", F.max("last").over(before))
     new = F.greatest(F.lit(0), F.col("last") - F.greatest("first", F.coalesce("reached", F.lit(0))))
-    words = spans.groupBy("doc_id").agg(F.sum(new).cast("long").alias("n_hit"))
-    items = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    out = read.join(words, "doc_id", "left").join(items, "doc_id", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    words = spans.groupBy("row").agg(F.sum(new).cast("long").alias("n_hit"))
+    items = hits.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    out = read.join(words, "row", "left").join(items, "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
