@@ -8,11 +8,11 @@ batches of floor(token_budget / bound) pieces form in a fixed order, so no batch
 the last one of a bucket can be short.
 
 Positions inside a bucket are counted in two steps, over (bucket, slice) and over the slices of a bucket, so
-that a bucket with most of the pieces is no single task's work.
+that a bucket with most of the pieces is no single task's work.  Slices are dealt by a hash of the numbered row, so
+no pattern in doc_id, nor one that repeats, fills a slice; their number grows with the pieces.
 
-Defined results: a null or wordless text is one piece of length 1; rows that repeat a doc_id each keep
-their pieces; a null doc_id goes to slice 0 and sorts first; an empty table gives an empty result;
-extra columns are ignored.
+Defined results: a null or wordless text is one piece of length 1; rows that repeat a doc_id, or have none, each keep
+their pieces; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from ._spark import durable
 
-SLICES = 512
+#: Slices at least, and pieces of a slice at most (on average) beyond that.
+SLICES, SLICE_PIECES = 512, 200_000
 
 
 def bucket_bounds(histogram: dict[int, int], buckets: int) -> list[int]:
@@ -54,20 +55,22 @@ def bucket_bounds(histogram: dict[int, int], buckets: int) -> list[int]:
     return bounds[::-1]
 
 
-def pack(docs: DataFrame, token_budget: int = 8192, max_length: int = 2048, buckets: int = 12, slices: int = SLICES) -> DataFrame:
+def pack(docs: DataFrame, token_budget: int = 8192, max_length: int = 2048, buckets: int = 12, slices: int | None = None) -> DataFrame:
     """doc_id, piece, first (word), length, bucket (its bound), batch and slot of each piece of each row."""
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
     sized = docs.select(F.col("doc_id").cast("long"), (words + 1).cast("long").alias("total"))
-    pieces = sized.select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / max_length))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * max_length).alias("first"), F.least(F.lit(max_length), F.col("total") - F.col("piece") * max_length).cast("long").alias("length"))
+    sized = sized.withColumn("row", F.monotonically_increasing_id())
+    pieces = sized.select("doc_id", "row", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / max_length))).alias("piece"))
+    pieces = pieces.select("doc_id", "row", "piece", (F.col("piece") * max_length).alias("first"), F.least(F.lit(max_length), F.col("total") - F.col("piece") * max_length).cast("long").alias("length"))
     pieces = durable(pieces, "packing-pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # max_length rows at most
     bounds = bucket_bounds(histogram, buckets)
     if not bounds:
         return pieces.select("doc_id", "piece", "first", "length", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("slot"))
+    slices = slices or max(SLICES, -(-sum(histogram.values()) // SLICE_PIECES))
     bound = F.element_at(F.filter(F.array(*map(F.lit, bounds)), lambda b: b >= F.col("length")), 1).cast("long")
-    placed = pieces.withColumn("bucket", bound).withColumn("slice", F.coalesce(F.pmod("doc_id", F.lit(slices)), F.lit(0)))
-    inside = Window.partitionBy("bucket", "slice").orderBy("doc_id", "piece", "length")
+    placed = pieces.withColumn("bucket", bound).withColumn("slice", F.pmod(F.xxhash64("row", "piece"), F.lit(slices)))
+    inside = Window.partitionBy("bucket", "slice").orderBy("doc_id", "piece", "row")
     counts = placed.groupBy("bucket", "slice").count()  # buckets x slices rows
     before = Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
