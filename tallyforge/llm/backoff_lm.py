@@ -21,6 +21,7 @@ gives an empty result; N is 1 at least.  Words are lower-cased (A-Z) runs of any
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,26 +30,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import durable
+from ._spark import durable, new_path
 
 BLOCK_WORDS = 2_000_000
 BLOCK_ROWS = 200_000
 BUCKET_ENTRIES = 4_000_000
+_CODEC = "zstd"
 
 
-def _list(values: np.ndarray, edge: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(values))
+def _pack(values: np.ndarray) -> bytes:
+    """An array as bytes: one plane a byte of its numbers, so that high bytes cost little, compressed."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T)
+    return raw.nbytes.to_bytes(8, "little") + pa.compress(raw.tobytes(), codec=_CODEC, asbytes=True)
+
+
+def _unpack(data: bytes, dtype: type) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec=_CODEC), np.uint8)
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(dtype)
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=keys[:1] - keys[:1]))
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
 
 
 def _blocks(docs: DataFrame, block_words: int) -> DataFrame:
-    """Blocks of whole documents: doc_id and size (words) of each document, the distinct words' hashes and the words as places among these."""
+    """Blocks of whole documents: doc_id and size (words) of each document, and packed the distinct words' hashes, the frequent ones first, and the words as places among these."""
 
     def block(ids: list[pa.Array], sizes: list[np.ndarray], words: list[np.ndarray]) -> pa.RecordBatch:
-        every, place = np.unique(np.concatenate(words), return_inverse=True)
-        size = np.concatenate(sizes)
-        one = lambda x: np.array([0, len(x)])
-        doc_id = pa.ListArray.from_arrays(pa.array(one(size), pa.int32()), pa.concat_arrays(ids))
-        return pa.RecordBatch.from_arrays([doc_id, _list(size.astype(np.int32), one(size)), _list(every.view(np.int64), one(every)), _list(place.astype(np.int32), one(place))], ["doc_id", "size", "vocabulary", "word"])
+        every, place, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        size = np.concatenate(sizes).astype(np.int32)
+        one = pa.array([0, len(size)], pa.int32())
+        lists = [pa.ListArray.from_arrays(one, x) for x in (pa.concat_arrays(ids), pa.array(size))]
+        return pa.RecordBatch.from_arrays([*lists, *(pa.array([_pack(x)], pa.binary()) for x in (every[order], rank[place]))], ["doc_id", "size", "vocabulary", "word"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, words, n, rows = [], [], [], 0, 0
@@ -65,98 +86,96 @@ def _blocks(docs: DataFrame, block_words: int) -> DataFrame:
         if ids:
             yield block(ids, sizes, words)
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id array<long>, size array<int>, vocabulary array<long>, word array<int>")
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id array<long>, size array<int>, vocabulary binary, word binary")
     return found.withColumn("block", F.monotonically_increasing_id())
 
 
-def _flat(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return np.asarray(column.flatten()).astype(dtype, copy=False)
-
-
-def _grams(size: np.ndarray, vocabulary: np.ndarray, word: np.ndarray, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Documents' word offsets, and for each order the n-grams' hashes and first words."""
-    hashes, offsets = vocabulary.view(np.uint64)[word], np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-    return offsets, [tx.ngrams(hashes, offsets, n) for n in range(1, order + 1)]
+def _grams(size: pa.Array, vocabulary: bytes, word: bytes, order: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Documents' sizes and word offsets, and for each order the n-grams' hashes and first words."""
+    size = np.asarray(size).astype(np.int64)
+    hashes, offsets = _unpack(vocabulary, np.uint64)[_unpack(word, np.int32)], np.concatenate([[0], np.cumsum(size)])
+    return size, offsets, [tx.ngrams(hashes, offsets, n) for n in range(1, order + 1)]
 
 
 def _asked(blocks: DataFrame, order: int, bits: int) -> DataFrame:
-    """bucket, block and the block's distinct n-grams (all orders) of that bucket, ascending, with their counts."""
+    """bucket, block and, packed, the block's distinct n-grams (all orders) of that bucket, ascending, with their counts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                size, vocabulary, word = (_flat(batch.column(k).slice(i, 1), t) for k, t in ((1, np.int32), (2, np.int64), (3, np.int32)))
-                keys, n = np.unique(np.concatenate([g for g, _ in _grams(size, vocabulary, word, order)[1]]), return_counts=True)
+            for block, size, vocabulary, word in zip(*batch.columns, strict=True):
+                keys, n = np.unique(np.concatenate([g for g, _ in _grams(size.values, vocabulary.as_py(), word.as_py(), order)[2]]), return_counts=True)
                 edge = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
                 edge = np.concatenate([edge, [len(keys)]])
                 full = np.flatnonzero(np.diff(edge))
-                ends = np.concatenate([edge[full], [len(keys)]])
-                block = np.full(len(full), batch.column(0)[i].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(block), _list(keys.view(np.int64), ends), _list(n.astype(np.int32), ends)], ["bucket", "block", "key", "n"])
+                spans = [slice(edge[k], edge[k + 1]) for k in full.tolist()]
+                n = n.astype(np.int32)
+                columns = [pa.array([_pack_sorted(keys[x]) for x in spans], pa.binary()), pa.array([_pack(n[x]) for x in spans], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block.as_py()] * len(full), pa.int64()), *columns], ["bucket", "block", "key", "n"])
 
-    return blocks.select("block", "size", "vocabulary", "word").mapInArrow(ask, "bucket int, block long, key array<long>, n array<int>")
+    return blocks.select("block", "size", "vocabulary", "word").mapInArrow(ask, "bucket int, block long, key binary, n binary")
 
 
 def _answered(asked: DataFrame) -> DataFrame:
-    """block, bucket and the corpus counts of the n-grams that the block asked for, in its order."""
+    """block, bucket and, packed, the corpus counts of the n-grams that the block asked for, in its order."""
 
     def count(table: pa.Table) -> pa.Table:
         # one bucket's part of the count table, and its join with the lists
-        keys, n = _flat(table.column("key"), np.int64), _flat(table.column("n"), np.int64)
-        at = np.unique(keys, return_inverse=True)[1]
-        total = np.bincount(at, weights=n).astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(table.column("key").combine_chunks().value_lengths().to_numpy(zero_copy_only=False))])
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "count": _list(total[at], ends)})
+        keys = [_unpack_sorted(x.as_py()) for x in table.column("key")]
+        at = np.unique(np.concatenate(keys), return_inverse=True)[1]
+        total = np.bincount(at, weights=np.concatenate([_unpack(x.as_py(), np.int32) for x in table.column("n")])).astype(np.int64)
+        edge = np.cumsum([0, *map(len, keys)])
+        counts = [_pack(total[at[a:b]]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "count": pa.array(counts, pa.binary())})
 
-    return asked.groupBy("bucket").applyInArrow(count, "block long, bucket int, count array<long>")
+    return asked.groupBy("bucket").applyInArrow(count, "block long, bucket int, count binary")
 
 
 def _scored(blocks: DataFrame, answers: DataFrame, order: int, backoff: float, total: int) -> DataFrame:
     """doc_id, n_words, n_backoff and score of each document of each block."""
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        size, vocabulary, word = (_flat(left.column(k), t) for k, t in (("size", np.int32), ("vocabulary", np.int64), ("word", np.int32)))
-        offsets, grams = _grams(size, vocabulary, word, order)
-        docs, m = len(size), len(word)
+        (size, offsets, grams), docs = _grams(left.column("size")[0].values, left.column("vocabulary")[0].as_py(), left.column("word")[0].as_py(), order), len(left.column("size")[0])
+        m = int(offsets[-1])
         doc = np.repeat(np.arange(docs), size)
         keys = np.unique(np.concatenate([g for g, _ in grams]))
-        counts = _flat(right.sort_by("bucket").column("count"), np.int64)
+        counts = np.concatenate([np.zeros(0, np.int64), *(_unpack(x.as_py(), np.int64) for x in right.sort_by("bucket").column("count"))])
         others = np.zeros((order + 1, m), np.int64)  # of the n-gram that begins at a word: its count in other documents
         for n, (g, at) in enumerate(grams, 1):
             place = np.searchsorted(keys, g)
             _, own, times = np.unique(doc[at] * max(1, len(keys)) + place, return_inverse=True, return_counts=True)
             others[n, at] = counts[place] - times[own]
-        before = np.arange(m) - offsets[doc]
-        rest = np.maximum(1, total - size.astype(np.int64))[doc]
-        longest = np.minimum(before + 1, order)  # the longest n-gram that ends at a word
-        logs, steps, open_ = np.zeros(m), np.zeros(m, np.int64), np.ones(m, bool)
+        longest = np.minimum(np.arange(m) - offsets[doc] + 1, order)  # the longest n-gram that ends at a word
+        rest = np.maximum(1, total - size)[doc]
+        logs, steps, left_over = np.zeros(m), np.zeros(m, np.int64), np.ones(m, bool)
         for n in range(order, 0, -1):
-            here = np.flatnonzero(open_ & (longest >= n))
+            here = np.flatnonzero(left_over & (longest >= n))
             first = here - n + 1
             c = others[n, first]
             seen = c > 0
             hit = here[seen]
             logs[hit] = np.log10(c[seen]) - np.log10(others[n - 1, first[seen]] if n > 1 else rest[hit])
-            open_[hit] = False
+            left_over[hit] = False
             steps[here[~seen]] += 1
-        logs[open_] = -np.log10(rest[open_])
+        logs[left_over] = -np.log10(rest[left_over])
         logs += steps * np.log10(backoff)
-        sums = np.concatenate([[0.0], np.cumsum(logs)])
-        back = np.concatenate([[0], np.cumsum(steps > 0)])
-        sums, back = sums[offsets[1:]] - sums[offsets[:-1]], back[offsets[1:]] - back[offsets[:-1]]
+        sums, back = (np.concatenate([[0], np.cumsum(x)]) for x in (logs, steps > 0))
+        sums, back = (x[offsets[1:]] - x[offsets[:-1]] for x in (sums, back))
         mean = np.divide(sums, size, out=np.zeros(docs), where=size > 0)
-        return pa.table({"doc_id": left.column("doc_id").combine_chunks().flatten(), "n_words": pa.array(size, pa.int64()), "n_backoff": pa.array(back, pa.int64()), "score": pa.array(mean, mask=size == 0)})
+        return pa.table({"doc_id": left.column("doc_id")[0].values, "n_words": pa.array(size), "n_backoff": pa.array(back), "score": pa.array(mean, mask=size == 0)})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, n_backoff long, score double")
 
 
 def backoff_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, block_words: int = BLOCK_WORDS, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
     """doc_id, n_words, n_backoff (words not scored in their longest context) and score of each row of ``docs`` (doc_id, text, ...)."""
-    blocks = durable(_blocks(docs, block_words), "lm-blocks")
-    total = blocks.agg(F.sum(F.size("word").cast("long"))).first()[0] or 0
+    spark = docs.sparkSession
+    # a table that is dealt by block, so that blocks stay where they are when their answers come
+    name, parts = f"lm_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _blocks(docs, block_words).write.bucketBy(parts, "block").option("path", new_path(spark, "lm-blocks")).saveAsTable(name)
+    blocks = spark.table(name)
+    total = blocks.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
     bits = max(0, (-(-total * order // bucket_entries) - 1).bit_length())
-    answers = _answered(_asked(blocks, order, bits))
-    found = _scored(blocks, answers, order, backoff, total)
-    return found.withColumn("score", F.round("score", 6))
+    found = _scored(blocks, _answered(_asked(blocks, order, bits)), order, backoff, total)
+    found = durable(found.withColumn("score", F.round("score", 6)), "lm-scores")
+    spark.sql(f"drop table {name}")
+    return found
