@@ -5,17 +5,20 @@ longest increasing subsequence of their places keeps the order, and the gaps bet
 the same way (a gap without anchors falls back to matching equal words at its two ends).  Coverage is the
 share of the template's words that are aligned.
 
-A stretch is at most ``SLACK`` times as long as the template.  A stretch can only reach ``coverage`` if at
-most the remaining share of the template's distinct words is absent from it, so stretches are first looked for
-with that bound, on hashed words of the whole text; nothing that could pass is left out.
+Templates are the full texts of ten public licences (packaged text files), their opening notices, and one-line notices.
+
+A stretch is at most ``SLACK`` times as long as the template.  It can only reach ``coverage`` if it has that share
+of the template's words, each as often as the template at most, so stretches are first looked for with that bound, on
+hashed words of the whole text; nothing that could pass is left out.  The stretches with most words are aligned first;
+one that shares more than half of a place that was found is not aligned again.
 
 All hits of a document are kept: the best is taken, then the best of those that do not overlap it, and so on, and what
 lies between taken hits is searched anew until nothing is found.
 
 Defined results: each input row gives one output row; ``hits`` has all its hits by place, and licence, coverage and place
 are those of the best hit.  A null or wordless text, or one without a template that reaches ``coverage``, has no hits, null
-licence and place and coverage 0.  Of overlapping hits the best coverage wins, then the
-longer template, then the first name, then the first place; extra columns are ignored.  Words are runs of letters, digits and
+licence and place and coverage 0.  Of overlapping hits the one with most aligned words wins,
+then the best coverage, then the first name, then the first place; extra columns are ignored.  Words are runs of letters, digits and
 non-ASCII characters, lower-cased.
 """
 
@@ -24,6 +27,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,27 +38,32 @@ from . import _text as tx
 
 SLACK = 1.5
 
-#: Well-known public notices (one-line ones end in -line) and the opening grants of public licences.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
+#: Well-known public notices (one-line ones end in -line, longer ones in -notice).
+NOTICES = {
+    "Apache-2.0-line": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "BSD-line": "under the BSD License",
     "BSD-2-Clause-line": "under the BSD 2-Clause License",
     "BSD-3-Clause-line": "under the BSD 3-Clause License",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
+    "CC-BY-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0",
+    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "ISC-notice": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     "ISC-line": "under the ISC License",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "MIT-line": "under the MIT License",
     "MPL-2.0-line": "under the Mozilla Public License 2.0",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 
 
+def full_texts() -> dict[str, str]:
+    """The packaged full texts by licence name."""
+    return {p.name.removesuffix(".txt"): p.read_text() for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
+
 def patience_align(a: list, b: list) -> list[tuple[int, int]]:
     """Pairs of places (in a, in b) of equal words, increasing in both."""
     out: list[tuple[int, int]] = []
@@ -98,51 +107,59 @@ def patience_align(a: list, b: list) -> list[tuple[int, int]]:
 
 
 class _Template:
-    def __init__(self, name: str, text: str) -> None:
-        piece = next(tx.pieces(pa.array([text]), tx.NON_ALNUM))
-        self.name, self.words = name, piece.hashes().tolist()
-        self.n, self.distinct = len(self.words), len(set(self.words))
-        self.sorted = np.unique(np.array(self.words, np.uint64))
-
-
-def _places(words: np.ndarray, template: _Template, coverage: float) -> set[tuple[float, int, int]]:
-    """Coverage, first and last (exclusive) word of the places of the template in the text; places may overlap."""
-    at = np.searchsorted(template.sorted, words)
-    at[at == len(template.sorted)] = 0
-    places = np.flatnonzero(template.sorted[at] == words)
-    kinds = at[places].tolist()
-    absent = template.n - int(np.ceil(coverage * template.n - 1e-9))
-    needed, width = max(1, template.distinct - absent), int(template.n * SLACK) + 1
-    found: set[tuple[float, int, int]] = set()
-    if len(set(kinds)) < needed:
-        return found
-    seen, start = Counter(), 0
-    spots = places.tolist()
+    """A template's words as places in the sorted words of all templates, and how often it has each."""
+
+    def __init__(self, name: str, words: np.ndarray, every: np.ndarray) -> None:
+        self.name, self.n = name, len(words)
+        at = np.searchsorted(every, words)
+        self.words = at.tolist()
+        self.counts = np.bincount(at, minlength=len(every))
+
+
+def _hashes(text: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(p.hashes() for p in tx.pieces(pa.array([text]), tx.NON_ALNUM))])
+
+
+def _windows(words: list[int], template: _Template, needed: int) -> list[tuple[int, int, int]]:
+    """(words of the template, first, last exclusive) of the longest stretches that have at least ``needed`` of its words."""
+    width, most = int(template.n * SLACK) + 1, template.counts.tolist()
+    spots = [i for i, w in enumerate(words) if w >= 0 and most[w]]
+    seen: Counter[int] = Counter()
+    out, start, common = [], 0, 0
     for end, place in enumerate(spots):
-        seen[kinds[end]] += 1
+        w = words[place]
+        seen[w] += 1
+        common += seen[w] <= most[w]
         while spots[start] <= place - width:
-            seen[kinds[start]] -= 1
-            if not seen[kinds[start]]:
-                del seen[kinds[start]]
+            w = words[spots[start]]
+            common -= seen[w] <= most[w]
+            seen[w] -= 1
             start += 1
-        # align once the window is about to lose a word: every window is part of one that is aligned
-        last = end + 1 == len(spots) or spots[start] <= spots[end + 1] - width
-        if last and len(seen) >= needed:
-            stretch = words[spots[start] : place + 1].tolist()
-            pairs = patience_align(template.words, stretch)
-            share = len(pairs) / template.n
-            if share >= coverage:
-                found.add((share, spots[start] + pairs[0][1], spots[start] + pairs[-1][1] + 1))
+        # a stretch counts once it is about to lose a word: every other one is part of such a one
+        if common >= needed and (end + 1 == len(spots) or spots[start] <= spots[end + 1] - width):
+            out.append((common, spots[start], place + 1))
+    return out
+
+
+def _places(words: list[int], template: _Template, coverage: float) -> set[tuple[float, int, int]]:
+    """Coverage, first and last (exclusive) word of the places of the template in the text (words as places in all templates' words, or -1)."""
+    found: set[tuple[float, int, int]] = set()
+    for _, a, b in sorted(_windows(words, template, max(1, int(np.ceil(coverage * template.n - 1e-9)))), key=lambda x: (-x[0], x[1])):
+        if any(2 * (min(b, last) - max(a, first)) > last - first for _, first, last in found):
+            continue
+        pairs = patience_align(template.words, words[a:b])
+        if len(pairs) >= coverage * template.n - 1e-9:
+            found.add((len(pairs) / template.n, a + pairs[0][1], a + pairs[-1][1] + 1))
     return found
 
 
-def _hits(words: np.ndarray, known: list[_Template], coverage: float) -> list[tuple[str, float, int, int]]:
+def _hits(words: list[int], known: list[_Template], coverage: float) -> list[tuple[str, float, int, int]]:
     """Name, coverage, first and last (exclusive) word of the hits that do not overlap, the best one first."""
     hits: list[tuple] = []
     todo = [(0, len(words))]
     while todo:
         a, b = todo.pop()
-        found = sorted((-share, -x.n, x.name, a + first, a + last) for x in known for share, first, last in _places(words[a:b], x, coverage))
+        found = sorted((-round(share * x.n), -share, x.name, a + first, a + last) for x in known for share, first, last in _places(words[a:b], x, coverage))
         taken: list[tuple[int, int]] = []
         for hit in found:
             first, last = hit[3:]
@@ -152,29 +169,36 @@ def _hits(words: np.ndarray, known: list[_Template], coverage: float) -> list[tu
                 hits.append(hit)
         if taken:
             todo += [(p, q) for p, q in zip([a, *(last for _, last in taken)], [*(first for first, _ in taken), b], strict=True) if p < q]
-    return [(name, -share, first, last) for share, _, name, first, last in sorted(hits)]
+    return [(name, -share, first, last) for _, share, name, first, last in sorted(hits)]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.85) -> DataFrame:
     """doc_id, license, coverage, first_word and last_word (exclusive) of the best hit, and all hits, of each row of ``docs``."""
     hit = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
-    texts = dict(templates if templates is not None else TEMPLATES)
+    texts = dict(templates if templates is not None else full_texts() | NOTICES)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [_Template(name, texts[name]) for name in sorted(texts)]
-        every = np.unique(np.concatenate([x.sorted for x in known])) if known else np.zeros(0, np.uint64)
+        own = {name: _hashes(texts[name]) for name in sorted(texts)}
+        every = np.unique(np.concatenate([np.zeros(0, np.uint64), *own.values()]))
+        known = [_Template(name, words, every) for name, words in own.items() if len(words)]
+        counts = np.stack([x.counts for x in known]) if known else np.zeros((0, 0), np.int64)
+        needed = coverage * np.array([x.n for x in known]) - 1e-9
         for batch in batches:
             for piece in tx.pieces(batch.column(1), tx.NON_ALNUM):
                 hashes = piece.hashes()
-                # the number of template words of each document rules most of them out at once
-                own = np.concatenate([[0], np.cumsum(np.isin(hashes, every))])[piece.word_offsets]
+                at = np.searchsorted(every, hashes)
+                at[at == len(every)] = 0
+                at = np.where(every[at] == hashes, at, -1) if len(every) else np.full(len(hashes), -1)
                 rows: list[tuple] = []
-                for d, (a, b) in enumerate(zip(piece.word_offsets[:-1].tolist(), piece.word_offsets[1:].tolist(), strict=True)):
-                    n = own[d + 1] - own[d]
-                    found = _hits(hashes[a:b], [x for x in known if n >= coverage * x.n - 1e-9], coverage) if n else []
+                for a, b in zip(piece.word_offsets[:-1].tolist(), piece.word_offsets[1:].tolist(), strict=True):
+                    kinds, times = np.unique(at[a:b], return_counts=True)
+                    kinds, times = kinds[kinds >= 0], times[kinds >= 0]
+                    # the whole text must have the words before any stretch of it can
+                    fit = np.flatnonzero(np.minimum(counts[:, kinds], times).sum(axis=1) >= needed) if known else []
+                    found = _hits(at[a:b].tolist(), [known[k] for k in fit], coverage) if len(fit) else []
                     rows.append((*(found[0] if found else (None, 0.0, None, None)), [dict(zip(hit.names, x, strict=True)) for x in sorted(found, key=lambda x: x[2])]))
                 columns = zip(*rows, strict=True)
-                kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.list_(hit))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], ["doc_id", "license", "coverage", "first_word", "last_word", "hits"])
+                types = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.list_(hit))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], ["doc_id", "license", "coverage", "first_word", "last_word", "hits"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, license string, coverage double, first_word long, last_word long, hits array<struct<license: string, coverage: double, first_word: long, last_word: long>>")
