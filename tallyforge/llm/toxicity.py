@@ -1,15 +1,16 @@
 """Operator 10: toxicity by a Levenshtein automaton over a lexicon trie, with context windows.
 
 The lexicon is learned from labelled documents: words that occur in toxic ones, in several different
-surroundings (copies of one document share them), and hardly in others.  A second round looks only at toxic
-documents that the first round's words do not explain, so words that merely stand beside an insult stay out.
-Beginnings of words are candidates too, so that inflected forms need not all occur in training; they stand beside
-the whole words, which alone may be misspelled.
+surroundings (copies of one document share them), and hardly in others.  The best supported words are taken first;
+each further round looks only at toxic documents that no taken word explains, so words that merely stand beside an insult
+stay out.  A word's beginning (a stem) is a term only if no single word or longer stem accounts for most of its support, as
+where many words share it; it is matched as it is.
 
 The lexicon is a trie; the automaton accepts every word within an edit budget of a term (none under 5
-letters, else 1) and is run over both at once, so a misspelled term is found without listing spellings.  The
-product automaton's states are built when first reached and remembered.  Words near a term that clean
-training documents use are learned as innocent.
+letters, else 1; two letters that changed places are one edit) and is run over both at once, so a misspelled term is
+found without listing spellings.  The same trie takes endings of up to 3 letters behind an exact term of 5 letters or
+more, and counts such a word as misspelled.  The product automaton's states are built when first reached and
+remembered.  Words near a term that clean training documents use are learned as innocent.
 
 Each hit has a context window of ``WINDOW`` characters to either side: a hit inside quotation marks, or right
 after words that speak of a word, counts as quoted, any other as abuse.  A document's numbers of exact,
@@ -43,9 +44,11 @@ from .language_id import in_fold
 WORD = re.compile(r"[^\W_]+")
 WINDOW = 60
 MIN_FUZZY = 5
-#: Lengths of word beginnings that may be terms too (stems).
-STEMS = (4, 5, 6)
-#: Terms and innocent spellings that a model may hold; they are broadcast.
+#: Letters that may stand behind an exact term, and lengths of word beginnings that may be terms (stems).
+ENDINGS, STEMS = 3, (4, 5, 6)
+#: A word or stem that has this share of a shorter stem's support takes its place.
+SPECIFIC = 0.8
+#: Terms and innocent spellings that a model may hold; they are broadcast, and more are refused.
 MAX_TERMS = 20_000
 #: Words of a worker's memory; a full one starts anew.
 MEMORY = 1_000_000
@@ -54,9 +57,14 @@ _REPORTED = re.compile(r"\b(the (word|term|slur|insult)|so-called)\W*$")
 
 
 class FuzzyLexicon:
-    """The product of a trie of terms and a Levenshtein automaton, determinised as it is walked."""
+    """The product of a trie of terms and a Levenshtein automaton, determinised as it is walked.
 
-    def __init__(self, terms: list[str], innocent: list[str] = ()) -> None:
+    An entry that ends in a star matches every word that begins with it, and has no edit budget.  With ``swaps`` two
+    neighbouring letters that changed places are one edit; up to ``endings`` letters may follow an exact term.
+    """
+
+    def __init__(self, terms: list[str], innocent: list[str] = (), swaps: bool = False, endings: int = 0) -> None:
+        self.swaps, self.endings = swaps, endings
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.budget: list[int] = [0]  # the largest of the terms below a node
@@ -78,41 +86,59 @@ class FuzzyLexicon:
             self.term[node] = term
             self.stem[node] = stem
         self.innocent = set(innocent)
-        self.states: dict[frozenset, int] = {}
-        self.items: list[frozenset] = []
+        self.states: dict[tuple[frozenset, frozenset], int] = {}
+        self.items: list[tuple[frozenset, frozenset]] = []
         self.next: list[dict[str, int]] = []
         self.accepted: list[int] = []
         self.stemmed: list[bool] = []
-        self.start = self._state({(0, 0)})
+        self.start = self._state({(0, 0)}, set())
         self.memory: dict[str, int] = {}
 
-    def _state(self, items: set[tuple[int, int]]) -> int:
-        """The state of trie nodes with errors so far, skipped letters of terms included; -1 if none is left."""
+    def _state(self, items: set[tuple[int, int]], pending: set[tuple]) -> int:
+        """The state of trie nodes with errors so far, skipped letters of terms included; -1 if none is left.
+
+        pending: (node, errors, letter), half of a swap, which needs that letter next; and (letters,) behind an exact term.
+        """
         reach, todo = dict[int, int](), list(items)
         while todo:
             node, errors = todo.pop()
             if errors <= self.budget[node] and errors < reach.get(node, 9):
                 reach[node] = errors
                 todo += [(child, errors + 1) for child in self.children[node].values()]
-        if not reach:
+        if not reach and not pending:
             return -1
-        key = frozenset(reach.items())
+        key = (frozenset(reach.items()), frozenset(pending))
         if key not in self.states:
             self.states[key] = len(self.items)
             self.items.append(key)
             self.next.append({})
-            ends = [e for n, e in reach.items() if self.term[n] is not None and e <= int(len(self.term[n]) >= MIN_FUZZY and not self.stem[n])]
+            ends = [e for n, e in reach.items() if self.term[n] is not None and e <= self._most(n)]
             self.stemmed.append(any(self.stem[n] and e == 0 for n, e in reach.items()))
-            self.accepted.append(min(ends) + 1 if ends else 0)
+            self.accepted.append(min(ends) + 1 if ends else 2 if any(len(p) == 1 for p in pending) else 0)
         return self.states[key]
 
+    def _most(self, node: int) -> int:
+        """Edits of the term that ends at a node."""
+        return int(len(self.term[node]) >= MIN_FUZZY and not self.stem[node])
+
     def _step(self, state: int, c: str) -> int:
-        items = set()
-        for node, errors in self.items[state]:
+        items, later = set(), set()
+        for node, errors in self.items[state][0]:
             for letter, child in self.children[node].items():
                 items.add((child, errors + (letter != c)))
+                after = self.children[child].get(c) if self.swaps and letter != c else None
+                if after is not None and errors < self.budget[after]:
+                    later.add((after, errors + 1, letter))
             items.add((node, errors + 1))
-        self.next[state][c] = found = self._state(items)
+            if self.endings and errors == 0 and self.term[node] is not None and self._most(node):
+                later.add((1,))
+        for p in self.items[state][1]:
+            if len(p) == 1:
+                if p[0] < self.endings:
+                    later.add((p[0] + 1,))
+            elif p[2] == c:
+                items.add(p[:2])
+        self.next[state][c] = found = self._state(items, later)
         return found
 
     def match(self, word: str) -> int:
@@ -186,10 +212,20 @@ def _sample(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
 
 
 def _forms(words: set[str]) -> set[str]:
-    """The words, and their stems of STEMS letters, marked by a star."""
+    """The words, and their stems, marked by a star."""
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
+def _specific(support: dict[str, int]) -> dict[str, int]:
+    """Without the stems that one longer stem or word stands for."""
+    best: dict[str, int] = {}
+    for w, n in support.items():
+        for k in STEMS:
+            if len(w.rstrip("*")) > k:
+                best[w[:k] + "*"] = max(best.get(w[:k] + "*", 0), n)
+    return {w: n for w, n in support.items() if best.get(w, 0) < SPECIFIC * n}
+
+
 def _word_counts(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
     """word, clean (documents); and word, doc, before, after for toxic documents, one row for each surrounding."""
 
@@ -219,34 +255,45 @@ def _word_counts(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counted, toxic
 
 
+def _bounded(words: DataFrame) -> list:
+    found = words.limit(MAX_TERMS + 1).collect()
+    if len(found) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} words in a model")
+    return found
+
+
 def learn_lexicon(sample: DataFrame, precision: float = 0.95, chance: float = 0.1) -> list[str]:
     """Terms, and stems ending in a star, from a training sample (text, toxic).
 
     A term needs so many different words before it, and after it, in toxic documents that fewer than ``chance`` words of the
-    vocabulary would have them by accident, given the share of toxic documents.
+    vocabulary would have them by accident, given the share of toxic documents.  A round takes the terms with at least half
+    the support of the best one, and leaves out the documents that hold one of them.
     """
-    rows, positive = sample.agg(F.count("*"), F.count_if("toxic")).first()
-    clean, toxic = (durable(x, "toxicity-words") for x in _word_counts(sample))
-    vocabulary = max(2, toxic.agg(F.approx_count_distinct("word")).first()[0])
-
-    def terms(seen: DataFrame, documents: int) -> list[str]:
-        if not documents:
-            return []
+    rows = sample.count()
+    clean, rest = (durable(x, "toxicity-words") for x in _word_counts(sample))
+    vocabulary = max(2, rest.agg(F.approx_count_distinct("word")).first()[0])
+    found: set[str] = set()
+    while documents := rest.select("doc").distinct().count():
         share = min(0.9, documents / rows)
         least = max(5, math.ceil(math.log(vocabulary / chance) / -math.log(share)))
-        support = seen.groupBy("word").agg(F.least(F.countDistinct("before"), F.countDistinct("after")).alias("n"), F.countDistinct("doc").alias("d")).filter((F.col("n") >= least) & (F.col("d") >= least))
+        support = rest.groupBy("word").agg(F.least(F.countDistinct("before"), F.countDistinct("after")).alias("n"), F.countDistinct("doc").alias("d")).filter((F.col("n") >= least) & (F.col("d") >= least))
         rated = support.join(clean, "word", "left").withColumn("clean", F.coalesce("clean", F.lit(0)))
-        good = rated.filter((F.col("n") >= F.lit(precision) * (F.col("n") + F.col("clean"))) & (F.length("word") >= 3))
-        return [r["word"] for r in good.orderBy(F.desc("n"), "word").limit(MAX_TERMS).select("word").collect()]
+        good = _bounded(rated.filter((F.col("n") >= F.lit(precision) * (F.col("n") + F.col("clean"))) & (F.length("word") >= 3)).select("word", "n"))
+        if not good:
+            break
+        good = _specific({r["word"]: r["n"] for r in good})
+        taken = [w for w, n in good.items() if 2 * n >= max(good.values())]
+        found.update(taken)
+        known = sample.sparkSession.createDataFrame([(w,) for w in taken], "word string")  # MAX_TERMS rows at most
+        explained = rest.join(F.broadcast(known), "word", "left_semi").select("doc").distinct()
+        rest = durable(rest.join(explained, "doc", "left_anti"), "toxicity-rest")
+    if len(found) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} words in a model")
+    return sorted(found)
+
 
-    first = terms(toxic, positive)
-    known = sample.sparkSession.createDataFrame([(w,) for w in first], "word string")  # MAX_TERMS rows at most
-    explained = toxic.join(F.broadcast(known), "word", "left_semi").select("doc").distinct()
-    rest = durable(toxic.join(explained, "doc", "left_anti"), "toxicity-rest")
-    found = set(first) | set(terms(rest, rest.select("doc").distinct().count()))
-    # a stem makes longer stems needless, but not whole words: only these have an edit budget
-    covered = lambda w: w.endswith("*") and any(w[:k] + "*" in found for k in STEMS if k < len(w) - 1)
-    return sorted(w for w in found if not covered(w))
+def _lexicon(terms: list[str], innocent: list[str] = ()) -> FuzzyLexicon:
+    return FuzzyLexicon(terms, innocent, swaps=True, endings=ENDINGS)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: int = 30_000, threshold: float = 0.3) -> DataFrame:
@@ -256,14 +303,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: int = 30_000
     terms = spark.sparkContext.broadcast(learn_lexicon(sample))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = FuzzyLexicon(terms.value)
+        lexicon = _lexicon(terms.value)
         for batch in batches:
             found = [hits(x, lexicon) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([f[i] for f in found], pa.int32()) for i in range(3)), pa.array([f[3] for f in found], pa.list_(pa.string()))], ["toxic", "exact", "fuzzy", "quoted", "near"])
 
     measured = durable(sample.mapInArrow(measure, "toxic boolean, exact int, fuzzy int, quoted int, near array<string>"), "toxicity-measured")
     spelled = measured.select("toxic", F.explode(F.array_distinct("near")).alias("word")).groupBy("word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
-    innocent = [r["word"] for r in spelled.filter("c > t").orderBy(F.desc("c"), "word").limit(MAX_TERMS).select("word").collect()]
+    innocent = sorted(r["word"] for r in _bounded(spelled.filter("c > t").select("word")))
     kept = measured.withColumn("fuzzy", F.least("fuzzy", F.size(F.array_except("near", F.lit(innocent) if innocent else F.array().cast("array<string>")))))
     cell = F.least("exact", F.lit(3)) * 12 + F.least("fuzzy", F.lit(3)) * 3 + F.least("quoted", F.lit(2))
     cells = {r["cell"]: (r["t"], r["n"]) for r in kept.groupBy(cell.alias("cell")).agg(F.count_if("toxic").alias("t"), F.count("*").alias("n")).collect()}
@@ -280,7 +327,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: int = 30_000
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_terms, own_innocent, own_scores = model.value
-        lexicon = FuzzyLexicon(own_terms, own_innocent)
+        lexicon = _lexicon(own_terms, own_innocent)
         for batch in batches:
             found = [own_scores[_cell(*hits(x.as_py(), lexicon)[:3])] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
