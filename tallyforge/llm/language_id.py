@@ -6,11 +6,11 @@ element by element.  A document is bundled as the sum of its runs' vectors, a la
 sum over all its training documents, and a document takes the language whose prototype has the largest
 cosine with it.  Letters are lower-cased; a stretch of anything else is one boundary letter.
 
-Sums are linear, so tasks count runs first and multiply once; prototypes are summed by Spark per
-(language, dimension), a table of languages x dimensions whatever the input.
+Sums are linear, so tasks count runs first and multiply once, a bounded block of distinct runs at a time; prototypes
+are summed by Spark per (language, dimension), a table of languages x dimensions whatever the input.  A text begins and
+ends with boundary letters, so that one letter already makes a run.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is a text with
-letters but no run as long as ``n``, or any text when nothing was learned; documents with a null language,
+Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is any text when nothing was learned; documents with a null language,
 or without letters, teach nothing; ties go to the language that sorts first; each input row gives one
 output row; extra columns are ignored.  The score is the cosine, 0 if it is negative.
 """
@@ -30,7 +30,8 @@ DIMENSIONS = 1024
 UNKNOWN = "und"
 #: Languages that a model may have; a table with more distinct values is refused.
 MAX_LANGUAGES = 1000
-_BLOCK = 256
+#: Documents and distinct runs that are multiplied at once.
+_BLOCK, _RUNS = 256, 8192
 
 
 class _Letters:
@@ -65,13 +66,22 @@ def _runs(piece: tx.Piece, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct letters, the runs as base-(number of letters) numbers, and each run's document."""
     points = np.frombuffer(piece.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.concatenate([[0], np.cumsum((piece.data & 0xC0) != 0x80)])
-    doc = np.repeat(np.arange(piece.n), np.diff(lead[piece.offsets]))
-    if len(points) != len(doc):  # not valid UTF-8: decode one by one
+    size = np.diff(lead[piece.offsets])
+    if len(points) != size.sum():  # not valid UTF-8: decode one by one
         each = [np.frombuffer(piece.data[a:b].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for a, b in zip(piece.offsets[:-1], piece.offsets[1:], strict=True)]
-        points, doc = np.concatenate(each), np.repeat(np.arange(piece.n), [len(x) for x in each])
-    low = _alphabet().lower[points]
+        points, size = np.concatenate(each), np.array([len(x) for x in each], np.int64)
+    # boundaries before and behind each document
+    pad, edge = n // 2, np.concatenate([[0], np.cumsum(size)])
+    low = np.insert(_alphabet().lower[points], np.repeat(edge, [pad, *[2 * pad] * (piece.n - 1), pad]), 0)
+    doc = np.repeat(np.arange(piece.n), size + 2 * pad)
+    begin = edge[:-1] + 2 * pad * np.arange(piece.n)
     keep = low > 0
-    keep[1:] |= (low[:-1] > 0) & (doc[1:] == doc[:-1])
+    keep[1:] |= (low[:-1] > 0) & (doc[1:] == doc[:-1])  # one boundary behind each stretch of letters
+    for k in range(pad):
+        keep[begin + k] = True
+        if k:
+            keep[begin + size + 2 * pad - k] = True
+    keep &= (np.bincount(doc[low > 0], minlength=piece.n) > 0)[doc]
     low, doc = low[keep], doc[keep]
     letters, index = np.unique(low, return_inverse=True)
     m = max(0, len(low) - n + 1)
@@ -82,23 +92,33 @@ def _runs(piece: tx.Piece, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return letters, code[inside], doc[:m][inside]
 
 
-def _counted(piece: tx.Piece, n: int, dimensions: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For blocks of documents (from, to): counts of runs, documents x distinct runs, and the runs' vectors."""
+def _bundled(piece: tx.Piece, n: int, dimensions: int, group_of: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the runs' vectors of each group of a piece's documents, and the groups that have a run."""
+    out = np.zeros((groups, dimensions))
     letters, code, doc = _runs(piece, n)
+    group = group_of[doc]
     if not len(code):
-        return
+        return out, np.zeros(0, np.int64)
+    seen = np.unique(group)
     runs, code = np.unique(code, return_inverse=True)
     table = np.stack([_alphabet().vector(int(c), dimensions) for c in letters])
-    vectors = np.ones((len(runs), dimensions), np.int8)
-    rest = runs.copy()
-    for distance in range(n):
-        vectors *= np.roll(table, distance, axis=1)[rest % len(letters)]
-        rest //= len(letters)
-    vectors = vectors.astype(np.float32)
-    for a in range(0, piece.n, _BLOCK):
-        b = min(piece.n, a + _BLOCK)
-        i, j = np.searchsorted(doc, [a, b])
-        yield a, b, np.bincount((doc[i:j] - a) * len(runs) + code[i:j], minlength=(b - a) * len(runs)).reshape(b - a, len(runs)).astype(np.float32), vectors
+    order = np.lexsort((group, code // _RUNS))
+    code, group = code[order], group[order]
+    for first in range(0, len(runs), _RUNS):
+        own = runs[first : first + _RUNS].copy()
+        vectors = np.ones((len(own), dimensions), np.int8)
+        for distance in range(n):
+            vectors *= np.roll(table, distance, axis=1)[own % len(letters)]
+            own //= len(letters)
+        vectors = vectors.astype(np.float32)
+        i, j = np.searchsorted(code // _RUNS, [first // _RUNS, first // _RUNS + 1])
+        for a in range(0, groups, _BLOCK):
+            b = min(groups, a + _BLOCK)
+            p, q = i + np.searchsorted(group[i:j], [a, b])
+            if p < q:
+                counts = np.bincount((group[p:q] - a) * len(vectors) + code[p:q] - first, minlength=(b - a) * len(vectors))
+                out[a:b] += counts.reshape(b - a, len(vectors)).astype(np.float32) @ vectors
+    return out, seen
 
 
 def in_fold(doc_id: Column) -> Column:
@@ -114,11 +134,12 @@ def learn_prototypes(docs: DataFrame, n: int = 3, dimensions: int = DIMENSIONS)
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for piece in tx.pieces(batch.column(0), tx.SPACES, lower=False):
-                for a, b, counts, vectors in _counted(piece, n, dimensions):
-                    own = langs[piece.first + a : piece.first + b]
-                    for lang in set(own):
-                        rows = counts[[x == lang for x in own]].sum(axis=0, dtype=np.float64)
-                        total[lang] = total.get(lang, 0) + rows @ vectors
+                own = langs[piece.first : piece.first + piece.n]
+                names = sorted(set(own))
+                place = {x: k for k, x in enumerate(names)}
+                sums, _ = _bundled(piece, n, dimensions, np.array([place[x] for x in own]), len(names))
+                for lang, row in zip(names, sums, strict=True):
+                    total[lang] = total.get(lang, 0) + row
         if total:
             names = sorted(total)
             values = np.concatenate([np.rint(total[x]).astype(np.int64) for x in names])
@@ -143,15 +164,13 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int
         for batch in batches:
             langs, scores = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
             for piece in tx.pieces(batch.column(1), tx.SPACES, lower=False):
-                for a, b, counts, vectors in _counted(piece, n, dimensions):
-                    bundled = counts @ vectors
-                    size = np.linalg.norm(bundled, axis=1)
-                    if names:
-                        cosine = (bundled @ model.value) / np.maximum(size, 1e-9)[:, None]
-                        best = cosine.argmax(axis=1)
-                        seen = np.flatnonzero(counts.any(axis=1))
-                        langs[piece.first + a + seen] = np.array(names, object)[best[seen]]
-                        scores[piece.first + a + seen] = np.clip(cosine[seen, best[seen]], 0, 1)
+                bundled, seen = _bundled(piece, n, dimensions, np.arange(piece.n), piece.n)
+                if names and len(seen):
+                    size = np.linalg.norm(bundled[seen], axis=1)
+                    cosine = (bundled[seen] @ model.value) / np.maximum(size, 1e-9)[:, None]
+                    best = cosine.argmax(axis=1)
+                    langs[piece.first + seen] = np.array(names, object)[best]
+                    scores[piece.first + seen] = np.clip(cosine[np.arange(len(seen)), best], 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs.tolist(), pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
