@@ -9,7 +9,8 @@ doc_id ranges; both reach the scan.
 
 Encoding: a text is cut only where the vocabulary's pre-tokeniser always cuts: before white space whose next
 character is none, and before ASCII punctuation that follows an ASCII letter.  Each distinct piece is
-encoded once per worker and found again by its hash and length; the ids are the same as of the whole text.
+encoded once per worker and found again by its hash; a piece whose bytes are not those that were remembered is encoded
+anew, so the ids are the same as of the whole text.
 A text that holds a special token's string is one piece.
 
 Defined results: a null or empty text is just the end id; rows that repeat a doc_id are written one after
@@ -32,9 +33,9 @@ from . import _text as tx
 from ._spark import durable, new_path
 
 #: Entries of a worker's memory of encoded pieces; a full one starts anew.
-MEMORY = 2_000_000
-#: Input bytes of one range of documents.
-RANGE_BYTES = 24 << 20
+MEMORY = 500_000
+#: Input bytes of one range of documents: at least, and at most; between them, so many that each core gets RANGES_A_CORE.
+RANGE_BYTES, MOST_RANGE_BYTES, RANGES_A_CORE = 24 << 20, 1 << 30, 32
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -59,30 +60,41 @@ class Encoder:
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
+    #: A 64-bit hash of each piece; it only finds pieces, their bytes decide.
+    hashes = staticmethod(tx.span_hashes)
+
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.sizes = np.zeros(0, np.int64)
-        self.rows = np.zeros((0, 2), np.int64)  # start and length in ids
+        self.rows = np.zeros((0, 4), np.int64)  # start and length in ids, and in bytes
         self.ids = np.zeros(0, np.int32)
+        self.bytes = np.zeros(0, np.uint8)
 
-    def learn(self, keys: np.ndarray, sizes: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) + len(keys) > MEMORY:
-            self.clear()
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        start = len(self.ids) + np.concatenate([[0], np.cumsum(length)[:-1]])
+    def learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
+        length, size = np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(map(len, texts), np.int64, len(texts))
+        start, begin = (len(old) + np.concatenate([[0], np.cumsum(n)[:-1]]) for old, n in ((self.ids, length), (self.bytes, size)))
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32, int(length.sum()))])
-        self.keys, self.sizes = np.concatenate([self.keys, keys]), np.concatenate([self.sizes, sizes])
-        self.rows = np.concatenate([self.rows, np.stack([start, length], 1)])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(texts), np.uint8)])
+        self.keys = np.concatenate([self.keys, keys])
+        self.rows = np.concatenate([self.rows, np.stack([start, length, begin, size], 1)])
         order = np.argsort(self.keys, kind="stable")
-        self.keys, self.sizes, self.rows = self.keys[order], self.sizes[order], self.rows[order]
+        self.keys, self.rows = self.keys[order], self.rows[order]
 
-    def find(self, keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each key, and whether it is known."""
         if not len(self.keys):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, (self.keys[at] == keys) & (self.sizes[at] == sizes)
+        return at, self.keys[at] == keys
+
+    def differing(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The pieces whose bytes are not those remembered at their places."""
+        begin, size = self.rows[at, 2], self.rows[at, 3]
+        wrong = size != ends - starts
+        if not wrong.any() and len(starts) and starts[0] == 0 and ends[-1] == len(data):  # the pieces cover the data
+            unlike = self.bytes[np.repeat(begin - starts, size) + np.arange(len(data))] != data
+            return np.unique(np.searchsorted(starts, np.flatnonzero(unlike), "right") - 1) if unlike.any() else np.zeros(0, np.int64)
+        return np.array([i for i in range(len(starts)) if self.bytes[begin[i] : begin[i] + size[i]].tobytes() != data[starts[i] : ends[i]].tobytes()], np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in a row, and where each one's ids begin (one more at the end)."""
@@ -101,20 +113,27 @@ class Encoder:
                         start[a + 1 : b] = False
         starts = np.flatnonzero(start)
         ends = np.concatenate([starts[1:], [len(data)]]) if len(starts) else starts
-        keys, first, back = np.unique(tx.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        sizes = (ends - starts)[first]
-        at, known = self.find(keys, sizes)
+        keys, first, back = np.unique(self.hashes(data, starts, ends), return_index=True, return_inverse=True)
+        at, known = self.find(keys)
         new = np.flatnonzero(~known)
         if len(new):
+            if len(self.keys) + len(new) > MEMORY:
+                self.clear()
+                new = np.arange(len(keys))
             raw = data.tobytes()
-            self.learn(keys[new], sizes[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new]])
-            at, known = self.find(keys, sizes)
-            if not known.all():  # the memory was full and began anew
-                self.learn(keys[~known], sizes[~known], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[~known]])
-                at, _ = self.find(keys, sizes)
-        begin, length = self.rows[at][back].T if len(back) else (np.zeros(0, np.int64),) * 2
+            self.learn(keys[new], [raw[starts[i] : ends[i]] for i in first[new]])
+            at, _ = self.find(keys)
+        place = at[back]
+        begin, length = (self.rows[place, k] for k in (0, 1))
         edge = np.concatenate([[0], np.cumsum(length)])
         ids = self.ids[np.repeat(begin - edge[:-1], length) + np.arange(edge[-1])]
+        odd = self.differing(data, starts, ends, place)
+        if len(odd):  # another piece has the same hash
+            own = [self.tokenizer.encode(data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids for i in odd]
+            each = np.split(ids, edge[1:-1])
+            for i, x in zip(odd.tolist(), own, strict=True):
+                each[i] = np.array(x, np.int32)
+            ids, edge = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
         return ids, edge[np.searchsorted(starts, offsets, "left")]
 
 
@@ -148,7 +167,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     source = docs.select(F.col("doc_id").cast("long"), "text")
     if ranges is None:
         total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        ranges = max(1, -(-total // RANGE_BYTES))
+        share = total // (RANGES_A_CORE * docs.sparkSession.sparkContext.defaultParallelism)
+        ranges = max(1, -(-total // min(max(share, RANGE_BYTES), MOST_RANGE_BYTES)))
     ordered = source.repartitionByRange(int(ranges), "doc_id").sortWithinPartitions("doc_id", "text")
     tokens = encode_documents(ordered, tokenizer_path, end_id)
     writer = tokens.write.option("compression", "zstd").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)
@@ -185,7 +205,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
     rows = durable(table.mapInArrow(digest, "file string, row long, n long, doc_id long, crc long"), "token-digest")
     files = rows.groupBy("file").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "file")).alias("first"), F.sum("n").alias("total"))
     before = Window.partitionBy().orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    # one row a file, so small that it is broadcast
+    # one row a range; their number follows the cores or, at 1 GB a range, stays small enough for one task
     files = files.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(files, "file")
