@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from . import _text as tx
 from ._spark import durable, new_path
 
-BLOCK_WORDS = 2_000_000
-BLOCK_ROWS = 200_000
+BLOCK_WORDS = 1_000_000
+BLOCK_ROWS = 100_000
 BUCKET_ENTRIES = 4_000_000
 _CODEC = "zstd"
 
@@ -137,13 +137,16 @@ def _scored(blocks: DataFrame, answers: DataFrame, order: int, backoff: float, t
         (size, offsets, grams), docs = _grams(left.column("size")[0].values, left.column("vocabulary")[0].as_py(), left.column("word")[0].as_py(), order), len(left.column("size")[0])
         m = int(offsets[-1])
         doc = np.repeat(np.arange(docs), size)
-        keys = np.unique(np.concatenate([g for g, _ in grams]))
+        starts = [at for _, at in grams]
+        keys, places = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
+        several = max(1, len(keys))
+        del keys, grams
         counts = np.concatenate([np.zeros(0, np.int64), *(_unpack(x.as_py(), np.int64) for x in right.sort_by("bucket").column("count"))])
         others = np.zeros((order + 1, m), np.int64)  # of the n-gram that begins at a word: its count in other documents
-        for n, (g, at) in enumerate(grams, 1):
-            place = np.searchsorted(keys, g)
-            _, own, times = np.unique(doc[at] * max(1, len(keys)) + place, return_inverse=True, return_counts=True)
+        for n, (at, place) in enumerate(zip(starts, np.split(places, np.cumsum([len(x) for x in starts])[:-1]), strict=True), 1):
+            _, own, times = np.unique(doc[at] * several + place, return_inverse=True, return_counts=True)
             others[n, at] = counts[place] - times[own]
+        del places, counts
         longest = np.minimum(np.arange(m) - offsets[doc] + 1, order)  # the longest n-gram that ends at a word
         rest = np.maximum(1, total - size)[doc]
         logs, steps, left_over = np.zeros(m), np.zeros(m, np.int64), np.ones(m, bool)
