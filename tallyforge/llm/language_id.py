@@ -181,3 +181,13 @@ def identify_languages(docs: DataFrame, n: int = 3, dimensions: int = DIMENSIONS
     prototypes = learn_prototypes(docs.filter(~in_fold(F.col("doc_id"))), n, dimensions)
     found = predict_language(docs, prototypes, n, dimensions)
     return found.select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def language_bounds(found: DataFrame, share: float = 0.1) -> DataFrame:
+    """lang_pred and bound, from rows of ``identify_languages``: that share of the median score of the training rows.
+
+    A text of fifty words in a learned language scores well above it; one in none of them has a cosine near zero.  The
+    median does not mind the few training rows that are in no learned language.
+    """
+    taught = found.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("held_out"))
+    return taught.groupBy("lang_pred").agg((F.percentile_approx("score", 0.5, 10_000) * share).alias("bound"))

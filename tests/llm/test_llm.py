@@ -15,15 +15,18 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tallyforge.llm import _spark, jaccard_join, language_id, toxicity
+from tallyforge.llm import token_file as token_files
 from tallyforge.llm import _text as tx
 from tallyforge.llm.backoff_lm import backoff_scores
 from tallyforge.llm.components import connected_components
 from tallyforge.llm.decontaminate import decontaminate, winnow
 from tallyforge.llm.jaccard_join import jaccard_components
 from tallyforge.llm.language_id import identify_languages, in_fold
-from tallyforge.llm.license_scan import TEMPLATES, patience_align, scan_licenses
+from tallyforge.llm.license_scan import NOTICES, full_texts, patience_align, scan_licenses
 from tallyforge.llm.packing import bucket_bounds, pack
 from tallyforge.llm.quality_rules import base_counts, fit, quality_scores
 from tallyforge.llm.token_file import read_tokens, token_file, write_tokens
@@ -141,6 +144,40 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(21)}, 30: 30, 31: 30, 40: 40}
 
 
+def test_jaccard_one_id_with_two_texts(spark):
+    rng = random.Random(3)
+    a, b, c = (rng.choices([f"w{i}" for i in range(300)], k=60) for _ in range(3))
+    near = lambda x: " ".join([*x[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(c)), (5, near(c)), (6, None), (6, " ".join(c)), (7, "alone"), (None, " ".join(c))]
+    rows += [(5, near(c))] * 3
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in jaccard_components(table(spark, [(i, t, "en") for i, t in rows])).collect())
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (6, 4), (7, 7), (0, None), *[(5, 4)] * 3])
+
+
+def test_jaccard_hot_shingle(spark, monkeypatch):
+    """Unrelated short documents share a line that is in every prefix: pairs are dealt to squares, and none is lost."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    monkeypatch.setattr(jaccard_join, "X_ROWS", 3)
+    monkeypatch.setattr(jaccard_join, "Y_ROWS", 4)
+    rng = random.Random(4)
+    line = " ".join(f"h{i}" for i in range(6))
+    rows = []
+    for i in range(40):
+        words = rng.choices([f"w{k}" for k in range(30)], k=4)
+        rows.append((2 * i, f"{line} {' '.join(words)}"))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, f"{line} {' '.join(words)} x{i}"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(table(spark, [(i, t, "en") for i, t in rows])).collect()}
+    assert got == brute_components(rows)
+
+
+@pytest.mark.parametrize("bound", [0, 10])
+def test_jaccard_without_broadcasts(spark, documents, monkeypatch, bound):
+    plain = sorted(map(tuple, jaccard_components(documents).collect()))
+    monkeypatch.setattr(_spark, "BROADCAST_ROWS", bound)
+    assert sorted(map(tuple, jaccard_components(documents).collect())) == plain
+
+
 # ---- 2
 
 
@@ -195,6 +232,13 @@ def test_decontamination_odd(spark, odd, empty):
     assert decontaminate(empty, none).count() == 0
 
 
+def test_contamination_is_by_row(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    docs = table(spark, [(1, "clean words of four", "en"), (1, "before " + item, "en"), (None, item, "en"), (None, "nothing", "en"), (2, item, "en"), (2, item, "en")])
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["contaminated"]) for r in decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect())
+    assert got == [(0, 1, 0, False), (0, 12, 12, True), (1, 4, 0, False), (1, 13, 12, True), (2, 12, 12, True), (2, 12, 12, True)]
+
+
 # ---- 3
 
 
@@ -227,6 +271,16 @@ def test_pack(spark, documents, odd, empty):
     assert pack(empty).count() == 0
 
 
+def test_pack_deals_any_ids(spark):
+    ids = [512 * i for i in range(200)] + [-512 * i - 1 for i in range(200)] + [None] * 200 + [7] * 200
+    rows = pack(table(spark, [(i, "a b c", "en") for i in ids]), token_budget=40, max_length=8, buckets=2, slices=16)
+    assert Counter(r["doc_id"] for r in rows.collect()) == Counter(ids)
+    batches = Counter(r["batch"] for r in rows.collect())
+    assert set(batches) == set(range(80)) and set(batches.values()) == {10}
+    plan = rows._jdf.queryExecution().toString()
+    assert "xxhash64(row" in plan
+
+
 # ---- 4
 
 
@@ -276,14 +330,14 @@ def test_patience():
 
 
 def test_licenses(spark, odd, empty):
-    mit = TEMPLATES["MIT"]
+    mit = NOTICES["MIT-notice"]
     words = mit.split()
     texts = [
         f"Some words before.\n{mit.upper()}\nand after", " ".join(["x"] * 500 + words[:-2] + ["y"] * 500), " ".join(words[: len(words) // 2]),
         "This work is licensed under the GNU General Public License, version 3.", "the software and the license " * 40, " ".join(words[:10] + ["very"] + words[10:20] + words[21:]),
     ]
     got = {r["doc_id"]: r for r in scan_licenses(table(spark, [(i, t, "en") for i, t in enumerate(texts)])).collect()}
-    assert [got[i]["license"] for i in range(6)] == ["MIT", "MIT", None, "GPL-3.0", None, "MIT"]
+    assert [got[i]["license"] for i in range(6)] == ["MIT-notice", "MIT-notice", None, "GPL-3.0-line", None, "MIT-notice"]
     assert got[0]["coverage"] == 1.0 and got[0]["first_word"] == 3 and 0.85 < got[5]["coverage"] < 1
     assert got[1]["first_word"] == 500 and got[2]["coverage"] == 0
     assert scan_licenses(odd).filter("license is not null").count() == 0 and scan_licenses(odd).count() == 10 and scan_licenses(empty).count() == 0
@@ -292,38 +346,115 @@ def test_licenses(spark, odd, empty):
 
 def test_license_lines_and_all_hits(spark):
     lines = {
-        "Released under the MIT License.": "MIT-line", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
-        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": None, "Distributed under the BSD License.": "BSD-line",
+        "Released under the MIT License.": "MIT-line", "Licensed under the Apache License, Version 2.0.": "Apache-2.0-line", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0-line",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-line", "All rights reserved.": None, "Distributed under the BSD License.": "BSD-line",
         "Licensed under the BSD 3-Clause License.": "BSD-3-Clause-line", "Licensed under the ISC License.": "ISC-line", "Released under the Mozilla Public License 2.0.": "MPL-2.0-line",
     }
     texts = ["Some text.\n" + x for x in lines]
-    several = " ".join(["alpha " * 30 + x for x in [*lines, TEMPLATES["MIT"], "Released under the MIT License. Released under the MIT License."]])
+    several = " ".join(["alpha " * 30 + x for x in [*lines, NOTICES["MIT-notice"], "Released under the MIT License. Released under the MIT License."]])
     got = {r["doc_id"]: r for r in scan_licenses(table(spark, [(i, t, "en") for i, t in enumerate([*texts, several])])).collect()}
     assert [got[i]["license"] for i in range(len(texts))] == list(lines.values())
     hits = got[len(texts)]["hits"]
-    assert [h["license"] for h in hits] == [*filter(None, lines.values()), "MIT", "MIT-line", "MIT-line"]
+    assert [h["license"] for h in hits] == [*filter(None, lines.values()), "MIT-notice", "MIT-line", "MIT-line"]
     assert all(a["last_word"] <= b["first_word"] for a, b in itertools.pairwise(hits)) and all(h["coverage"] == 1 for h in hits)
-    assert got[len(texts)]["license"] == "MIT" and got[4]["hits"] == []
+    assert got[len(texts)]["license"] == "MIT-notice" and got[4]["hits"] == []
+
+
+def brute_patience(a, b):
+    """Patience alignment as it is defined, one step at a time: ends, then unique words in the longest increasing order, then gaps."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in brute_patience(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return [*brute_patience(a[:-1], b[:-1]), (len(a) - 1, len(b) - 1)]
+    once = [w for w in a if a.count(w) == 1 == b.count(w)]
+    best = max((c for k in range(len(once) + 1) for c in itertools.combinations(once, k) if list(map(b.index, c)) == sorted(map(b.index, c))), key=len)
+    if not best:
+        return []
+    out, i, j = [], 0, 0
+    for w in best:
+        p, q = a.index(w), b.index(w)
+        out += [(i + x, j + y) for x, y in brute_patience(a[i:p], b[j:q])] + [(p, q)]
+        i, j = p + 1, q + 1
+    return out + [(i + x, j + y) for x, y in brute_patience(a[i:], b[j:])]
+
+
+def test_patience_matches_brute_force():
+    rng = random.Random(15)
+    for _ in range(1500):
+        a, b = (rng.choices("abcdefgh", k=rng.randint(0, 9)) for _ in range(2))
+        got = patience_align(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(got))
+        want = brute_patience(a, b)
+        once = [w for w in a if a.count(w) == 1 == b.count(w)]
+        # of equally long increasing orders any may be taken, so lengths are compared where the order is unique
+        orders = [c for k in range(len(once) + 1) for c in itertools.combinations(once, k) if list(map(b.index, c)) == sorted(map(b.index, c))]
+        if sum(len(c) == max(map(len, orders)) for c in orders) == 1 and len(set(a)) == len(a):
+            assert got == want, (a, b)
+
+
+def test_full_licenses(spark):
+    """Each full text, changed a little and inside other prose, is found as itself and where it stands."""
+    rng = random.Random(16)
+    texts = full_texts()
+    assert len(texts) >= 10
+    rows = []
+    for name, text in texts.items():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        changed = [w for w in words if rng.random() > 0.03]
+        for k in range(0, len(changed), 40):
+            changed[k] = "holder"
+        rows.append((name, len(changed), " ".join(["prose"] * 50 + changed + ["the software and the license of"] * 30)))
+    both = " ".join([texts["MIT"], "and", texts["ISC"], "filler " * 20, texts["MIT"]])
+    half = " ".join(texts["GPL-3.0"].split()[:2500])
+    got = {r["doc_id"]: r for r in scan_licenses(table(spark, [(i, t, "en") for i, (_, _, t) in enumerate(rows)] + [(90, both, "en"), (91, half, "en")])).collect()}
+    for i, (name, n, _) in enumerate(rows):
+        r = got[i]
+        assert r["license"] == name and 0.9 < r["coverage"] < 1 and abs(r["first_word"] - 50) < 30 and abs(r["last_word"] - 50 - n) < 30, (name, r)
+    assert [h["license"] for h in got[90]["hits"]] == ["MIT", "ISC", "MIT"] and got[91]["license"] != "GPL-3.0"
 
 
 # ---- 6
 
 
-def test_backoff_matches_brute_force(spark, odd, empty):
+def brute_backoff(rows, order, backoff=0.4):
+    words = [WORD.findall(lower(t)) for _, t in rows]
+    grams = lambda x: Counter(tuple(x[i : i + n]) for n in range(1, order + 1) for i in range(len(x) - n + 1))
+    own = [grams(x) for x in words]
+    every, total = sum(own, Counter()), sum(map(len, words))
+    for (i, _), x, mine in zip(rows, words, own, strict=True):
+        c = lambda g: every[g] - mine[g]  # noqa: E731, B023
+        rest, back, logs = max(1, total - len(x)), 0, 0.0
+        for p in range(len(x)):
+            longest = min(p + 1, order)
+            for n in range(longest, 0, -1):
+                g = tuple(x[p - n + 1 : p + 1])
+                if c(g):
+                    logs += math.log10(c(g) / (c(g[:-1]) if n > 1 else rest)) + (longest - n) * math.log10(backoff)
+                    break
+            else:
+                logs += longest * math.log10(backoff) - math.log10(rest)
+            back += not c(tuple(x[p - longest + 1 : p + 1]))
+        yield i, len(x), back, logs / len(x) if x else None
+
+
+@pytest.mark.parametrize(("order", "block_words", "bucket_entries"), [(3, 40, 100), (1, 2_000_000, 4_000_000), (2, 10, 7), (4, 100, 4_000_000)])
+def test_backoff_matches_brute_force(spark, order, block_words, bucket_entries):
     rng = random.Random(9)
-    rows = [(i, " ".join(rng.choices("abcdefg", k=rng.randint(0, 15)))) for i in range(40)] + [(99, None)]
-    words = {i: (t or "").split() for i, t in rows}
-    c1 = Counter(w for x in words.values() for w in x)
-    c2 = Counter(p for x in words.values() for p in itertools.pairwise(x))
-    total = sum(c1.values())
-    got = {r["doc_id"]: r for r in backoff_scores(table(spark, [(i, t, "en") for i, t in rows])).collect()}
-    for i, x in words.items():
-        logs = [math.log10(c1[x[0]] / total)] if x else []
-        for v, w in itertools.pairwise(x):
-            logs.append(math.log10(c2[v, w] / c1[v] if c2[v, w] >= 2 else 0.4 * c1[w] / total))
-        assert got[i]["n_words"] == len(x) and got[i]["n_backoff"] == sum(c2[p] < 2 for p in itertools.pairwise(x))
-        assert got[i]["score"] is None if not x else abs(got[i]["score"] - sum(logs) / len(logs)) < 2e-6
-    assert backoff_scores(odd).count() == 10 and backoff_scores(empty).count() == 0
+    rows = [(i, " ".join(rng.choices("abcdefgh" if i % 9 else "ABxyz", k=rng.randint(0, 15)))) for i in range(60)] + [(99, None), (98, " \n"), (97, "only here, twice only here")]
+    rows += [rows[3], (3, "a b c d other text"), (None, "a b c"), (None, "c b a zz")]
+    got = Counter(tuple(r) for r in backoff_scores(table(spark, [(i, t, "en") for i, t in rows]), order=order, block_words=block_words, bucket_entries=bucket_entries).select("doc_id", "n_words", "n_backoff", F.round("score", 5)).collect())
+    want = Counter((i, n, back, s) for i, n, back, s in brute_backoff(rows, order))
+    assert sorted(map(repr, (k[:3] for k in got.elements()))) == sorted(map(repr, (k[:3] for k in want.elements())))
+    near = sorted((k for k in got.elements() if k[3] is not None), key=repr)
+    for a, b in zip(near, sorted((k for k in want.elements() if k[3] is not None), key=repr), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 2e-5
+
+
+def test_backoff_odd(spark, odd, empty):
+    got = backoff_scores(odd).collect()
+    assert len(got) == 10 and all((r["score"] is None) == (r["n_words"] == 0) for r in got) and backoff_scores(empty).count() == 0
 
 
 # ---- 7
@@ -364,6 +495,48 @@ def test_language_held_out(spark, odd, empty):
     assert ids == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in ids}
 
 
+def brute_cosine(text, prototypes, n, dimensions):
+    """One letter at a time: pad, bind rotated letter vectors, bundle, compare."""
+    low = [c.lower() if len(c.lower()) == 1 else c for c in text]
+    stretches = re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in low))
+    if not stretches:
+        return None
+    letters = [0] * (n // 2) + [x for s in stretches for x in [*map(ord, s), 0]] + [0] * (n // 2 - 1)
+    vector = lambda c: np.random.Generator(np.random.PCG64([8128, c])).integers(0, 2, dimensions, np.int8).astype(int) * 2 - 1
+    total = np.zeros(dimensions)
+    for i in range(len(letters) - n + 1):
+        bound = np.ones(dimensions)
+        for k in range(n):
+            bound *= np.roll(vector(letters[i + k]), n - 1 - k)
+        total += bound
+    return {x: total @ p / np.linalg.norm(total) / np.linalg.norm(p) for x, p in prototypes.items()}
+
+
+@pytest.mark.parametrize("n", [2, 3, 5])
+def test_language_vectors_match_brute_force(spark, monkeypatch, n):
+    monkeypatch.setattr(language_id, "_RUNS", 5)
+    monkeypatch.setattr(language_id, "_BLOCK", 2)
+    train = [("the cat and the dog", "en"), ("der hund und die katze, ja", "de"), ("été à l'école", "fr")]
+    learned = language_id.learn_prototypes(table(spark, [(i, t, x) for i, (t, x) in enumerate(train)]), n, 64)
+    texts = ["a", "ab", "The dog.", "und", "\u00e9", "12 !", "", "x" * 50 + " die", "4 der, hund", "\u6f22\u5b57 a"]
+    got = {r["doc_id"]: r for r in language_id.predict_language(table(spark, [(i, t, None) for i, t in enumerate(texts)]), learned, n, 64).collect()}
+    for i, t in enumerate(texts):
+        want = brute_cosine(t, learned, n, 64)
+        if want is None:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+        else:
+            assert abs(got[i]["score"] - max(0, max(want.values()))) < 1e-4 and want[got[i]["lang_pred"]] > max(want.values()) - 1e-4, t
+    for text, lang in train:
+        own = brute_cosine(text, {lang: learned[lang]}, n, 64)
+        assert own[lang] > 0.999
+
+
+def test_language_of_many_letters(spark):
+    many = "".join(chr(c) for c in range(0x4E00, 0x9FFF)) * 3
+    got = {r["doc_id"]: r for r in identify_languages(table(spark, [(0, many, "zh"), (1, many[:500], None), (3, "a", None), (4, "the cat", "en")])).collect()}
+    assert got[1]["lang_pred"] == "zh" and got[3]["lang_pred"] in ("zh", "en")
+
+
 # ---- 9
 
 
@@ -398,6 +571,22 @@ def test_pieces_of_text_encode_alike(spark):
     assert got == list(plain_tokens(list(enumerate(texts))))
 
 
+def test_pieces_with_equal_hashes(spark, monkeypatch):
+    """Bytes decide: with a hash that hardly tells pieces apart the ids are the same."""
+    texts = ["the cat sat, the dog", "a cat", "", "dog the", " the the"]
+    encoder = token_files.Encoder(TOKENIZER)
+    encoder.hashes = lambda data, starts, ends: (ends - starts).astype(np.uint64)
+    plain = Tokenizer.from_file(TOKENIZER)
+    for _ in range(2):
+        raw = [t.encode() for t in texts]
+        ids, edge = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(edge)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(token_files, "MEMORY", 3)  # a full memory begins anew
+    encoder = token_files.Encoder(TOKENIZER)
+    for t in texts:
+        assert encoder.encode(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0].tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 # ---- 10
 
 
@@ -422,6 +611,44 @@ def test_automaton_matches_brute_force():
     assert lexicon.match("stemming") == 1 and lexicon.match("ste") == 0
 
 
+def test_swaps_and_endings():
+    lexicon = toxicity._lexicon(["idiot", "stupid", "moron", "clown", "pathetic", "worthless", "scum", "disgusting"])
+    for w in ("idoit", "idi0t", "stpid", "stvpid", "mron", "mor0n", "clwon", "pahtetic", "wrthless", "sutpid", "ptahetic", "idiots", "moronic", "clowns", "disgustin"):
+        assert lexicon.match(w) == 2, w
+    assert lexicon.match("idiot") == 1 and lexicon.match("scum") == 1
+    for w in ("worth", "worthy", "pathology", "disguise", "path", "scvm", "scums", "idiotical", "clownfish", "moorns", "trash", "dioti"):
+        assert lexicon.match(w) == 0, w
+
+
+def brute_swaps(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return 9
+    return min(edits(a, b), 1 if any(a[:i] + a[i + 1] + a[i] + a[i + 2 :] == b for i in range(len(a) - 1)) else 9)
+
+
+def test_swapping_automaton_matches_brute_force():
+    rng = random.Random(18)
+    terms = ["".join(rng.choices("abc", k=rng.randint(3, 8))) for _ in range(12)]
+    lexicon = FuzzyLexicon(terms, swaps=True, endings=3)
+    for _ in range(4000):
+        w = "".join(rng.choices("abcd", k=rng.randint(1, 10)))
+        long = [t for t in terms if len(t) >= 5]
+        want = 1 if w in terms else 2 if any(brute_swaps(w, t) <= 1 or w.startswith(t) and len(w) <= len(t) + 3 for t in long) else 0
+        assert lexicon.match(w) == want, (w, terms)
+
+
+def test_learned_terms_are_the_insults(spark):
+    """On the given labels: the insults as whole words, and only such stems as many words share."""
+    d = "/root/testdata/sf0.1"
+    read = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
+    terms = toxicity.learn_lexicon(toxicity._sample(read("documents"), read("labels"), 30_000))
+    insults = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
+    assert set(insults) <= set(terms) and len(terms) < 30, terms
+    lexicon = toxicity._lexicon(terms)
+    assert not [w for w in ("worth", "worthy", "pathology", "disguise", "path", "idyll", "moroccan", "stupor", "clove", "transit") if lexicon.match(w)], terms
+    assert [lexicon.match(w) for w in ("idoit", "idi0t", "stpid", "stvpid", "mron", "mor0n", "clwon", "pahtetic", "wrthless")] == [2] * 9
+
+
 def test_quotation():
     text = 'he said "you idiot" to me. idiot!'
     first, second = (m.span() for m in re.finditer("idiot", text))
