@@ -1,6 +1,7 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
-Quality rules drop what they reject; language identification drops documents of no known language; the
+Quality rules drop what they reject; language identification drops documents without letters and those that are less
+alike to every learned language than its own documents are, by far (see ``language_bounds``); the
 n-gram Jaccard join keeps one document of each group (the smallest doc_id); decontamination drops documents
 that hold a benchmark window; packing lays out what is left.  All stages but the last return the columns of
 ``documents``.  Each stage judges its own input.
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm._spark import broadcast_if_small, durable
 from tallyforge.llm.decontaminate import decontaminate
 from tallyforge.llm.jaccard_join import jaccard_components
-from tallyforge.llm.language_id import UNKNOWN, identify_languages
+from tallyforge.llm.language_id import identify_languages, language_bounds
 from tallyforge.llm.packing import pack
 from tallyforge.llm.quality_rules import quality_scores
 
@@ -33,8 +34,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters; of the others none is rejected for being in a minority language."""
-    return _chosen(docs, identify_languages(docs).filter(F.col("lang_pred") != UNKNOWN))
+    """Drops documents without letters, or with a score below the bound of the language that they are most alike to."""
+    found = durable(identify_languages(docs), "pipeline-languages")
+    # one row a language; languages are bounded by the operator
+    return _chosen(docs, found.join(F.broadcast(language_bounds(found)), "lang_pred").filter("score >= bound"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
