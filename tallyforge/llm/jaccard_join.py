@@ -177,10 +177,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         chosen = chosen.dropDuplicates(["node"])
     reps = chosen.select("node", F.posexplode("prefix").alias("pos", "shingle"))
     shared = reps.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
-    groups = durable(reps.join(shared, "shingle"), "jaccard-groups")
-    lists = groups.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "shingle", "c"))).alias("g"))
-    facts = chosen.select("node", "n", *maps).join(broadcast_if_small(durable(groups.select("node").distinct(), "jaccard-reps")), "node", "left_semi")
-    cards = durable(facts.join(lists, "node"), "jaccard-cards")
+    lists = reps.join(shared, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "shingle", "c"))).alias("g"))
+    cards = durable(chosen.select("node", "n", *maps).join(lists, "node"), "jaccard-cards")
 
     # candidates inside random blocks
     # parity bits fold: the exclusive or of the map's quarters is the map of a quarter of the size
