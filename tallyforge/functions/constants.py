@@ -79,6 +79,7 @@ TOPIC_KEYWORDS = {
     "subsequent_events": ("posterior", "subsecuente", "dividendo", "emision", "directorio"),
     "other": ("increment", "disminu", "saldo", "importe", "resultado", "operacion"),
 }
+#: Words of material sentences, and verbs of narrative ones.
 MATERIAL_TERMS = ("increment", "disminu", "cumpl", "pendiente", "significativ", "restric", "riesgo", "vencimiento", "cancel", "pago", "emision", "aprobo", "acordo", "no ha hecho uso")
 NARRATIVE_VERBS = ("acordo", "aprobo", "asciende", "cancel", "considera", "corresponde", "efectuo", "emitio", "firmo", "mantiene", "reconocio", "registro", "suscribio", "tiene")
 
@@ -96,12 +97,12 @@ MINING_HINTS = ("miner", "mining", "extraccion de minerales", "metalif")
 FULL_ACTIVITY = ("07", "08")
 UNSUPPORTED_ACTIVITY = ("64", "65", "66")
 
+#: Event categories, topics and terms of priority, titles without meaning and exceptional texts, and job steps.
 EVENT_CATEGORIES = ("dividends", "management", "meetings", "debt", "operations", "litigation", "production", "other")
 PRIORITY_TOPICS = ("debt", "contingencies", "related_parties", "impairment", "provisions_closure", "subsequent_events", "estimates")
 RISK_TERMS = ("deuda", "préstamo", "contingenc", "litig", "vinculad", "relacionad", "deterior", "provisi", "compromis", "posterior", "liquidez", "vencimiento", "garantia", "covenant", "incumplimiento", "tributari", "impuesto", "inventario", "cobrar", "segmento")
 GENERIC_TITLES = ("informacion general", "actividad economica", "identificacion", "bases de preparacion", "politicas contables", "constitucion")
 EXCEPTIONAL_TEXT = ("empresa en marcha", "incumplimiento", "reexpresion", "salvedad", "cambio de politica", "cambios en las politicas", "incertidumbre material")
-NAVIGATION_ACTIONS = ("company.view", "period.change", "source.open", "comparison.view", "search.view")
 JOB_STEPS = ("statements", "metrics", "documents", "summaries")
 
 #: Patterns of sentences, advice, unit headers, numbers and covers.
@@ -114,4 +115,5 @@ MONEY_OR_PERCENT = r"US\$|S/|%|\b[0-9]{1,3}(?:[.,][0-9]{3})+"
 DOLLARS, SOLES = r"us\s*\$|dolares", r"s/|soles"
 SCALE_WORDS = (("thousands", r"\(\s*0{3}\s*\)|\bmiles\b"), ("millions", r"\bmillones\b"), ("units", r"\bunidades\b|expresad[oa]s? en (?:soles|dolares)"))
 COVER_PERIOD = r"(estados financieros.{0,100}?31 de diciembre de 20[0-9]{2})"
+LABEL_ALIAS = ("propiedades", "propiedad")
 LABEL_STOP_WORDS = ("de", "del", "y", "la", "el", "los", "las", "neto", "netos")

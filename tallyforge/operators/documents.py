@@ -158,7 +158,7 @@ def evidence_lines(facts: DataFrame, lines: DataFrame) -> DataFrame:
     A line proves a fact if it has all words of the label and its last two numbers are the amounts.  The pair
     is joined on document and last number, so only plausible lines meet.
     """
-    words = lambda c: F.array_except(F.transform(F.regexp_extract_all(fold(c), F.lit("[a-z]+"), F.lit(0)), lambda x: F.when(x == "propiedades", "propiedad").otherwise(x)), F.lit(list(K.LABEL_STOP_WORDS)))
+    words = lambda c: F.array_except(F.transform(F.regexp_extract_all(fold(c), F.lit("[a-z]+"), F.lit(0)), lambda x: F.when(x == K.LABEL_ALIAS[0], K.LABEL_ALIAS[1]).otherwise(x)), F.lit(list(K.LABEL_STOP_WORDS)))
     f = facts.filter("current <> 0 and comparative is not null").select("doc_id", "account_code", words("label").alias("lw"), F.col("current").cast("decimal(30,6)").alias("a"), F.col("comparative").cast("decimal(30,6)").alias("b")).filter(F.size("lw") > 0)
     x = lines.select("doc_id", "line_no", "line", words("line").alias("w"), number_tokens("line").alias("v")).filter(F.size("v") >= 2)
     x = x.select("doc_id", "line_no", "line", "w", F.element_at("v", -2).alias("a"), F.element_at("v", -1).alias("b"))
@@ -176,26 +176,37 @@ def sentences(fragments: DataFrame) -> DataFrame:
     return fragments.select(*[c for c in fragments.columns if c != "text"], F.posexplode(F.filter(F.transform(split, strip), lambda x: x != "")).alias("ord", "sentence"))
 
 
-def is_narrative(c: Column | str, verbs=K.NARRATIVE_VERBS) -> Column:
-    """OP-86: is a sentence prose that may serve as evidence."""
-    c = F.col(c) if isinstance(c, str) else c
+def narrative(rows: DataFrame, verbs=K.NARRATIVE_VERBS) -> DataFrame:
+    """OP-86: the rows whose sentence is prose that may serve as evidence, with ``plain``, its lower-cased text without accents.
+
+    What counts characters comes first; the folded text is made once, of what is left (an explode binds it, so that no later
+    test folds it again).
+    """
+    c = F.col("sentence")
     n = F.length(c)
-    count = lambda p: n - F.length(F.regexp_replace(c, p, ""))
+    letters = F.length(F.regexp_replace(c, r"\P{L}+", ""))  # one match a run of other characters, not one a letter
+    digits = n - F.length(F.regexp_replace(c, r"\p{Nd}+", ""))
     numbers = F.size(F.regexp_extract_all(c, F.lit(r"\b[0-9][0-9.,]*"), F.lit(0)))
-    text = F.lower(unaccent(c))
-    return (
-        n.between(70, 560) & (count("_") <= 3) & (numbers <= 10) & (count(r"\p{L}") / n >= 0.48) & (count(r"\p{Nd}") / n <= 0.18)
-        & (F.size(F.split(c, r"\s+", -1)) >= 11) & ((numbers < 4) | contains_any(text, verbs))
-        & ~text.rlike(K.INVESTMENT_ADVICE)
-        & ~(text.startswith(K.BOILERPLATE_BEGINNINGS[0]) | text.startswith(K.BOILERPLATE_BEGINNINGS[1]))
-    )
+    prose = n.between(70, 560) & (letters / n >= 0.48) & (digits / n <= 0.18) & (numbers <= 10) & (n - F.length(F.replace(c, F.lit("_"), F.lit(""))) <= 3) & (F.size(F.split(c, r"\s+", -1)) >= 11)
+    folded = F.lower(F.when(c.rlike(r"[^\x00-\x7F]"), unaccent(c)).otherwise(c))
+    kept = rows.filter(prose).select("*", F.explode(F.array(F.struct(folded.alias("plain"), numbers.alias("numbers")))).alias("_x"))
+    text = F.col("_x.plain")
+    said = ((F.col("_x.numbers") < 4) | contains_any(text, verbs)) & ~text.rlike(K.INVESTMENT_ADVICE) & ~(text.startswith(K.BOILERPLATE_BEGINNINGS[0]) | text.startswith(K.BOILERPLATE_BEGINNINGS[1]))
+    return kept.filter(said).withColumn("plain", text).drop("_x")
+
+
+def topic_terms(text: Column, topic: Column, keywords: dict[str, tuple[str, ...]] = K.TOPIC_KEYWORDS) -> Column:
+    """OP-87: how many keywords of its topic a folded text has."""
+    out = F.lit(0)
+    for name, terms in keywords.items():
+        out = F.when(topic == name, count_terms(text, terms)).otherwise(out)
+    return out
 
 
-def sentence_score(c: Column, fiscal_year: Column, keywords: tuple[str, ...], material=K.MATERIAL_TERMS) -> Column:
-    """OP-87: how much a sentence says about a topic."""
-    text = F.lower(unaccent(c))
+def sentence_score(c: Column, text: Column, fiscal_year: Column, found: Column, material=K.MATERIAL_TERMS) -> Column:
+    """OP-87: how much a sentence c (folded: text) says about its topic; found: how many of the topic's keywords it has."""
     return (
-        F.lit(1.0) + F.least(count_terms(text, keywords), F.lit(3)) * 1.6
+        F.lit(1.0) + F.least(found, F.lit(3)) * 1.6
         + F.when(c.rlike(K.MONEY_OR_PERCENT), 1.8).otherwise(0.0)
         + F.when(c.contains(fiscal_year.cast("string")), 0.8).otherwise(0.0)
         + F.least(count_terms(text, material), F.lit(2)) * 1.0
@@ -207,31 +218,42 @@ def sentence_score(c: Column, fiscal_year: Column, keywords: tuple[str, ...], ma
 def select_evidence(scored: DataFrame, keys: list[str], items: int = 3, per_fragment: int = 2, similar: float = 0.62) -> DataFrame:
     """OP-79: the best sentences of each group that are not too similar to better ones already taken.
 
-    scored: keys, fragment, page, ord, sentence, score.  Each round takes the first survivor of every group, and
-    survivors that it rules out leave; as the order is total this is the one-by-one choice.
+    scored: keys, fragment, page, ord, sentence, score.  A group is one document's sentences; they are sorted once and one
+    fold takes them.  Words are bound before the fold, so it only compares.
     """
-    order = [F.desc("score"), F.col("page"), F.col("ord"), F.col("fragment")]
     words = F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit("[a-záéíóúñ]{4,}"), F.lit(0)))
-    rows = scored.withColumn("words", words).withColumn("taken", F.lit(0)).withColumn("used", F.lit(0))
-    group = Window.partitionBy(*keys)
-    for k in range(1, items + 1):
-        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys, F.col("taken") > 0).orderBy(*order)))
-        head = F.first(F.when((F.col("taken") == 0) & (F.col("n") == 1), F.struct("fragment", "words", "page", "ord")), ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        rows = rows.withColumn("head", head)
-        is_head = (F.col("taken") == 0) & (F.col("n") == 1)
-        union = F.size(F.array_union("words", "head.words"))
-        near = (union > 0) & (F.size(F.array_intersect("words", "head.words")) >= similar * union)
-        used = F.col("used") + F.coalesce((F.col("fragment") == F.col("head.fragment")).cast("int"), F.lit(0))
-        rows = rows.withColumn("used", used).withColumn("taken", F.when(is_head, k).otherwise(F.col("taken")))
-        rows = rows.filter((F.col("taken") > 0) | F.col("head").isNull() | (~near & (F.col("used") < per_fragment))).drop("n", "head")
-    return rows.filter("taken > 0").select(*keys, F.col("taken").alias("rank"), "fragment", "page", "ord", "sentence", "score")
-
-
-def summary_confidence(chosen: DataFrame, keys: list[str]) -> DataFrame:
-    """OP-60: status and confidence of each group by its facts and pages."""
+    row = F.struct((-F.col("score")).alias("s"), "page", "ord", "fragment", "sentence", "score", words.alias("words"))
+    groups = scored.select(*keys, row.alias("x")).groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("rows"))
+
+    def near(x: Column, t: Column) -> Column:
+        common = F.size(F.array_intersect(x["words"], t["words"]))
+        union = F.size(x["words"]) + F.size(t["words"]) - common
+        return (union > 0) & (common >= similar * union)
+
+    def step(taken: Column, x: Column) -> Column:
+        fits = (F.size(taken) < items) & (F.size(F.filter(taken, lambda t: t["fragment"] == x["fragment"])) < per_fragment) & ~F.exists(taken, lambda t: near(x, t))
+        return F.when(fits, F.concat(taken, F.array(x))).otherwise(taken)
+
+    taken = groups.select(*keys, F.aggregate("rows", F.slice("rows", 1, 0), step).alias("taken"))
+    found = taken.select(*keys, F.posexplode("taken").alias("rank", "x"))
+    return found.select(*keys, (F.col("rank") + 1).alias("rank"), "x.fragment", "x.page", "x.ord", "x.sentence", "x.score")
+
+
+def summary_confidence(chosen: DataFrame, keys: list[str], groups: DataFrame | None = None, mark: str = "US$(000)") -> DataFrame:
+    """OP-60: status, confidence and missing data of each group by its facts and pages.
+
+    groups: keys and text of all groups; those without a chosen sentence abstain, and those with ``mark`` in their text have
+    tables that were not rebuilt.
+    """
     counted = chosen.groupBy(*keys).agg(F.count("*").alias("facts"), F.countDistinct("page").alias("pages"))
+    if groups is not None:
+        every = groups.groupBy(*keys).agg(F.coalesce(F.bool_or(F.contains("text", F.lit(mark))), F.lit(False)).alias("tables"))
+        counted = every.join(counted, keys, "left").withColumns({"facts": F.coalesce("facts", F.lit(0)), "pages": F.coalesce("pages", F.lit(0))})
+    else:
+        counted = counted.withColumn("tables", F.lit(False))
+    status = F.when(F.col("facts") >= 2, "generated").when(F.col("facts") == 1, "partial").otherwise("insufficient_evidence")
     confidence = F.when((F.col("facts") >= 3) & (F.col("pages") >= 2), "high").when(F.col("facts") >= 2, "medium").otherwise("low")
-    return counted.withColumn("confidence", confidence).withColumn("limited", F.col("facts") < 2)
+    return counted.withColumn("status", status).withColumn("confidence", confidence).withColumn("limited", F.col("facts") < 2)
 
 
 def priority_fragments(notes: DataFrame, current: int, per_year: tuple[int, int] = (20, 12), each: int = 2500, total: int = 75_000, terms=K.RISK_TERMS) -> DataFrame:
@@ -249,6 +271,23 @@ def priority_fragments(notes: DataFrame, current: int, per_year: tuple[int, int]
     return kept.withColumn("content", F.left("text", F.least(F.lit(each), F.floor(F.lit(total) / n)).cast("int"))).drop("text")
 
 
+def report_status(checked: DataFrame, keys: list[str]) -> DataFrame:
+    """OP-42: findings accepted and rejected, and the status, of each report (keys, finding, accepted, one row a citation).
+
+    A finding stands if all its citations do; a report with a rejected finding is partial, one without any finding has
+    insufficient evidence.
+    """
+    findings = checked.groupBy(*keys, "finding").agg(F.bool_and("accepted").alias("ok"))
+    n = findings.groupBy(*keys).agg(F.count_if(F.col("ok")).alias("accepted"), F.count_if(~F.col("ok")).alias("rejected"))
+    return n.withColumn("status", F.when(F.col("rejected") > 0, "partial").when(F.col("accepted") > 0, "generated").otherwise("insufficient_evidence"))
+
+
+def strip_repeated(lines: DataFrame, least: int = 3) -> DataFrame:
+    """OP-74: lines (doc_id, page, line, ...) without those that stand on at least ``least`` pages of their document."""
+    known = repeated_lines(lines, least).select("doc_id", F.col("line").alias("_line"))
+    return lines.withColumn("_line", F.trim("line")).join(known, ["doc_id", "_line"], "left_anti").drop("_line")
+
+
 def check_citations(citations: DataFrame, fragments: DataFrame) -> DataFrame:
     """OP-42: cited quotes (citation_id, fragment_id, quote) that stand, white space collapsed, in their fragment."""
     joined = citations.join(fragments.select("fragment_id", "text"), "fragment_id", "left")

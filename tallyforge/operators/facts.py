@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.constants import CONCEPTS
@@ -42,17 +42,15 @@ def normalise_facts(rows: DataFrame) -> DataFrame:
 
 
 def pivot_concepts(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """OP-46: one struct column a concept for each company and year; and the keys with a concept twice, which are left out."""
-    held = facts.filter(F.col("concept").isNotNull())
-    # one pass and one shuffle: a struct and a count for each concept
-    columns = []
-    for c in ALL_CONCEPTS:
-        mine = F.col("concept") == c
-        columns.append(F.first(F.when(mine, F.struct("current", "comparative", "currency_code", "scale")), ignorenulls=True).alias(c))
-        columns.append(F.count_if(mine).alias(f"n_{c}"))
-    wide = held.groupBy(*KEY).agg(*columns)
-    most = F.greatest(*(F.col(f"n_{c}") for c in ALL_CONCEPTS))
-    return wide.filter(most <= 1).select(*KEY, *ALL_CONCEPTS), wide.filter(most > 1).select(*KEY)
+    """OP-46: one struct column a concept for each company and year; and the keys with a concept twice, which are left out.
+
+    One aggregation gathers a key's facts, as many as its chart of accounts has, in a map; columns are look-ups in it.
+    """
+    entry = F.struct("concept", F.struct("current", "comparative", "currency_code", "scale").alias("fact"))
+    held = facts.filter(F.col("concept").isNotNull()).groupBy(*KEY).agg(F.collect_list(entry).alias("entries"))
+    single = F.size(F.array_distinct(F.transform("entries", lambda x: x["concept"]))) == F.size("entries")
+    maps = held.filter(single).select(*KEY, F.map_from_entries("entries").alias("m"))
+    return maps.select(*KEY, *(F.try_element_at("m", F.lit(c)).alias(c) for c in ALL_CONCEPTS)), held.filter(~single).select(*KEY)
 
 
 def _reason(chain: list[tuple[Column, str]]) -> Column:
@@ -82,21 +80,21 @@ def _divide(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast(AMOUNT), b.cast(AMOUNT))
 
 
-def _metric(code: str, kind: str, value: Column, chain: list[tuple[Column, str]], inputs: list[str]) -> Column:
-    reason = _reason(chain)
-    done = reason.isNull()
-    unit = F.col(inputs[0])
-    monetary = F.lit(kind == "monetary")
-    return F.struct(
-        F.lit(code).alias("metric_code"),
-        F.lit(kind).alias("kind"),
-        F.when(done, "computed").otherwise("not_available").alias("status"),
-        F.when(done, F.bround(value, 12).cast("decimal(38,12)")).alias("value"),
-        F.when(done & monetary, unit["currency_code"]).alias("currency_code"),
-        F.when(done & monetary & (unit["scale"] != "unknown"), unit["scale"]).alias("value_scale"),
-        reason.alias("reason"),
-        F.map_filter(F.map_from_arrays(F.array(*map(F.lit, inputs)), F.array(*(F.col(i) for i in inputs))), lambda k, v: v.isNotNull()).alias("inputs"),
-    )
+def _metric(code: str, kind: str, value: Column, chain: list[tuple[Column, str]], inputs: list[str], before: str, with_inputs: bool) -> Column:
+    unit = F.col(before + inputs[0])
+    parts = [F.lit(code).alias("metric_code"), F.lit(kind).alias("kind"), F.bround(value, 12).cast("decimal(38,12)").alias("value"), unit["currency_code"].alias("currency_code"), unit["scale"].alias("scale"), _reason(chain).alias("reason")]
+    if with_inputs:
+        parts.append(F.map_filter(F.map_from_arrays(F.array(*map(F.lit, inputs)), F.array(*(F.col(before + i) for i in inputs))), lambda k, v: v.isNotNull()).alias("inputs"))
+    return F.struct(*parts)
+
+
+def _settled(m: str) -> list[Column]:
+    """The columns of a metric struct ``m``: what is not available has a reason and nothing else."""
+    done, monetary = F.col(f"{m}.reason").isNull(), F.col(f"{m}.kind") == "monetary"
+    return [
+        F.col(f"{m}.metric_code"), F.col(f"{m}.kind"), F.when(done, "computed").otherwise("not_available").alias("status"), F.when(done, F.col(f"{m}.value")).alias("value"),
+        F.when(done & monetary, F.col(f"{m}.currency_code")).alias("currency_code"), F.when(done & monetary & (F.col(f"{m}.scale") != "unknown"), F.col(f"{m}.scale")).alias("value_scale"), F.col(f"{m}.reason"),
+    ]
 
 
 RATIOS = (
@@ -118,45 +116,67 @@ SUMS = (
 RETURNS = (("return_on_assets", "total_assets"), ("return_on_equity", "total_equity"))
 
 
-def metrics(wide: DataFrame) -> DataFrame:
-    """OP-47: the fifteen metrics of each company and year, with status, reason and inputs."""
-    cur = lambda n: F.col(f"{n}.current")
-    prior = F.col("revenue.comparative")
-    found = [_metric("revenue_growth", "percentage", _divide(cur("revenue"), prior) - 1, [(cur("revenue").isNull() | prior.isNull(), "missing concepts"), (prior == 0, "comparative is zero")], ["revenue"])]
+#: Metrics that need an earlier year's comparative amounts.
+TWO_YEARS = ("revenue_growth", *(code for code, _ in RETURNS))
+
+
+def _metrics(before: str, with_inputs: bool) -> list[Column]:
+    """The fifteen metrics as structs over the concept columns whose names begin with ``before``."""
+    cur = lambda n: F.col(f"{before}{n}.current")
+    prefixed = lambda names: [before + n for n in names]
+    add = lambda *args: found.append(_metric(*args, before, with_inputs))
+    found: list[Column] = []
+    prior = F.col(f"{before}revenue.comparative")
+    add("revenue_growth", "percentage", _divide(cur("revenue"), prior) - 1, [(cur("revenue").isNull() | prior.isNull(), "missing concepts"), (prior == 0, "comparative is zero")], ["revenue"])
     for code, kind, over, under in RATIOS:
         names = [*over, under]
         top = sum((cur(n) for n in over[1:]), cur(over[0]))
-        found.append(_metric(code, kind, _divide(top, cur(under)), [(_missing(names, "current"), "missing concepts"), (cur(under) <= 0, "zero or negative denominator"), (_units_differ(names), "incompatible units")], names))
+        add(code, kind, _divide(top, cur(under)), [(_missing(prefixed(names), "current"), "missing concepts"), (cur(under) <= 0, "zero or negative denominator"), (_units_differ(prefixed(names)), "incompatible units")], names)
     for code, terms in SUMS:
         names = [n for n, _ in terms]
         value = sum((cur(n) * s for n, s in terms[1:]), cur(names[0]) * terms[0][1])
-        found.append(_metric(code, "monetary", value, [(_missing(names, "current"), "missing concepts"), (_units_differ(names), "incompatible units")], names))
+        add(code, "monetary", value, [(_missing(prefixed(names), "current"), "missing concepts"), (_units_differ(prefixed(names)), "incompatible units")], names)
     for code, under in RETURNS:
         names = ["net_profit", under]
-        mean = (cur(under) + F.col(f"{under}.comparative")) / 2
-        chain = [(_missing(names, "current"), "missing concepts"), (F.col(f"{under}.comparative").isNull(), "missing average"), (mean <= 0, "zero or negative denominator"), (_units_differ(names), "incompatible units")]
-        found.append(_metric(code, "percentage", _divide(cur("net_profit"), mean), chain, names))
-    return wide.select(*KEY, F.explode(F.array(*found)).alias("m")).select(*KEY, "m.*")
+        mean = (cur(under) + F.col(f"{before}{under}.comparative")) / 2
+        chain = [(_missing(prefixed(names), "current"), "missing concepts"), (F.col(f"{before}{under}.comparative").isNull(), "missing average"), (mean <= 0, "zero or negative denominator"), (_units_differ(prefixed(names)), "incompatible units")]
+        add(code, "percentage", _divide(cur("net_profit"), mean), chain, names)
+    return found
 
 
-def comparative_metrics(wide: DataFrame) -> DataFrame:
+def _shifted(wide: DataFrame, before: str) -> DataFrame:
+    """``wide`` with columns that have comparative amounts as current ones."""
+    columns = {}
+    for c in ALL_CONCEPTS:
+        earlier = F.struct(F.col(f"{c}.comparative").alias("current"), F.lit(None).cast(AMOUNT).alias("comparative"), F.col(f"{c}.currency_code"), F.col(f"{c}.scale"))
+        columns[before + c] = F.when(F.col(f"{c}.comparative").isNotNull(), earlier)
+    return wide.withColumns(columns)
+
+
+def metrics(wide: DataFrame, with_inputs: bool = True) -> DataFrame:
+    """OP-47: the fifteen metrics of each company and year, with status, reason and (if asked for) inputs."""
+    rows = wide.select(*KEY, F.explode(F.array(*_metrics("", with_inputs))).alias("m"))
+    return rows.select(*KEY, *_settled("m"), *(["m.inputs"] if with_inputs else []))
+
+
+def comparative_metrics(wide: DataFrame, with_inputs: bool = True) -> DataFrame:
     """OP-48: the metrics with comparative amounts as current; what needs two years is not available."""
-    shifted = wide.select(*KEY, *(F.when(F.col(f"{c}.comparative").isNotNull(), F.struct(F.col(f"{c}.comparative").alias("current"), F.lit(None).cast(AMOUNT).alias("comparative"), F.col(f"{c}.currency_code"), F.col(f"{c}.scale"))).alias(c) for c in ALL_CONCEPTS))
-    found = metrics(shifted)
-    two_years = F.col("metric_code").isin("revenue_growth", "return_on_assets", "return_on_equity")
+    found = metrics(_shifted(wide, "").select(*wide.columns), with_inputs)
     none = {"status": F.lit("not_available"), "value": F.lit(None), "currency_code": F.lit(None), "value_scale": F.lit(None), "reason": F.lit("needs an earlier year")}
-    return found.withColumns({k: F.when(two_years, v).otherwise(F.col(k)) for k, v in none.items()})
+    return found.withColumns({k: F.when(F.col("metric_code").isin(*TWO_YEARS), v).otherwise(F.col(k)) for k, v in none.items()})
 
 
-def annual_change(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """OP-49: difference and variation of each metric against ``previous`` (same key)."""
-    c, p = current.alias("c"), previous.alias("p")
-    both = c.join(p, [*KEY, "metric_code"])
-    ok = (F.col("c.status") == "computed") & (F.col("p.status") == "computed") & F.col("c.currency_code").eqNullSafe(F.col("p.currency_code")) & F.col("c.value_scale").eqNullSafe(F.col("p.value_scale"))
-    difference = F.when(ok, F.col("c.value") - F.col("p.value"))
-    points = F.col("c.kind") == "percentage"
-    variation = F.when(ok & (F.col("p.value") > 0) & ~points, F.try_divide(difference.cast(AMOUNT), F.col("p.value").cast(AMOUNT)))
-    return both.select(*KEY, "metric_code", difference.alias("difference"), variation.alias("variation"), F.when(points, "pp").otherwise("relative").alias("unit"))
+def annual_change(wide: DataFrame) -> DataFrame:
+    """OP-49: difference and variation of each metric against the comparative amounts, both made in one pass over ``wide``."""
+    both = [F.struct(c.alias("c"), p.alias("p")) for c, p in zip(_metrics("", False), _metrics("earlier_", False), strict=True)]
+    rows = _shifted(wide, "earlier_").select(*KEY, F.explode(F.array(*both)).alias("m")).select(*KEY, "m.c", "m.p")
+    names = ("metric_code", "kind", "status", "value", "currency_code", "value_scale", "reason")
+    rows = rows.select(*KEY, *(x.alias(f"c_{n}") for x, n in zip(_settled("c"), names, strict=True)), *(x.alias(f"p_{n}") for x, n in zip(_settled("p"), names, strict=True)))
+    ok = (F.col("c_status") == "computed") & (F.col("p_status") == "computed") & ~F.col("c_metric_code").isin(*TWO_YEARS) & F.col("c_currency_code").eqNullSafe(F.col("p_currency_code")) & F.col("c_value_scale").eqNullSafe(F.col("p_value_scale"))
+    difference = F.when(ok, F.col("c_value") - F.col("p_value"))
+    points = F.col("c_kind") == "percentage"
+    variation = F.when(ok & (F.col("p_value") > 0) & ~points, F.try_divide(difference.cast(AMOUNT), F.col("p_value").cast(AMOUNT)))
+    return rows.select(*KEY, F.col("c_metric_code").alias("metric_code"), difference.alias("difference"), variation.alias("variation"), F.when(points, "pp").otherwise("relative").alias("unit"))
 
 
 def statement_change(facts: DataFrame) -> DataFrame:
@@ -214,7 +234,20 @@ def compare_companies(found: DataFrame, a: int, b: int, year: int) -> DataFrame:
     return both.withColumn("comparable", (F.col("status_a") == "computed") & (F.col("status_b") == "computed") & same)
 
 
-def latest_known(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in an order (OP-33, OP-67, OP-53)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+def apply_scale(facts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """OP-52: facts with an unknown scale get the one that verified evidence names, if nothing has changed since.
+
+    evidence: company_id, fiscal_year, found (scale), digest (of the facts as they were, see ``facts_digest``).  Only
+    monetary facts are rewritten; figures per share keep their units.
+    """
+    now = facts_digest(facts)
+    fits = evidence.join(now, list(KEY)).filter(F.col("digest") == F.col("now")).select(*KEY, "found")
+    rewritten = F.when((F.col("value_kind") == "monetary") & (F.col("scale") == "unknown") & F.col("found").isNotNull(), F.col("found")).otherwise(F.col("scale"))
+    return facts.join(fits, list(KEY), "left").withColumn("scale", rewritten).drop("found")
+
+
+def facts_digest(facts: DataFrame) -> DataFrame:
+    """company_id, fiscal_year and ``now``: a digest of all accounts and amounts, in account order."""
+    one = F.concat_ws("|", "statement", "account_code", F.col("current").cast("string"), F.coalesce(F.col("comparative").cast("string"), F.lit("-")))
+    return facts.groupBy(*KEY).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), ";"), 256).alias("now"))

@@ -107,17 +107,27 @@ def match_notes(current: DataFrame, previous: DataFrame) -> DataFrame:
     only_c = current.select(*GROUP, F.col("note_number").alias("current_number")).join(pairs, [*GROUP, "current_number"], "left_anti")
     only_p = previous.select(*GROUP, F.col("note_number").alias("previous_number")).join(pairs, [*GROUP, "previous_number"], "left_anti")
     out = pairs.withColumn("status", F.lit("matched")).unionByName(only_c.withColumn("status", F.lit("current_only")), allowMissingColumns=True).unionByName(only_p.withColumn("status", F.lit("previous_only")), allowMissingColumns=True)
-    band = F.when(F.col("status") != "matched", None).when((F.col("method") == "normalized_title") | (F.col("score") >= 0.82), "high").when(F.col("score") >= 0.62, "medium").otherwise("low")
+    band = F.when(F.col("status") != "matched", "low").when((F.col("method") == "normalized_title") | (F.col("score") >= 0.82), "high").when(F.col("score") >= 0.62, "medium").otherwise("low")
     return out.withColumn("confidence", band)
 
 
-def coverage_rollup(pairs: DataFrame) -> DataFrame:
-    """OP-59: counts and confidence of each comparison (pairs: company, scope, status, confidence)."""
-    n = pairs.groupBy(*GROUP).agg(F.count_if(F.col("status") == "matched").alias("matched"), F.count_if(F.col("status") == "current_only").alias("current_only"), F.count_if(F.col("status") == "previous_only").alias("previous_only"), F.count_if(F.col("confidence") == "high").alias("high"))
-    share = F.col("matched") / F.nullif(F.col("matched") + F.greatest("current_only", "previous_only"), F.lit(0))
-    sure = F.col("high") / F.nullif(F.col("matched"), F.lit(0))
-    level = F.when((share >= 0.90) & (sure >= 0.75), "high").when((share >= 0.65) & (sure >= 0.50), "medium").when(F.col("matched") > 0, "low").otherwise("insufficient")
-    return n.withColumn("confidence", level)
+def coverage_rollup(pairs: DataFrame, notes: DataFrame) -> DataFrame:
+    """OP-59: counts, status and confidence of each comparison.
+
+    pairs: company, scope, current_number, previous_number, status; notes: company, scope, fiscal_year, note_number,
+    observed (facts seen in it).  Coverage is the share of the current notes that are matched; evidence, the share of the
+    matched ones with observed facts on both sides.
+    """
+    seen = lambda p: notes.select(*GROUP, F.col("note_number").alias(f"{p}_number"), F.col("fiscal_year").alias(f"{p}_year"), (F.col("observed") > 0).alias(f"{p}_seen"))
+    matched = pairs.filter("status = 'matched'").select(*GROUP, "current_number", "previous_number")
+    sure = matched.join(seen("current").filter("current_year = 2025"), [*GROUP, "current_number"]).join(seen("previous").filter("previous_year = 2024"), [*GROUP, "previous_number"]).filter("current_seen and previous_seen").groupBy(*GROUP).agg(F.count("*").alias("with_evidence"))
+    n = pairs.groupBy(*GROUP).agg(F.count_if(F.col("status") == "matched").alias("matched"), F.count_if(F.col("status") == "current_only").alias("current_only"), F.count_if(F.col("status") == "previous_only").alias("previous_only"))
+    n = n.join(sure, GROUP, "left").withColumn("with_evidence", F.coalesce("with_evidence", F.lit(0)))
+    coverage = F.coalesce(F.col("matched") / F.nullif(F.col("matched") + F.col("current_only"), F.lit(0)), F.lit(0.0))
+    evidence = F.coalesce(F.col("with_evidence") / F.nullif(F.col("matched"), F.lit(0)), F.lit(0.0))
+    high, medium, some = (coverage >= 0.9) & (evidence >= 0.75), (coverage >= 0.65) & (evidence >= 0.5), F.col("matched") > 0
+    status = F.when(high, "generated").when(medium | some, "partial").otherwise("insufficient_evidence")
+    return n.withColumn("status", status).withColumn("confidence", F.when(high, "high").when(medium, "medium").otherwise("low"))
 
 
 def comparison_view(pairs: DataFrame, current: DataFrame, previous: DataFrame, topic: str | None = None, priority_only: bool = False) -> DataFrame:

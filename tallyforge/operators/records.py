@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.constants import EVENT_CATEGORIES
 from tallyforge.functions.text import digest
 
 
@@ -16,11 +17,68 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def payload_rows(payloads: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
-    """OP-01: (rows, rejects) of payloads (id, payload) that hold a JSON list or object; what does not parse is rejected."""
-    wrapped = F.when(F.trim("payload").startswith("["), F.col("payload")).otherwise(F.concat(F.lit("["), F.col("payload"), F.lit("]")))
-    parsed = payloads.select("id", "payload", F.from_json(wrapped, f"array<struct<{schema}>>", {"mode": "PERMISSIVE"}).alias("rows"))
+    """OP-01: (rows, rejects) of payloads (id, payload) that hold a JSON list; what does not parse, or is no list, is rejected."""
+    parsed = payloads.select("id", "payload", F.when(F.trim("payload").startswith("["), F.from_json("payload", f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})).alias("rows"))
     bad = F.col("rows").isNull() | F.exists("rows", lambda r: r.isNull())
-    return parsed.filter(~bad).select("id", F.inline("rows")), parsed.filter(bad).select("id", "payload")
+    return parsed.filter(~bad).select("id", F.inline("rows")), parsed.filter(F.coalesce(bad, F.lit(True))).select("id", "payload")
+
+
+def unwrap_envelope(envelopes: DataFrame, operation: str) -> DataFrame:
+    """OP-01: id and payload, the text of the element ``<operation>Result`` (any prefix) of XML envelopes (id, envelope); null where there is none."""
+    inner = F.regexp_extract("envelope", rf"(?s)<(?:[A-Za-z_][\w.-]*:)?{operation}Result(?:\s[^>]*)?>(.*?)</(?:[A-Za-z_][\w.-]*:)?{operation}Result\s*>", 1)
+    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        inner = F.replace(inner, F.lit(entity), F.lit(plain))
+    return envelopes.select("id", F.nullif(F.trim(inner), F.lit("")).alias("payload"))
+
+
+def failing(checks: dict[str, Column]) -> Column:
+    """Names of the checks that hold, joined by commas; a null check does not hold."""
+    return F.concat_ws(",", *(F.when(F.coalesce(c, F.lit(False)), n) for n, c in checks.items()))
+
+
+#: Fields of a source entry, as JSON.
+SOURCE = "source_key string, company_id string, fiscal_year int, period_code string, scope string, language_code string, document_name string, source_url string, identity_tokens array<string>"
+
+
+def source_entries(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """OP-09: (entries with errors, rejects) of JSON lists of sources (id, payload); an empty list is rejected.
+
+    errors names what is wrong with an entry: a blank text field, a url that is not https with a host, a year before 2000, an
+    unknown period or scope, fewer than two identity tokens or a blank one, or a key that is not unique.
+    """
+    rows, bad = payload_rows(lists, SOURCE)
+    none = lists.join(rows.select("id").unionByName(bad.select("id")).distinct(), "id", "left_anti").select("id", "payload")
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    rows = rows.withColumns({"period_code": F.coalesce("period_code", F.lit("A")), "language_code": F.coalesce("language_code", F.lit("es"))})
+    checks = {
+        "source_url": F.coalesce(~F.trim("source_url").rlike("^https://[^/?#]+"), F.lit(True)), "fiscal_year": F.coalesce(F.col("fiscal_year") < 2000, F.lit(True)),
+        "period_code": ~F.trim("period_code").isin("A", "1", "2", "3", "4"), "scope": F.coalesce(~F.trim("scope").isin("individual", "consolidated"), F.lit(True)),
+        "identity_tokens": F.coalesce(F.size("identity_tokens") < 2, F.lit(True)) | F.exists("identity_tokens", blank), "company_id": blank("company_id"), "language_code": blank("language_code"), "document_name": blank("document_name"),
+        "source_key": blank("source_key") | (F.count("*").over(Window.partitionBy("source_key")) > 1),
+    }
+    return rows.withColumns({f"_{n}": c for n, c in checks.items()}).withColumn("errors", failing({n: F.col(f"_{n}") for n in checks})).drop(*(f"_{n}" for n in checks)), bad.unionByName(none)
+
+
+def validate_events(raw: DataFrame) -> DataFrame:
+    """OP-29: raw records with ``errors``, and their fields normalised, or null where there is an error.
+
+    Fields: company_id, source_provider, external_id, category, title, summary, published_at, source_url (required),
+    effective_date; all text.  Times need a zone, dates and times are ISO, urls https with a host.
+    """
+    required = ("company_id", "source_provider", "external_id", "category", "title", "summary", "published_at", "source_url")
+    empty = F.lit(False)
+    for c in required:
+        empty = empty | F.coalesce(F.col(c) == "", F.lit(True))
+    dated = F.col("effective_date").isNotNull() & (F.col("effective_date") != "")
+    checks = {
+        "required": empty, "category": ~F.trim("category").isin(*EVENT_CATEGORIES), "source_url": ~F.trim("source_url").rlike("^https://[^/?#]+"),
+        "published_at": ~F.col("published_at").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}.*(Z|[+-][0-9]{2}:[0-9]{2})$") | F.try_to_timestamp("published_at").isNull(),
+        "effective_date": dated & (~F.col("effective_date").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") | F.col("effective_date").try_cast("date").isNull()),
+        "title": F.length(F.trim("title")) > 240, "summary": F.length(F.trim("summary")) > 1200,
+    }
+    out = raw.withColumn("errors", failing(checks))
+    fine = {c: F.when(F.col("errors") == "", F.trim(c)) for c in required}
+    return out.withColumns(fine | {"effective_date": F.when((F.col("errors") == "") & dated, F.col("effective_date"))})
 
 
 def raw_dedupe(payloads: DataFrame, keys: list[str]) -> DataFrame:

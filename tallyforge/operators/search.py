@@ -8,20 +8,27 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import fold
+from tallyforge.operators.records import page
+from tallyforge.sources.shared import checkpointed
 
 
 #: Positions of body words begin here, so no phrase runs from a heading into a body.
 BODY = 1 << 24
 
 
-def postings(fragments: DataFrame) -> DataFrame:
-    """OP-11, OP-88 and ST-4: term, fragment_id, pos, part (A heading, B body) of (fragment_id, heading, body)."""
+def postings(fragments: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """OP-11, OP-88 and ST-4: term, fragment_id, pos, part (A heading, B body) of (fragment_id, heading, body).
+
+    With ``terms`` only their postings are made, before anything is exploded: for a search without a stored table.
+    """
     words = lambda c: F.filter(F.split(F.regexp_replace(fold(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    part = lambda c, name, offset: fragments.select("fragment_id", F.posexplode(words(c)).alias("pos", "term")).select("term", "fragment_id", (F.col("pos") + offset).alias("pos"), F.lit(name).alias("part"))
+    placed = lambda c: F.transform(words(c), lambda w, i: F.struct(i.alias("pos"), w.alias("term")))
+    wanted = (lambda c: placed(c)) if terms is None else (lambda c: F.filter(placed(c), lambda x: x["term"].isin(*terms)))
+    part = lambda c, name, offset: fragments.select("fragment_id", F.explode(wanted(c)).alias("x")).select("x.term", "fragment_id", (F.col("x.pos") + offset).alias("pos"), F.lit(name).alias("part"))
     return part("heading", "A", 0).unionByName(part("body", "B", BODY))
 
 
@@ -39,6 +46,11 @@ def parse_query(text: str) -> list[dict]:
     return [g for g in groups if g["must"]]
 
 
+def query_terms(text: str) -> list[str]:
+    """All words that a query names."""
+    return sorted({t for g in parse_query(text) for kind in ("must", "not") for terms in g[kind] for t in terms})
+
+
 def _holders(table: DataFrame, terms: list[str]) -> DataFrame:
     """Fragments that hold a word, or a phrase at successive positions."""
     found = table.filter(F.col("term") == terms[0]).select("fragment_id", F.col("pos").alias("at"))
@@ -94,15 +106,43 @@ def search_ranked(table: DataFrame, query: str) -> DataFrame:
     return covers.groupBy("fragment_id").agg(F.round(F.sum(value), 6).alias("rank"))
 
 
-def headline(fragments: DataFrame, words: list[str], length: int = 25, pieces: int = 2) -> DataFrame:
-    """OP-88b: up to ``pieces`` extracts of ``length`` words around hits, joined by an ellipsis: fragment_id, headline."""
+def search_page(fragments: DataFrame, query: str, number: int = 1, size: int = 20, **filters: object) -> DataFrame:
+    """OP-88: one page of the fragments that match the words of a query or hold it literally, with the total.
+
+    fragments: fragment_id, heading, body, name, is_priority, note_number, and the columns that ``filters`` name (company,
+    topic, fiscal_year; None: any).  Order: rank, priority, name, note, fragment.  Filters come first, so only what is left
+    is searched; a fragment that only holds the text literally has rank 0.
+    """
+    kept = fragments
+    for column, value in filters.items():
+        if value is not None:
+            kept = kept.filter(F.col(column) == F.lit(value))
+    text = " ".join(query.split())
+    table = checkpointed(postings(kept.select("fragment_id", "heading", "body"), query_terms(text) or [""]))
+    literal = F.contains(F.lower("heading"), F.lit(text.lower())) | F.contains(F.lower("body"), F.lit(text.lower()))
+    found = kept.join(search_ranked(table, text), "fragment_id", "left").filter(F.col("rank").isNotNull() | F.coalesce(literal, F.lit(False)))
+    found = found.withColumn("rank", F.coalesce("rank", F.lit(0.0))).select("fragment_id", "name", "is_priority", "note_number", "rank")
+    order = [F.desc("rank"), F.desc("is_priority"), F.col("name"), F.col("note_number"), F.col("fragment_id")]
+    return page(found, order, number, size)
+
+
+def headline(fragments: DataFrame, words: list[str], least: int = 12, most: int = 38, pieces: int = 2) -> DataFrame:
+    """OP-88b: up to ``pieces`` extracts around hits, joined by an ellipsis: fragment_id, headline.
+
+    An extract has ``most`` words at most, and ends at the first end of a sentence behind ``least`` words.
+    """
     tokens = F.filter(F.split(F.regexp_replace(F.regexp_replace("body", "<[^>]*>", " "), r"\s+", " "), " "), lambda x: x != "")
     rows = fragments.select("fragment_id", tokens.alias("w"))
     plain = F.transform("w", lambda x: F.regexp_replace(fold(x), "[^a-z0-9]", ""))
     hits = F.filter(F.transform(plain, lambda x, i: F.when(x.isin(*words), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("hits", hits)
-    # a hit that the extract before does not reach begins the next one
-    spots = F.aggregate("hits", F.slice("hits", 1, 0), lambda acc, i: F.when((F.size(acc) < pieces) & ((F.size(acc) == 0) | (i >= F.element_at(acc, F.greatest(F.size(acc), F.lit(1))) + length)), F.concat(acc, F.array(i))).otherwise(acc))
-    begin = lambda i: F.greatest(F.lit(1), i + 1 - length // 4)
-    cut = F.array_join(F.transform(spots, lambda i: F.array_join(F.slice("w", begin(i), length), " ")), " … ")
-    return rows.filter(F.size("hits") > 0).select("fragment_id", cut.alias("headline"))
+    # a hit that the extract before cannot reach begins the next one
+    spots = F.aggregate("hits", F.slice("hits", 1, 0), lambda acc, i: F.when((F.size(acc) < pieces) & ((F.size(acc) == 0) | (i >= F.element_at(acc, F.greatest(F.size(acc), F.lit(1))) + most)), F.concat(acc, F.array(i))).otherwise(acc))
+    rows = rows.filter(F.size("hits") > 0).withColumn("spots", spots)
+
+    def cut(i: Column) -> Column:
+        own = F.slice("w", F.greatest(F.lit(1), i + 1 - least // 4), most)
+        ends = F.filter(F.transform(own, lambda x, k: F.when((k + 1 >= least) & x.rlike(r"[.!?]$"), k + 1)), lambda k: k.isNotNull())
+        return F.array_join(F.slice(own, F.lit(1), F.coalesce(F.get(ends, F.lit(0)), F.lit(most))), " ")
+
+    return rows.select("fragment_id", F.array_join(F.transform("spots", cut), " … ").alias("headline"))

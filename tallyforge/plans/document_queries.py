@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions import constants as K
 from tallyforge.functions.text import ACCENTED, PLAIN, fold
 from tallyforge.operators import documents as docs
 from tallyforge.operators import matching, search
-from tallyforge.sources.tables import lines, notes, table
+from tallyforge.sources.shared import checkpointed
+from tallyforge.sources.tables import NOTE_TITLES, OTHER_WORDS, lines, notes, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+TOPICS = K.TOPIC_RULES
 #: Words that occur in the test prose, in place of the Spanish defaults.
-TOPICS = (("debt", ("that ", "die ")), ("segments", ("with", "ungen")), ("estimates", ("les ", "los ")), ("impairment", ("the ",)))
-KEYWORDS, MATERIAL = ("that", "with", "une", "und", "los"), ("tion", "ment", "ung")
+KEYWORDS = ("that", "with", "une", "und", "los")
 QUERY = '"of the" -with or "de la"'
 
 
@@ -36,8 +38,10 @@ def _key_sql(c: str) -> str:
     return f"trim(regexp_replace({_fold_sql(c)}, '[^a-z0-9]+', ' ', 'g'))"
 
 
-_NOTES = """notes AS MATERIALIZED (SELECT doc_id, source AS company, lang AS scope, CAST(2024 + doc_id % 2 AS INTEGER) AS fiscal_year, left(string_split(text, chr(10))[1], 120) AS title, text,
-    CAST(row_number() OVER (PARTITION BY source, lang, doc_id % 2 ORDER BY doc_id) AS INTEGER) AS note_number FROM documents)"""
+_list = lambda items: "[" + ", ".join(f"'{x}'" for x in items) + "]"
+_NOTES = f"""notes AS MATERIALIZED (SELECT doc_id, source || '-' || CAST(doc_id // 2000 AS VARCHAR) AS company, lang AS scope, CAST(2024 + doc_id // 20 % 2 AS INTEGER) AS fiscal_year,
+    {_list(NOTE_TITLES)}[doc_id // 40 % {len(NOTE_TITLES)} + 1] || CASE WHEN doc_id // 20 % 10 = 1 THEN ' ' || {_list(OTHER_WORDS)}[doc_id // 40 % {len(OTHER_WORDS)} + 1] ELSE '' END AS title, text,
+    CAST(row_number() OVER (PARTITION BY source, doc_id // 2000, lang, doc_id // 20 % 2 ORDER BY doc_id) AS INTEGER) AS note_number FROM documents)"""
 _LINES = "lines AS MATERIALIZED (SELECT doc_id, unnest(range(0, len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 
 
@@ -98,20 +102,35 @@ def _candidates(s, d):
     return rows.select("doc_id", F.col("line_no").cast("int").alias("page"), F.lit(0).alias("start"), F.col("number").cast("int").alias("number"), title.alias("title"), (F.size(F.split(title, " ")) >= 2).alias("plausible"))
 
 
-@_query()
+_CAND = f"""{_LINES}, l0 AS (SELECT doc_id, line_no AS page, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM lines WHERE trim(line) <> ''),
+    cand AS MATERIALIZED (SELECT doc_id, page, CASE WHEN n >= 6 AND doc_id % 11 = 0 THEN n + 1 ELSE n END AS number, left(line, 60) AS title, len(string_split(left(line, 60), ' ')) >= 2 AS plausible FROM l0),
+    chain(doc_id, n, page) AS (SELECT doc_id, number, page FROM cand WHERE number = 1 AND plausible UNION ALL SELECT c.doc_id, c.number, c.page FROM chain k JOIN cand c ON c.doc_id = k.doc_id AND c.number = k.n + 1 AND c.page > k.page WHERE c.plausible),
+    kept AS MATERIALIZED (SELECT c.doc_id, coalesce(max(k.n), 0) AS n, max(c.number) FILTER (c.plausible) AS most FROM cand c LEFT JOIN chain k ON k.doc_id = c.doc_id AND k.n = c.number GROUP BY c.doc_id),
+    status AS MATERIALIZED (SELECT doc_id, CASE WHEN n < 5 THEN 'too_few' WHEN most > n THEN 'incomplete' ELSE 'ok' END AS status, CASE WHEN n < 5 THEN 0 WHEN most > n THEN n - 1 ELSE n END AS n FROM kept),
+    heads AS MATERIALIZED (SELECT k.doc_id, k.n AS number, k.page, s.status FROM chain k JOIN status s ON s.doc_id = k.doc_id AND k.n <= s.n)"""
+
+
+@_query(f"WITH RECURSIVE {_CAND} SELECT s.doc_id, s.status, CAST(s.n AS INTEGER) AS n, coalesce(h.pages, []::INTEGER[]) AS pages FROM status s LEFT JOIN (SELECT doc_id, list(CAST(page AS INTEGER) ORDER BY number) AS pages FROM heads GROUP BY doc_id) h USING (doc_id)")
 def note_headings(s, d):
     found = docs.accept_sequence(_candidates(s, d))
     return found.select("doc_id", "status", F.size("headings").alias("n"), F.expr("transform(headings, h -> h.page)").alias("pages"))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_CAND}, h AS (SELECT heads.*, length(title) AS body, lead(heads.page) OVER (PARTITION BY heads.doc_id ORDER BY heads.page) AS next FROM heads JOIN cand USING (doc_id, number))
+    SELECT doc_id, CAST(number AS INTEGER) AS number, page, section FROM (SELECT h.doc_id, h.number, CAST(l.line_no AS INTEGER) AS page, CASE WHEN l.line_no = h.page THEN substr(l.line, body + 1) ELSE l.line END AS section
+      FROM h JOIN lines l ON l.doc_id = h.doc_id AND l.line_no >= h.page AND (h.next IS NULL OR l.line_no < h.next)) WHERE trim(section) <> ''""")
 def note_sections(s, d):
     heads = docs.accept_sequence(_candidates(s, d)).select("doc_id", F.inline("headings")).select("doc_id", "number", "page", "start", F.length("title").alias("body"))
     pages = lines(table(s, d, "documents")).select("doc_id", F.col("line_no").alias("page"), F.col("line").alias("text"))
     return docs.slice_sections(pages, heads)
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_CAND}, body AS (SELECT doc_id, page, number, {_key_sql('title')} AS key FROM cand),
+    idx AS (SELECT doc_id, number, {_key_sql("CASE WHEN doc_id % 7 = 0 AND number = 2 THEN 'other title' ELSE title END")} AS key FROM cand), e AS (SELECT doc_id, number, min(key) AS key, count(DISTINCT key) AS titles FROM idx GROUP BY ALL),
+    m AS (SELECT e.doc_id, e.number, count(b.page) AS m, min(b.page) AS spot FROM e LEFT JOIN body b USING (doc_id, number, key) GROUP BY ALL), o AS (SELECT *, coalesce(spot < lag(spot) OVER (PARTITION BY doc_id ORDER BY number), false) AS back FROM m),
+    w AS (SELECT doc_id, count(*) AS n, min(number) AS lo, max(number) AS hi, max(titles) AS titles FROM e GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN titles > 1 THEN 'contradictory' WHEN lo <> 1 OR hi <> w.n THEN 'incomplete' WHEN w.n < 5 THEN 'short' WHEN missing > 0 THEN 'missing' WHEN ambiguous > 0 THEN 'ambiguous' WHEN back THEN 'disordered' ELSE 'ok' END AS status, w.n AS entries
+    FROM w JOIN (SELECT doc_id, count(*) FILTER (m = 0) AS missing, count(*) FILTER (m > 1) AS ambiguous, bool_or(back) AS back FROM o GROUP BY doc_id) USING (doc_id)""")
 def index_reconcile(s, d):
     body = _candidates(s, d)
     index = body.withColumn("title", F.when((F.pmod("doc_id", F.lit(7)) == 0) & (F.col("number") == 2), F.lit("other title")).otherwise(F.col("title")))
@@ -152,7 +171,9 @@ def title_exact_match(s, d):
     return matching.match_exact(n.filter("fiscal_year = 2025"), n.filter("fiscal_year = 2024"))
 
 
-_TOKENS = f"list_distinct(list_filter(string_split({_key_sql('title')}, ' '), lambda x: length(x) >= 3 AND x NOT IN ({', '.join(repr(w) for w in matching.TITLE_STOP_WORDS)})))"
+_ALIAS = "CASE x " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in K.TITLE_ALIASES.items()) + " ELSE x END"
+_PLAIN_TOKENS = f"list_distinct(list_transform(list_filter(string_split({_key_sql('title')}, ' '), lambda x: length(x) >= 3 AND x NOT IN ({', '.join(repr(w) for w in K.TITLE_STOP_WORDS)})), lambda x: {_ALIAS}))"
+_TOKENS = f"CASE WHEN list_contains({_PLAIN_TOKENS}, 'ventas') THEN list_filter({_PLAIN_TOKENS}, lambda x: x <> 'actividad') ELSE {_PLAIN_TOKENS} END"
 
 
 @_query(f"""WITH {_NOTES}, t AS MATERIALIZED (SELECT company, scope, fiscal_year, note_number, {_TOKENS} AS tokens FROM notes),
@@ -186,17 +207,20 @@ _EXACT = f"""WITH {_NOTES}, k AS (SELECT *, {_key_sql('title')} AS key, {_topic_
     a AS (SELECT * FROM r WHERE fiscal_year = 2025), b AS (SELECT * FROM r WHERE fiscal_year = 2024)"""
 
 
-@_query(f"""{_EXACT}, x AS (SELECT coalesce(a.company, b.company) AS company, coalesce(a.scope, b.scope) AS scope, CASE WHEN a.key IS NULL THEN 'previous_only' WHEN b.key IS NULL THEN 'current_only' ELSE 'matched' END AS status
+@_query(f"""{_EXACT}, x AS (SELECT coalesce(a.company, b.company) AS company, coalesce(a.scope, b.scope) AS scope, a.key IS NOT NULL AS is_current, b.key IS NOT NULL AS is_previous, a.doc_id % 9 <> 3 AND b.doc_id % 9 <> 4 AS observed
       FROM a FULL JOIN b ON a.company = b.company AND a.scope = b.scope AND a.key = b.key AND a.n = b.n),
-    g AS (SELECT company, scope, count(*) FILTER (status = 'matched') AS matched, count(*) FILTER (status = 'current_only') AS current_only, count(*) FILTER (status = 'previous_only') AS previous_only FROM x GROUP BY ALL)
-    SELECT company, scope, matched, current_only, previous_only, matched AS high, CASE WHEN matched = 0 THEN 'insufficient' WHEN matched::DOUBLE / (matched + greatest(current_only, previous_only)) >= 0.9 THEN 'high' WHEN matched::DOUBLE / (matched + greatest(current_only, previous_only)) >= 0.65 THEN 'medium' ELSE 'low' END AS confidence FROM g""")
+    g AS (SELECT company, scope, count(*) FILTER (is_current AND is_previous) AS matched, count(*) FILTER (is_current AND NOT is_previous) AS current_only, count(*) FILTER (is_previous AND NOT is_current) AS previous_only, count(*) FILTER (is_current AND is_previous AND observed) AS with_evidence FROM x GROUP BY ALL),
+    q AS (SELECT *, CASE WHEN matched + current_only = 0 THEN 0 ELSE matched::DOUBLE / (matched + current_only) END AS coverage, CASE WHEN matched = 0 THEN 0 ELSE with_evidence::DOUBLE / matched END AS evidence FROM g)
+    SELECT company, scope, matched, current_only, previous_only, with_evidence, CASE WHEN coverage >= 0.9 AND evidence >= 0.75 THEN 'generated' WHEN coverage >= 0.65 AND evidence >= 0.5 OR matched > 0 THEN 'partial' ELSE 'insufficient_evidence' END AS status,
+      CASE WHEN coverage >= 0.9 AND evidence >= 0.75 THEN 'high' WHEN coverage >= 0.65 AND evidence >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM q""")
 def coverage_rollup(s, d):
-    """OP-59 over exact matches."""
-    current, previous = _years(s, d)
+    """OP-59 over exact matches; every ninth document of a year has no observed fact."""
+    every = _noted(s, d).withColumn("observed", F.when(F.pmod("doc_id", F.lit(9)) == F.when(F.col("fiscal_year") == 2025, 3).otherwise(4), 0).otherwise(1))
+    current, previous = every.filter("fiscal_year = 2025"), every.filter("fiscal_year = 2024")
     pairs = matching.match_exact(current, previous)
-    both = pairs.withColumn("status", F.lit("matched")).withColumn("confidence", F.lit("high"))
+    both = pairs.withColumn("status", F.lit("matched"))
     only = lambda df, p: df.select("company", "scope", F.col("note_number").alias(f"{p}_number")).join(pairs, ["company", "scope", f"{p}_number"], "left_anti").withColumn("status", F.lit(f"{p}_only"))
-    return matching.coverage_rollup(both.unionByName(only(current, "current"), allowMissingColumns=True).unionByName(only(previous, "previous"), allowMissingColumns=True))
+    return matching.coverage_rollup(both.unionByName(only(current, "current"), allowMissingColumns=True).unionByName(only(previous, "previous"), allowMissingColumns=True), every)
 
 
 @_query(f"""{_EXACT} SELECT a.company, a.scope, a.note_number AS current_number, b.note_number AS previous_number, a.title AS current_title, b.title AS previous_title
@@ -207,13 +231,22 @@ def comparison_view(s, d):
     return found.select("company", "scope", "current_number", "previous_number", F.col("current.title").alias("current_title"), F.col("previous.title").alias("previous_title"))
 
 
-_SENTENCES = r"""s0 AS (SELECT doc_id, regexp_replace(text, '^\s*[0-9]{1,3}\s+([A-ZÁÉÍÓÚÑ(\-])', '\1') AS t FROM documents),
+#: Sentences that a document gets by its id, so that advice, openings, and figures with and without a verb occur.
+ADDED = (
+    " Los analistas recomiendan comprar de inmediato las acciones de la compañía porque su valor aumentará durante el ejercicio.",
+    " A continuación presentamos el detalle de los saldos que la compañía mantiene con sus proveedores y clientes del exterior.",
+    " La compañía registró pérdidas de 10, 20, 30, 40 y 50 mil soles en sus unidades y mantiene una deuda por US$ 1,500 con garantía.",
+    " Los importes de 10, 20, 30, 40 y 50 mil soles por unidad figuran en el cuadro de la página siguiente de este informe.",
+    " El saldo de la deuda y de los préstamos vigentes aumentó de manera significativa por el vencimiento pendiente de pago en 2025.",
+)
+_SENTENCES = rf"""s0 AS (SELECT doc_id, regexp_replace(text || {_list(ADDED)}[doc_id % {len(ADDED)} + 1], '^\s*[0-9]{{1,3}}\s+([A-ZÁÉÍÓÚÑ(\-])', '\1') AS t FROM documents),
     s1 AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(trim(regexp_replace(t, '[ \t\n\v\f\r]+', ' ', 'g')), '([.!?]) (-\s*[A-ZÁÉÍÓÚÑ0-9]|\([a-z]\)|[A-ZÁÉÍÓÚÑ0-9])', '\1' || chr(1) || '\2', 'g'), '([.!?]) (-\s*[A-ZÁÉÍÓÚÑ0-9]|\([a-z]\)|[A-ZÁÉÍÓÚÑ0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS l FROM s0),
     sent AS MATERIALIZED (SELECT doc_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS ord, unnest(l) AS sentence FROM (SELECT doc_id, list_filter(list_transform(l, lambda x: regexp_replace(x, '^[ \-]+|[ \-]+$', '', 'g')), lambda x: x <> '') AS l FROM s1))"""
 
 
 def _sentences(s, d):
-    return docs.sentences(table(s, d, "documents").select("doc_id", "text"))
+    added = F.element_at(F.array(*map(F.lit, ADDED)), (F.pmod("doc_id", F.lit(len(ADDED))) + 1).cast("int"))
+    return docs.sentences(table(s, d, "documents").select("doc_id", F.concat("text", added).alias("text")))
 
 
 @_query(f"WITH {_SENTENCES} SELECT * FROM sent")
@@ -222,40 +255,77 @@ def sentences(s, d):
 
 
 _PLAIN = f"lower(translate(sentence, '{ACCENTED}', '{PLAIN}'))"
+_any = lambda c, terms: "(" + " OR ".join(f"contains({c}, '{t}')" for t in terms) + ")"
+_count = lambda c, terms: "(" + " + ".join(f"CAST(contains({c}, '{t}') AS INTEGER)" for t in terms) + ")"
 _IS = rf"""length(sentence) BETWEEN 70 AND 560 AND length(sentence) - length(replace(sentence, '_', '')) <= 3 AND len(regexp_extract_all(sentence, '\b[0-9][0-9.,]*')) <= 10
     AND (length(sentence) - length(regexp_replace(sentence, '\p{{L}}', '', 'g')))::DOUBLE / length(sentence) >= 0.48 AND (length(sentence) - length(regexp_replace(sentence, '\p{{Nd}}', '', 'g')))::DOUBLE / length(sentence) <= 0.18
-    AND len(string_split(sentence, ' ')) >= 11 AND len(regexp_extract_all(sentence, '\b[0-9][0-9.,]*')) < 4"""
+    AND len(string_split(sentence, ' ')) >= 11 AND (len(regexp_extract_all(sentence, '\b[0-9][0-9.,]*')) < 4 OR {_any(_PLAIN, K.NARRATIVE_VERBS)})
+    AND NOT regexp_matches({_PLAIN}, '{K.INVESTMENT_ADVICE}') AND NOT starts_with({_PLAIN}, '{K.BOILERPLATE_BEGINNINGS[0]}') AND NOT starts_with({_PLAIN}, '{K.BOILERPLATE_BEGINNINGS[1]}')"""
 
 
 @_query(f"WITH {_SENTENCES} SELECT doc_id, ord FROM sent WHERE {_IS}")
 def narrative_filter(s, d):
-    return _sentences(s, d).filter(docs.is_narrative("sentence")).select("doc_id", "ord")
+    return docs.narrative(_sentences(s, d)).select("doc_id", "ord")
 
 
 def _scored(s, d):
-    rows = _sentences(s, d).filter(docs.is_narrative("sentence"))
-    return rows.withColumn("score", docs.sentence_score(F.col("sentence"), F.lit(2024) + F.pmod("doc_id", F.lit(2)), KEYWORDS, MATERIAL))
+    title = F.element_at(F.array(*map(F.lit, NOTE_TITLES)), (F.pmod(F.floor(F.col("doc_id") / 2), F.lit(len(NOTE_TITLES))) + 1).cast("int"))
+    rows = docs.narrative(_sentences(s, d))
+    score = docs.sentence_score(F.col("sentence"), F.col("plain"), F.lit(2024) + F.pmod("doc_id", F.lit(2)), docs.topic_terms(F.col("plain"), docs.topic(title)))
+    return rows.select("doc_id", "ord", "sentence", F.round(score.cast("double"), 6).alias("score"))
 
 
-@_query(rf"""WITH {_SENTENCES} SELECT doc_id, ord, round(1.0::DOUBLE + least(3, {' + '.join(f"CAST(contains({_PLAIN}, '{t}') AS INTEGER)" for t in KEYWORDS)}) * 1.6::DOUBLE + CASE WHEN regexp_matches(sentence, 'US\$|S/|%|\b[0-9]{{1,3}}([.,][0-9]{{3}})+') THEN 1.8::DOUBLE ELSE 0 END
-    + CASE WHEN contains(sentence, CAST(2024 + doc_id % 2 AS VARCHAR)) THEN 0.8::DOUBLE ELSE 0 END + least(2, {' + '.join(f"CAST(contains({_PLAIN}, '{t}') AS INTEGER)" for t in MATERIAL)}) + CASE WHEN length(sentence) BETWEEN 110 AND 380 THEN 0.5::DOUBLE ELSE 0 END, 6) AS score FROM sent WHERE {_IS}""")
+_TITLED = f"(SELECT *, {_list(NOTE_TITLES)}[doc_id // 2 % {len(NOTE_TITLES)} + 1] AS title FROM sent WHERE {_IS})"
+_TERMS = "CASE topic " + " ".join(f"WHEN '{name}' THEN {_count('plain', terms)}" for name, terms in K.TOPIC_KEYWORDS.items()) + " ELSE 0 END"
+_SCORED = rf"""{_SENTENCES}, scored AS MATERIALIZED (SELECT doc_id, ord, sentence, round(1.0::DOUBLE + least(3, {_TERMS}) * 1.6::DOUBLE + CASE WHEN regexp_matches(sentence, 'US\$|S/|%|\b[0-9]{{1,3}}([.,][0-9]{{3}})+') THEN 1.8::DOUBLE ELSE 0 END
+    + CASE WHEN contains(sentence, CAST(2024 + doc_id % 2 AS VARCHAR)) THEN 0.8::DOUBLE ELSE 0 END + least(2, {_count('plain', K.MATERIAL_TERMS)}) + CASE WHEN length(sentence) BETWEEN 110 AND 380 THEN 0.5::DOUBLE ELSE 0 END - CASE WHEN contains(plain, '{K.STANDARD_PHRASE}') THEN 1.5::DOUBLE ELSE 0 END, 6) AS score
+    FROM (SELECT *, {_PLAIN} AS plain, {_topic_sql('title')} AS topic FROM {_TITLED}))"""
+
+
+@_query(f"WITH {_SCORED} SELECT doc_id, ord, score FROM scored")
 def sentence_score(s, d):
-    return _scored(s, d).select("doc_id", "ord", F.round(F.col("score").cast("double"), 6).alias("score"))
+    return _scored(s, d).select("doc_id", "ord", "score")
 
 
 def _chosen(s, d):
-    rows = _scored(s, d).select("doc_id", F.floor(F.col("ord") / 10).alias("fragment"), F.floor(F.col("ord") / 10).alias("page"), "ord", "sentence", F.round(F.col("score").cast("double"), 6).alias("score"))
-    return docs.select_evidence(rows, ["doc_id"])
+    page = F.floor(F.col("ord") / 10)
+    return docs.select_evidence(_scored(s, d).select("doc_id", page.alias("fragment"), page.alias("page"), "ord", "sentence", "score"), ["doc_id"])
 
 
-@_query()
+_FIRST = "QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page, ord) = 1"
+_apart = lambda w, t: f"{w}.ord <> {t}.ord AND NOT (len({w}.words) + len({t}.words) > 0 AND len(list_intersect({w}.words, {t}.words)) >= 0.62 * (len({w}.words) + len({t}.words) - len(list_intersect({w}.words, {t}.words))))"
+_TAKEN = f"""{_SCORED}, w0 AS MATERIALIZED (SELECT doc_id, ord // 10 AS page, ord, sentence, score, list_distinct(regexp_extract_all(lower(sentence), '[a-záéíóúñ]{{4,}}')) AS words FROM scored),
+    t1 AS MATERIALIZED (SELECT * FROM w0 {_FIRST}), w1 AS MATERIALIZED (SELECT w0.* FROM w0 JOIN t1 USING (doc_id) WHERE {_apart('w0', 't1')}), t2 AS MATERIALIZED (SELECT * FROM w1 {_FIRST}),
+    w2 AS MATERIALIZED (SELECT w1.* FROM w1 JOIN t1 USING (doc_id) JOIN t2 USING (doc_id) WHERE {_apart('w1', 't2')} AND NOT (w1.page = t1.page AND w1.page = t2.page)), t3 AS (SELECT * FROM w2 {_FIRST}),
+    taken AS MATERIALIZED (SELECT 1 AS rank, * FROM t1 UNION ALL SELECT 2, * FROM t2 UNION ALL SELECT 3, * FROM t3)"""
+
+
+@_query(f"WITH {_TAKEN} SELECT doc_id, rank, page AS fragment, page, ord, sentence, score FROM taken")
 def cited_sentences(s, d):
     return _chosen(s, d)
 
 
-@_query()
+@_query(f"""WITH {_TAKEN}, n AS (SELECT doc_id, count(*) AS facts, count(DISTINCT page) AS pages FROM taken GROUP BY doc_id), g AS (SELECT doc_id, coalesce(bool_or(contains(text, '$$$')), false) AS tables FROM documents GROUP BY doc_id),
+    j AS (SELECT doc_id, tables, coalesce(facts, 0) AS facts, coalesce(pages, 0) AS pages FROM g LEFT JOIN n USING (doc_id))
+    SELECT *, CASE WHEN facts >= 2 THEN 'generated' WHEN facts = 1 THEN 'partial' ELSE 'insufficient_evidence' END AS status, CASE WHEN facts >= 3 AND pages >= 2 THEN 'high' WHEN facts >= 2 THEN 'medium' ELSE 'low' END AS confidence, facts < 2 AS limited FROM j""")
 def summary_confidence(s, d):
-    return docs.summary_confidence(_chosen(s, d), ["doc_id"])
+    """OP-60: every document has a row; three dollar signs stand for the header of tables."""
+    return docs.summary_confidence(_chosen(s, d), ["doc_id"], table(s, d, "documents").select("doc_id", "text"), "$$$")
+
+
+@_query("""WITH c AS (SELECT c.conv_id, c.turn, c.text, lead(c.text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations c),
+    k AS (SELECT conv_id, turn // 2 AS finding, trim(regexp_replace(CASE WHEN conv_id % 5 = 0 AND turn = 0 THEN coalesce(next, '') ELSE substr(text, 1, 40) END, '\\s+', ' ', 'g')) AS quote, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS own FROM c),
+    f AS (SELECT conv_id, finding, bool_and(coalesce(contains(own, quote) AND quote <> '', false)) AS ok FROM k GROUP BY ALL)
+    SELECT conv_id, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected, CASE WHEN count(*) FILTER (NOT ok) > 0 THEN 'partial' WHEN count(*) FILTER (ok) > 0 THEN 'generated' ELSE 'insufficient_evidence' END AS status FROM f GROUP BY conv_id""")
+def report_status(s, d):
+    """OP-42: conversations as reports that quote their turns; the first turn of every fifth one quotes the next turn instead."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(s, d, "conversations").select("conv_id", "turn", "text", F.lead("text").over(w).alias("next"))
+    ids = F.concat_ws("|", "conv_id", "turn")
+    wrong = (F.pmod("conv_id", F.lit(5)) == 0) & (F.col("turn") == 0)
+    quotes = c.select(ids.alias("citation_id"), ids.alias("fragment_id"), F.when(wrong, F.coalesce("next", F.lit(""))).otherwise(F.substring("text", 1, 40)).alias("quote"), "conv_id", F.floor(F.col("turn") / 2).alias("finding"))
+    checked = docs.check_citations(quotes, c.select(ids.alias("fragment_id"), "text")).select("citation_id", "accepted")
+    return docs.report_status(quotes.select("citation_id", "conv_id", "finding").join(checked, "citation_id"), ["conv_id"])
 
 
 @_query("SELECT conv_id, role, list(text ORDER BY turn) AS items, count(*) AS n FROM conversations GROUP BY ALL")
@@ -267,6 +337,7 @@ def summary_payload(s, d):
 
 @_query(f"""WITH {_NOTES}, t AS (SELECT *, {_topic_sql('title')} AS topic FROM notes),
     v AS (SELECT *, CASE WHEN topic IN ('debt', 'contingencies', 'related_parties', 'impairment', 'provisions_closure', 'subsequent_events', 'estimates') THEN 5 ELSE 0 END
+      - CASE WHEN {' OR '.join(f"contains(lower(translate(title, '{ACCENTED}', '{PLAIN}')), '{t}')" for t in K.GENERIC_TITLES)} THEN 12 ELSE 0 END
       + {' + '.join(f"3 * CAST(contains(lower(translate(title, '{ACCENTED}', '{PLAIN}')), '{t}') AS INTEGER) + CAST(contains(lower(translate(left(text, 2500), '{ACCENTED}', '{PLAIN}')), '{t}') AS INTEGER)" for t in KEYWORDS)} AS relevance FROM t),
     r AS (SELECT *, row_number() OVER (PARTITION BY company, fiscal_year ORDER BY relevance DESC, note_number, scope) AS rank FROM v), k AS (SELECT *, count(*) OVER (PARTITION BY company) AS n FROM r WHERE rank <= CASE fiscal_year WHEN 2025 THEN 20 ELSE 12 END)
     SELECT company, fiscal_year, scope, note_number, CAST(relevance AS INTEGER) AS relevance, CAST(rank AS INTEGER) AS rank, left(text, CAST(least(2500, 75000 // n) AS INTEGER)) AS content FROM k""")
@@ -280,6 +351,11 @@ def repeated_lines(s, d):
     return docs.repeated_lines(lines(table(s, d, "documents")).withColumnRenamed("line_no", "page"))
 
 
+@_query(f"WITH {_LINES}, r AS (SELECT doc_id, trim(line) AS l FROM lines WHERE trim(line) <> '' GROUP BY ALL HAVING count(DISTINCT line_no) >= 3) SELECT doc_id, CAST(line_no AS INTEGER) AS page, line FROM lines WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = lines.doc_id AND r.l = trim(lines.line))")
+def strip_repeated(s, d):
+    return docs.strip_repeated(lines(table(s, d, "documents")).withColumnRenamed("line_no", "page"))
+
+
 @_query(f"""WITH {_LINES}, g AS (SELECT *, sum(CAST(contains(line, '!!') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_no) AS grp, CASE WHEN length(line) > 80 THEN left(line, 20) END AS v FROM lines)
     SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, last_value(v IGNORE NULLS) OVER (PARTITION BY doc_id, grp ORDER BY line_no) AS context FROM g""")
 def table_context(s, d):
@@ -327,15 +403,37 @@ def fragment_search_literal(s, d):
     SELECT doc_id AS fragment_id, 4.0 * len(hw) + len(bw) AS score FROM h WHERE ((contains(hk, ' of the ') OR contains(bk, ' of the ')) AND NOT contains(hk, ' with ') AND NOT contains(bk, ' with ')) OR contains(hk, ' de la ') OR contains(bk, ' de la ')""")
 def fragment_search_terms(s, d):
     """OP-88: alternatives, phrases and exclusions over the posting table."""
-    return search.search_terms(search.postings(_fragments(s, d)), QUERY)
+    return search.search_terms(checkpointed(search.postings(_fragments(s, d), search.query_terms(QUERY))), QUERY)
 
 
-@_query()
+_POSTINGS = f"""f AS (SELECT doc_id, string_split(text, chr(10))[1] AS heading, CASE WHEN contains(text, chr(10)) THEN substr(text, instr(text, chr(10)) + 1) ELSE text END AS body FROM documents),
+    tokens AS (SELECT doc_id, unnest(list_filter(string_split({_key_sql('heading')}, ' '), lambda x: x <> '')) AS term, unnest(range(0, len(list_filter(string_split({_key_sql('heading')}, ' '), lambda x: x <> '')))) AS pos, 1.0::DOUBLE AS weight FROM f
+      UNION ALL SELECT doc_id, unnest(list_filter(string_split({_key_sql('body')}, ' '), lambda x: x <> '')), unnest(range(0, len(list_filter(string_split({_key_sql('body')}, ' '), lambda x: x <> '')))) + {search.BODY}, 0.4::DOUBLE FROM f)"""
+_RANKED = lambda terms: f"""{_POSTINGS}, p AS (SELECT *, {', '.join(f"max(pos) FILTER (term = '{t}') OVER w AS p{i}" for i, t in enumerate(terms))} FROM tokens WHERE term IN ({', '.join(map(repr, terms))}) WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+    c AS (SELECT *, least({', '.join(f'p{i}' for i in range(len(terms)))}) AS start FROM p WHERE {' AND '.join(f'p{i} IS NOT NULL' for i in range(len(terms)))}), v AS (SELECT *, lag(start) OVER (PARTITION BY doc_id ORDER BY pos) AS prior FROM c),
+    ranked AS MATERIALIZED (SELECT doc_id, round(sum(weight / greatest(1.0::DOUBLE, (pos - start + 1)::DOUBLE / {len(terms)})), 6) AS rank FROM v WHERE prior IS NULL OR start > prior GROUP BY doc_id)"""
+
+
+@_query(f"WITH {_RANKED(['from', 'the', 'with'])} SELECT doc_id AS fragment_id, rank FROM ranked")
 def fragment_search_ranked(s, d):
-    return search.search_ranked(search.postings(_fragments(s, d)), "with from the")
+    words = "with from the"
+    return search.search_ranked(checkpointed(search.postings(_fragments(s, d), search.query_terms(words))), words)
 
 
-@_query()
+@_query(f"""WITH {_RANKED(['of', 'the'])}, {_NOTES}, n AS (SELECT doc_id, company AS name, fiscal_year, note_number, {_topic_sql('title')} AS topic FROM notes),
+    hit AS MATERIALIZED (SELECT n.doc_id AS fragment_id, name, topic <> 'other' AS is_priority, note_number, coalesce(rank, 0) AS rank FROM n JOIN f USING (doc_id) LEFT JOIN ranked USING (doc_id) WHERE fiscal_year = 2025 AND (rank IS NOT NULL OR contains(lower(heading), 'of the') OR contains(lower(body), 'of the')))
+    SELECT * FROM (SELECT * FROM hit ORDER BY rank DESC, is_priority DESC, name, note_number, fragment_id LIMIT 20 OFFSET 20), (SELECT count(*) AS total FROM hit)""")
+def fragment_search_page(s, d):
+    """OP-88: the second page of a search in the notes of one year, by words or literally."""
+    named = _noted(s, d).select(F.col("doc_id").alias("fragment_id"), F.col("company").alias("name"), "is_priority", "note_number", "fiscal_year", "company", "topic")
+    return search.search_page(_fragments(s, d).join(named, "fragment_id"), " of  the", 2, 20, fiscal_year=2025, company=None, topic=None)
+
+
+@_query(f"""WITH t AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(CASE WHEN contains(text, chr(10)) THEN substr(text, instr(text, chr(10)) + 1) ELSE text END, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+    h AS (SELECT doc_id, w, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i, unnest(w) AS x FROM t) WHERE regexp_replace({_fold_sql('x')}, '[^a-z0-9]', '', 'g') IN ('with', 'from')),
+    a AS (SELECT doc_id, w, i FROM h WHERE n = 1), b AS (SELECT h.doc_id, min(h.i) AS i FROM h JOIN a ON a.doc_id = h.doc_id AND h.i >= a.i + 38 GROUP BY h.doc_id),
+    s AS (SELECT doc_id, 1 AS k, i, w FROM a UNION ALL SELECT b.doc_id, 2, b.i, a.w FROM b JOIN a USING (doc_id)), o AS (SELECT doc_id, k, w[greatest(1, i - 2):greatest(1, i - 2) + 37] AS own FROM s),
+    e AS (SELECT doc_id, k, own, coalesce(list_min(list_filter(range(12, len(own) + 1), lambda j: regexp_matches(own[j], '[.!?]$'))), 38) AS stop FROM o)
+    SELECT doc_id AS fragment_id, string_agg(array_to_string(own[1:stop], ' '), ' … ' ORDER BY k) AS headline FROM e GROUP BY doc_id""")
 def headline(s, d):
     return search.headline(_fragments(s, d), ["with", "from"])
-

@@ -45,20 +45,19 @@ def concept_pivot(s, d):
 
 
 def metrics_15(s, d):
-    return _values(ops.metrics(_wide(s, d)))
+    return _values(ops.metrics(_wide(s, d), False))
 
 
 def metrics_status_counts(s, d):
-    return ops.metrics(_wide(s, d)).groupBy("metric_code", "status", "reason").agg(F.count("*").alias("n"))
+    return ops.metrics(_wide(s, d), False).groupBy("metric_code", "status", "reason").agg(F.count("*").alias("n"))
 
 
 def metrics_comparative(s, d):
-    return _values(ops.comparative_metrics(_wide(s, d)))
+    return _values(ops.comparative_metrics(_wide(s, d), False))
 
 
 def annual_change(s, d):
-    wide = _wide(s, d)
-    return _doubles(ops.annual_change(ops.metrics(wide), ops.comparative_metrics(wide)), "difference", "variation")
+    return _doubles(ops.annual_change(_wide(s, d)), "difference", "variation")
 
 
 def statement_change(s, d):
@@ -75,7 +74,7 @@ def validations_failed(s, d):
 
 def metric_summary(s, d):
     """OP-31: metrics through supplier, nation and region."""
-    found = ops.metrics(_wide(s, d)).filter("status = 'computed'")
+    found = ops.metrics(_wide(s, d), False).filter("status = 'computed'")
     supplier, nation, region = (table(s, d, x) for x in ("supplier", "nation", "region"))
     joined = found.join(supplier, found["company_id"] == supplier["s_suppkey"]).join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.groupBy("r_name", "metric_code").agg(F.count("*").alias("n"), F.round(F.sum("value").cast("double"), 3).alias("total"))
@@ -90,21 +89,19 @@ def statement_view(s, d):
 
 
 def metric_format(s, d):
-    return ops.format_metrics(ops.metrics(_wide(s, d)))
+    return ops.format_metrics(ops.metrics(_wide(s, d), False))
 
 
 def company_compare(s, d):
-    return _doubles(ops.compare_companies(ops.metrics(_wide(s, d)), 1, 2, 1998), "value_a", "value_b")
+    return _doubles(ops.compare_companies(ops.metrics(_wide(s, d), False), 1, 2, 1998), "value_a", "value_b")
 
 
 def scale_apply(s, d):
-    """OP-52: a scale found in evidence replaces an unknown one, if the facts are as they were."""
+    """OP-52: every tenth company has evidence of thousands; that of every twentieth was taken of other facts."""
     facts = _facts(s, d)
-    snapshot = facts.groupBy(*KEY).agg(F.sum("current").alias("total"), F.count("*").alias("n"), F.max("scale").alias("scale"))
-    evidence = snapshot.filter("company_id % 10 = 0").select(*KEY, F.lit("thousands").alias("found"), (F.col("total") + F.when(F.col("company_id") % 20 == 0, 1).otherwise(0)).alias("seen"))
-    joined = snapshot.join(evidence, list(KEY), "left")
-    scale = F.when((F.col("scale") == "unknown") & (F.col("seen") == F.col("total")), F.col("found")).otherwise(F.col("scale"))
-    return joined.select(*KEY, scale.alias("scale"), "n")
+    seen = ops.facts_digest(facts).filter("company_id % 10 = 0")
+    evidence = seen.select(*KEY, F.lit("thousands").alias("found"), F.when(F.col("company_id") % 20 == 0, "other").otherwise(F.col("now")).alias("digest"))
+    return ops.apply_scale(facts, evidence).groupBy(*KEY, "scale").agg(F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (concept_map, fact_normalise, concept_pivot, metrics_15, metrics_status_counts, metrics_comparative, annual_change, statement_change, validations, validations_failed, metric_summary, statement_view, metric_format, company_compare, scale_apply)}
@@ -216,5 +213,5 @@ ORACLE = {
     "company_compare": f"""{_M} SELECT a.metric_code, a.status AS status_a, round(a.raw, 6) AS value_a, a.currency_code AS currency_a, a.value_scale AS scale_a, b.status AS status_b, round(b.raw, 6) AS value_b, b.currency_code AS currency_b, b.value_scale AS scale_b,
         a.status = 'computed' AND b.status = 'computed' AND (a.kind <> 'monetary' OR (a.currency_code IS NOT DISTINCT FROM b.currency_code AND a.value_scale IS NOT NULL AND a.value_scale IS NOT DISTINCT FROM b.value_scale)) AS comparable
         FROM m a JOIN m b USING (metric_code) WHERE a.company_id = 1 AND b.company_id = 2 AND a.fiscal_year = 1998 AND b.fiscal_year = 1998""",
-    "scale_apply": f"""{_A1} SELECT company_id, fiscal_year, CASE WHEN max(scale) = 'unknown' AND company_id % 10 = 0 AND company_id % 20 <> 0 THEN 'thousands' ELSE max(scale) END AS scale, count(*) AS n FROM facts GROUP BY company_id, fiscal_year""",
+    "scale_apply": f"""{_A1} SELECT company_id, fiscal_year, CASE WHEN scale = 'unknown' AND company_id % 10 = 0 AND company_id % 20 <> 0 THEN 'thousands' ELSE scale END AS scale, count(*) AS n FROM facts GROUP BY ALL""",
 }

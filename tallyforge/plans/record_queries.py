@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import constants as K
-from tallyforge.functions.text import contains_any, digest, fold
+from tallyforge.functions.text import collapse, contains_any, digest, fold
 from tallyforge.operators import records as ops
 from tallyforge.sources.tables import activity, jobs, table, versioned_events
 
@@ -25,9 +25,23 @@ def _query(sql: str | None = None):
     return add
 
 
-@_query("SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props)")
+def _envelopes(s, d):
+    """Adapter A2: properties as XML envelopes of lists; every seventh holds a bare object, every eleventh no result."""
+    json = F.when(F.pmod("event_id", F.lit(7)) == 0, F.col("props")).otherwise(F.concat(F.lit("["), "props", F.lit("]")))
+    escaped = F.replace(F.replace(json, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+    result = F.when(F.pmod("event_id", F.lit(11)) == 0, F.lit("<m:Fault/>")).otherwise(F.concat(F.lit('<m:ReadRowsResult xsi:type="string">'), escaped, F.lit("</m:ReadRowsResult>")))
+    return table(s, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("<soap:Envelope><soap:Body><ReadRowsResponse>"), result, F.lit("</ReadRowsResponse></soap:Body></soap:Envelope>")).alias("envelope"))
+
+
+@_query("SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props) AND event_id % 7 <> 0 AND event_id % 11 <> 0")
 def payload_rows(s, d):
-    return ops.payload_rows(table(s, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("payload")), "k long")[0]
+    return ops.payload_rows(ops.unwrap_envelope(_envelopes(s, d), "ReadRows"), "k long")[0]
+
+
+@_query("SELECT event_id AS id, event_id % 11 = 0 AS no_result FROM events WHERE event_id % 7 = 0 OR event_id % 11 = 0")
+def payload_rejects(s, d):
+    """OP-01: what is no list, and envelopes without a result."""
+    return ops.payload_rows(ops.unwrap_envelope(_envelopes(s, d), "ReadRows"), "k long")[1].select("id", F.col("payload").isNull().alias("no_result"))
 
 
 @_query("SELECT source, sha256(text) AS sha, max(doc_id) AS retrieved_at, count(*) AS row_count FROM documents GROUP BY source, sha256(text)")
@@ -54,16 +68,21 @@ def filing_upsert(s, d):
     return ops.first_per_key(rows, ["company_id", "fiscal_year", "scope"], F.desc("o_orderdate"), F.desc("filing")).drop("o_orderdate")
 
 
-@_query("""WITH listing AS (SELECT s_nationkey AS nation, s_name AS name, 'individual' AS scope, 1 AS scope_rank, s_suppkey AS ord FROM supplier
+@_query(r"""WITH listing AS (SELECT s_nationkey AS nation, s_name AS name, 'individual' AS scope, 1 AS scope_rank, s_suppkey AS ord FROM supplier
     UNION ALL SELECT c_nationkey, c_name, 'consolidated', 0, c_custkey FROM customer WHERE c_acctbal > 5000)
-    SELECT nation, arg_min(name, scope_rank * 1000000000 + ord) AS name, list_sort(list(DISTINCT scope)) AS available_scopes, CASE WHEN bool_or(scope = 'consolidated') THEN 'consolidated' ELSE 'individual' END AS preferred_scope FROM listing WHERE trim(name) <> '' GROUP BY nation""")
+    SELECT *, CASE WHEN contains(lower(name), '1') THEN 'full' WHEN contains(lower(name), 'supplier') THEN 'unsupported' ELSE 'basic' END AS support_level FROM (
+    SELECT nation, regexp_replace(trim(arg_min(name, scope_rank * 1000000000 + ord)), '\s+', ' ', 'g') AS name, list_sort(list(DISTINCT scope)) AS available_scopes, CASE WHEN bool_or(scope = 'consolidated') THEN 'consolidated' ELSE 'individual' END AS preferred_scope FROM listing WHERE trim(name) <> '' AND nation IS NOT NULL GROUP BY nation)""")
 def catalog_merge(s, d):
-    """OP-06: per-scope listings to one row an issuer: attributes of the first row seen, scopes consolidated first."""
+    """OP-06: per-scope listings to one row an issuer: attributes of the first row seen, scopes consolidated first, by folded name.
+
+    The balance condition stands for the issuers that a listing holds; digits and a word stand for the support hints.
+    """
     a = table(s, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"), F.lit("individual").alias("scope"), F.lit(1).alias("scope_rank"), F.col("s_suppkey").alias("ord"))
     b = table(s, d, "customer").filter("c_acctbal > 5000").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), F.lit("consolidated").alias("scope"), F.lit(0).alias("scope_rank"), F.col("c_custkey").alias("ord"))
-    rows = a.unionByName(b).filter("trim(name) <> ''")
+    rows = a.unionByName(b).filter("trim(name) <> '' and nation is not null")
     scopes = F.array_sort(F.collect_set("scope"))  # "consolidated" sorts before "individual"
-    return rows.groupBy("nation").agg(F.min_by("name", F.struct("scope_rank", "ord")).alias("name"), scopes.alias("available_scopes"), F.min("scope").alias("preferred_scope"))
+    one = rows.groupBy("nation").agg(collapse(F.min_by("name", F.struct("scope_rank", "ord"))).alias("name"), scopes.alias("available_scopes"), F.min("scope").alias("preferred_scope"))
+    return one.withColumn("support_level", classify_support(["name"], finance=("supplier",), mining=("1",))).orderBy(fold("name"), "nation")
 
 
 @_query("""WITH existing AS (SELECT c_custkey AS company_id, CASE WHEN c_custkey % 3 = 0 THEN 'completed' WHEN c_custkey % 3 = 1 THEN 'queued' END AS status, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS scope FROM customer),
@@ -91,15 +110,19 @@ def coverage_backfill(s, d):
     return joined.select(F.col("c_custkey").alias("company_id"), F.coalesce("filings", F.lit(0)).alias("filings"), "last_year", "scopes", "latest_scope", step.alias("step"))
 
 
-@_query(r"""WITH r AS (SELECT page_id, url, url LIKE 'https://%' AS https, regexp_matches(url, '^https?://[a-z0-9.\-]+') AS host, count(*) OVER (PARTITION BY lower(url)) = 1 AS single FROM pages)
-    SELECT page_id, https AND host AND single AS valid, concat_ws(',', CASE WHEN NOT https THEN 'https' END, CASE WHEN NOT host THEN 'host' END, CASE WHEN NOT single THEN 'unique' END) AS errors FROM r""")
+@_query(r"""WITH r AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN replace(url, 'http://', 'https://') ELSE url END AS url, 1998 + page_id % 20 AS y, CASE page_id % 6 WHEN 0 THEN 'A' WHEN 5 THEN 'Q' ELSE CAST(page_id % 6 AS VARCHAR) END AS period, CASE page_id % 4 WHEN 3 THEN 'other' WHEN 2 THEN 'consolidated' ELSE 'individual' END AS scope, page_id % 3 AS tokens, page_id // 2 AS k, page_id % 13 <> 0 AS named FROM pages),
+    c AS (SELECT page_id, regexp_matches(url, '^https://[^/?#]+') AS https, y >= 2000 AS year, period IN ('A', '1', '2', '3', '4') AS period, scope IN ('individual', 'consolidated') AS scope, tokens >= 2 AS identity, named AS document_name, count(*) OVER (PARTITION BY k) = 1 AS single FROM r)
+    SELECT page_id, concat_ws(',', CASE WHEN NOT https THEN 'source_url' END, CASE WHEN NOT year THEN 'fiscal_year' END, CASE WHEN NOT period THEN 'period_code' END, CASE WHEN NOT scope THEN 'scope' END, CASE WHEN NOT identity THEN 'identity_tokens' END, CASE WHEN NOT document_name THEN 'document_name' END, CASE WHEN NOT single THEN 'source_key' END) AS errors FROM c""")
 def source_catalog_validate(s, d):
-    """OP-09: rules over a source list; every failing rule is named."""
-    https, host = F.col("url").startswith("https://"), F.col("url").rlike(r"^https?://[a-z0-9.\-]+")
-    single = F.count("*").over(Window.partitionBy(F.lower("url"))) == 1
-    rows = table(s, d, "pages").select("page_id", https.alias("https"), host.alias("host"), single.alias("single"))
-    errors = F.concat_ws(",", *(F.when(~F.col(c), n) for c, n in (("https", "https"), ("host", "host"), ("single", "unique"))))
-    return rows.select("page_id", (F.col("https") & F.col("host") & F.col("single")).alias("valid"), errors.alias("errors"))
+    """OP-09: a JSON list of sources, made of the pages, with every rule that an entry breaks."""
+    url = F.when(F.pmod("page_id", F.lit(5)) == 0, F.replace("url", F.lit("http://"), F.lit("https://"))).otherwise(F.col("url"))
+    tokens = F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), F.pmod("page_id", F.lit(3)).cast("int"))
+    period = F.expr("case page_id % 6 when 0 then 'A' when 5 then 'Q' else string(page_id % 6) end")
+    scope = F.expr("case page_id % 4 when 3 then 'other' when 2 then 'consolidated' else 'individual' end")
+    name = F.when(F.pmod("page_id", F.lit(13)) == 0, F.lit("  ")).otherwise(F.lit("report.pdf"))
+    entry = F.struct(F.floor(F.col("page_id") / 2).cast("string").alias("source_key"), F.lit("B1").alias("company_id"), (F.lit(1998) + F.pmod("page_id", F.lit(20))).cast("int").alias("fiscal_year"), period.alias("period_code"), scope.alias("scope"), name.alias("document_name"), url.alias("source_url"), tokens.alias("identity_tokens"))
+    lists = table(s, d, "pages").select(F.col("page_id").alias("id"), F.to_json(F.array(entry)).alias("payload"))
+    return ops.source_entries(lists)[0].select(F.col("id").alias("page_id"), "errors")
 
 
 @_query("""SELECT source_key, s_suppkey, n_name, n_name IS NULL AS rejected FROM (SELECT s_name AS source_key, s_suppkey, CASE WHEN s_suppkey % 17 = 0 THEN -1 ELSE s_nationkey END AS nk FROM supplier) LEFT JOIN nation ON nk = n_nationkey""")
@@ -111,11 +134,15 @@ def source_register(s, d):
 
 @_query("""SELECT 'status_known' AS rule, count(*) FILTER (o_orderstatus NOT IN ('F','O','P')) AS violations FROM orders UNION ALL SELECT 'price_positive', count(*) FILTER (NOT o_totalprice > 0) FROM orders
     UNION ALL SELECT 'priority_not_blank', count(*) FILTER (NOT trim(o_orderpriority) <> '') FROM orders UNION ALL SELECT 'before_2000', count(*) FILTER (NOT year(o_orderdate) < 2000) FROM orders
-    UNION ALL SELECT 'unique_line', (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))""")
+    UNION ALL SELECT 'urgent_open_has_price', count(*) FILTER (o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' AND NOT o_totalprice > 1000) FROM orders UNION ALL SELECT 'pair_status', count(*) FILTER ((o_orderstatus = 'F') <> (o_orderdate < TIMESTAMP '1996-01-01')) FROM orders
+    UNION ALL SELECT 'one_current', (SELECT count(*) FROM (SELECT 1 FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey HAVING count(*) > 1)) UNION ALL SELECT 'unique_line', (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))""")
 def constraint_audit(s, d):
     rules = {"status_known": "o_orderstatus in ('F','O','P')", "price_positive": "o_totalprice > 0", "priority_not_blank": "trim(o_orderpriority) <> ''", "before_2000": "year(o_orderdate) < 2000"}
+    # a field that one state needs, a status that two fields must agree on, and one current row a key
+    rules |= {"urgent_open_has_price": "not (o_orderpriority = '1-URGENT' and o_orderstatus = 'O') or o_totalprice > 1000", "pair_status": "(o_orderstatus = 'F') = (o_orderdate < timestamp_ntz'1996-01-01')"}
+    current = ops.duplicate_keys(table(s, d, "orders").filter("o_orderstatus = 'P'"), ["o_custkey"]).agg(F.lit("one_current").alias("rule"), F.count("*").alias("violations"))
     unique = ops.duplicate_keys(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]).agg(F.lit("unique_line").alias("rule"), F.count("*").alias("violations"))
-    return ops.constraint_audit(table(s, d, "orders"), rules).unionByName(unique)
+    return ops.constraint_audit(table(s, d, "orders"), rules).unionByName(unique).unionByName(current)
 
 
 @_query("""SELECT *, companies >= 5 AND filings >= 100 AND facts >= 1000 AND documents >= 100 AS complete FROM (SELECT count(*) AS companies FROM supplier), (SELECT count(*) AS filings FROM orders), (SELECT count(*) AS facts, count(*) FILTER (l_returnflag = 'N') AS computed FROM lineitem), (SELECT count(*) AS documents FROM documents), (SELECT count(*) AS events FROM events)""")
@@ -141,24 +168,25 @@ def map_currency(c, first: str = "sol", second: str = "lares"):
     return F.when(low.contains(first), "PEN").when(low.contains(second), "USD")
 
 
-def classify_support(name, activity_code=None, finance=K.FINANCE_HINTS, mining=K.MINING_HINTS):
-    """OP-21: how far a company is supported; the order of the tests matters."""
-    text = fold(name)
-    code = F.left(activity_code, F.lit(2)) if activity_code is not None else F.lit("")
-    return F.when(code.isin(*K.FULL_ACTIVITY) | contains_any(text, mining), "full").when(code.isin(*K.UNSUPPORTED_ACTIVITY) | contains_any(text, finance), "unsupported").otherwise("basic")
+def classify_support(texts, activity_code=None, known_id=None, known=(), finance=K.FINANCE_HINTS, mining=K.MINING_HINTS):
+    """OP-21: how far a company is supported, by its id, activity code, and name, type and sector (texts); the order of the tests matters."""
+    text = fold(F.concat_ws(" ", *texts))
+    code = F.left(F.trim(activity_code), F.lit(2)) if activity_code is not None else F.lit("")
+    is_known = F.coalesce(known_id.isin(*known), F.lit(False)) if known_id is not None and known else F.lit(False)
+    return F.when(is_known | code.isin(*K.FULL_ACTIVITY) | contains_any(text, mining), "full").when(code.isin(*K.UNSUPPORTED_ACTIVITY) | contains_any(text, finance), "unsupported").otherwise("basic")
 
 
-@_query("""SELECT p_partkey, p_name, CASE WHEN left(CAST(p_size + 60 AS VARCHAR), 2) IN ('07', '08') OR contains(lower(p_name), 'steel') OR contains(lower(p_name), 'gold') THEN 'full'
-    WHEN left(CAST(p_size + 60 AS VARCHAR), 2) IN ('64', '65', '66') OR contains(lower(p_name), 'blue') THEN 'unsupported' ELSE 'basic' END AS support FROM part""")
+@_query("""SELECT p_partkey, p_name, CASE WHEN p_partkey IN (3, 5) OR left(lpad(CAST(p_size + 30 AS VARCHAR), 2, '0'), 2) IN ('07', '08') OR contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'steel') OR contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'promo') THEN 'full'
+    WHEN left(CAST(p_size + 30 AS VARCHAR), 2) IN ('64', '65', '66') OR contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'blue') OR contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'brand#2') THEN 'unsupported' ELSE 'basic' END AS support FROM part""")
 def support_classify(s, d):
-    code = (F.col("p_size") + 60).cast("string")
-    return table(s, d, "part").select("p_partkey", "p_name", classify_support(F.col("p_name"), code, finance=("blue",), mining=("steel", "gold")).alias("support"))
+    code = (F.col("p_size") + 30).cast("string")
+    return table(s, d, "part").select("p_partkey", "p_name", classify_support(["p_name", "p_brand", "p_type"], code, F.col("p_partkey"), (3, 5), finance=("blue", "brand#2"), mining=("steel", "promo")).alias("support"))
 
 
-@_query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), lower('A_')) OR contains(lower(p_name), lower('a 1')) OR contains(lower(p_name), '1%') OR contains(lower(p_name), '12')")
+@_query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), lower('D W')) OR contains(lower(p_name), lower('r_ng')) OR contains(lower(p_name), '%') OR contains(lower(p_name), 'ring')")
 def literal_search(s, d):
     p = table(s, d, "part").select("p_partkey", "p_name")
-    return ops.literal_search(p, "p_name", "A_").union(ops.literal_search(p, "p_name", "a 1")).union(ops.literal_search(p, "p_name", "1%")).union(ops.literal_search(p, "p_name", "12")).distinct()
+    return ops.literal_search(p, "p_name", "D W").union(ops.literal_search(p, "p_name", "r_ng")).union(ops.literal_search(p, "p_name", "%")).union(ops.literal_search(p, "p_name", "ring")).distinct()
 
 
 @_query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(lower(coalesce(c_name, '')), 'build') OR contains(lower(coalesce(c_mktsegment, '')), 'build')")
@@ -167,11 +195,24 @@ def directory_search(s, d):
     return table(s, d, "customer").filter(F.exists(F.array("c_name", "c_mktsegment"), lambda c: F.coalesce(F.lower(c).contains("build"), F.lit(False)))).select("c_custkey", "c_name", "c_mktsegment")
 
 
-@_query(r"""SELECT event_id, concat_ws(',', CASE WHEN event_type NOT IN ('signup', 'purchase', 'view') THEN 'category' END, CASE WHEN value IS NULL OR value < 0 THEN 'value' END, CASE WHEN NOT json_valid(props) THEN 'metadata' END, CASE WHEN ts IS NULL THEN 'published_at' END) AS errors FROM events""")
+_RAW_EVENTS = """raw AS (SELECT event_id, CASE WHEN event_id % 29 = 0 THEN '' ELSE ' B' || CAST(user_id AS VARCHAR) || ' ' END AS company_id, 'prov' AS source_provider, CAST(event_id AS VARCHAR) AS external_id, CASE event_type WHEN 'view' THEN ' debt ' WHEN 'click' THEN 'dividends' WHEN 'purchase' THEN 'operations' WHEN 'signup' THEN 'meetings' ELSE 'gossip' END AS category,
+    '  Title ' || repeat('x', CAST(event_id % 260 AS INTEGER)) AS title, ' ' || repeat('s', CAST(event_id % 1300 + 1 AS INTEGER)) AS summary, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '+00:00' WHEN 2 THEN '-05:00' ELSE 'Z' END AS published_at,
+    CASE event_id % 5 WHEN 0 THEN '2024-02-30' WHEN 1 THEN '2024-02-29' WHEN 2 THEN '' ELSE NULL END AS effective_date, CASE event_id % 6 WHEN 0 THEN 'http://h.org/a' WHEN 1 THEN 'https:///a' ELSE ' https://h.org/a?b ' END AS source_url FROM events)"""
+
+
+@_query(rf"""WITH {_RAW_EVENTS}, c AS (SELECT *, concat_ws(',', CASE WHEN company_id = '' THEN 'required' END, CASE WHEN trim(category) NOT IN ('dividends', 'management', 'meetings', 'debt', 'operations', 'litigation', 'production', 'other') THEN 'category' END,
+      CASE WHEN NOT regexp_matches(trim(source_url), '^https://[^/?#]+') THEN 'source_url' END, CASE WHEN NOT regexp_matches(published_at, '(Z|[+-][0-9][0-9]:[0-9][0-9])$') THEN 'published_at' END, CASE WHEN effective_date = '2024-02-30' THEN 'effective_date' END,
+      CASE WHEN length(trim(title)) > 240 THEN 'title' END, CASE WHEN length(trim(summary)) > 1200 THEN 'summary' END) AS errors FROM raw)
+    SELECT event_id, errors, CASE WHEN errors = '' THEN trim(company_id) END AS company_id, CASE WHEN errors = '' THEN trim(category) END AS category, CASE WHEN errors = '' THEN trim(title) END AS title, CASE WHEN errors = '' THEN nullif(effective_date, '') END AS effective_date FROM c""")
 def event_validate(s, d):
-    """OP-29: every failing rule of a record is named; a record without any is valid."""
-    checks = {"category": ~F.col("event_type").isin("signup", "purchase", "view"), "value": F.col("value").isNull() | (F.col("value") < 0), "metadata": F.expr("try_parse_json(props) is null"), "published_at": F.col("ts").isNull()}
-    return table(s, d, "events").select("event_id", F.concat_ws(",", *(F.when(c, n) for n, c in checks.items())).alias("errors"))
+    """OP-29: every failing rule of a record is named; a record without any is valid and comes normalised."""
+    raw = table(s, d, "events").selectExpr(
+        "event_id", "if(event_id % 29 = 0, '', concat(' B', user_id, ' ')) as company_id", "'prov' as source_provider", "string(event_id) as external_id", "case event_type when 'view' then ' debt ' when 'click' then 'dividends' when 'purchase' then 'operations' when 'signup' then 'meetings' else 'gossip' end as category",
+        "concat('  Title ', repeat('x', int(event_id % 260))) as title", "concat(' ', repeat('s', int(event_id % 1300 + 1))) as summary", "concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), case event_id % 4 when 0 then '' when 1 then '+00:00' when 2 then '-05:00' else 'Z' end) as published_at",
+        "case event_id % 5 when 0 then '2024-02-30' when 1 then '2024-02-29' when 2 then '' end as effective_date", "case event_id % 6 when 0 then 'http://h.org/a' when 1 then 'https:///a' else ' https://h.org/a?b ' end as source_url",
+    )
+    found = ops.validate_events(raw)
+    return found.select("event_id", "errors", "company_id", "category", "title", "effective_date")
 
 
 @_query("SELECT event_id, sha256('=' || event_type || chr(31) || coalesce('=' || props, '-') || chr(31) || '=' || CAST(user_id AS VARCHAR)) AS hash FROM events")
@@ -228,9 +269,10 @@ def refresh_candidates(s, d):
     return rows.filter("has_metric and (coalesce(has_origin, false) or has_source)").select(F.col("o_custkey").alias("company_id"), F.year("o_orderdate").alias("fiscal_year")).distinct()
 
 
-@_query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@_query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND year(o_orderdate) = 1997)")
 def unrecorded(s, d):
-    return table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """OP-38: customers without a pending order of one year."""
+    return table(s, d, "customer").join(table(s, d, "orders").filter("o_orderstatus = 'P' and year(o_orderdate) = 1997"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @_query("SELECT o_orderkey AS job_id, step, CAST(ord AS INTEGER) AS ord FROM orders, (VALUES ('statements', 1), ('metrics', 2), ('documents', 3), ('summaries', 4)) t(step, ord) WHERE o_orderstatus <> 'F'")
@@ -255,11 +297,11 @@ def json_recompute(s, d):
     return table(s, d, "events").filter("value < 50").select("event_id", "event_type", F.when(F.col("event_type") == "view", k * 2).when(F.col("event_type") == "click", k + 1).otherwise(-k).alias("recomputed"))
 
 
-@_query("""SELECT o.o_orderkey AS filing, coalesce((SELECT arg_max(p.o_orderpriority, p.o_orderkey) FROM orders p WHERE p.o_custkey = o.o_custkey AND year(p.o_orderdate) = year(o.o_orderdate) AND p.o_orderstatus = 'F' AND p.o_orderkey < 3000), 'unknown') AS scale FROM orders o WHERE o.o_orderstatus = 'O'""")
+@_query("""SELECT o.o_orderkey AS filing, coalesce((SELECT arg_max(p.o_orderpriority, p.o_orderkey) FROM orders p WHERE p.o_custkey = o.o_custkey AND year(p.o_orderdate) = year(o.o_orderdate) AND p.o_orderstatus = 'F'), 'unknown') AS scale FROM orders o WHERE o.o_orderstatus = 'O'""")
 def scale_reuse(s, d):
     """OP-53: the latest verified value of an equal key, or unknown."""
     o = table(s, d, "orders").withColumn("y", F.year("o_orderdate"))
-    known = o.filter("o_orderstatus = 'F' and o_orderkey < 3000").groupBy("o_custkey", "y").agg(F.max_by("o_orderpriority", "o_orderkey").alias("known"))
+    known = o.filter("o_orderstatus = 'F'").groupBy("o_custkey", "y").agg(F.max_by("o_orderpriority", "o_orderkey").alias("known"))
     return o.filter("o_orderstatus = 'O'").join(known, ["o_custkey", "y"], "left").select(F.col("o_orderkey").alias("filing"), F.coalesce("known", F.lit("unknown")).alias("scale"))
 
 
@@ -423,10 +465,10 @@ def activity_feed(s, d):
 
 
 @_query("""SELECT user_id, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('view', 'purchase')) e WHERE n = 1 AND event_type = 'view'
-    AND NOT EXISTS (SELECT 1 FROM events x WHERE x.event_type = 'signup' AND x.user_id = e.user_id)""")
+    AND NOT EXISTS (SELECT 1 FROM events x WHERE x.event_type = 'signup' AND x.event_id % 50 = 0 AND x.user_id = e.user_id)""")
 def insert_if_absent(s, d):
     e = table(s, d, "events")
-    return ops.insert_if_absent(e.filter("event_type = 'signup'"), e.filter("event_type = 'view'"), ["user_id"], F.col("ts"), F.col("event_id")).select("user_id", "event_id")
+    return ops.insert_if_absent(e.filter("event_type = 'signup' and event_id % 50 = 0"), e.filter("event_type = 'view'"), ["user_id"], F.col("ts"), F.col("event_id")).select("user_id", "event_id")
 
 
 @_query("SELECT o_orderkey, CAST(last_day(make_date(CAST(year(o_orderdate) AS INTEGER), CAST(CASE WHEN o_orderkey % 5 = 0 THEN 12 ELSE o_orderkey % 5 * 3 END AS INTEGER), 1)) AS DATE) AS cutoff FROM orders")
