@@ -178,7 +178,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     reps = chosen.select("node", F.posexplode("prefix").alias("pos", "shingle"))
     shared = reps.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
     lists = reps.join(shared, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "shingle", "c"))).alias("g"))
-    cards = durable(chosen.select("node", "n", *maps).join(lists, "node"), "jaccard-cards")
+    cards = durable(lists.join(chosen.select("node", "n", *maps), "node"), "jaccard-cards")
 
     # candidates inside random blocks
     # parity bits fold: the exclusive or of the map's quarters is the map of a quarter of the size
@@ -216,7 +216,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     mixed = mixed.select("shingle", "major", F.ceil((F.col("all") - F.col("most")) / X_ROWS).cast("int").alias("kx"), F.ceil(F.col("all") / Y_ROWS).cast("int").alias("ky"))
     order = placed.select("node", "n", "component", *maps, F.expr("transform(g, e -> e.shingle)").alias("s"), F.posexplode("g").alias("k", "g"))
     order = order.select("node", "n", "component", *maps, "g.pos", "g.shingle", F.expr("slice(s, 1, k)").alias("earlier"))
-    order = order.join(mixed, "shingle")
+    # where few groups are left, the rows of all others go before anything is shuffled
+    order = order.join(broadcast_if_small(durable(mixed, "jaccard-mixed")), "shingle")
     own = lambda k: F.pmod(F.xxhash64("node", "shingle"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     x = order.filter("component != major").withColumn("bx", own("kx")).withColumn("by", every("ky")).alias("x")
