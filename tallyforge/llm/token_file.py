@@ -33,7 +33,7 @@ from . import _text as tx
 from ._spark import durable, new_path
 
 #: Entries of a worker's memory of encoded pieces; a full one starts anew.
-MEMORY = 500_000
+MEMORY = 1_000_000
 #: Input bytes of one range of documents: at least, and at most; between them, so many that each core gets RANGES_A_CORE.
 RANGE_BYTES, MOST_RANGE_BYTES, RANGES_A_CORE = 24 << 20, 1 << 30, 32
 
