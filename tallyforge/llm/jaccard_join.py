@@ -16,7 +16,7 @@ component.  The steps, each a Spark job over the whole table:
    groups that hold several, each pair at its first common shingle only, and dealt to tasks in squares.
 6. Length, positional and suffix filters (the suffix filter is a lower bound of the symmetric
    difference, from the parity bitmaps) thin out candidates inside the join; survivors are verified
-   once, on the sets themselves.
+   once, on the sets themselves.  What moves for that is the compressed texts, of which the tasks make the sets anew.
 
 Hash collisions: shingles are 64-bit hashes, classes 128-bit signatures; a row is found again by its doc_id and a 64-bit
 hash of its text.
@@ -29,6 +29,7 @@ An empty table gives an empty result.  Equal sets tie to the smallest doc_id.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -47,6 +48,8 @@ BITMAP_WORDS = 16
 BLOCK = 12
 #: Sides of the squares of pairs that one task checks of a group whose classes are still apart.
 X_ROWS, Y_ROWS = 256, 2048
+#: Texts that a task holds compressed at once while packing, and pairs whose texts it holds while checking.
+PACKED_ROWS, CHECKED_PAIRS = 256, 16
 
 
 def _sets(piece: tx.Piece, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,29 +117,48 @@ def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text", "h").mapInArrow(profile, schema)
 
 
-def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """node and the distinct shingle hashes of each row of docs (node, text)."""
+def _packed_texts(docs: DataFrame) -> DataFrame:
+    """node and the compressed text of each row of docs (node, text): a set of hashes takes several times the bytes."""
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in tx.pieces(batch.column(1), tx.SPACES):
-                grams, of = _sets(piece, n)
-                edge = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=piece.n))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(grams.view(np.int64)))], ["node", "grams"])
+            texts = batch.column(1).cast(pa.binary())
+            for at in range(0, batch.num_rows, PACKED_ROWS):
+                data = pa.array([zlib.compress(x.as_py() or b"") for x in texts.slice(at, PACKED_ROWS)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, PACKED_ROWS), data], ["node", "data"])
+
+    return docs.select("node", "text").mapInArrow(pack, "node long, data binary")
+
 
-    return docs.select("node", "text").mapInArrow(shingles, "node long, grams array<long>")
+def _set_of_each(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Distinct shingles of each text in order."""
+    for piece in tx.pieces(texts, tx.SPACES):
+        grams, of = _sets(piece, n)
+        edge = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=piece.n))])
+        yield from (grams[edge[d] : edge[d + 1]] for d in range(piece.n))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link, each verified once on whole sets (node, grams)."""
-    # pairs are two numbers a row: counted, they go to the sets, which then need not move for this side
-    first = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")).join(broadcast_if_small(pairs), "a")
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that link, each verified once on the whole sets of its texts (node, data)."""
+    # pairs are two numbers a row: counted, they go to the texts, which then need not move for this side
+    first = texts.select(F.col("node").alias("a"), F.col("data").alias("ta")).join(broadcast_if_small(pairs), "a")
     asked = broadcast_if_small(pairs.select("b").distinct())
-    second = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")).join(asked, "b", "left_semi")
-    joined = first.join(second, "b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    both = joined.select("a", "b", common.alias("i"), (F.size("ga") + F.size("gb") - common).alias("u"))
-    return durable(both.filter(F.col("i") * 100 >= F.col("u") * percent).select("a", "b").distinct(), "jaccard-links")
+    second = texts.select(F.col("node").alias("b"), F.col("data").alias("tb")).join(asked, "b", "left_semi")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHECKED_PAIRS):
+                block = batch.slice(at, CHECKED_PAIRS)
+                both = [zlib.decompress(x.as_py()) for pair in zip(block.column(2), block.column(3)) for x in pair]
+                sets = _set_of_each(pa.array(both, pa.large_binary()), n)
+                linked = []
+                for x, y in zip(sets, sets):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    linked.append(common * 100 >= (len(x) + len(y) - common) * percent)
+                yield block.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    both = first.join(second, "b").select("a", "b", "ta", "tb")
+    return durable(both.mapInArrow(check, "a long, b long").distinct(), "jaccard-links")
 
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -195,16 +217,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     large = cards.filter(F.exists("g", lambda e: e["c"] > BLOCK)).select("node")
     asked = large.unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     wanted = durable(classes.select("doc_id", "h", "node").join(asked, "node", "left_semi"), "jaccard-ids")
-    sets = shingle_sets(docs.join(broadcast_if_small(wanted), ["doc_id", "h"]), n)
-    sets = durable(sets.dropDuplicates(["node"]) if copied else sets, "jaccard-sets")
+    texts = _packed_texts(docs.join(broadcast_if_small(wanted), ["doc_id", "h"]))
+    texts = durable(texts.dropDuplicates(["node"]) if copied else texts, "jaccard-texts")
 
     # one or two partners of each class first: that connects most, and spares most other checks
     star = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(near.groupBy("a").agg(F.max("b").alias("b"))).distinct()
     star = durable(star, "jaccard-star")
-    links = _verified(star, sets, percent)
+    links = _verified(star, texts, n, percent)
     known = connected_components(links)
     rest = durable(_apart(near.join(star, ["a", "b"], "left_anti"), known), "jaccard-rest")
-    links = links.unionByName(_verified(rest, sets, percent))
+    links = links.unionByName(_verified(rest, texts, n, percent))
     known = connected_components(links)
 
     # every other candidate pair whose classes are still apart; groups of one block are done
@@ -227,7 +249,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     far = x.join(y, square & apart & _may_link(percent, True) & _near_enough(percent) & ~F.arrays_overlap("x.earlier", "y.earlier"))
     far = far.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     far = durable(far.join(near, ["a", "b"], "left_anti"), "jaccard-far")
-    links = links.unionByName(_verified(far, sets, percent))
+    links = links.unionByName(_verified(far, texts, n, percent))
 
     # rows that repeat a doc_id are one document: its classes are linked
     twice = durable(profiles.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1 and doc_id is not null").select("doc_id"), "jaccard-twice")
