@@ -117,3 +117,9 @@ SCALE_WORDS = (("thousands", r"\(\s*0{3}\s*\)|\bmiles\b"), ("millions", r"\bmill
 COVER_PERIOD = r"(estados financieros.{0,100}?31 de diciembre de 20[0-9]{2})"
 LABEL_ALIAS = ("propiedades", "propiedad")
 LABEL_STOP_WORDS = ("de", "del", "y", "la", "el", "los", "las", "neto", "netos")
+
+# The page of a presentation policy, its statement, its exceptions, and those exceptions that leave the unit as it is.
+POLICY_PAGE = r"bases de preparacion|moneda de presentacion"
+POLICY_STATEMENT = r"(?:los |estos )estados financieros(?: consolidados| separados| individuales)? se (?:presentan|expresan)[^.]{0,400}\."
+POLICY_EXCEPTION = r"excepto[^.]*|salvo[^.]*"
+POLICY_ALLOWED = ("excepto donde se indique de otro modo", "excepto donde se indique lo contrario", "salvo que se indique lo contrario")

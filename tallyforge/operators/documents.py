@@ -45,6 +45,48 @@ def form_extract(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", title.alias("title"), squash(title).alias("title_key"), F.size(entry).alias("entries"), F.map_from_entries(F.transform(first, lambda p: F.struct(p["k"], p["v"]))).alias("links"))
 
 
+def _entities(c: Column) -> Column:
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return c
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, with the predefined entities read; empty if it has none."""
+    return _entities(F.regexp_extract(tag, rf'(?is)\s{name}\s*=\s*"([^"]*)"', 1))
+
+
+def form_fields(pages: DataFrame, select: str, link_id: str, not_titled: str = "XBRL") -> DataFrame:
+    """OP-15: page_id, hidden (name -> value), options (code, label) of the list named ``select``, links.
+
+    Of hidden fields with one name the last counts.  An option without a value is none.  Links are those whose id has
+    ``link_id`` in it and whose title does not have ``not_titled``, in any case, in the page's order.
+    A page without html has empty fields.
+    """
+    html = F.coalesce("html", F.lit(""))
+    tags = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+    inputs = F.filter(tags(r"(?is)<input\s[^>]*>"), lambda t: (F.lower(_attribute(t, "type")) == "hidden") & (_attribute(t, "name") != ""))
+    fields = F.transform(inputs, lambda t: F.struct(_attribute(t, "name").alias("k"), _attribute(t, "value").alias("v")))
+    # folded from the end, so that of equal names the last stays
+    last = F.aggregate(F.reverse(fields), F.slice(fields, 1, 0), lambda found, f: F.when(F.exists(found, lambda x: x["k"] == f["k"]), found).otherwise(F.concat(found, F.array(f))))
+    body = F.regexp_extract(html, rf'(?is)<select\s(?:[^>]*\s)?name\s*=\s*"{select}"[^>]*>(.*?)</select>', 1)
+    each = F.filter(F.regexp_extract_all(body, F.lit(r"(?is)<option\s[^>]*>[^<]*"), F.lit(0)), lambda o: o.rlike(r'(?is)^<option\s(?:[^>]*\s)?value\s*=\s*"'))
+    options = F.transform(each, lambda o: F.struct(_attribute(o, "value").alias("code"), F.trim(_entities(F.regexp_replace(o, r"(?s)^[^>]*>", ""))).alias("label")))
+    anchors = F.filter(tags(r"(?is)<a\s[^>]*>"), lambda t: F.contains(_attribute(t, "id"), F.lit(link_id)) & ~F.contains(F.upper(_attribute(t, "title")), F.lit(not_titled.upper())))
+    return pages.select("page_id", F.map_from_entries(last).alias("hidden"), options.alias("options"), F.transform(anchors, lambda t: F.trim(_attribute(t, "href"))).alias("links"))
+
+
+def match_option(forms: DataFrame, wanted: DataFrame) -> DataFrame:
+    """OP-15: page_id, name, matches and code of each name (page_id, name): the code of the one option of that name.
+
+    Labels and names are equal if their folded letters and digits are; with none or several equal labels the code is null.
+    """
+    fits = F.filter("options", lambda o: squash(o["label"]) == F.col("_key"))
+    found = wanted.withColumn("_key", squash("name")).join(forms.select("page_id", "options"), "page_id", "left").withColumn("_fits", fits)
+    n = F.coalesce(F.array_size("_fits"), F.lit(0))
+    return found.select("page_id", "name", n.alias("matches"), F.when(n == 1, F.try_element_at("_fits", F.lit(1))["code"]).alias("code"))
+
+
 # ---- titles, headers, numbers
 
 
@@ -71,6 +113,23 @@ def explicit_scale(header: Column, currency: Column) -> Column:
     return F.when(fits & (F.size(named) == 1), named[0])
 
 
+def presentation_policy(pages: DataFrame, currency: str) -> DataFrame:
+    """OP-90: doc_id, scale, page, declaration, exception of each document that states one unit for all its figures.
+
+    pages: doc_id, page, text.  Statements on pages about the bases of presentation count.  A document has no policy if one of them
+    names no unit of ``currency`` or makes another exception than the general ones, or if two name different units.  The
+    first statement is given; ``exception`` is null where it makes none.
+    """
+    folded = pages.select("doc_id", "page", fold("text").alias("text")).filter(F.col("text").rlike(K.POLICY_PAGE))
+    said = folded.select("doc_id", "page", F.posexplode(F.regexp_extract_all("text", F.lit(K.POLICY_STATEMENT), F.lit(0))).alias("ord", "declaration"))
+    but = F.regexp_extract("declaration", K.POLICY_EXCEPTION, 0)
+    said = said.select("doc_id", "page", "ord", "declaration", explicit_scale(F.col("declaration"), F.lit(currency)).alias("scale"), F.when(but != "", but).alias("exception"))
+    unsure = F.col("scale").isNull() | F.coalesce(~F.col("exception").isin(*K.POLICY_ALLOWED), F.lit(False))
+    first = F.min_by(F.struct("scale", "page", "declaration", "exception"), F.struct("page", "ord"))
+    whole = said.groupBy("doc_id").agg(F.bool_or(unsure).alias("unsure"), F.countDistinct("scale").alias("scales"), first.alias("p"))
+    return whole.filter("not unsure and scales = 1").select("doc_id", "p.*")
+
+
 def number_tokens(line: Column | str) -> Column:
     """OP-90: accounting numbers of a line; (1,234) is -1234."""
     found = F.regexp_extract_all(line, F.lit(r"(?:^|[^\p{L}\p{N}_.])(\(?-?[0-9][0-9,]*(?:\.[0-9]+)?\)?)"), F.lit(1))

@@ -251,3 +251,13 @@ def facts_digest(facts: DataFrame) -> DataFrame:
     """company_id, fiscal_year and ``now``: a digest of all accounts and amounts, in account order."""
     one = F.concat_ws("|", "statement", "account_code", F.col("current").cast("string"), F.coalesce(F.col("comparative").cast("string"), F.lit("-")))
     return facts.groupBy(*KEY).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), ";"), 256).alias("now"))
+
+
+def reuse_scale(filings: DataFrame, keys: list[str], verified: DataFrame) -> DataFrame:
+    """OP-53: filings with ``reused``, the scale verified last for an equal key, or unknown.
+
+    ``keys`` name company, year, period, scope, statement and digest of the payload; verified: keys, scale and updated_at.
+    An unknown scale is none.  One aggregate a key is joined, so a hot key moves once.
+    """
+    latest = verified.filter("scale <> 'unknown'").groupBy(*keys).agg(F.max_by("scale", F.struct("updated_at", "scale")).alias("reused"))
+    return filings.join(latest, keys, "left").withColumn("reused", F.coalesce("reused", F.lit("unknown")))

@@ -70,6 +70,56 @@ def form_extract(s, d):
     return docs.form_extract(table(s, d, "pages")).select("page_id", "title", "title_key", "entries", F.size("links").alias("labels"))
 
 
+_plain_sql = lambda c: f"replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')"
+_squash_sql = lambda c: f"regexp_replace({_fold_sql(c)}, '[^a-z0-9]', '', 'g')"
+
+
+@_query(rf"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS h, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS l FROM pages),
+    o AS (SELECT page_id, i, h[i] AS code, trim({_plain_sql("l[i]")}) AS label FROM (SELECT page_id, h, l, unnest(range(1, len(l) + 1)) AS i FROM a)),
+    m AS (SELECT w.page_id, count(*) AS n, min({_plain_sql("o.code")}) AS code FROM o w JOIN o ON o.page_id = w.page_id AND {_squash_sql("o.label")} = {_squash_sql("w.label")} WHERE w.i = 1 GROUP BY 1),
+    x AS (SELECT page_id, count(*) AS n, min(label) FILTER (i = 1) AS name, count(*) FILTER (i % 3 <> 0) AS files FROM o GROUP BY 1)
+    SELECT a.page_id, x.name, CAST(m.n AS INTEGER) AS matches, CASE WHEN m.n = 1 THEN m.code END AS code, CAST(x.n AS INTEGER) AS options, {_plain_sql("url")} AS address, CAST(x.files AS INTEGER) AS files
+    FROM a JOIN x USING (page_id) JOIN m USING (page_id)""")
+def form_match(s, d):
+    """OP-15: each page's links stand as the options of its form; the page asks for its first label.  Every third attachment is XBRL."""
+    pages = table(s, d, "pages")
+    found = lambda k: F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">([^<]*)</a>'), F.lit(k))
+    both = F.zip_with(found(1), found(2), lambda h, t: F.struct(h.alias("h"), t.alias("t")))
+    options = F.array_join(F.transform(both, lambda x: F.concat(F.lit('<option value="'), x["h"], F.lit('">'), x["t"], F.lit("</option>"))), "")
+    title = lambda i: F.when(i % 3 == 2, "Xbrl").otherwise("Pdf")
+    files = F.array_join(F.transform(both, lambda x, i: F.concat(F.lit('<a id="grid_files" title="'), title(i), F.lit('" href="'), x["h"], F.lit('">'))), "")
+    form = F.concat(F.lit('<input type="hidden" name="address" value="old"><input type="text" name="free" value="x"><input type="hidden" name="address" value="'), F.col("url"), F.lit('"><select name="other"><option value="1">x</option></select><select name="company">'), options, F.lit("</select>"), files)
+    forms = docs.form_fields(pages.select("page_id", form.alias("html")), "company", "grid").filter(F.size("options") > 0)
+    asked = forms.select("page_id", F.col("options")[0]["label"].alias("name"))
+    shown = forms.select("page_id", F.size("options").alias("options"), F.col("hidden")["address"].alias("address"), F.size("links").alias("files"))
+    return docs.match_option(forms, asked).join(shown, "page_id")
+
+
+#: Sentences that first lines of documents get by their id, with the unit that they state in soles ("": not a policy) and its exception.
+POLICIES = (
+    ("Bases de preparación. Los estados financieros se presentan en miles de soles.", "thousands", None),
+    ("Moneda de presentación: estos estados financieros consolidados se expresan en millones de soles, excepto donde se indique de otro modo.", "millions", "excepto donde se indique de otro modo"),
+    ("Bases de preparación. Los estados financieros se presentan en miles de soles, salvo los importes por acción.", None, None),
+    ("Los estados financieros se presentan en miles de soles.", "", None),
+    ("Bases de preparación. Los estados financieros se presentan en miles de dólares.", None, None),
+    ("Bases de preparación. Los estados financieros separados se presentan en soles.", None, None),
+    ("Bases de preparación. Los estados financieros individuales se expresan en miles de soles, salvo que se indique lo contrario.", "thousands", "salvo que se indique lo contrario"),
+    ("Nada.", "", None),
+)
+SECOND_POLICY = "Moneda de presentación. Los estados financieros se presentan en millones de soles."
+_of_id = lambda k: "[" + ", ".join("NULL" if p[k] is None else f"'{p[k]}'" for p in POLICIES) + f"][doc_id % {len(POLICIES)} + 1]"
+
+
+@_query(f"""WITH p AS (SELECT doc_id, {_of_id(1)} AS one, {_of_id(2)} AS exception, doc_id % 5 = 0 AND contains(text, chr(10)) AS two FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, CASE WHEN one = '' THEN 'millions' ELSE one END AS scale, CASE WHEN one = '' THEN 2 ELSE 1 END AS page, exception FROM p WHERE one IS NOT NULL AND (one <> '' OR two) AND NOT (two AND one = 'thousands')""")
+def presentation_policy(s, d):
+    """OP-90: lines as pages; the first states a unit, the second of every fifth document its own."""
+    first = F.element_at(F.array(*(F.lit(p[0]) for p in POLICIES)), (F.pmod("doc_id", F.lit(len(POLICIES))) + 1).cast("int"))
+    more = F.when(F.col("line_no") == 0, first).when((F.col("line_no") == 1) & (F.pmod("doc_id", F.lit(5)) == 0), SECOND_POLICY)
+    rows = lines(table(s, d, "documents")).select("doc_id", (F.col("line_no") + 1).cast("int").alias("page"), F.concat_ws(" ", "line", more).alias("text"))
+    return docs.presentation_policy(rows, "PEN").drop("declaration")
+
+
 @_query(f"SELECT doc_id, {_fold_sql('text')} AS folded FROM documents")
 def fold_text(s, d):
     return table(s, d, "documents").select("doc_id", fold("text").alias("folded"))

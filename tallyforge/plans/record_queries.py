@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import constants as K
 from tallyforge.functions.text import collapse, contains_any, digest, fold
+from tallyforge.operators import facts
 from tallyforge.operators import records as ops
 from tallyforge.sources.tables import activity, jobs, table, versioned_events
 
@@ -297,12 +298,18 @@ def json_recompute(s, d):
     return table(s, d, "events").filter("value < 50").select("event_id", "event_type", F.when(F.col("event_type") == "view", k * 2).when(F.col("event_type") == "click", k + 1).otherwise(-k).alias("recomputed"))
 
 
-@_query("""SELECT o.o_orderkey AS filing, coalesce((SELECT arg_max(p.o_orderpriority, p.o_orderkey) FROM orders p WHERE p.o_custkey = o.o_custkey AND year(p.o_orderdate) = year(o.o_orderdate) AND p.o_orderstatus = 'F'), 'unknown') AS scale FROM orders o WHERE o.o_orderstatus = 'O'""")
+@_query("""WITH f AS (SELECT o_orderkey AS filing, o_custkey AS company_id, year(o_orderdate) AS fiscal_year, o_orderstatus AS status, CASE o_orderkey % 2 WHEN 0 THEN 'individual' ELSE 'consolidated' END AS scope,
+    CASE o_orderkey % 3 WHEN 0 THEN 'thousands' WHEN 1 THEN 'millions' ELSE 'unknown' END AS scale, o_orderdate AS updated_at, CAST(left(o_orderpriority, 1) AS INTEGER) // 3 AS payload FROM orders),
+    l AS (SELECT *, row_number() OVER (PARTITION BY company_id, fiscal_year, scope, payload ORDER BY updated_at DESC, scale DESC) AS k FROM f WHERE status = 'F' AND scale <> 'unknown')
+    SELECT o.filing, coalesce(l.scale, 'unknown') AS reused FROM f o LEFT JOIN l ON l.k = 1 AND l.company_id = o.company_id AND l.fiscal_year = o.fiscal_year AND l.scope = o.scope AND l.payload = o.payload WHERE o.status = 'O'""")
 def scale_reuse(s, d):
-    """OP-53: the latest verified value of an equal key, or unknown."""
-    o = table(s, d, "orders").withColumn("y", F.year("o_orderdate"))
-    known = o.filter("o_orderstatus = 'F'").groupBy("o_custkey", "y").agg(F.max_by("o_orderpriority", "o_orderkey").alias("known"))
-    return o.filter("o_orderstatus = 'O'").join(known, ["o_custkey", "y"], "left").select(F.col("o_orderkey").alias("filing"), F.coalesce("known", F.lit("unknown")).alias("scale"))
+    """OP-53: orders as filings of one period and statement; finished ones hold verified scales, open ones ask for one."""
+    scope = F.when(F.col("o_orderkey") % 2 == 0, "individual").otherwise("consolidated")
+    scale = F.when(F.col("o_orderkey") % 3 == 0, "thousands").when(F.col("o_orderkey") % 3 == 1, "millions").otherwise("unknown")
+    payload = digest(F.floor(F.left("o_orderpriority", F.lit(1)).cast("int") / 3))
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("filing"), F.col("o_custkey").alias("company_id"), F.year("o_orderdate").alias("fiscal_year"), F.lit("A").alias("period_code"), F.lit("balance_sheet").alias("statement"), F.col("o_orderstatus").alias("status"), scope.alias("scope"), scale.alias("scale"), F.col("o_orderdate").alias("updated_at"), payload.alias("payload"))
+    keys = ["company_id", "fiscal_year", "period_code", "scope", "statement", "payload"]
+    return facts.reuse_scale(o.filter("status = 'O'"), keys, o.filter("status = 'F'")).select("filing", "reused")
 
 
 @_query("SELECT coalesce(status, 'all') AS status, n FROM (SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus))")

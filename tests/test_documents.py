@@ -155,3 +155,37 @@ def test_rerun_changes_nothing(spark, tmp_path):
 def test_payload_rejects(spark):
     rows, bad = records.payload_rows(spark.createDataFrame([(1, '[{"k": 1.5}, {"k": null}]'), (2, "{oops")], "id int, payload string"), "k decimal(30,6)")
     assert rows.count() == 2 and [r["id"] for r in bad.collect()] == [2]
+
+
+def test_form_fields(spark):
+    html = (
+        '<INPUT type="hidden" name="state" value="a&amp;b"><input name="state" type="hidden" value="c"><input type="text" name="free" value="x"><input type="hidden" value="y">'
+        '<select name="other"><option value="9">Alpha</option></select><select id="s" name="company"><option>none</option><option value="1">Álpha S.A.</option><option selected value="2"> Beta &amp; Co </option><option value="3">beta co.</option></select>'
+        '<a id="grid_1" title="pdf" href=" one.pdf "><a id="grid_2" title="file Xbrl" href="two"><a id="menu" href="three"><a href="four" id="x_grid_3">'
+    )
+    forms = docs.form_fields(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id int, html string"), "company", "grid")
+    got = {r["page_id"]: r for r in forms.collect()}
+    assert got[1]["hidden"] == {"state": "c"} and got[1]["links"] == ["one.pdf", "four"]
+    assert [tuple(o) for o in got[1]["options"]] == [("1", "Álpha S.A."), ("2", "Beta & Co"), ("3", "beta co.")]
+    assert all(got[k]["hidden"] == {} and got[k]["options"] == [] and got[k]["links"] == [] for k in (2, 3))
+    wanted = spark.createDataFrame([(1, "ALPHA SA"), (1, "Beta Co"), (1, "Gamma"), (2, "Alpha"), (9, "Alpha"), (1, None)], "page_id int, name string")
+    found = {(r["page_id"], r["name"]): (r["matches"], r["code"]) for r in docs.match_option(forms, wanted).collect()}
+    assert found == {(1, "ALPHA SA"): (1, "1"), (1, "Beta Co"): (2, None), (1, "Gamma"): (0, None), (2, "Alpha"): (0, None), (9, "Alpha"): (0, None), (1, None): (0, None)}
+
+
+def test_presentation_policy(spark):
+    say = "Los estados financieros se presentan en miles de soles"
+    base = "Bases de preparación."
+    pages = [
+        (1, 2, f"{base} {say}, excepto donde se indique de otro modo."),
+        (1, 3, f"{base} {say}."),
+        (2, 1, f"{base} {say}, excepto los importes por acción."),
+        (3, 1, f"{say}."),
+        (4, 1, f"{base} {say}."),
+        (4, 2, "Moneda de presentación. Estos estados financieros se expresan en millones de soles."),
+        (5, 1, f"{base} {say} y miles de dólares."),
+        (6, 1, None),
+        (7, 1, f"{base} {say}. Los estados financieros se presentan sin unidad."),
+    ]
+    rows = docs.presentation_policy(spark.createDataFrame(pages, "doc_id int, page int, text string"), "PEN").collect()
+    assert [(r["doc_id"], r["scale"], r["page"], r["exception"]) for r in rows] == [(1, "thousands", 2, "excepto donde se indique de otro modo")]
