@@ -235,6 +235,25 @@ def compare_companies(found: DataFrame, a: int, b: int, year: int) -> DataFrame:
 
 
 
+def compatible_pairs(pairs: DataFrame, filings: DataFrame, formulas: DataFrame) -> DataFrame:
+    """OP-45: pairs (a, b, fiscal_year) with ``compatible``: may the two companies be compared at all in that year.
+
+    filings: company_id, fiscal_year, period_code, scope, currency_code, scale of the one filing that stands for a year; formulas:
+    company_id, fiscal_year, metric_code, formula_version.  Period, scope and currency must be equal, the scale known and equal, and
+    each metric of a must be one of b by the same formula.  A pair without both filings is not compatible.
+    """
+    year, named = ["fiscal_year"], ("period_code", "scope", "currency_code", "scale")
+    side = lambda x: filings.select(F.col("company_id").alias(x), *year, F.struct(*named).alias(f"f{x}"))
+    both = pairs.join(side("a"), ["a", *year], "left").join(side("b"), ["b", *year], "left")
+    same = (F.col("fa") == F.col("fb")) & (F.col("fa.scale") != "unknown")
+    # at most one row a metric and company, so no pair has more rows than there are metrics
+    of_a = pairs.join(formulas.withColumnRenamed("company_id", "a"), ["a", *year])
+    of_b = formulas.select(F.col("company_id").alias("b"), *year, "metric_code", F.col("formula_version").alias("other"))
+    differs = ~F.col("formula_version").eqNullSafe(F.col("other"))
+    changed = of_a.join(of_b, ["b", *year, "metric_code"], "left").filter(differs).select("a", "b", *year).distinct().withColumn("changed", F.lit(True))
+    return both.join(changed, ["a", "b", *year], "left").select("a", "b", *year, F.coalesce(same & F.col("changed").isNull(), F.lit(False)).alias("compatible"))
+
+
 def apply_scale(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     """OP-52: facts with an unknown scale get the one that verified evidence names, if nothing has changed since.
 

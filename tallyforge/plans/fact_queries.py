@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.constants import CONCEPTS
 from tallyforge.operators import facts as ops
+from tallyforge.sources.shared import checkpointed
 from tallyforge.sources.tables import AMOUNTS, account_rows, table
 
 KEY = ops.KEY
@@ -96,6 +97,19 @@ def company_compare(s, d):
     return _doubles(ops.compare_companies(ops.metrics(_wide(s, d), False), 1, 2, 1998), "value_a", "value_b")
 
 
+def company_compatible(s, d):
+    """OP-45: each company beside the next one.  Every seventh reports a quarter, every third alone, every fourth has an older formula of roa."""
+    facts = _facts(s, d)
+    i = F.col("company_id")
+    # read four times below: kept, so that the facts are made once
+    known = checkpointed(facts.filter("statement = 'balance_sheet'").groupBy(*KEY).agg(F.min("currency_code").alias("currency_code"), F.min("scale").alias("scale")))
+    filings = known.select(*KEY, F.when(i % 7 == 0, "Q").otherwise("A").alias("period_code"), F.when(i % 3 == 0, "individual").otherwise("consolidated").alias("scope"), "currency_code", "scale")
+    version = F.when((i % 4 == 0) & (F.col("metric_code") == "roa"), "1.0").otherwise("1.1")
+    formulas = known.select(*KEY, F.explode(F.lit(["roa", "roe", "net_margin"])).alias("metric_code")).withColumn("formula_version", version)
+    pairs = known.select(i.alias("a"), (i + 1).alias("b"), "fiscal_year")
+    return ops.compatible_pairs(pairs, filings, formulas)
+
+
 def scale_apply(s, d):
     """OP-52: every tenth company has evidence of thousands; that of every twentieth was taken of other facts."""
     facts = _facts(s, d)
@@ -104,7 +118,7 @@ def scale_apply(s, d):
     return ops.apply_scale(facts, evidence).groupBy(*KEY, "scale").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (concept_map, fact_normalise, concept_pivot, metrics_15, metrics_status_counts, metrics_comparative, annual_change, statement_change, validations, validations_failed, metric_summary, statement_view, metric_format, company_compare, scale_apply)}
+QUERIES = {f.__name__: f for f in (concept_map, fact_normalise, concept_pivot, metrics_15, metrics_status_counts, metrics_comparative, annual_change, statement_change, validations, validations_failed, metric_summary, statement_view, metric_format, company_compare, company_compatible, scale_apply)}
 
 
 # ---- SQL
@@ -213,5 +227,8 @@ ORACLE = {
     "company_compare": f"""{_M} SELECT a.metric_code, a.status AS status_a, round(a.raw, 6) AS value_a, a.currency_code AS currency_a, a.value_scale AS scale_a, b.status AS status_b, round(b.raw, 6) AS value_b, b.currency_code AS currency_b, b.value_scale AS scale_b,
         a.status = 'computed' AND b.status = 'computed' AND (a.kind <> 'monetary' OR (a.currency_code IS NOT DISTINCT FROM b.currency_code AND a.value_scale IS NOT NULL AND a.value_scale IS NOT DISTINCT FROM b.value_scale)) AS comparable
         FROM m a JOIN m b USING (metric_code) WHERE a.company_id = 1 AND b.company_id = 2 AND a.fiscal_year = 1998 AND b.fiscal_year = 1998""",
+    "company_compatible": f"""{_A1}, f AS (SELECT company_id AS i, fiscal_year, min(cur) AS c, min(scale) AS s FROM facts WHERE statement = 'balance_sheet' GROUP BY ALL)
+        SELECT x.i AS a, x.i + 1 AS b, x.fiscal_year, coalesce(x.c = y.c AND x.s = y.s AND x.s <> 'unknown' AND (x.i % 7 = 0) = (y.i % 7 = 0) AND (x.i % 3 = 0) = (y.i % 3 = 0) AND (x.i % 4 = 0) = (y.i % 4 = 0), false) AS compatible
+        FROM f x LEFT JOIN f y ON y.i = x.i + 1 AND y.fiscal_year = x.fiscal_year""",
     "scale_apply": f"""{_A1} SELECT company_id, fiscal_year, CASE WHEN scale = 'unknown' AND company_id % 10 = 0 AND company_id % 20 <> 0 THEN 'thousands' ELSE scale END AS scale, count(*) AS n FROM facts GROUP BY ALL""",
 }

@@ -27,20 +27,17 @@ def version_events(events: DataFrame, target: str, checkpoint: str) -> Streaming
     """ST-3: versions of each (provider, external_id), appended batch by batch to ``target`` (Parquet).
 
     A micro-batch joins the last version of the keys it touches as row 0, so unchanged rows and numbering
-    carry over; a batch that runs again after a failure replaces its own partition.
+    carry over.  Last versions, one row a key, are kept beside ``target`` in two slots by turns: a batch reads the slot of the batch
+    before it and writes the other, so its cost grows with keys and not with history, and a batch that runs again after a
+    failure finds what it read at first and replaces its own partition and slot.  ``target`` and ``checkpoint`` belong together.
     """
     keys = ["provider", "external_id"]
+    last_of = "provider string, external_id long, ts timestamp_ntz, event_id long, digest string, version int"
     spark = events.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        schema = "provider string, external_id long, ts timestamp_ntz, event_id long, digest string, version int, batch long"
-        try:
-            stored = spark.read.schema(schema).parquet(target).filter(F.col("batch") != batch_id)
-            last = stored.groupBy(*keys).agg(F.max_by(F.struct("ts", "event_id", "digest", "version"), "version").alias("l")).select(*keys, "l.*")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            last = spark.createDataFrame([], "provider string, external_id long, ts timestamp_ntz, event_id long, digest string, version int")
+        slot = lambda k: f"{target.rstrip('/')}-last/{k % 2}"
+        last = spark.read.schema(last_of).parquet(slot(batch_id - 1)) if batch_id else spark.createDataFrame([], last_of)
         touched = last.join(batch.select(*keys).distinct(), keys, "left_semi")
         rows = batch.select(*keys, "ts", "event_id", "digest").withColumn("rank", F.lit(1)).unionByName(touched.drop("version").withColumn("rank", F.lit(0)))
         found = scd2_versions(rows, keys, ["rank", "ts", "event_id"]).join(touched.select(*keys, F.col("version").alias("base")), keys, "left")
@@ -48,6 +45,9 @@ def version_events(events: DataFrame, target: str, checkpoint: str) -> Streaming
         fresh = found.filter("rank = 1").withColumn("version", (F.col("version") + F.greatest(base - 1, F.lit(0))).cast("int"))
         out = fresh.select(*keys, "ts", "event_id", "digest", "version", F.lit(batch_id).cast("long").alias("batch"))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
+        written = spark.read.schema(f"{last_of}, batch long").parquet(target).filter(F.col("batch") == batch_id)
+        newest = written.groupBy(*keys).agg(F.max_by(F.struct("ts", "event_id", "digest", "version"), "version").alias("l")).select(*keys, "l.*")
+        last.join(newest.select(*keys), keys, "left_anti").unionByName(newest).write.mode("overwrite").parquet(slot(batch_id))
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

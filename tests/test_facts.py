@@ -75,3 +75,15 @@ def test_rules(spark):
 
 def test_empty(spark):
     assert found(spark, []) == ({}, 0)
+
+
+def test_compatible_pairs(spark):
+    same = ("A", "individual", "PEN", "thousands")
+    filings = {1: same, 2: same, 3: ("Q", *same[1:]), 4: ("A", "consolidated", *same[2:]), 5: (*same[:2], "USD", "thousands"), 6: (*same[:3], "unknown"), 7: (*same[:3], "unknown"), 8: same, 9: same, 10: (*same[:2], None, "thousands")}
+    rows = spark.createDataFrame([(k, 2024, *v) for k, v in filings.items()], "company_id int, fiscal_year int, period_code string, scope string, currency_code string, scale string")
+    versions = [(k, 2024, m, "2" if (k, m) == (8, "roe") else "1") for k in filings for m in ("roa", "roe") if (k, m) != (9, "roe")]
+    formulas = spark.createDataFrame(versions, "company_id int, fiscal_year int, metric_code string, formula_version string")
+    asked = [(1, k) for k in range(2, 12)] + [(6, 7), (9, 1)]
+    pairs = spark.createDataFrame([(a, b, 2024) for a, b in asked], "a int, b int, fiscal_year int")
+    got = ops.compatible_pairs(pairs, rows, formulas).collect()
+    assert len(got) == len(asked) and {(r["a"], r["b"]) for r in got if r["compatible"]} == {(1, 2), (9, 1)}
