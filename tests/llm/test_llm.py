@@ -319,6 +319,17 @@ def test_quality_against_labels(spark, odd, empty):
     assert quality_scores(odd).count() == 10 and quality_scores(empty).count() == 0
 
 
+def test_quality_over_all_labels(spark):
+    """Recall over every labelled row: no bad document stays, and clean ones go for the fixed base rule's fifty words alone."""
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    rows = quality_scores(spark.read.parquet(f"{d}/documents.parquet")).join(labels, "doc_id").collect()
+    bad, clean = ([r for r in rows if r["quality"] == k] for k in (0, 1))
+    assert sum(not r["kept"] for r in bad) >= 0.95 * len(bad) > 0
+    gone = [r for r in clean if not r["kept"]]
+    assert all(r["n_words"] < 50 for r in gone) and len(gone) <= 0.1 * len(clean)
+
+
 # ---- 5
 
 
