@@ -7,14 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .backoff_lm import backoff_scores
 from .decontaminate import decontaminate
+from .fill_in_middle import middle_digests
 from .jaccard_join import jaccard_components
 from .language_id import identify_languages
 from .license_scan import scan_licenses
+from .line_dedup import dedupe_lines
 from .packing import pack
 from .quality_rules import quality_scores
 from .token_file import token_file
 from .toxicity import toxicity_scores
 from .url_filter import captures_of, filter_urls, list_of
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +67,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), train_rows=30_000, threshold=0.3)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe_lines(_table(spark, sf_dir, "documents"), least=10, with_text=False)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_digests(_table(spark, sf_dir, "documents"), seed=1)
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_decontaminate": op2_decontaminate,
@@ -75,4 +90,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_file": op9_token_file,
     "op10_toxicity": op10_toxicity,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_whitening": op12_whitening,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }

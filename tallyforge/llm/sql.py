@@ -184,3 +184,37 @@ WITH parts AS MATERIALIZED (
 SELECT page_id AS capture_id, host, fetched_at, coalesce(n, 0) > 0 AS blocked, coalesce(n, 0) AS n_entries, since AS blocked_since
 FROM parts LEFT JOIN listed USING (page_id)
 """
+
+ORACLE["op11_line_dedup"] = r"""
+WITH whole AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lines AS MATERIALIZED (
+  SELECT doc_id, unnest(range(0, len(l))) AS place, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM whole)
+), keyed AS MATERIALIZED (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), first AS MATERIALIZED (
+  SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), judged AS MATERIALIZED (
+  SELECT doc_id, place, line, first IS NOT NULL AND doc_id <> first AS dropped FROM keyed LEFT JOIN first USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+ORACLE["op13_fill_in_middle"] = r"""
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+units AS MATERIALIZED (
+  SELECT doc_id, text, CASE WHEN text = '' THEN []::VARCHAR[] ELSE regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') END AS u,
+    CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM hashed
+), cuts AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM units
+), parts AS MATERIALIZED (
+  SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
