@@ -22,39 +22,57 @@ ignored.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import durable
 
 SPACES = " \t\n\x0b\x0c\r"
+#: Texts that are cut into lines at once.
+TEXTS = 256
 #: What a task says of a row: dropped, waiting for earlier ranges, or the first document of a hash.
 DROPPED, WAITS, FIRST = 0, 1, 2
 ROW = ["h1", "h2", "no_id", "doc", "of", "place", "n_lines"]
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(SPACES)), string.ascii_uppercase, string.ascii_lowercase)
-
-
 def _named(docs: DataFrame) -> DataFrame:
     """no_id, doc, of (hash of the text) and text of each row: what finds a row again."""
     text, doc = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
     return docs.select(doc.isNull().alias("no_id"), F.coalesce(doc, F.lit(0)).alias("doc"), F.xxhash64(text).alias("of"), text.alias("text"))
 
 
+def line_key(line: bytes) -> bytes:
+    return line.strip(SPACES.encode()).lower()  # of bytes: A-Z only
+
+
 def line_rows(docs: DataFrame, least: int) -> DataFrame:
     """A row of numbers (ROW) for each line whose key has at least ``least`` code points."""
-    n_lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("int")
-    each = _named(docs).select("no_id", "doc", "of", n_lines.alias("n_lines"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    keyed = each.select("no_id", "doc", "of", "n_lines", "place", line_key(F.col("line")).alias("key")).filter(F.length("key") >= least)
-    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "no_id", "doc", "of", "place", "n_lines")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                block = batch.slice(at, TEXTS)
+                rows, places, counts, digests = [], [], [], []
+                for i, text in enumerate(block.column(3).cast(pa.large_binary())):
+                    lines = text.as_py().split(b"\n")
+                    for place, line in enumerate(lines):
+                        key = line_key(line)
+                        # a code point has four bytes at the most
+                        if len(key) >= 4 * least or len(key) >= least and len(key.decode()) >= least:
+                            rows.append(i)
+                            places.append(place)
+                            counts.append(len(lines))
+                            digests.append(hashlib.blake2b(key, digest_size=16).digest())
+                both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                named = [block.column(k).take(pa.array(rows, pa.int64())) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), *named, pa.array(places, pa.int32()), pa.array(counts, pa.int32())], ROW)
+
+    return _named(docs).mapInArrow(each, "h1 long, h2 long, no_id boolean, doc long, of long, place int, n_lines int")
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +110,8 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _dropped(rows: DataFrame) -> DataFrame:
     """The lines (no_id, doc, of, place, n_lines) that are not in the first document of their key."""
-    ranged = rows.repartitionByRange("h1", "h2", "no_id", "doc", "of", "place").sortWithinPartitions("h1", "h2", "no_id", "doc", "of", "place")
+    # ranges are found by a pass of their own: it reads the numbers, not the texts
+    ranged = durable(rows, "line-rows").repartitionByRange("h1", "h2", "no_id", "doc", "of", "place").sortWithinPartitions("h1", "h2", "no_id", "doc", "of", "place")
     said = durable(ranged.mapInArrow(_stream, "said int, h1 long, h2 long, no_id boolean, doc long, of long, place int, n_lines int"), "line-firsts")
     # two rows a range at the most
     first = said.filter(F.col("said") == FIRST).groupBy("h1", "h2").agg(F.min(F.struct("no_id", "doc")).alias("first"))
@@ -132,8 +151,8 @@ def keep_lines(docs: DataFrame, bitmaps: DataFrame, with_text: bool = True) -> D
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                block = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS):
+                block = batch.slice(at, TEXTS)
                 ids = [None if no.as_py() else d.as_py() for no, d in zip(block.column(0), block.column(1))]
                 counts, dropped, texts = [], [], []
                 for text, keep in zip(block.column(2), block.column(3)):
