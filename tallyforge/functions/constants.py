@@ -123,3 +123,13 @@ POLICY_PAGE = r"bases de preparacion|moneda de presentacion"
 POLICY_STATEMENT = r"(?:los |estos )estados financieros(?: consolidados| separados| individuales)? se (?:presentan|expresan)[^.]{0,400}\."
 POLICY_EXCEPTION = r"excepto[^.]*|salvo[^.]*"
 POLICY_ALLOWED = ("excepto donde se indique de otro modo", "excepto donde se indique lo contrario", "salvo que se indique lo contrario")
+
+# The line over all notes, the heading of note 3 that lost its number, headings behind the notes, a title that goes on in the next
+# line, a title that needs no capitals, the words that no title ends with, and the line of a page number.
+NOTES_MARKER = "notas a los estados financieros"
+UNNUMBERED_HEADING = (3, "Juicios, estimados y supuestos contables significativos")
+APPENDIX_BEGINNINGS = r"informaci[oó]n suplementaria|recursos minerales y reservas probadas y probables|informe de (?:los )?auditores independientes"
+WRAPPED_TITLE = ("estado consolidado de situacion", "FINANCIERA")
+KNOWN_TITLE = "jerarquia y valor razonable de los instrumentos financieros"
+TITLE_LAST_WORDS = ("al", "con", "de", "del", "el", "en", "la", "las", "los", "o", "para", "por", "que", "un", "una", "y")
+PAGE_NUMBER_LINE = r"^pagina [0-9]+(?: de [0-9]+)?$"

@@ -3,35 +3,87 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _accents() -> tuple[str, str]:
-    """Letters of Latin-1 and Latin Extended-A that lose an accent, and what stays of each."""
-    pairs = []
-    for code in range(0xC0, 0x180):
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if plain != chr(code) and len(plain) == 1:
-            pairs.append((chr(code), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters that lose an accent or are one plain character in another form (or nothing), and those that stand for several.
 
+    By the compatibility decompositions of all code points; syllables of Hangul follow a rule of their own.
+    """
+    one, several = {}, {}
+    for code in (*range(0xA0, 0xAC00), *range(0xF900, 0x30000)):
+        c = chr(code)
+        if unicodedata.decomposition(c) or unicodedata.combining(c):
+            plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            if plain != c:
+                (one if len(plain) < 2 else several)[c] = plain
+    return one, several
 
-ACCENTED, PLAIN = _accents()
+
+def _both(pairs: dict[str, str]) -> tuple[str, str]:
+    """Arguments of ``translate``: characters without a counterpart are taken out."""
+    ordered = sorted(pairs, key=lambda c: pairs[c] == "")
+    return "".join(ordered), "".join(pairs[c] for c in ordered)
+
+
+def _ranges(chars: Iterable[str]) -> str:
+    found: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if found and code == found[-1][1] + 1:
+            found[-1][1] = code
+        else:
+            found.append([code, code])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in found)
+
+
+_ONE, _SEVERAL = _decompositions()
+#: Latin letters and signs up to U+017F and what stays of each; enough for nearly all texts.
+ACCENTED, PLAIN = _both({c: p for c, p in _ONE.items() if ord(c) < 0x180})
+_FROM, _TO = _both(_ONE)
+_TABLE = "\x01".join(f"{k}\x02{v}" for k, v in _SEVERAL.items())
+_HANGUL = r"\x{AC00}-\x{D7A3}"
+_MANY = f"[{_ranges(_SEVERAL)}{_HANGUL}]"
+#: Anything but ASCII, the Latin letters above, dashes and quotation marks.
+_RARE = r"[^\x00-\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17F}\x{2012}-\x{2016}\x{2018}-\x{2023}]"
+_SPACE = r"[\s\x1C-\x1F\x{85}\x{1680}\x{2028}\x{2029}]+"
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _hangul(c: Column) -> Column:
+    """The letters of a syllable: 21 vowels and 28 ends to each beginning."""
+    letter = lambda first, n, at: F.substr(F.lit("".join(chr(first + k) for k in range(n))), at.cast("int") + 1, F.lit(1))
+    k = F.ascii(c) - 0xAC00
+    end = F.pmod(k, F.lit(28))
+    return F.concat(letter(0x1100, 19, F.floor(k / 588)), letter(0x1161, 21, F.pmod(F.floor(k / 28), F.lit(21))), F.when(end == 0, "").otherwise(letter(0x11A7, 28, end)))
+
+
 def unaccent(c: Column | str) -> Column:
-    return F.translate(_col(c), ACCENTED, PLAIN)
+    """Compatibility forms become plain characters, and marks that combine go: the decomposition of every character, without its marks.
+
+    Most texts need one ``translate`` of Latin letters; only those with rarer characters go through the large tables.
+    """
+    c = _col(c)
+    table = F.str_to_map(F.lit(_TABLE), F.lit("\x01"), F.lit("\x02"))
+    spelled = lambda x: F.when(x.rlike(f"[{_HANGUL}]"), _hangul(x)).when(x.rlike(_MANY), F.try_element_at(table, x)).otherwise(x)
+    every = F.when(c.rlike(_MANY), F.array_join(F.transform(F.split(c, ""), spelled), "")).otherwise(c)
+    return F.when(~c.rlike(r"[^\x00-\x7F]"), c).when(~c.rlike(_RARE), F.translate(c, ACCENTED, PLAIN)).otherwise(F.translate(every, _FROM, _TO))
 
 
 def collapse(c: Column | str) -> Column:
     """White space runs become one space; the ends are trimmed."""
-    return F.trim(F.regexp_replace(_col(c), r"\s+", " "))
+    return F.trim(F.regexp_replace(_col(c), _SPACE, " "))
 
 
 def fold(c: Column | str, lower: bool = True) -> Column:

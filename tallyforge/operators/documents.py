@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import constants as K
-from tallyforge.functions.text import collapse, contains_any, count_terms, fold, squash, unaccent, words_key
+from tallyforge.functions.text import collapse, contains_any, count_terms, fold, let, squash, unaccent, words_key
 
 # ---- pages
 
@@ -92,11 +92,14 @@ def match_option(forms: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def topic(title: Column, rules=K.TOPIC_RULES) -> Column:
     """OP-22: the first rule with a word in the folded title, else other."""
-    text = fold(title)
-    out = F.lit("other")
-    for name, terms in reversed(rules):
-        out = F.when(contains_any(text, terms), name).otherwise(out)
-    return out
+
+    def first(text: Column) -> Column:
+        out = F.lit("other")
+        for name, terms in reversed(rules):
+            out = F.when(contains_any(text, terms), name).otherwise(out)
+        return out
+
+    return let(fold(title), first)
 
 
 def excerpt(c: Column | str, n: int = 320) -> Column:
@@ -106,11 +109,14 @@ def excerpt(c: Column | str, n: int = 320) -> Column:
 
 def explicit_scale(header: Column, currency: Column) -> Column:
     """OP-90: the one scale that a header names in the wanted currency and no other; else null."""
-    text = fold(header)
-    dollars, soles = text.rlike(K.DOLLARS), text.rlike(K.SOLES)
-    fits = F.when(currency == "USD", dollars & ~soles).when(currency == "PEN", soles & ~dollars).otherwise(F.lit(False))
-    named = F.array_compact(F.array(*(F.when(text.rlike(pattern), name) for name, pattern in K.SCALE_WORDS)))
-    return F.when(fits & (F.size(named) == 1), named[0])
+
+    def named(text: Column) -> Column:
+        dollars, soles = text.rlike(K.DOLLARS), text.rlike(K.SOLES)
+        fits = F.when(currency == "USD", dollars & ~soles).when(currency == "PEN", soles & ~dollars).otherwise(F.lit(False))
+        units = F.array_compact(F.array(*(F.when(text.rlike(pattern), name) for name, pattern in K.SCALE_WORDS)))
+        return F.when(fits & (F.size(units) == 1), units[0])
+
+    return let(fold(header), named)
 
 
 def presentation_policy(pages: DataFrame, currency: str) -> DataFrame:
@@ -138,8 +144,7 @@ def number_tokens(line: Column | str) -> Column:
 
 def doc_identity(text: Column, name: Column, year: Column, scope: Column) -> Column:
     """OP-90: does a cover name the company, the year and the scope."""
-    cover = fold(text)
-    found = F.regexp_extract(cover, K.COVER_PERIOD, 1)
+    found = F.regexp_extract(fold(text), K.COVER_PERIOD, 1)
     same = squash(text).contains(squash(name)) & (F.right(found, F.lit(4)).try_cast("int") == year)
     return F.coalesce((found != "") & same & (found.contains("consolidad") == (scope == "consolidated")), F.lit(False))
 
@@ -150,20 +155,22 @@ def doc_identity(text: Column, name: Column, year: Column, scope: Column) -> Col
 def accept_sequence(candidates: DataFrame, least: int = 5) -> DataFrame:
     """OP-72: per document, headings accepted in order: the next expected number, and a plausible title.
 
-    candidates: doc_id, page, start, number, title, plausible.  The fold runs in one expression over the
+    candidates: doc_id, page, start, number, title, plausible; further columns go along.  The fold runs in one expression over the
     document's sorted candidates.  Gives doc_id, headings, status: ok, or too_few (fewer than ``least``), or
-    incomplete (a larger plausible number follows the last accepted one, which is then left out too).
+    incomplete (a larger plausible number follows the last accepted one, which is then left out too and given as tail); of candidates
+    with a column ``numbered`` only those count there that have it true.
     """
-    row = F.struct("page", "start", "number", "title", "plausible")
+    row = F.struct("page", "start", "number", "title", "plausible", *(c for c in candidates.columns if c not in ("doc_id", "page", "start", "number", "title", "plausible")))
     docs = candidates.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("c"))
     empty = F.slice("c", 1, 0)
     kept = F.aggregate("c", empty, lambda acc, x: F.when(x["plausible"] & (x["number"] == F.size(acc) + 1), F.concat(acc, F.array(x))).otherwise(acc))
     docs = docs.withColumn("kept", kept)
-    later = F.exists("c", lambda x: x["plausible"] & (x["number"] > F.size("kept")))
+    counts = (lambda x: x["numbered"]) if "numbered" in candidates.columns else (lambda x: F.lit(True))
+    later = F.exists("c", lambda x: x["plausible"] & counts(x) & (x["number"] > F.size("kept")))
     status = F.when(F.size("kept") < least, "too_few").when(later, "incomplete").otherwise("ok")
     docs = docs.withColumn("status", status)
     heads = F.when(F.col("status") == "ok", F.col("kept")).when(F.col("status") == "incomplete", F.slice("kept", F.lit(1), F.size("kept") - 1)).otherwise(empty)
-    return docs.select("doc_id", heads.alias("headings"), "status")
+    return docs.select("doc_id", heads.alias("headings"), "status", F.when(F.col("status") == "incomplete", F.element_at("kept", -1)).alias("tail"))
 
 
 def reconcile_index(index: DataFrame, body: DataFrame, least: int = 5) -> DataFrame:

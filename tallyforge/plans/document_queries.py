@@ -9,8 +9,9 @@ from tallyforge.functions import constants as K
 from tallyforge.functions.text import ACCENTED, PLAIN, fold
 from tallyforge.operators import documents as docs
 from tallyforge.operators import matching, search
+from tallyforge.operators import notes as notes_of
 from tallyforge.sources.shared import checkpointed
-from tallyforge.sources.tables import NOTE_TITLES, OTHER_WORDS, lines, notes, table
+from tallyforge.sources.tables import CONTENTS, MARKER, NOTE_TITLES, OTHER_WORDS, REPORT, lines, note_pages, notes, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -143,48 +144,82 @@ def fragment_backfill(s, d):
     return table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("fragment_id"), F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page"), F.col("role").alias("heading"), F.col("text").alias("body"))
 
 
-def _candidates(s, d):
-    """Adapter: a document's line that begins with a capital and has two words is a heading of its rank; every eleventh number is skipped."""
-    rows = lines(table(s, d, "documents")).filter("trim(line) <> ''")
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
-    rows = rows.withColumn("number", n).withColumn("number", F.when((F.col("number") >= 6) & (F.pmod("doc_id", F.lit(11)) == 0), F.col("number") + 1).otherwise(F.col("number")))
-    title = F.left("line", F.lit(60))
-    return rows.select("doc_id", F.col("line_no").cast("int").alias("page"), F.lit(0).alias("start"), F.col("number").cast("int").alias("number"), title.alias("title"), (F.size(F.split(title, " ")) >= 2).alias("plausible"))
-
-
-_CAND = f"""{_LINES}, l0 AS (SELECT doc_id, line_no AS page, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM lines WHERE trim(line) <> ''),
-    cand AS MATERIALIZED (SELECT doc_id, page, CASE WHEN n >= 6 AND doc_id % 11 = 0 THEN n + 1 ELSE n END AS number, left(line, 60) AS title, len(string_split(left(line, 60), ' ')) >= 2 AS plausible FROM l0),
-    chain(doc_id, n, page) AS (SELECT doc_id, number, page FROM cand WHERE number = 1 AND plausible UNION ALL SELECT c.doc_id, c.number, c.page FROM chain k JOIN cand c ON c.doc_id = k.doc_id AND c.number = k.n + 1 AND c.page > k.page WHERE c.plausible),
-    kept AS MATERIALIZED (SELECT c.doc_id, coalesce(max(k.n), 0) AS n, max(c.number) FILTER (c.plausible) AS most FROM cand c LEFT JOIN chain k ON k.doc_id = c.doc_id AND k.n = c.number GROUP BY c.doc_id),
-    status AS MATERIALIZED (SELECT doc_id, CASE WHEN n < 5 THEN 'too_few' WHEN most > n THEN 'incomplete' ELSE 'ok' END AS status, CASE WHEN n < 5 THEN 0 WHEN most > n THEN n - 1 ELSE n END AS n FROM kept),
-    heads AS MATERIALIZED (SELECT k.doc_id, k.n AS number, k.page, s.status FROM chain k JOIN status s ON s.doc_id = k.doc_id AND k.n <= s.n)"""
-
-
-@_query(f"WITH RECURSIVE {_CAND} SELECT s.doc_id, s.status, CAST(s.n AS INTEGER) AS n, coalesce(h.pages, []::INTEGER[]) AS pages FROM status s LEFT JOIN (SELECT doc_id, list(CAST(page AS INTEGER) ORDER BY number) AS pages FROM heads GROUP BY doc_id) h USING (doc_id)")
+_PAGES = f"""n0 AS (SELECT doc_id, doc_id % 12 AS v, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    n1 AS (SELECT doc_id, v, l[i + 1] AS line, i, CASE WHEN v = 5 AND i < 2 THEN 2 - i WHEN v = 10 AND i >= 5 THEN i + 2 ELSE i + 1 END AS number, {_list(NOTE_TITLES)}[(CASE WHEN v = 5 AND i < 2 THEN 1 - i ELSE i END + doc_id) % {len(NOTE_TITLES)} + 1] AS title FROM (SELECT *, unnest(range(0, len(l))) AS i FROM n0)),
+    n2 AS (SELECT *, CASE WHEN v = 3 AND i = 1 THEN 'Título ilegible' ELSE number || CASE WHEN v IN (8, 10, 11) THEN '.' ELSE '' END || ' ' || CASE WHEN v = 6 THEN regexp_replace(title, '^([^ ]+) ', '\\1' || chr(10)) ELSE title END END AS heading FROM n1),
+    pages AS MATERIALIZED (SELECT doc_id, CAST(i // 2 + CASE WHEN v < 8 THEN 1 ELSE 0 END AS INTEGER) AS page,
+        CASE WHEN i // 2 > 0 AND v % 2 = 1 OR doc_id % 24 = 23 THEN '' WHEN v = 0 THEN 'Empresa S.A.' || chr(10) || '{MARKER}' || chr(10) || 'Expresado en miles' || chr(10) ELSE '{MARKER}' || chr(10) END
+        || string_agg(CASE WHEN v = 11 AND i = 6 THEN '{REPORT}' || chr(10) ELSE '' END || heading || chr(10) || line || CASE WHEN v = 4 AND i = 1 THEN chr(10) || heading || chr(10) || 'Encabezado duplicado.' WHEN v = 7 THEN chr(10) || '2 1,500 3,000' || chr(10) || '2.1 Detalle' ELSE '' END, chr(10) ORDER BY i) AS text FROM n2 GROUP BY doc_id, v, i // 2
+      UNION ALL SELECT doc_id, 0, '{CONTENTS}' || chr(10) || '{MARKER}' || chr(10) || coalesce(string_agg(number || ' ' || title || ' ..... ' || (i // 2 + 2), chr(10) ORDER BY i) FILTER (NOT (v = 2 AND i = 2)), '') || CASE WHEN v = 1 THEN chr(10) || '2 Otro título ..... 9' ELSE '' END FROM n1 WHERE v < 8 GROUP BY doc_id, v)"""
+_HEAD = r"^[ \t]*([0-9]{1,2})(\.?)[ \t]+([^\n]{3,180})"
+_APPENDIX = rf"(?i)^[ \t]*(?:{K.APPENDIX_BEGINNINGS})\b"
+_clean_sql = lambda c: rf"regexp_replace(trim(regexp_replace({c}, '\s+', ' ', 'g')), '[ –:-]+$', '')"
+_plain_text = lambda c: f"lower(translate({c}, '{ACCENTED}', '{PLAIN}'))"
+_FOUND = rf"""{_PAGES}, ln AS MATERIALIZED (SELECT doc_id, page, k, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id, page ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+      lead(line, 1) OVER w AS l1, lead(line, 2) OVER w AS l2, lead(line, 3) OVER w AS l3 FROM (SELECT doc_id, page, unnest(range(0, len(x))) AS k, unnest(x) AS line FROM (SELECT doc_id, page, string_split(text, chr(10)) AS x FROM pages)) WINDOW w AS (PARTITION BY doc_id, page ORDER BY k)),
+    c0 AS MATERIALIZED (SELECT *, regexp_extract(line, '{_HEAD}', 0) AS own, CAST(regexp_extract(line, '{_HEAD}', 1) AS INTEGER) AS number, regexp_extract(line, '{_HEAD}', 2) = '.' AS dotted, regexp_extract(line, '{_HEAD}', 3) AS raw, {_clean_sql(f"regexp_extract(line, '{_HEAD}', 3)")} AS title FROM ln WHERE regexp_matches(line, '{_HEAD}')),
+    contents AS MATERIALIZED (SELECT doc_id, page FROM c0 GROUP BY ALL HAVING count(*) >= 3 AND bool_and(regexp_matches(raw, '\s[0-9]+\s*$'))),
+    opens AS MATERIALIZED (SELECT doc_id, min(page) AS opens FROM pages WHERE contains({_plain_text('text')}, '{K.NOTES_MARKER}') AND regexp_matches(text, '(?m)^\s*1[.\s]') AND (doc_id, page) NOT IN (SELECT (doc_id, page) FROM contents) GROUP BY doc_id),
+    closes AS MATERIALIZED (SELECT doc_id, min({{'page': page, 'start': start}}) AS closes FROM ln JOIN opens USING (doc_id) WHERE page >= opens AND regexp_matches(line, '{_APPENDIX}') AND (doc_id, page) NOT IN (SELECT (doc_id, page) FROM contents) GROUP BY doc_id),
+    cand AS MATERIALIZED (SELECT c0.* EXCLUDE (raw, k), start + length(own) AS fin, (contents.doc_id IS NOT NULL) AS contents, contents.doc_id IS NULL AND coalesce(page >= opens, false) AND (closes IS NULL OR {{'page': page, 'start': start}} < closes) AS scope,
+        length(title) BETWEEN 1 AND 120 AND regexp_replace(title, '[. ]+$', '') <> '' AND lower(regexp_extract(regexp_replace(title, '[. ]+$', ''), '([^ ]*)$', 1)) NOT IN ({', '.join(map(repr, K.TITLE_LAST_WORDS))})
+        AND (dotted OR title = upper(title) OR starts_with({_plain_text('title')}, '{K.KNOWN_TITLE}') OR len(regexp_extract_all(title, '[A-Za-zÁÉÍÓÚÑáéíóúñ]+')) >= 2 AND regexp_matches(title, '^\p{{Lu}}') AND NOT regexp_matches(title, '^(De|Del|Al)\b') AND NOT regexp_matches(title, '(?i)\b(de|del)\s+[0-9]{{1,2}}\s+de\b')) AS plausible
+      FROM c0 LEFT JOIN contents USING (doc_id, page) LEFT JOIN opens USING (doc_id) LEFT JOIN closes USING (doc_id)),
+    entry AS MATERIALIZED (SELECT doc_id, number, min(key) AS key, count(DISTINCT key) AS titles FROM (SELECT doc_id, number, {_key_sql('t')} AS key FROM (SELECT *, trim(regexp_replace(title, '[.·… ]*\s[0-9]+\s*$', ''), ' .·…') AS t FROM cand WHERE contents) WHERE regexp_matches(t, '[A-Za-zÁÉÍÓÚÑáéíóúñ]')) GROUP BY ALL),
+    ext AS (SELECT c.doc_id, c.number, c.page, c.start, c.fin, e.key, c.title AS t0, {_clean_sql("c.title || ' ' || ltrim(c.l1)")} AS t1, {_clean_sql("c.title || ' ' || ltrim(c.l1) || ' ' || ltrim(c.l2)")} AS t2, {_clean_sql("c.title || ' ' || ltrim(c.l1) || ' ' || ltrim(c.l2) || ' ' || ltrim(c.l3)")} AS t3,
+        length(c.own) = length(c.line) AS ends, length(c.l1) AS n1, length(c.l2) AS n2, length(c.l3) AS n3 FROM cand c JOIN entry e ON e.doc_id = c.doc_id AND e.number = c.number WHERE NOT c.contents),
+    keyed AS (SELECT *, {_key_sql('t0')} AS k0, {_key_sql('t1')} AS k1, {_key_sql('t2')} AS k2, {_key_sql('t3')} AS k3 FROM ext),
+    step AS (SELECT *, ends AND n1 > 0 AND starts_with(key, k0 || ' ') AS s1, ends AND n1 > 0 AND n2 > 0 AND starts_with(key, k0 || ' ') AND starts_with(key, k1 || ' ') AS s2, ends AND n1 > 0 AND n2 > 0 AND n3 > 0 AND starts_with(key, k0 || ' ') AND starts_with(key, k1 || ' ') AND starts_with(key, k2 || ' ') AS s3 FROM keyed),
+    hit AS MATERIALIZED (SELECT doc_id, number, page, start, CASE WHEN k0 = key THEN t0 WHEN s1 AND k1 = key THEN t1 WHEN s2 AND k2 = key THEN t2 ELSE t3 END AS title, fin + CASE WHEN k0 = key THEN 0 WHEN s1 AND k1 = key THEN 1 + n1 WHEN s2 AND k2 = key THEN 2 + n1 + n2 ELSE 3 + n1 + n2 + n3 END AS fin
+      FROM step WHERE k0 = key OR s1 AND k1 = key OR s2 AND k2 = key OR s3 AND k3 = key),
+    one AS (SELECT e.doc_id, e.number, e.titles, count(h.page) AS m, min({{'page': h.page, 'start': h.start}}) FILTER (h.page IS NOT NULL) AS spot FROM entry e LEFT JOIN hit h USING (doc_id, number) GROUP BY ALL),
+    checked AS (SELECT *, coalesce(spot < lag(spot) OVER (PARTITION BY doc_id ORDER BY number), false) AS back FROM one),
+    listed AS MATERIALIZED (SELECT doc_id, count(*) AS entries, CASE WHEN max(titles) > 1 THEN 'contradictory' WHEN min(number) <> 1 OR max(number) <> count(*) THEN 'incomplete' WHEN count(*) < 5 THEN 'short' WHEN count(*) FILTER (m = 0) > 0 THEN 'missing' WHEN count(*) FILTER (m > 1) > 0 THEN 'ambiguous' WHEN bool_or(back) THEN 'disordered' ELSE 'ok' END AS status FROM checked GROUP BY doc_id),
+    q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, start) AS ord FROM cand WHERE scope),
+    p AS MATERIALIZED (SELECT * FROM q WHERE plausible), nxt AS MATERIALIZED (SELECT a.doc_id, a.ord, min(b.ord) AS nxt FROM p a JOIN p b ON b.doc_id = a.doc_id AND b.number = a.number + 1 AND b.ord > a.ord GROUP BY ALL),
+    chain(doc_id, ord, n) AS (SELECT doc_id, min(ord), 1 FROM p WHERE number = 1 GROUP BY doc_id UNION ALL SELECT c.doc_id, x.nxt, c.n + 1 FROM chain c JOIN nxt x ON x.doc_id = c.doc_id AND x.ord = c.ord),
+    seq AS MATERIALIZED (SELECT q.doc_id, CASE WHEN coalesce(k.n, 0) < 5 THEN 'too_few' WHEN max(q.number) FILTER (q.plausible) > k.n THEN 'incomplete' ELSE 'ok' END AS status, coalesce(k.n, 0) AS n FROM q LEFT JOIN (SELECT doc_id, max(n) AS n FROM chain GROUP BY doc_id) k USING (doc_id) GROUP BY q.doc_id, k.n),
+    verdict AS MATERIALIZED (SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'sequence' ELSE 'contents' END AS source, coalesce(l.status, s.status, 'no_start') AS status, CASE WHEN l.doc_id IS NULL THEN CASE s.status WHEN 'ok' THEN s.n WHEN 'incomplete' THEN s.n - 1 ELSE 0 END END AS kept
+      FROM (SELECT DISTINCT doc_id FROM pages) d LEFT JOIN (SELECT * FROM listed WHERE status <> 'short') l USING (doc_id) LEFT JOIN seq s USING (doc_id)),
+    heads AS MATERIALIZED (SELECT v.doc_id, number, title, page, start, fin FROM verdict v JOIN hit USING (doc_id) WHERE v.source = 'contents' AND v.status = 'ok' UNION ALL SELECT v.doc_id, q.number, q.title, q.page, q.start, q.fin FROM verdict v JOIN chain c ON c.doc_id = v.doc_id AND c.n <= v.kept JOIN q ON q.doc_id = c.doc_id AND q.ord = c.ord)"""
+
+
+@_query(f"WITH RECURSIVE {_FOUND} SELECT v.doc_id, source, status, number, title, page, CAST(start AS INTEGER) AS start, CAST(fin AS INTEGER) AS fin FROM verdict v LEFT JOIN heads USING (doc_id)")
 def note_headings(s, d):
-    found = docs.accept_sequence(_candidates(s, d))
-    return found.select("doc_id", "status", F.size("headings").alias("n"), F.expr("transform(headings, h -> h.page)").alias("pages"))
+    """OP-72 and OP-73: the headings of each document with their places; a document without any has one row."""
+    found = notes_of.note_headings(note_pages(table(s, d, "documents")))
+    return found.select("doc_id", "source", "status", F.explode_outer("headings").alias("h")).select("doc_id", "source", "status", "h.number", "h.title", "h.page", "h.start", F.col("h.end").alias("fin"))
 
 
-@_query(f"""WITH RECURSIVE {_CAND}, h AS (SELECT heads.*, length(title) AS body, lead(heads.page) OVER (PARTITION BY heads.doc_id ORDER BY heads.page) AS next FROM heads JOIN cand USING (doc_id, number))
-    SELECT doc_id, CAST(number AS INTEGER) AS number, page, section FROM (SELECT h.doc_id, h.number, CAST(l.line_no AS INTEGER) AS page, CASE WHEN l.line_no = h.page THEN substr(l.line, body + 1) ELSE l.line END AS section
-      FROM h JOIN lines l ON l.doc_id = h.doc_id AND l.line_no >= h.page AND (h.next IS NULL OR l.line_no < h.next)) WHERE trim(section) <> ''""")
-def note_sections(s, d):
-    heads = docs.accept_sequence(_candidates(s, d)).select("doc_id", F.inline("headings")).select("doc_id", "number", "page", "start", F.length("title").alias("body"))
-    pages = lines(table(s, d, "documents")).select("doc_id", F.col("line_no").alias("page"), F.col("line").alias("text"))
-    return docs.slice_sections(pages, heads)
-
-
-@_query(f"""WITH RECURSIVE {_CAND}, body AS (SELECT doc_id, page, number, {_key_sql('title')} AS key FROM cand),
-    idx AS (SELECT doc_id, number, {_key_sql("CASE WHEN doc_id % 7 = 0 AND number = 2 THEN 'other title' ELSE title END")} AS key FROM cand), e AS (SELECT doc_id, number, min(key) AS key, count(DISTINCT key) AS titles FROM idx GROUP BY ALL),
-    m AS (SELECT e.doc_id, e.number, count(b.page) AS m, min(b.page) AS spot FROM e LEFT JOIN body b USING (doc_id, number, key) GROUP BY ALL), o AS (SELECT *, coalesce(spot < lag(spot) OVER (PARTITION BY doc_id ORDER BY number), false) AS back FROM m),
-    w AS (SELECT doc_id, count(*) AS n, min(number) AS lo, max(number) AS hi, max(titles) AS titles FROM e GROUP BY doc_id)
-    SELECT doc_id, CASE WHEN titles > 1 THEN 'contradictory' WHEN lo <> 1 OR hi <> w.n THEN 'incomplete' WHEN w.n < 5 THEN 'short' WHEN missing > 0 THEN 'missing' WHEN ambiguous > 0 THEN 'ambiguous' WHEN back THEN 'disordered' ELSE 'ok' END AS status, w.n AS entries
-    FROM w JOIN (SELECT doc_id, count(*) FILTER (m = 0) AS missing, count(*) FILTER (m > 1) AS ambiguous, bool_or(back) AS back FROM o GROUP BY doc_id) USING (doc_id)""")
+@_query(f"WITH RECURSIVE {_FOUND} SELECT doc_id, status, entries FROM listed")
 def index_reconcile(s, d):
-    body = _candidates(s, d)
-    index = body.withColumn("title", F.when((F.pmod("doc_id", F.lit(7)) == 0) & (F.col("number") == 2), F.lit("other title")).otherwise(F.col("title")))
-    return docs.reconcile_index(index.select("doc_id", "number", "title"), body)
+    """OP-73: how the contents pages of each document agree with its headings."""
+    found = notes_of.note_candidates(note_pages(table(s, d, "documents")))
+    found = checkpointed(found)
+    entries = notes_of.contents_entries(found)
+    return notes_of.reconcile_contents(entries, notes_of.match_contents(entries, found)).drop("headings")
+
+
+_SECTIONS = rf"""{_FOUND}, tops AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY k) AS r, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM ln WHERE trim(regexp_replace(line, '\s+', ' ', 'g')) <> ''),
+    marks AS (SELECT doc_id, page, min(r) AS r FROM tops WHERE r <= 4 AND starts_with({_plain_text('line')}, '{K.NOTES_MARKER}') GROUP BY ALL),
+    headers AS MATERIALIZED (SELECT doc_id, line FROM (SELECT DISTINCT t.doc_id, t.page, t.line FROM tops t JOIN marks m ON m.doc_id = t.doc_id AND m.page = t.page AND t.r <= m.r + 2) GROUP BY ALL HAVING count(*) >= 3),
+    ends AS (SELECT doc_id, max(page) AS last, max(page) FILTER (contains({_plain_text('text')}, '{K.NOTES_MARKER}')) AS marked FROM pages GROUP BY doc_id),
+    tail AS (SELECT v.doc_id, q.page, q.start FROM verdict v JOIN chain c ON c.doc_id = v.doc_id AND c.n = v.kept + 1 JOIN q ON q.doc_id = c.doc_id AND q.ord = c.ord WHERE v.status = 'incomplete' AND v.source = 'sequence'),
+    bound AS (SELECT h.*, lead(h.page) OVER w AS next_page, lead(h.start) OVER w AS next_start FROM heads h WINDOW w AS (PARTITION BY h.doc_id ORDER BY h.number)),
+    span AS (SELECT b.*, tail.page AS tail_page, tail.start AS tail_start, greatest(b.page, coalesce(next_page, least(CASE WHEN coalesce(marked < b.page, true) THEN last ELSE marked END, tail.page))) AS final FROM bound b JOIN ends USING (doc_id) LEFT JOIN tail USING (doc_id)),
+    part AS (SELECT s.doc_id, s.number, s.title, l.page, l.k, l.start, l.line, CASE WHEN l.page = s.page THEN s.fin ELSE 0 END AS lo, CASE WHEN l.page = next_page THEN next_start WHEN next_page IS NULL AND l.page = tail_page THEN tail_start END AS hi, next_page IS NULL AS final_note
+      FROM span s JOIN ln l ON l.doc_id = s.doc_id AND l.page BETWEEN s.page AND s.final),
+    cuts AS (SELECT doc_id, number, min({{'page': page, 'start': start}}) AS cut FROM part WHERE final_note AND start >= lo AND regexp_matches(line, '{_APPENDIX}') GROUP BY ALL),
+    cl AS (SELECT p.doc_id, p.number, p.title, p.page, p.k, trim(regexp_replace(substr(line, 1 + greatest(0, CAST(lo - start AS INTEGER))), '\s+', ' ', 'g')) AS line FROM part p LEFT JOIN cuts USING (doc_id, number) WHERE start + length(line) > lo AND (hi IS NULL OR start < hi) AND (cut IS NULL OR {{'page': p.page, 'start': p.start}} < cut)),
+    kl AS (SELECT cl.*, h.line IS NULL AS own FROM cl LEFT JOIN headers h ON h.doc_id = cl.doc_id AND h.line = cl.line WHERE cl.line <> '' AND NOT starts_with({_plain_text('cl.line')}, '{K.NOTES_MARKER}') AND NOT regexp_matches({_plain_text('cl.line')}, '{K.PAGE_NUMBER_LINE}')),
+    fl AS (SELECT *, min(k) FILTER (own) OVER (PARTITION BY doc_id, number, page) AS first FROM kl)"""
+
+
+@_query(f"WITH RECURSIVE {_SECTIONS} SELECT doc_id, number, title, page, string_agg(line, chr(10) ORDER BY k) AS section FROM fl WHERE k >= first GROUP BY ALL")
+def note_sections(s, d):
+    """OP-40 and OP-74: what stands under each heading, page by page."""
+    pages = note_pages(table(s, d, "documents"))
+    return notes_of.note_sections(pages, checkpointed(notes_of.note_headings(pages))).drop("section_order")
 
 
 @_query("""WITH h AS (SELECT conv_id, turn AS page, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations WHERE role = 'user')

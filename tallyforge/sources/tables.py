@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.constants import CONCEPTS
@@ -98,6 +98,42 @@ def notes(documents: DataFrame) -> DataFrame:
     return rows.withColumn("note_number", F.row_number().over(Window.partitionBy("company", "scope", "fiscal_year").orderBy("doc_id")))
 
 
+#: Lines of note pages.
+MARKER, CONTENTS, REPORT = "Notas a los estados financieros", "Contenido", "INFORME DE LOS AUDITORES INDEPENDIENTES"
+
+
+def note_pages(documents: DataFrame) -> DataFrame:
+    """Adapter A4: documents as pages with numbered notes: doc_id, page from 0, text.
+
+    Each line is the body of a note, two notes a page, with titles from the list.  What is odd follows from doc_id modulo 12; the first eight kinds
+    have a contents page: 0 whole, with repeated headers; 1 two titles for one number; 2 an entry left out; 3 a heading that cannot be read; 4 one that stands
+    twice; 5 two in the wrong order; 6 titles that go on in the next line; 7 numbers at the beginning of lines.  Without contents: 8 dotted
+    numbers; 9 numbers without a dot; 10 a number left out; 11 an appendix before the seventh note, and every other one without a marker.
+    """
+    v = F.col("v")
+    swap = lambda i: (v == 5) & (i < 2)
+    titles = F.array(*map(F.lit, NOTE_TITLES))
+    title = lambda i: F.element_at(titles, (F.pmod(F.when(swap(i), 1 - i).otherwise(i) + F.col("doc_id"), F.lit(len(NOTE_TITLES))) + 1).cast("int"))
+    number = lambda i: F.when(swap(i), 2 - i).when((v == 10) & (i >= 5), i + 2).otherwise(i + 1)
+
+    def block(line: Column, i: Column) -> Column:
+        shown = F.when(v == 6, F.regexp_replace(title(i), "^([^ ]+) ", "$1\n")).otherwise(title(i))
+        heading = F.when((v == 3) & (i == 1), "Título ilegible").otherwise(F.concat(number(i).cast("string"), F.when(v.isin(8, 10, 11), ".").otherwise(""), F.lit(" "), shown))
+        before = F.when((v == 11) & (i == 6), f"{REPORT}\n").otherwise("")
+        behind = F.when((v == 4) & (i == 1), F.concat(F.lit("\n"), heading, F.lit("\nEncabezado duplicado."))).when(v == 7, "\n2 1,500 3,000\n2.1 Detalle").otherwise("")
+        return F.concat(before, heading, F.lit("\n"), line, behind)
+
+    top = F.when(v == 0, f"Empresa S.A.\n{MARKER}\nExpresado en miles\n").when(((v == 11) & (F.pmod("doc_id", F.lit(24)) == 23)), "").otherwise(f"{MARKER}\n")
+    top = lambda p, every=top: F.when((p == 0) | (F.pmod(v, F.lit(2)) == 0), every).otherwise("")
+    entry = lambda i: F.concat(number(i).cast("string"), F.lit(" "), title(i), F.lit(" ..... "), (F.floor(i / 2) + 2).cast("string"))
+    entries = F.transform(F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: ~((v == 2) & (i == 2))), entry)
+    contents = F.concat(F.lit(f"{CONTENTS}\n{MARKER}\n"), F.array_join(entries, "\n"), F.when(v == 1, "\n2 Otro título ..... 9").otherwise(""))
+    rows = documents.select("doc_id", F.pmod("doc_id", F.lit(12)).alias("v"), F.split("text", "\n", -1).alias("l")).filter("doc_id is not null and l is not null")
+    rows = rows.select("doc_id", "v", "l", F.transform("l", block).alias("b"))
+    body = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 2).cast("int")), lambda p: F.concat(top(p), F.array_join(F.slice("b", p * 2 + 1, 2), "\n")))
+    return rows.select("doc_id", F.posexplode(F.when(v < 8, F.concat(F.array(contents), body)).otherwise(body)).alias("page", "text"))
+
+
 def lines(documents: DataFrame) -> DataFrame:
     """Adapter A4: lines of documents (doc_id, line_no from 0, line)."""
     return documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
@@ -119,4 +155,4 @@ def jobs(orders: DataFrame) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("company_id"), status.alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"))
 
 
-__all__ = ["ALL_CONCEPTS", "account_rows", "activity", "company_sums", "jobs", "lines", "notes", "table", "versioned_events"]
+__all__ = ["ALL_CONCEPTS", "account_rows", "activity", "company_sums", "jobs", "lines", "note_pages", "notes", "table", "versioned_events"]

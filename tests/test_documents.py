@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tallyforge.functions.text import digest, fold, squash
 from tallyforge.operators import documents as docs
 from tallyforge.operators import matching, records, search
-from tallyforge.plans import document_queries
 from tallyforge.sources.shared import write_partitions
 
 
@@ -35,12 +34,6 @@ def test_reconcile_index(spark):
     assert {r["doc_id"]: r["status"] for r in got.collect()} == {"a": "ok", "b": "contradictory", "c": "incomplete", "d": "disordered", "e": "ambiguous"}
 
 
-def test_index_has_all_headings(spark):
-    rows = document_queries.index_reconcile(spark, "/root/testdata/sf0.001").collect()
-    lines = {r["doc_id"]: sum(bool(x.strip(" ")) for x in r["text"].split("\n")) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r["text"]}
-    assert max(lines.values()) > 8 and {r["doc_id"]: r["entries"] for r in rows} == {d: n for d, n in lines.items() if n}
-
-
 def test_sections(spark):
     pages = spark.createDataFrame([(1, 0, "1. A one"), (1, 1, "more 2. B two")], "doc_id int, page int, text string")
     heads = spark.createDataFrame([(1, 1, 0, 0, 4), (1, 2, 1, 5, 9)], "doc_id int, number int, page int, start int, body int")
