@@ -133,3 +133,13 @@ WRAPPED_TITLE = ("estado consolidado de situacion", "FINANCIERA")
 KNOWN_TITLE = "jerarquia y valor razonable de los instrumentos financieros"
 TITLE_LAST_WORDS = ("al", "con", "de", "del", "el", "en", "la", "las", "los", "o", "para", "por", "que", "un", "una", "y")
 PAGE_NUMBER_LINE = r"^pagina [0-9]+(?: de [0-9]+)?$"
+
+# Labels that stand for a concept in tables, a line of years only, and words that name a unit or currency.
+ANCHOR_ALIASES = (
+    ("profit_before_tax", "utilidad antes de impuesto a la renta"),
+    ("income_tax_expense", "total impuesto a la renta"),
+    ("cash_and_cash_equivalents", "efectivo y equivalentes del efectivo"),
+    ("closing_cash", "efectivo y equivalentes del efectivo"),
+)
+YEARS_LINE = r"^\s*20[0-9]{2}(?:\s+20[0-9]{2}){1,2}\s*$"
+UNIT_WORDS = r"s/|us\s*\$|miles|millones|unidades"

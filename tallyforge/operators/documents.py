@@ -119,17 +119,18 @@ def explicit_scale(header: Column, currency: Column) -> Column:
     return let(fold(header), named)
 
 
-def presentation_policy(pages: DataFrame, currency: str) -> DataFrame:
+def presentation_policy(pages: DataFrame, currency: str | Column) -> DataFrame:
     """OP-90: doc_id, scale, page, declaration, exception of each document that states one unit for all its figures.
 
-    pages: doc_id, page, text.  Statements on pages about the bases of presentation count.  A document has no policy if one of them
+    pages: doc_id, page, text; currency: one for all, or a column of pages.  Statements on pages about the bases of presentation count.  A document has no policy if one of them
     names no unit of ``currency`` or makes another exception than the general ones, or if two name different units.  The
     first statement is given; ``exception`` is null where it makes none.
     """
-    folded = pages.select("doc_id", "page", fold("text").alias("text")).filter(F.col("text").rlike(K.POLICY_PAGE))
-    said = folded.select("doc_id", "page", F.posexplode(F.regexp_extract_all("text", F.lit(K.POLICY_STATEMENT), F.lit(0))).alias("ord", "declaration"))
+    currency = F.lit(currency) if isinstance(currency, str) else currency
+    folded = pages.select("doc_id", "page", currency.alias("currency"), fold("text").alias("text")).filter(F.col("text").rlike(K.POLICY_PAGE))
+    said = folded.select("doc_id", "page", "currency", F.posexplode(F.regexp_extract_all("text", F.lit(K.POLICY_STATEMENT), F.lit(0))).alias("ord", "declaration"))
     but = F.regexp_extract("declaration", K.POLICY_EXCEPTION, 0)
-    said = said.select("doc_id", "page", "ord", "declaration", explicit_scale(F.col("declaration"), F.lit(currency)).alias("scale"), F.when(but != "", but).alias("exception"))
+    said = said.select("doc_id", "page", "ord", "declaration", explicit_scale(F.col("declaration"), F.col("currency")).alias("scale"), F.when(but != "", but).alias("exception"))
     unsure = F.col("scale").isNull() | F.coalesce(~F.col("exception").isin(*K.POLICY_ALLOWED), F.lit(False))
     first = F.min_by(F.struct("scale", "page", "declaration", "exception"), F.struct("page", "ord"))
     whole = said.groupBy("doc_id").agg(F.bool_or(unsure).alias("unsure"), F.countDistinct("scale").alias("scales"), first.alias("p"))
@@ -211,13 +212,6 @@ def repeated_lines(lines: DataFrame, least: int = 3) -> DataFrame:
     return lines.filter(F.trim("line") != "").groupBy("doc_id", F.trim("line").alias("line")).agg(F.countDistinct("page").alias("pages")).filter(F.col("pages") >= least)
 
 
-def carry_context(lines: DataFrame, is_reset: Column, value: Column) -> DataFrame:
-    """OP-71: the last value (not null) above each line since the last reset."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    marked = lines.withColumn("_g", F.sum(is_reset.cast("int")).over(w)).withColumn("_v", value)
-    return marked.withColumn("context", F.last("_v", ignorenulls=True).over(Window.partitionBy("doc_id", "_g").orderBy("line_no"))).drop("_g", "_v")
-
-
 def evidence_lines(facts: DataFrame, lines: DataFrame) -> DataFrame:
     """OP-41: facts (doc_id, account_code, label, current, comparative) on lines (doc_id, line_no, line) of their document.
 

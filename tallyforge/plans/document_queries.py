@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import constants as K
 from tallyforge.functions.text import ACCENTED, PLAIN, fold
 from tallyforge.operators import documents as docs
-from tallyforge.operators import matching, search
+from tallyforge.operators import evidence, matching, search
 from tallyforge.operators import notes as notes_of
 from tallyforge.sources.shared import checkpointed
 from tallyforge.sources.tables import CONTENTS, MARKER, NOTE_TITLES, OTHER_WORDS, REPORT, lines, note_pages, notes, table
@@ -441,12 +441,85 @@ def strip_repeated(s, d):
     return docs.strip_repeated(lines(table(s, d, "documents")).withColumnRenamed("line_no", "page"))
 
 
-@_query(f"""WITH {_LINES}, g AS (SELECT *, sum(CAST(contains(line, '!!') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_no) AS grp, CASE WHEN length(line) > 80 THEN left(line, 20) END AS v FROM lines)
-    SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, last_value(v IGNORE NULLS) OVER (PARTITION BY doc_id, grp ORDER BY line_no) AS context FROM g""")
+#: A line over 100 characters long, and how tables in a unit name it.
+PROSE = "El saldo comprende depósitos que se mantienen en bancos locales y del exterior y que son de libre disponibilidad para la compañía."
+UNITS = {"thousands": "S/(000) S/(000)", "millions": "millones de soles"}
+
+
+def _policy_documents(s, d):
+    """Adapter: documents with a policy on their first page and two notes with tables on their second.
+
+    What is odd follows from doc_id modulo 12: 1 the columns in another order, 2 and 3 another unit or currency, 4 one year twice, 5 other years, 6 a second table in the note,
+    7 and 8 a paragraph before the rows, 9 another amount in one filing, 10 a total without a rule, 11 a row whose label is the fact's own.
+    """
+    k, v, year = F.pmod("doc_id", F.lit(500)), F.pmod("doc_id", F.lit(12)), F.lit(2024) + F.pmod("doc_id", F.lit(2)).cast("int")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.pmod("doc_id", F.lit(len(POLICIES))) + 1).cast("int"))
+    unit = pick([UNITS.get(p[1], UNITS["thousands"]) for p in POLICIES])
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    years = F.when(v == 1, text(year - 1, " ", year)).when(v == 4, text(year, "  ", year)).when(v == 5, text(year - 1, " ", year - 2)).otherwise(text(year, " ", year - 1))
+    named = F.when(v == 2, "en unidades de S/").when(v == 3, "US$(000) US$(000)").otherwise(unit)
+    lines_of = [
+        F.lit("6. Efectivo y equivalentes del efectivo"), years, named, F.when(v == 6, "Otros 5 4"), F.when(v == 6, years), F.when(v == 6, unit), F.when(v == 7, "(a) Detalle del saldo").when(v == 8, PROSE),
+        text("Caja ", k + 90, " ", k + 80, F.when(v == 10, "").otherwise(" _________")), text(k + 100, " ", k + 90), F.substring_index("text", "\n", 1), F.lit("7. Otra cuenta"), text(year, " ", year - 1, " ", year - 2), unit,
+        text("Utilidad antes de impuesto a la renta ", k + 200, " ", k + 180, " 160"), text("Total impuesto a la renta (", F.pmod("doc_id", F.lit(7)) + 20, ") (", F.pmod("doc_id", F.lit(7)) + 18, ") (16)"),
+        F.when(v == 11, text("Efectivo (nota 6) ", k + 100, " ", k + 90, " 1")), F.when(v == 11, text("Utilidad por acción ", k + 3, " ", k + 2, " 1")),
+    ]
+    docs_ = table(s, d, "documents").filter("doc_id is not null")
+    pages = docs_.select("doc_id", F.posexplode(F.array(pick([p[0] for p in POLICIES]), F.array_join(F.array_compact(F.array(*lines_of)), "\n"))).alias("page", "text"))
+    filing = lambda n: F.col("doc_id") * 10 + n
+    filings = docs_.select("doc_id", F.explode(F.array(*(filing(n) for n in (1, 2, 3)))).alias("filing_id"), F.lit("PEN").alias("currency_code"), year.alias("fiscal_year"), F.lit("consolidated").alias("scope"), F.lit("A").alias("period_code"))
+    fact = lambda n, code, label, concept, kind, current, before: F.struct(filing(n).alias("filing_id"), F.lit(code).alias("account_code"), F.lit(label).alias("label"), F.lit(concept).alias("concept"), F.lit(kind).alias("value_kind"), current.cast("decimal(20,6)").alias("current"), before.cast("decimal(20,6)").alias("comparative"))
+    tax = F.pmod("doc_id", F.lit(7))
+    facts = docs_.select("doc_id", F.inline(F.array(
+        fact(1, "cash", "Efectivo", "cash_and_cash_equivalents", "monetary", k + 100, k + 90), fact(2, "profit", "Ganancia antes de impuestos", "profit_before_tax", "monetary", k + 200, k + 180), fact(2, "tax", "Impuesto", "income_tax_expense", "monetary", -tax - 20, -tax - 18),
+        fact(3, "closing", "Saldo final", "closing_cash", "monetary", F.when(v == 9, 9999).otherwise(k + 100), k + 90), fact(3, "share", "Utilidad por acción", None, "per_share", k + 3, k + 2), fact(3, "none", "Nada", None, "monetary", k * 0, k),
+    )))
+    return pages, filings, facts
+
+
+_unit_sql = "[" + ", ".join(f"'{UNITS.get(p[1], UNITS['thousands'])}'" for p in POLICIES) + f"][doc_id % {len(POLICIES)} + 1]"
+_label_sql = lambda c: rf"array_to_string(regexp_extract_all(regexp_replace({_plain_text(c)}, '\([^)]*\)', '', 'g'), '[a-z]+'), ' ')"
+_TABLES = rf"""t0 AS (SELECT doc_id, doc_id % 500 AS k, doc_id % 12 AS v, 2024 + doc_id % 2 AS y, text, {_unit_sql} AS unit, coalesce({_of_id(1)}, '') AS policy, doc_id % 7 AS tax FROM documents WHERE doc_id IS NOT NULL),
+    t1 AS (SELECT *, CASE v WHEN 1 THEN (y - 1) || ' ' || y WHEN 4 THEN y || '  ' || y WHEN 5 THEN (y - 1) || ' ' || (y - 2) ELSE y || ' ' || (y - 1) END AS years FROM t0),
+    t2 AS (SELECT doc_id, y, CASE WHEN policy = 'millions' THEN 'millions' ELSE 'thousands' END AS wanted, list_filter(['6. Efectivo y equivalentes del efectivo', years, CASE v WHEN 2 THEN 'en unidades de S/' WHEN 3 THEN 'US$(000) US$(000)' ELSE unit END, CASE WHEN v = 6 THEN 'Otros 5 4' END, CASE WHEN v = 6 THEN years END, CASE WHEN v = 6 THEN unit END,
+        CASE v WHEN 7 THEN '(a) Detalle del saldo' WHEN 8 THEN '{PROSE}' END, 'Caja ' || (k + 90) || ' ' || (k + 80) || CASE WHEN v = 10 THEN '' ELSE ' _________' END, (k + 100) || ' ' || (k + 90), string_split(text, chr(10))[1], '7. Otra cuenta', y || ' ' || (y - 1) || ' ' || (y - 2), unit,
+        'Utilidad antes de impuesto a la renta ' || (k + 200) || ' ' || (k + 180) || ' 160', 'Total impuesto a la renta (' || (tax + 20) || ') (' || (tax + 18) || ') (16)', CASE WHEN v = 11 THEN 'Efectivo (nota 6) ' || (k + 100) || ' ' || (k + 90) || ' 1' END, CASE WHEN v = 11 THEN 'Utilidad por acción ' || (k + 3) || ' ' || (k + 2) || ' 1' END], lambda x: x IS NOT NULL) AS l FROM t1),
+    t3 AS (SELECT doc_id, y, wanted, unnest(range(0, len(l))) AS i, unnest(l) AS line, unnest(list_concat([''], l[1:len(l) - 1])) AS above FROM t2), t4 AS (SELECT *, {_plain_text('line')} AS plain FROM t3),
+    t5 AS (SELECT *, regexp_matches(plain, '{K.SOLES}') AND NOT regexp_matches(plain, '{K.DOLLARS}') AS pen, [{', '.join(f"CASE WHEN regexp_matches(plain, '{p}') THEN '{n}' END" for n, p in K.SCALE_WORDS)}] AS named FROM t4),
+    f AS MATERIALIZED (SELECT doc_id, y, wanted, i, line, CASE WHEN regexp_matches(line, '^\s*[0-9]{{1,2}}\.\s+.') THEN {_label_sql(r"regexp_extract(line, '^\s*[0-9]{1,2}\.\s+(.+)', 1)")} END AS title, CASE WHEN regexp_matches(line, '{K.YEARS_LINE}') THEN list_transform(regexp_extract_all(line, '20[0-9]{{2}}'), lambda x: CAST(x AS INTEGER)) END AS years,
+        CASE WHEN pen AND len(list_filter(named, lambda x: x IS NOT NULL)) = 1 THEN list_filter(named, lambda x: x IS NOT NULL)[1] END AS scale, regexp_matches(plain, '{K.UNIT_WORDS}') AS unit, list_transform(regexp_extract_all(line, '(?:^|[^\p{{L}}\p{{N}}_.])(\(?-?[0-9][0-9,]*(?:\.[0-9]+)?\)?)', 1), lambda x: CAST(replace(replace(replace(x, ',', ''), ')', ''), '(', '-') AS DOUBLE)) AS numbers,
+        length(trim(line)) > 100 OR regexp_matches(line, '^\s*\([a-z]\)') AS ends, {_label_sql('line')} AS label, contains(above, '___') AS ruled FROM t5),
+    st(doc_id, i, heading, years, scale, first, seen, fits, open) AS (SELECT doc_id, CAST(-1 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER[]), CAST(NULL AS VARCHAR), false, false, false, CAST(NULL AS INTEGER[]) FROM t2
+      UNION ALL SELECT doc_id, i, heading, CASE WHEN own IS NOT NULL THEN own WHEN other_unit OR usable AND NOT fit AND ends THEN NULL ELSE open END, CASE WHEN own IS NOT NULL OR other_unit OR begins THEN NULL WHEN open IS NOT NULL AND line_scale IS NOT NULL THEN line_scale ELSE scale END,
+        CASE WHEN own IS NOT NULL THEN first AND NOT seen WHEN usable AND fit AND label = '' THEN false ELSE first END, seen OR own IS NOT NULL, usable AND fit, open
+      FROM (SELECT *, len(numbers) = len(open) AS fit, coalesce(open IS NOT NULL AND len(list_distinct(open)) = len(open) AND scale = wanted AND own IS NULL AND line_scale IS NULL AND NOT other_unit AND list_contains(open, y) AND list_contains(open, y - 1), false) AS usable
+        FROM (SELECT *, open IS NOT NULL AND line_scale IS NULL AND unit AS other_unit FROM (SELECT f.doc_id, f.i, f.y, f.wanted, f.years AS own, f.scale AS line_scale, f.unit, f.numbers, f.ends, f.label, f.title IS NOT NULL AS begins, coalesce(f.title, st.heading) AS heading, f.title IS NOT NULL OR st.first AS first, f.title IS NULL AND st.seen AS seen,
+          CASE WHEN f.title IS NULL THEN st.years END AS open, st.scale FROM st JOIN f ON f.doc_id = st.doc_id AND f.i = st.i + 1)))),
+    before AS (SELECT doc_id, i + 1 AS i, first AND f2.title IS NULL OR f2.title IS NOT NULL AS first FROM st JOIN (SELECT doc_id AS d2, i AS i2, title FROM f) f2 ON f2.d2 = st.doc_id AND f2.i2 = st.i + 1),
+    found AS MATERIALIZED (SELECT s.doc_id, CAST(s.i AS INTEGER) AS line_no, f.line, f.label, CASE WHEN f.label = '' AND b.first AND f.ruled THEN s.heading END AS total, s.open AS years, f.numbers[list_position(s.open, f.y)] AS current, f.numbers[list_position(s.open, f.y - 1)] AS comparative
+      FROM st s JOIN f ON f.doc_id = s.doc_id AND f.i = s.i JOIN before b ON b.doc_id = s.doc_id AND b.i = s.i WHERE s.fits)"""
+
+
+@_query(f"WITH RECURSIVE {_TABLES} SELECT doc_id, line_no, line, coalesce(total, label) AS label, total IS NOT NULL AS total, years, current, comparative FROM found")
 def table_context(s, d):
-    """OP-71: the beginning of the last long line, forgotten at a shouted line."""
-    found = docs.carry_context(lines(table(s, d, "documents")), F.col("line").contains("!!"), F.when(F.length("line") > 80, F.left("line", F.lit(20))))
-    return found.select("doc_id", "line_no", "context")
+    """OP-71: rows of tables in the unit that the document's policy names (thousands where it has none)."""
+    pages, filings, _ = _policy_documents(s, d)
+    scale = F.element_at(F.array(*(F.lit(p[1] or "thousands") for p in POLICIES)), (F.pmod("doc_id", F.lit(len(POLICIES))) + 1).cast("int"))
+    read = pages.withColumns({"currency": F.lit("PEN"), "fiscal_year": F.lit(2024) + F.pmod("doc_id", F.lit(2)).cast("int"), "scale": scale})
+    found = evidence.table_rows(read).select("doc_id", "line_no", "line", F.col("keys")[0].alias("k"), "years", "current", "comparative")
+    return found.select("doc_id", "line_no", "line", "k.label", "k.total", "years", F.col("current").cast("double"), F.col("comparative").cast("double"))
+
+
+@_query(f"""WITH RECURSIVE {_TABLES}, facts AS (SELECT doc_id, doc_id * 10 + n AS filing_id, code, unnest(labels) AS label, current::DOUBLE AS current, comparative::DOUBLE AS comparative FROM (
+      SELECT doc_id, 1 AS n, 'cash' AS code, ['efectivo', 'efectivo y equivalentes del efectivo'] AS labels, k + 100 AS current, k + 90 AS comparative FROM t0 UNION ALL SELECT doc_id, 2, 'profit', ['ganancia antes de impuestos', 'utilidad antes de impuesto a la renta'], k + 200, k + 180 FROM t0
+      UNION ALL SELECT doc_id, 2, 'tax', ['impuesto', 'total impuesto a la renta'], -tax - 20, -tax - 18 FROM t0 UNION ALL SELECT doc_id, 3, 'closing', ['saldo final', 'efectivo y equivalentes del efectivo'], CASE WHEN v = 9 THEN 9999 ELSE k + 100 END, k + 90 FROM t0)),
+    a AS MATERIALIZED (SELECT f.doc_id, f.filing_id, f.code, arg_max(f.label, r.line_no) AS label, any_value(f.current) AS current, any_value(f.comparative) AS comparative FROM facts f JOIN (SELECT doc_id, line_no, current, comparative, label FROM found UNION SELECT doc_id, line_no, current, comparative, total FROM found WHERE total IS NOT NULL) r ON r.doc_id = f.doc_id AND r.label = f.label AND r.current = f.current AND r.comparative = f.comparative GROUP BY ALL),
+    w AS (SELECT doc_id, count(DISTINCT {{'l': label, 'c': current, 'p': comparative}}) AS amounts, count(DISTINCT filing_id) AS filings FROM a GROUP BY doc_id)
+    SELECT a.doc_id, a.filing_id, p.policy AS scale, p.exception, count(*) AS anchors, w.amounts FROM a JOIN w USING (doc_id) JOIN (SELECT doc_id, {_of_id(1)} AS policy, {_of_id(2)} AS exception FROM documents) p USING (doc_id) WHERE w.amounts >= 3 AND w.filings >= 2 AND p.policy <> '' GROUP BY ALL""")
+def evidence_thresholds(s, d):
+    """OP-62: the filings whose unit is proved by a policy and enough anchors in tables, their own included."""
+    found = evidence.verify_policy(*_policy_documents(s, d))
+    return found.select("doc_id", "filing_id", "scale", "exception", F.size("anchors").cast("long").alias("anchors"), "amounts")
 
 
 @_query(r"""WITH t AS (SELECT event_id, 'Activos ' || CASE event_id % 4 WHEN 0 THEN '(1,234)' WHEN 1 THEN '12,345.50 (7)' WHEN 2 THEN 'x9 3' ELSE '-5' END || ' ' || CAST(user_id AS VARCHAR) AS line FROM events)

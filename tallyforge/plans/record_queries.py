@@ -340,14 +340,6 @@ def panel_overview(s, d):
     return j.agg(F.count_if("a").alias("active"), F.count_if(F.expr("not a and dn")).alias("available"), F.count_if(F.expr("not a and not dn and c_acctbal >= 0")).alias("compatible"), F.count_if(F.expr("not a and not dn and c_acctbal < 0")).alias("attention"))
 
 
-@_query("""SELECT l_suppkey AS company_id, count(DISTINCT l_partkey) AS labels, count(DISTINCT l_orderkey) AS filings, count(DISTINCT l_returnflag) AS scales, count(DISTINCT l_partkey) >= 3 AND count(DISTINCT l_orderkey) >= 2 AND count(DISTINCT l_returnflag) = 1 AS accepted
-    FROM lineitem WHERE l_quantity >= 48 GROUP BY 1""")
-def evidence_thresholds(s, d):
-    """OP-62: evidence counts if it has enough distinct labels and filings, and one scale only."""
-    g = table(s, d, "lineitem").filter("l_quantity >= 48").groupBy(F.col("l_suppkey").alias("company_id")).agg(F.countDistinct("l_partkey").alias("labels"), F.countDistinct("l_orderkey").alias("filings"), F.countDistinct("l_returnflag").alias("scales"))
-    return g.withColumn("accepted", F.expr("labels >= 3 and filings >= 2 and scales = 1"))
-
-
 @_query("SELECT p_partkey, p_name, total FROM (SELECT * FROM part WHERE p_size > 10 ORDER BY p_name, p_partkey LIMIT 25 OFFSET 25), (SELECT count(*) AS total FROM part WHERE p_size > 10)")
 def paged_with_total(s, d):
     return ops.page(table(s, d, "part").filter("p_size > 10"), [F.col("p_name"), F.col("p_partkey")], 2, 25).select("p_partkey", "p_name", "total")
