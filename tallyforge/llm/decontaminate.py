@@ -19,7 +19,8 @@ Spark's, so a large benchmark is shuffled, and a small one broadcast, by its mea
 Defined results: null or wordless texts and items have no words and no hits; an empty benchmark
 leaves every document clean; each input row gives one output row and is answered by its own text (rows are
 numbered), so neither a doc_id that repeats with another text nor a null doc_id mixes with others; an item_id
-that repeats counts once in ``n_items``; a null item_id is ignored; extra columns are ignored.
+that repeats counts once in ``n_items``; an item without an id has windows that hit words, but cannot be named in
+``n_items`` and its digest; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def item_prints(benchmark: DataFrame, k: int, window: int) -> DataFrame:
                 ids = batch.column(0).slice(piece.first, piece.n).take(pa.array([r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_TYPES, 1))], ["item_id", *(c for c, _ in _TYPES)])
 
-    source = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string"), "text")
+    source = benchmark.select(F.col("item_id").cast("string"), "text")
     found = source.mapInArrow(prints, "item_id string, print long, long boolean, at int, lead int, words string")
     return found.drop("at").dropDuplicates()
 

@@ -9,8 +9,11 @@ Templates are the full texts of ten public licences (packaged text files), their
 
 A stretch is at most ``SLACK`` times as long as the template.  It can only reach ``coverage`` if it has that share
 of the template's words, each as often as the template at most, so stretches are first looked for with that bound, on
-hashed words of the whole text; nothing that could pass is left out.  The stretches with most words are aligned first;
-one that shares more than half of a place that was found is not aligned again.
+hashed words of the whole text.  A longer stretch can align fewer words than one inside it, as words that occur once
+in the shorter one may be repeated in the longer.  So for templates of up to ``EVERY`` words, every stretch within the bound is
+aligned, and the best is the best of all stretches.  Longer templates have unique words enough: there the longest stretches are
+aligned, those with most words first, each also where the diagonal of most of its unique words lies, and once more around its own
+aligned words as long as that gains; one that shares more than half of a place that was found is not aligned again.
 
 All hits of a document are kept: the best is taken, then the best of those that do not overlap it, and so on, and what
 lies between taken hits is searched anew until nothing is found.
@@ -37,6 +40,8 @@ from pyspark.sql import functions as F
 from . import _text as tx
 
 SLACK = 1.5
+#: Templates of up to so many words are aligned with every stretch that has words enough.
+EVERY = 64
 
 #: Well-known public notices (one-line ones end in -line, longer ones in -notice).
 NOTICES = {
@@ -141,15 +146,68 @@ def _windows(words: list[int], template: _Template, needed: int) -> list[tuple[i
     return out
 
 
+def _stretches(words: list[int], template: _Template, needed: int) -> Iterator[tuple[int, int]]:
+    """First and last (exclusive) of every stretch that has at least ``needed`` of the template's words."""
+    width, most = int(template.n * SLACK) + 1, template.counts.tolist()
+    ends: dict[int, int] = {}
+    for _, first, last in _windows(words, template, needed):
+        # one more word at either end stands for any that are not of the template
+        for a in range(max(0, first - 1), last - needed + 1):
+            ends[a] = max(ends.get(a, 0), min(last + 1, len(words)))
+    for a, end in ends.items():
+        seen: Counter[int] = Counter()
+        common = 0
+        for b in range(a + 1, min(end, a + width) + 1):
+            w = words[b - 1]
+            if w >= 0 and most[w]:
+                seen[w] += 1
+                common += seen[w] <= most[w]
+            if common >= needed:
+                yield a, b
+
+
+def _around(words: list[int], template: _Template, a: int, b: int) -> list[tuple[int, int]]:
+    """The best alignment (places in the template, in the text) that a stretch leads to."""
+    width = b - a
+    pairs = patience_align(template.words, words[a:b])
+    once = Counter(template.words)
+    at = {w: p for p, w in enumerate(template.words) if once[w] == 1}
+    diagonals = Counter(k - at[w] for k, w in enumerate(words[a:b], a) if w in at)
+    best = [(p, a + q) for p, q in pairs]
+    if diagonals:
+        start = max(0, max(diagonals.items(), key=lambda x: (x[1], -x[0]))[0])
+        other = [(p, start + q) for p, q in patience_align(template.words, words[start : start + template.n])]
+        best = max(best, other, key=len)
+    while best:
+        first, last = best[0][1], best[-1][1] + 1
+        again = [(p, first + q) for p, q in patience_align(template.words, words[first : min(last, first + width)])]
+        if len(again) <= len(best):
+            break
+        best = again
+    return best
+
+
 def _places(words: list[int], template: _Template, coverage: float) -> set[tuple[float, int, int]]:
     """Coverage, first and last (exclusive) word of the places of the template in the text (words as places in all templates' words, or -1)."""
     found: set[tuple[float, int, int]] = set()
-    for _, a, b in sorted(_windows(words, template, max(1, int(np.ceil(coverage * template.n - 1e-9)))), key=lambda x: (-x[0], x[1])):
+    least = coverage * template.n - 1e-9
+    needed = max(1, int(np.ceil(least)))
+    if template.n <= EVERY:
+        aligned: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for a, b in _stretches(words, template, needed):
+            own = tuple(words[a:b])
+            if own not in aligned:
+                aligned[own] = patience_align(template.words, list(own))
+            pairs = aligned[own]
+            if len(pairs) >= least:
+                found.add((len(pairs) / template.n, a + pairs[0][1], a + pairs[-1][1] + 1))
+        return found
+    for _, a, b in sorted(_windows(words, template, needed), key=lambda x: (-x[0], x[1])):
         if any(2 * (min(b, last) - max(a, first)) > last - first for _, first, last in found):
             continue
-        pairs = patience_align(template.words, words[a:b])
-        if len(pairs) >= coverage * template.n - 1e-9:
-            found.add((len(pairs) / template.n, a + pairs[0][1], a + pairs[-1][1] + 1))
+        pairs = _around(words, template, a, b)
+        if len(pairs) >= least:
+            found.add((len(pairs) / template.n, pairs[0][1], pairs[-1][1] + 1))
     return found
 
 

@@ -18,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyforge.llm import _spark, jaccard_join, language_id, toxicity
+from tallyforge.llm import _spark, jaccard_join, language_id, license_scan, toxicity
 from tallyforge.llm import token_file as token_files
 from tallyforge.llm import _text as tx
 from tallyforge.llm.backoff_lm import backoff_scores
@@ -191,13 +191,13 @@ def brute_contamination(text, items):
         for k in range(len(words) - n + 1):
             if n and tuple(words[k : k + n]) in windows:
                 hit |= set(range(k, k + n))
-                found.add(str(i))
+                found |= {str(i)} - {"None"}
     return len(words), len(hit), sorted(found)
 
 
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(2)
-    items = [(i, " ".join(rng.choices("abcdefgh", k=rng.choice([1, 3, 5, 9, 10, 11, 25, 60])))) for i in range(25)] + [(90, None), (91, "?!"), (None, "a b"), (92, "x " * 30)]
+    items = [(i, " ".join(rng.choices("abcdefgh", k=rng.choice([1, 3, 5, 9, 10, 11, 25, 60])))) for i in range(25)] + [(90, None), (91, "?!"), (None, "h g h a"), (None, None), (92, "x " * 30)]
     docs = []
     for d in range(60):
         words = rng.choices("abcdefghijklmnop", k=rng.randint(0, 80))
@@ -210,9 +210,8 @@ def test_decontamination_matches_brute_force(spark):
     got = decontaminate(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
     import hashlib
 
-    real = [x for x in items if x[0] is not None]
     for r in got:
-        n, hit, found = brute_contamination(docs[r["doc_id"]][1], real)
+        n, hit, found = brute_contamination(docs[r["doc_id"]][1], items)
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, hit, len(found), hit > 0), r
         assert r["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
     assert len(got) == len(docs)
@@ -232,6 +231,12 @@ def test_decontamination_odd(spark, odd, empty):
     assert decontaminate(empty, none).count() == 0
 
 
+def test_items_without_an_id_hit(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    got = decontaminate(table(spark, [(1, "clean words", "en"), (2, item, "en"), (3, "one two", "en")]), spark.createDataFrame([(None, item), (5, "one two"), (None, "two")], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_hit"], r["n_items"], r["contaminated"]) for r in got) == [(1, 0, 0, False), (2, 12, 0, True), (3, 2, 1, True)]
+
+
 def test_contamination_is_by_row(spark):
     item = " ".join(f"q{i}" for i in range(12))
     docs = table(spark, [(1, "clean words of four", "en"), (1, "before " + item, "en"), (None, item, "en"), (None, "nothing", "en"), (2, item, "en"), (2, item, "en")])
@@ -355,6 +360,49 @@ def test_licenses(spark, odd, empty):
     assert scan_licenses(odd, templates={}).count() == 10
 
 
+def test_short_templates_are_aligned_with_every_stretch():
+    rng = random.Random(20)
+    passed = 0
+    for _ in range(700):
+        n, vocabulary = rng.randint(3, 9), rng.randint(3, 7)
+        own = np.array([rng.randrange(vocabulary) for _ in range(n)])
+        template = license_scan._Template("t", own, np.arange(vocabulary))
+        words = [rng.randrange(-2, vocabulary) for _ in range(rng.randint(0, 24))]
+        words = [max(w, -1) for w in words]
+        if rng.random() < 0.4:
+            k = rng.randint(0, len(words))
+            words[k:k] = own.tolist()
+        share = rng.choice([0.6, 0.85, 1.0])
+        best = None
+        for a in range(len(words)):
+            for b in range(a + 1, min(len(words), a + int(n * license_scan.SLACK) + 1) + 1):
+                pairs = patience_align(own.tolist(), words[a:b])
+                if pairs and len(pairs) >= share * n - 1e-9:
+                    one = (-len(pairs), a + pairs[0][1], a + pairs[-1][1] + 1)
+                    best = one if best is None else min(best, one)
+        hits = license_scan._hits(words, [template], share)
+        got = hits and (-round(hits[0][1] * n), *hits[0][2:])
+        assert (got or None) == best, (own, words, share)
+        passed += best is not None
+    assert passed > 200
+
+
+def test_verbatim_notices_are_whole(spark):
+    """A notice that stands word for word has coverage 1, whatever repeats its words before or behind it."""
+    rng = random.Random(21)
+    rows = [(0, "Version 2.0 of the Apache License. Licensed under the Apache License, Version 2.0"), (1, "under the License " * 300 + NOTICES["MIT-line"] + " the MIT under" * 300)]
+    for name, text in NOTICES.items():
+        words = text.split()
+        rows.append((len(rows), " ".join([*rng.choices(words, k=5), text, *rng.choices(words, k=5)])))
+    full = full_texts()
+    for name in sorted(full)[:4]:
+        words = full[name].split()
+        rows.append((len(rows), " ".join([*rng.choices(words, k=60), full[name], *rng.choices(words, k=60)])))
+    got = {r["doc_id"]: r for r in scan_licenses(table(spark, [(i, t, "en") for i, t in rows])).collect()}
+    assert (got[0]["license"], got[0]["coverage"], got[0]["first_word"], got[0]["last_word"]) == ("Apache-2.0-line", 1.0, 7, 15)
+    assert {i: (r["license"], r["coverage"]) for i, r in got.items() if r["coverage"] < 1} == {}
+
+
 def test_license_lines_and_all_hits(spark):
     lines = {
         "Released under the MIT License.": "MIT-line", "Licensed under the Apache License, Version 2.0.": "Apache-2.0-line", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0-line",
