@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tallyforge.operators.records import scd2_versions
+from tallyforge.functions.text import digest
 from tallyforge.operators.search import postings
 
 
@@ -23,33 +27,75 @@ def minute_rate(events: DataFrame, window: str = "1 minute", slide: str = "10 se
     return counted.select("user_id", F.col("window.start").alias("from"), F.col("window.end").alias("to"), "n")
 
 
+#: The column of a row's digest; names that begin with an underscore do not reach the processor.
+DIGEST = "digest_of_the_row"
+
+
+class _Changes(StatefulProcessor):
+    """Of the rows of a key, in order of arrival and then of ``order``, those whose digest differs from the one before; state is one digest and number a key."""
+
+    def __init__(self, keys: list[str], order: list[str], columns: list[str]) -> None:
+        self.keys, self.order, self.columns = keys, order, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "digest string, version long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        arrived = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        known = self.last.get() if self.last.exists() else None
+        digest, version = (known[0], known[1]) if known else (None, 0)
+        kept, versions = [], []
+        for i, d in enumerate(arrived[DIGEST]):
+            d = None if pd.isna(d) else d
+            if not version or d != digest:
+                digest, version = d, version + 1
+                kept.append(i)
+                versions.append(version)
+        if kept:
+            self.last.update((digest, version))
+            out = arrived.iloc[kept]
+            yield out[self.columns].assign(version=versions)
+
+    def close(self) -> None:
+        pass
+
+
+#: State in RocksDB: a micro-batch reads and writes the keys that it has, whatever number there are in all.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _changes(rows: DataFrame, keys: list[str], order: list[str], digest_of: Column) -> DataFrame:
+    """Rows of a stream that change their key's digest, with ``version`` counted up for each key."""
+    columns = rows.columns
+    schema = StructType([*rows.schema.fields, StructField("version", LongType())])
+    return rows.withColumn(DIGEST, digest_of).groupBy(*keys).transformWithStateInPandas(statefulProcessor=_Changes(keys, order, columns), outputStructType=schema, outputMode="Append", timeMode="None")
+
+
+def _append(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Append to Parquet files; the sink's log in ``target`` and ``checkpoint`` make a batch that runs again replace itself."""
+    conf = rows.sparkSession.conf
+    before = conf.get(ROCKSDB[0])
+    conf.set(*ROCKSDB)
+    try:
+        return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        conf.set(ROCKSDB[0], before)
+
+
 def version_events(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """ST-3: versions of each (provider, external_id), appended batch by batch to ``target`` (Parquet).
+    """ST-3: versions of each (provider, external_id), appended to ``target`` (Parquet); the stream of OP-64.
 
-    A micro-batch joins the last version of the keys it touches as row 0, so unchanged rows and numbering
-    carry over.  Last versions, one row a key, are kept beside ``target`` in two slots by turns: a batch reads the slot of the batch
-    before it and writes the other, so its cost grows with keys and not with history, and a batch that runs again after a
-    failure finds what it read at first and replaces its own partition and slot.  ``target`` and ``checkpoint`` belong together.
+    A row equal to the one before it gives no version.  Rows count in order of their micro-batch, inside one by (ts, event_id).
+    The state of a key is its last digest and version, so a micro-batch costs what its own keys cost.  ``target`` and ``checkpoint`` belong together.
     """
-    keys = ["provider", "external_id"]
-    last_of = "provider string, external_id long, ts timestamp_ntz, event_id long, digest string, version int"
-    spark = events.sparkSession
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        slot = lambda k: f"{target.rstrip('/')}-last/{k % 2}"
-        last = spark.read.schema(last_of).parquet(slot(batch_id - 1)) if batch_id else spark.createDataFrame([], last_of)
-        touched = last.join(batch.select(*keys).distinct(), keys, "left_semi")
-        rows = batch.select(*keys, "ts", "event_id", "digest").withColumn("rank", F.lit(1)).unionByName(touched.drop("version").withColumn("rank", F.lit(0)))
-        found = scd2_versions(rows, keys, ["rank", "ts", "event_id"]).join(touched.select(*keys, F.col("version").alias("base")), keys, "left")
-        base = F.coalesce("base", F.lit(0))
-        fresh = found.filter("rank = 1").withColumn("version", (F.col("version") + F.greatest(base - 1, F.lit(0))).cast("int"))
-        out = fresh.select(*keys, "ts", "event_id", "digest", "version", F.lit(batch_id).cast("long").alias("batch"))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
-        written = spark.read.schema(f"{last_of}, batch long").parquet(target).filter(F.col("batch") == batch_id)
-        newest = written.groupBy(*keys).agg(F.max_by(F.struct("ts", "event_id", "digest", "version"), "version").alias("l")).select(*keys, "l.*")
-        last.join(newest.select(*keys), keys, "left_anti").unionByName(newest).write.mode("overwrite").parquet(slot(batch_id))
-
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = events.select("provider", "external_id", "ts", "event_id", "digest")
+    return _append(_changes(rows, ["provider", "external_id"], ["ts", "event_id"], F.col("digest")), target, checkpoint)
+
+
+def change_log_stream(rows: DataFrame, keys: list[str], order: list[str], compared: list[str], target: str, checkpoint: str) -> StreamingQuery:
+    """ST-3: the stream of OP-66: each key's first row (insert) and each row that differs from the one before (update), null-safe, appended to ``target``."""
+    found = _changes(rows, keys, order, digest(*compared))
+    return _append(found.withColumn("kind", F.when(F.col("version") == 1, "insert").otherwise("update")), target, checkpoint)
 
 
 def index_fragments(fragments: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
