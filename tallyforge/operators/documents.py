@@ -361,17 +361,21 @@ def find_quotes(quotes: DataFrame, fragments: DataFrame, n: int = 6) -> DataFram
     sides join on a run of at most ``n`` of them; only pairs that share that run are compared.
     """
     q = quotes.select("citation_id", collapse("quote").alias("quote")).withColumn("w", F.split("quote", " ")).filter(F.size("w") >= 3)
-    q = q.withColumn("m", F.least(F.lit(n), F.size("w") - 2)).select("citation_id", "quote", "m", F.array_join(F.slice("w", F.lit(2), F.col("m")), " ").alias("run"))
-    lengths = [r["m"] for r in q.select("m").distinct().collect()]  # n at most
+    q = q.withColumn("m", F.least(F.lit(n), F.size("w") - 2))
+    lengths = sorted(r["m"] for r in q.select("m").distinct().collect())  # n at most
     f = fragments.select("fragment_id", collapse("text").alias("text"))
-    w = f.withColumn("w", F.split("text", " "))
-    offered = None
-    for m in lengths:
-        # the shifted copies of the word array, zipped: no look-up inside a loop
-        parts = F.arrays_zip(*(F.slice("w", k + 1, F.size("w") - m + 1).alias(f"x{k}") for k in range(m)))
-        runs = w.filter(F.size("w") >= m).select("fragment_id", F.lit(m).alias("m"), F.inline(parts)).select("fragment_id", "m", F.concat_ws(" ", *(f"x{k}" for k in range(m))).alias("run"))
-        offered = runs if offered is None else offered.union(runs)
-    if offered is None:
+    if not lengths:
         return q.select("citation_id", F.lit(None).cast(f.schema["fragment_id"].dataType).alias("fragment_id"))
-    pairs = q.join(offered, ["m", "run"]).select("citation_id", "quote", "fragment_id").distinct()
+    # runs meet as numbers; a quote has one run, of its own length
+    hashed = lambda column, m, first: F.xxhash64(*(F.get(column, k + first) for k in range(m)))
+    asked = None
+    for m in lengths:
+        own = q.filter(F.col("m") == m).select("citation_id", "quote", hashed("w", m, 1).alias("run"))
+        asked = own if asked is None else asked.union(own)
+    # the shifted copies of the word array, zipped: no look-up inside a loop; shorter runs begin the longest
+    longest = lengths[-1]
+    parts = F.arrays_zip(*(F.slice("w", k + 1, F.size("w")).alias(f"x{k}") for k in range(longest)))
+    words = f.select("fragment_id", F.split("text", " ").alias("w")).select("fragment_id", F.inline(parts))
+    runs = words.select("fragment_id", F.explode(F.array(*(F.when(F.col(f"x{m - 1}").isNotNull(), F.xxhash64(*(f"x{k}" for k in range(m)))) for m in lengths))).alias("run")) if len(lengths) > 1 else words.filter(F.col(f"x{longest - 1}").isNotNull()).select("fragment_id", F.xxhash64(*(f"x{k}" for k in range(longest))).alias("run"))
+    pairs = asked.join(runs.filter("run is not null"), "run").select("citation_id", "quote", "fragment_id").distinct()
     return pairs.join(f, "fragment_id").filter(F.contains("text", "quote")).select("citation_id", "fragment_id")

@@ -75,26 +75,74 @@ def _tied_blocks(top: DataFrame) -> DataFrame:
     return both.filter("twins_c = ties_p and twins_p = ties_c and k_c = k_p").select(*pairs.columns)
 
 
-def greedy_pairs(scored: DataFrame) -> DataFrame:
-    """OP-44: one-to-one pairs by falling score (ties: lower numbers first).
+PAIR = [*GROUP, "current_number", "previous_number", "score"]
+#: Pairs of a group, or of one of its components, that one task chooses from: some tens of MB.
+IN_TASK = 200_000
+
+
+def _one_by_one(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The choice inside one component: pairs by falling score, then lower numbers, each if both its ends are free."""
+    ordered = pairs.sort_values(["score", "current_number", "previous_number"], ascending=[False, True, True])
+    current, previous, kept = set(), set(), []
+    for i, (c, p) in enumerate(zip(ordered["current_number"], ordered["previous_number"], strict=True)):
+        if c not in current and p not in previous:
+            current.add(c)
+            previous.add(p)
+            kept.append(i)
+    return ordered.iloc[kept]
+
 
-    Each round takes every pair that is the best of both its ends, and whole blocks of tied pairs, and drops what
-    those ends touched, until no pair is left.  The order is total, so a round always takes some pair, and this gives what
-    taking pairs one by one gives.  Rows with a null are ignored.
+def _components(pairs: DataFrame) -> DataFrame:
+    """pairs with ``component``: the smallest current number that is connected with a pair, in its group.
+
+    Labels go over from one side to the other, and each label's own label is taken, until nothing changes.
     """
+    ends = pairs.select(*GROUP, "current_number", "previous_number")
+    labels = checkpointed(ends.groupBy(*GROUP, "current_number").agg(F.min("current_number").alias("component")))
+    while True:
+        over = ends.join(labels, [*GROUP, "current_number"]).groupBy(*GROUP, "previous_number").agg(F.min("component").alias("component"))
+        back = ends.join(over, [*GROUP, "previous_number"]).groupBy(*GROUP, "current_number").agg(F.min("component").alias("component"))
+        of_label = back.select(*GROUP, F.col("current_number").alias("component"), F.col("component").alias("further"))
+        found = checkpointed(back.join(of_label, [*GROUP, "component"]).select(*GROUP, "current_number", F.least("component", "further").alias("component")))
+        if found.join(labels, [*GROUP, "current_number", "component"], "left_anti").isEmpty():
+            return pairs.join(found, [*GROUP, "current_number"])
+        labels = found
+
+
+def _in_rounds(scored: DataFrame) -> DataFrame | None:
+    """Each round takes every pair that is the best of both its ends, and whole blocks of tied pairs, and drops what those ends touched, until no pair is left."""
     c, p = Window.partitionBy(*GROUP, "current_number"), Window.partitionBy(*GROUP, "previous_number")
     best = lambda w, other, s: lambda df: df.withColumn(f"most_{s}", F.max("score").over(w)).withColumn(f"best_{s}", F.count_if(F.col("score") == F.col(f"most_{s}")).over(w)).withColumn(f"first_{s}", F.min(F.when(F.col("score") == F.col(f"most_{s}"), F.col(other))).over(w))
-    left, taken = scored.dropna(subset=[*GROUP, "current_number", "previous_number", "score"]), None
+    left, taken = scored, None
     while True:
         top = checkpointed(left.transform(best(c, "previous_number", "c")).transform(best(p, "current_number", "p")).filter("score = most_c and score = most_p"))
         if top.isEmpty():
             break
-        mutual = top.filter("first_c = previous_number and first_p = current_number").select(*GROUP, "current_number", "previous_number", "score")
+        mutual = top.filter("first_c = previous_number and first_p = current_number").select(*PAIR)
         now = checkpointed(mutual.union(_tied_blocks(top).select(mutual.columns)).distinct())
         taken = now if taken is None else taken.unionByName(now)
         left = left.join(now.select(*GROUP, "current_number"), [*GROUP, "current_number"], "left_anti")
         left = checkpointed(left.join(now.select(*GROUP, "previous_number"), [*GROUP, "previous_number"], "left_anti"))
-    return scored.limit(0) if taken is None else taken
+    return taken
+
+
+def greedy_pairs(scored: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """OP-44: one-to-one pairs by falling score (ties: lower numbers first).
+
+    A pair only bears on pairs it is connected with, so each group, and where a group has more than ``in_task`` pairs each of its connected
+    components, is chosen from pair by pair in one task; what is larger still is chosen in rounds.  The order is total, so
+    all three give what taking pairs one by one gives.  Rows with a null are ignored.
+    """
+    pairs = checkpointed(scored.select(*PAIR).dropna())
+    counted = pairs.withColumn("n", F.count("*").over(Window.partitionBy(*GROUP)))
+    taken = counted.filter(F.col("n") <= in_task).select(*PAIR).groupBy(*GROUP).applyInPandas(_one_by_one, pairs.schema)
+    large = counted.filter(F.col("n") > in_task).select(*PAIR)
+    if large.isEmpty():
+        return taken
+    parts = checkpointed(_components(checkpointed(large)).withColumn("n", F.count("*").over(Window.partitionBy(*GROUP, "component"))))
+    taken = taken.unionByName(parts.filter(F.col("n") <= in_task).select(*PAIR, "component").groupBy(*GROUP, "component").applyInPandas(lambda x: _one_by_one(x)[PAIR], pairs.schema))
+    rest = _in_rounds(parts.filter(F.col("n") > in_task).select(*PAIR))
+    return taken if rest is None else taken.unionByName(rest)
 
 
 def match_notes(current: DataFrame, previous: DataFrame) -> DataFrame:

@@ -87,6 +87,56 @@ def test_greedy_pairs_is_one_by_one(spark):
     assert {(r["company"], r["current_number"], r["previous_number"]) for r in got.collect()} == expected
 
 
+def test_components_and_rounds_are_one_by_one(spark, monkeypatch):
+    """Groups too large for one task: several components, and some too large as well."""
+    rng = random.Random(9)
+    data, expected = [], set()
+    for g in range(6):
+        # blocks of numbers that are connected inside only, and one large block
+        pairs = [(rng.choice([0.5, 0.6, 0.7]), b * 10 + c, b * 10 + p) for b in range(5) for c, p in itertools.product(range(4 if b else 9), repeat=2) if rng.random() < 0.5]
+        seen_c, seen_p = set(), set()
+        for s, c, p in sorted(pairs, key=lambda x: (-x[0], x[1], x[2])):
+            if c not in seen_c and p not in seen_p:
+                seen_c.add(c)
+                seen_p.add(p)
+                expected.add((str(g), c, p))
+        data += [(str(g), "x", c, p, s) for s, c, p in pairs]
+    pairs = spark.createDataFrame(data, "company string, scope string, current_number int, previous_number int, score double")
+    for most in (1000, 20, 0):
+        got = {(r["company"], r["current_number"], r["previous_number"]) for r in matching.greedy_pairs(pairs, most).collect()}
+        assert got == expected
+
+
+def test_a_falling_chain_needs_no_more_tables(spark, monkeypatch):
+    """Each pair of the chain scores less than the one before, so each choice waits for another."""
+    written = []
+    monkeypatch.setattr(matching, "checkpointed", lambda df: written.append(1) or df.checkpoint())
+    used = []
+    for n in (10, 20):
+        chain = [("c", "x", (k + 1) // 2, k // 2, 0.9 - k / 100) for k in range(2 * n)]
+        written.clear()
+        got = matching.greedy_pairs(spark.createDataFrame(chain, "company string, scope string, current_number int, previous_number int, score double"))
+        assert {(r["current_number"], r["previous_number"]) for r in got.collect()} == {(k, k) for k in range(n)}
+        used.append(len(written))
+    assert used == [1, 1]
+
+
+def test_quotes_are_found_by_their_runs(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["a", "bb", "c.", "dd", "é"], k=rng.randint(0, 40))) for _ in range(60)] + [None, ""]
+    quotes = []
+    for t in texts[:40]:
+        words = t.split()
+        if len(words) > 3:
+            k = rng.randrange(len(words) - 2)
+            quotes.append(("  ".join(words[k : k + rng.randint(1, 12)]))[rng.randint(0, 1) :])
+    q = spark.createDataFrame([(i, x) for i, x in enumerate([*quotes, None, "zz yy xx"])], "citation_id int, quote string")
+    f = spark.createDataFrame(list(enumerate(texts)), "fragment_id int, text string")
+    want = {(i, j) for i, x in enumerate(quotes) for j, t in enumerate(texts) if len(x.split()) >= 3 and " ".join(x.split()) in " ".join((t or "").split())}
+    assert {tuple(r) for r in docs.find_quotes(q, f).collect()} == want and len(want) > 30
+    assert docs.find_quotes(q.limit(0), f).collect() == []
+
+
 def test_tied_notes_are_all_matched(spark):
     schema = "company string, scope string, note_number int, title string, topic string"
     cur = spark.createDataFrame([("c", "s", i, "Deuda financiera corriente", "debt") for i in range(150)], schema)
