@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DecimalType, IntegralType, MapType, StringType, StructField, StructType
 
 from tallyforge.functions.constants import EVENT_CATEGORIES
-from tallyforge.functions.text import digest
+from tallyforge.functions.text import digest, let
 
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -17,18 +20,72 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def payload_rows(payloads: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
-    """OP-01: (rows, rejects) of payloads (id, payload) that hold a JSON list; what does not parse, or is no list, is rejected."""
-    parsed = payloads.select("id", "payload", F.when(F.trim("payload").startswith("["), F.from_json("payload", f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})).alias("rows"))
-    bad = F.col("rows").isNull() | F.exists("rows", lambda r: r.isNull())
-    return parsed.filter(~bad).select("id", F.inline("rows")), parsed.filter(F.coalesce(bad, F.lit(True))).select("id", "payload")
+    """OP-01: (rows, rejects) of payloads (id, payload) that hold a JSON list; what does not parse, is no list, or has a value of another type, is rejected.
+
+    Values are read as their text and then made what ``schema`` says, so decimals keep their digits.  A value that is there but cannot be made that
+    (a word or a fraction for a whole number) rejects its payload; a null or missing one is null.
+    """
+    wanted = StructType.fromDDL(schema)
+    texts = ", ".join(f"`{f.name}` string" for f in wanted)
+    parsed = payloads.select("id", "payload", F.when(F.trim("payload").startswith("["), F.from_json("payload", f"array<struct<{texts.replace('` string', '`: string')}>>", {"mode": "PERMISSIVE"})).alias("rows"))
+
+    def made(row: Column, field: StructField) -> Column:
+        text, kind = row[field.name], field.dataType
+        if isinstance(kind, StringType):
+            return text
+        if isinstance(kind, IntegralType):
+            return F.when(text.rlike(r"^\s*-?[0-9]+(?:\.0+)?\s*$"), F.regexp_replace(text, r"\.0+\s*$", "").try_cast(kind))
+        if isinstance(kind, (ArrayType, MapType, StructType)):
+            return F.from_json(text, kind, {"mode": "PERMISSIVE"})
+        return text.try_cast(kind)
+
+    typed = F.transform("rows", lambda r: F.struct(r.alias("text"), F.struct(*(made(r, f).alias(f.name) for f in wanted)).alias("value")))
+    broken = lambda x: x["text"].isNull() | reduce(Column.__or__, [x["text"][f.name].isNotNull() & x["value"][f.name].isNull() for f in wanted], F.lit(False))
+    # an explode binds what was read, so that no filter reads it again
+    read = parsed.select("id", F.explode(F.array(F.struct("payload", typed.alias("rows")))).alias("x")).select("id", "x.*")
+    bad = F.coalesce(F.exists("rows", broken), F.lit(True))
+    return read.filter(~bad).select("id", F.inline(F.transform("rows", lambda x: x["value"]))), read.filter(bad).select("id", "payload")
+
+
+def _code_point(token: Column) -> Column:
+    """The character of a numeric reference (#34 or #x22)."""
+    code = F.when(F.startswith(token, F.lit("#x")), F.conv(F.substring(token, 3, 8), 16, 10)).otherwise(F.substring(token, 2, 8)).try_cast("int")
+    unit = lambda c: F.concat(F.lit("\\u"), F.lpad(F.hex(c), 4, "0"))
+    # JSON spells any character; those over U+FFFF are pairs
+    spelled = F.when(code < 0x10000, unit(code)).otherwise(F.concat(unit(F.lit(0xD800) + F.floor((code - 0x10000) / 1024)), unit(F.lit(0xDC00) + F.pmod(code - 0x10000, F.lit(1024)))))
+    return F.when((code > 0) & (code < 0x110000), F.from_json(F.concat(F.lit('{"c": "'), spelled, F.lit('"}')), "c string")["c"])
+
+
+def _text(chunk: Column) -> Column:
+    """XML character data, its references read; null if one is unknown or an ampersand stands alone."""
+    reference = r"&(#x[0-9A-Fa-f]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);"
+    named = lambda t: F.when(t == "lt", "<").when(t == "gt", ">").when(t == "quot", '"').when(t == "apos", "'").when(t == "amp", "&").when(F.startswith(t, F.lit("#")), _code_point(t))
+
+    def joined(between: Column) -> Column:
+        tokens = F.transform(F.regexp_extract_all(chunk, F.lit(reference), F.lit(1)), named)
+        fine = ~F.exists(between, lambda x: F.contains(x, F.lit("&")))
+        return F.when(fine, let(tokens, lambda ts: F.when(~F.exists(ts, lambda t: t.isNull()), F.array_join(F.zip_with(between, ts, lambda x, t: F.concat(x, F.coalesce(t, F.lit("")))), ""))))
+
+    return F.when(~F.contains(chunk, F.lit("&")), chunk).otherwise(let(F.split(chunk, reference, -1), joined))
 
 
 def unwrap_envelope(envelopes: DataFrame, operation: str) -> DataFrame:
-    """OP-01: id and payload, the text of the element ``<operation>Result`` (any prefix) of XML envelopes (id, envelope); null where there is none."""
-    inner = F.regexp_extract("envelope", rf"(?s)<(?:[A-Za-z_][\w.-]*:)?{operation}Result(?:\s[^>]*)?>(.*?)</(?:[A-Za-z_][\w.-]*:)?{operation}Result\s*>", 1)
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        inner = F.replace(inner, F.lit(entity), F.lit(plain))
-    return envelopes.select("id", F.nullif(F.trim(inner), F.lit("")).alias("payload"))
+    """OP-01: id and payload, the text of the first element whose name ends in ``<operation>Result`` of XML envelopes (id, envelope); null where there is none.
+
+    Its text is what stands before a child element: character data with named and numeric references, and CDATA as it is; comments are passed over.
+    """
+    tag = rf"(?s)^.*?<(?:[\w.-]+:)?[\w.-]*{operation}Result(?:\s[^>]*)?(?<!/)>"
+    rest = F.when(F.col("envelope").rlike(tag), F.regexp_replace("envelope", tag, ""))
+    read = lambda c: F.when(F.startswith(c, F.lit("<![CDATA[")), F.regexp_replace(c, r"(?s)^<!\[CDATA\[|\]\]>$", "")).when(F.startswith(c, F.lit("<!--")), "").otherwise(_text(c))
+
+    def before_tag(chunks: Column) -> Column:
+        # without a tag behind it, or with a reference that cannot be read, there is no text
+        own = F.transform(F.slice(chunks, F.lit(1), F.array_position(chunks, "<").cast("int") - 1), read)
+        return F.when(F.array_contains(chunks, "<"), let(own, lambda texts: F.when(~F.exists(texts, lambda t: t.isNull()), F.array_join(texts, ""))))
+
+    text = let(F.regexp_extract_all(rest, F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->|[^<]+|<"), F.lit(0)), before_tag)
+    bound = envelopes.select("id", F.explode(F.array(text)).alias("text"))
+    return bound.select("id", F.nullif(F.trim("text"), F.lit("")).alias("payload"))
 
 
 def failing(checks: dict[str, Column]) -> Column:
@@ -81,6 +138,38 @@ def validate_events(raw: DataFrame) -> DataFrame:
     return out.withColumns(fine | {"effective_date": F.when((F.col("errors") == "") & dated, F.col("effective_date"))})
 
 
+def canonical(value: Column, kind: DataType) -> Column:
+    """OP-30: the canonical JSON of a value of any depth: keys in order, no spaces, arrays in their order.
+
+    Keys of maps and fields of structs are sorted by code point, so the order in which they came does not matter.  A null is written as null; a key that
+    a map does not have is not written, so it differs from null.  Strings are escaped as JSON; whole numbers, decimals and booleans are
+    written as they are, other scalars as strings.
+    """
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        parts = [F.concat(F.lit(f"{json.dumps(f.name, ensure_ascii=False)}:"), canonical(value[f.name], f.dataType)) for f in fields]
+        body = F.concat(F.lit("{"), F.array_join(F.array(*parts), ","), F.lit("}"))
+    elif isinstance(kind, MapType):
+        entry = lambda e: F.concat(canonical(e["key"], StringType()), F.lit(":"), canonical(e["value"], kind.valueType))
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("key"), e["value"].alias("value")))
+        ordered = F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        body = F.concat(F.lit("{"), F.array_join(F.transform(ordered, entry), ","), F.lit("}"))
+    elif isinstance(kind, ArrayType):
+        body = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, (BooleanType, DecimalType, IntegralType)):
+        body = value.cast("string")
+    else:
+        quoted = F.to_json(F.struct(value.cast("string").alias("v")))  # {"v":"..."}
+        body = F.substr(quoted, F.lit(6), F.length(quoted) - 6)
+    return F.when(value.isNull(), "null").otherwise(body)
+
+
+def canonical_digest(df: DataFrame, columns: list[str]) -> Column:
+    """OP-30: sha-256 of the canonical JSON of an object of these columns."""
+    fields = [f for f in df.schema.fields if f.name in columns]
+    return F.sha2(canonical(F.struct(*(F.col(f.name) for f in fields)), StructType(fields)), 256)
+
+
 def raw_dedupe(payloads: DataFrame, keys: list[str]) -> DataFrame:
     """OP-02: one row for each (keys, sha-256 of payload), with the newest retrieval and the number of rows."""
     return payloads.withColumn("sha", F.sha2("payload", 256)).groupBy(*keys, "sha").agg(F.max("retrieved_at").alias("retrieved_at"), F.count("*").alias("row_count"))

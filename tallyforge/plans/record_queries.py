@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -27,22 +29,41 @@ def _query(sql: str | None = None):
 
 
 def _envelopes(s, d):
-    """Adapter A2: properties as XML envelopes of lists; every seventh holds a bare object, every eleventh no result."""
-    json = F.when(F.pmod("event_id", F.lit(7)) == 0, F.col("props")).otherwise(F.concat(F.lit("["), "props", F.lit("]")))
-    escaped = F.replace(F.replace(json, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
-    result = F.when(F.pmod("event_id", F.lit(11)) == 0, F.lit("<m:Fault/>")).otherwise(F.concat(F.lit('<m:ReadRowsResult xsi:type="string">'), escaped, F.lit("</m:ReadRowsResult>")))
+    """Adapter A9: properties and the value, as XML envelopes of lists; what is odd follows from event_id modulo 23.
+
+    0 a bare object, 1 no result, 2 a word and 3 a fraction for the whole number, 4 CDATA, 5 numeric references, 6 an unknown reference, 7 a null, 8 a whole number as text,
+    9 a name beyond ASCII as a reference, 10 an element that is empty, 11 a comment, 12 broken JSON, 13 a number in a list.
+    """
+    v = F.pmod("event_id", F.lit(23))
+    k = F.get_json_object("props", "$.k")
+    shown = F.when(v == 2, '"x"').when(v == 3, F.concat(k, F.lit(".5"))).when(v == 7, "null").when(v == 8, F.concat(F.lit('"'), k, F.lit('"'))).otherwise(k)
+    name = F.when(v == 9, "ñ€").otherwise(F.col("event_type"))
+    row = F.concat(F.lit('{"k":'), shown, F.lit(',"name":"'), name, F.lit(' & <co>","amount":'), F.concat(k, F.lit("."), F.col("event_id").cast("string")), F.lit("}"))
+    body = F.when(v == 0, row).when(v == 12, F.concat(F.lit("["), row)).when(v == 13, F.concat(F.lit("["), row, F.lit(",5]"))).otherwise(F.concat(F.lit("["), row, F.lit("]")))
+    plain = _escaped(body)
+    swap = lambda *pairs: reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, plain)
+    escaped = F.when(v == 4, F.concat(F.lit("<![CDATA["), body, F.lit("]]>"))).when(v == 5, swap(("&quot;", "&#x22;"), ("&lt;", "&#60;"))).when(v == 6, swap(("&quot;", "&quote;")))
+    escaped = escaped.when(v == 9, swap(("ñ", "&#241;"), ("€", "&#x20AC;"))).when(v == 11, F.concat(F.lit("<!-- rows -->"), plain)).otherwise(plain)
+    result = F.when(v == 1, F.lit("<m:Fault/>")).when(v == 10, F.lit("<m:ReadRowsResult/>")).otherwise(F.concat(F.lit('<m:ReadRowsResult xsi:type="string">'), escaped, F.lit("</m:ReadRowsResult>")))
     return table(s, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("<soap:Envelope><soap:Body><ReadRowsResponse>"), result, F.lit("</ReadRowsResponse></soap:Body></soap:Envelope>")).alias("envelope"))
 
 
-@_query("SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props) AND event_id % 7 <> 0 AND event_id % 11 <> 0")
+def _escaped(c):
+    for plain, entity in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(plain), F.lit(entity))
+    return c
+
+
+@_query("""SELECT event_id AS id, CASE WHEN v <> 7 THEN k END AS k, CASE WHEN v = 9 THEN 'ñ€' ELSE event_type END || ' & <co>' AS name, CAST(k || '.' || event_id AS DECIMAL(20,8)) AS amount
+    FROM (SELECT *, event_id % 23 AS v, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE v NOT IN (0, 1, 2, 3, 6, 10, 12, 13)""")
 def payload_rows(s, d):
-    return ops.payload_rows(ops.unwrap_envelope(_envelopes(s, d), "ReadRows"), "k long")[0]
+    return ops.payload_rows(ops.unwrap_envelope(_envelopes(s, d), "ReadRows"), "k long, name string, amount decimal(20,8)")[0]
 
 
-@_query("SELECT event_id AS id, event_id % 11 = 0 AS no_result FROM events WHERE event_id % 7 = 0 OR event_id % 11 = 0")
+@_query("SELECT event_id AS id, event_id % 23 IN (1, 6, 10) AS no_result FROM events WHERE event_id % 23 IN (0, 1, 2, 3, 6, 10, 12, 13)")
 def payload_rejects(s, d):
-    """OP-01: what is no list, and envelopes without a result."""
-    return ops.payload_rows(ops.unwrap_envelope(_envelopes(s, d), "ReadRows"), "k long")[1].select("id", F.col("payload").isNull().alias("no_result"))
+    """OP-01: what is no list or has a value of another type, and envelopes without a result that can be read."""
+    return ops.payload_rows(ops.unwrap_envelope(_envelopes(s, d), "ReadRows"), "k long, name string, amount decimal(20,8)")[1].select("id", F.col("payload").isNull().alias("no_result"))
 
 
 @_query("SELECT source, sha256(text) AS sha, max(doc_id) AS retrieved_at, count(*) AS row_count FROM documents GROUP BY source, sha256(text)")
@@ -216,10 +237,12 @@ def event_validate(s, d):
     return found.select("event_id", "errors", "company_id", "category", "title", "effective_date")
 
 
-@_query("SELECT event_id, sha256('=' || event_type || chr(31) || coalesce('=' || props, '-') || chr(31) || '=' || CAST(user_id AS VARCHAR)) AS hash FROM events")
+@_query("""SELECT event_id, sha256('{"event_type":"' || event_type || '","nested":{"list":[' || user_id || ',null,' || event_id || '],"map":{' || CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN '"a\\"":null,' ELSE '"a\\"":' || event_id || ',' END || '"é":' || user_id || '},"none":null},"props":' || to_json(props)::VARCHAR || ',"user_id":' || user_id || '}') AS hash FROM events""")
 def canonical_hash(s, d):
-    """OP-30: a digest that does not depend on the order in which fields arrive: columns go by name."""
-    return table(s, d, "events").select("event_id", digest(*sorted(["user_id", "props", "event_type"])).alias("hash"))
+    """OP-30: a digest of nested records; fields and keys come in another order than they are written in."""
+    pairs = F.when(F.pmod("event_id", F.lit(3)) == 0, F.create_map(F.lit("é"), F.col("user_id"))).otherwise(F.create_map(F.lit("é"), F.col("user_id"), F.lit('a"'), F.when(F.pmod("event_id", F.lit(3)) == 2, F.col("event_id"))))
+    rows = table(s, d, "events").withColumn("nested", F.struct(F.lit(None).cast("string").alias("none"), pairs.alias("map"), F.array("user_id", F.lit(None).cast("long"), "event_id").alias("list")))
+    return rows.select("event_id", ops.canonical_digest(rows, ["user_id", "nested", "props", "event_type"]).alias("hash"))
 
 
 @_query("SELECT o_orderkey AS job_id, o_orderstatus AS status, c_name AS requested_by FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0")
