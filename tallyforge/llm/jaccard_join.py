@@ -13,11 +13,14 @@ component.  The steps, each a Spark job over the whole table:
    Large groups are dealt at random into small blocks first, and only pairs inside blocks are checked;
    that does small groups completely, and connects most of a group of near copies at a cost linear in its size.
 5. What is still apart is then joined exactly: only pairs from different components, only from
-   groups that hold several, each pair at its first common shingle only, and dealt to tasks in squares.
+   groups that hold several, each pair at its first common shingle only, and dealt to tasks in squares of sizes that can link.
 6. Length, positional and suffix filters (the suffix filter is a lower bound of the symmetric
    difference, from the parity bitmaps) thin out candidates inside the join; survivors are verified
    once, on the sets themselves.  What moves for that is the compressed texts, of which the tasks make the sets anew.
 
+Nothing is broadcast by hint: joins are shuffled, at any size, unless Spark finds a side to be below its own threshold; its skew
+handling splits shingles that many classes hold.
+
 Hash collisions: shingles are 64-bit hashes, classes 128-bit signatures; a row is found again by its doc_id and a 64-bit
 hash of its text.
 
@@ -29,6 +32,7 @@ An empty table gives an empty result.  Equal sets tie to the smallest doc_id.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -39,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import broadcast_if_small, durable, merged, packed
+from ._spark import durable, merged, packed
 from .components import connected_components
 
 SKETCH_BITS = 20
@@ -140,9 +144,8 @@ def _set_of_each(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that link, each verified once on the whole sets of its texts (node, data)."""
-    # pairs are two numbers a row: counted, they go to the texts, which then need not move for this side
-    first = texts.select(F.col("node").alias("a"), F.col("data").alias("ta")).join(broadcast_if_small(pairs), "a")
-    asked = broadcast_if_small(pairs.select("b").distinct())
+    first = texts.select(F.col("node").alias("a"), F.col("data").alias("ta")).join(pairs, "a")
+    asked = pairs.select("b").distinct()
     second = texts.select(F.col("node").alias("b"), F.col("data").alias("tb")).join(asked, "b", "left_semi")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +181,11 @@ def _may_link(percent: int, first_common: bool) -> Column:
     return length & ((after + before) * (100 + percent) >= (nx + ny) * percent)
 
 
+def _size_class(n: str, percent: int) -> Column:
+    """Sizes that link are of one class or of two that follow each other; classes are a little wider than the ratio, so that rounding does no harm."""
+    return F.floor(F.log(F.col(n)) / (math.log(100 / min(percent, 99)) * 1.000001)).cast("int")
+
+
 def _near_enough(percent: int, prefix: str = "b", words: int = BITMAP_WORDS) -> Column:
     """Suffix filter: differing parity bits are a lower bound of the symmetric difference."""
     apart = sum((F.bit_count(F.col(f"x.{prefix}{i}").bitwiseXOR(F.col(f"y.{prefix}{i}"))) for i in range(words)), F.lit(0))
@@ -193,7 +201,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     # each class has a number of its own, and is read from the row (doc_id, hash of its text) with the smallest doc_id
     classes = with_sets.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "h")).alias("r")).select("s1", "s2", "n", F.col("r.doc_id").alias("doc_id"), F.col("r.h").alias("h"))
     classes = durable(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
-    chosen = with_sets.join(broadcast_if_small(classes), ["doc_id", "h", "s1", "s2", "n"])
+    chosen = with_sets.join(classes, ["doc_id", "h", "s1", "s2", "n"])
     copied = not profiles.groupBy("doc_id", "h").count().filter("count > 1 and doc_id is not null").isEmpty()
     if copied:
         chosen = chosen.dropDuplicates(["node"])
@@ -217,7 +225,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     large = cards.filter(F.exists("g", lambda e: e["c"] > BLOCK)).select("node")
     asked = large.unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     wanted = durable(classes.select("doc_id", "h", "node").join(asked, "node", "left_semi"), "jaccard-ids")
-    texts = _packed_texts(docs.join(broadcast_if_small(wanted), ["doc_id", "h"]))
+    texts = _packed_texts(docs.join(wanted, ["doc_id", "h"]))
     texts = durable(texts.dropDuplicates(["node"]) if copied else texts, "jaccard-texts")
 
     # one or two partners of each class first: that connects most, and spares most other checks
@@ -231,21 +239,24 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     # every other candidate pair whose classes are still apart; groups of one block are done
     placed = cards.withColumn("g", F.filter("g", lambda e: e["c"] > BLOCK)).filter(F.size("g") > 0)
-    placed = placed.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    held = placed.select("component", F.explode("g.shingle").alias("shingle")).groupBy("shingle", "component").agg(F.count("*").alias("m"))
-    mixed = held.groupBy("shingle").agg(F.max_by("component", F.struct("m", "component")).alias("major"), F.max("m").alias("most"), F.sum("m").alias("all"), F.count("*").alias("k")).filter("k > 1")
-    # the pairs of a large group are dealt to squares of X_ROWS by Y_ROWS
-    mixed = mixed.select("shingle", "major", F.ceil((F.col("all") - F.col("most")) / X_ROWS).cast("int").alias("kx"), F.ceil(F.col("all") / Y_ROWS).cast("int").alias("ky"))
-    order = placed.select("node", "n", "component", *maps, F.expr("transform(g, e -> e.shingle)").alias("s"), F.posexplode("g").alias("k", "g"))
-    order = order.select("node", "n", "component", *maps, "g.pos", "g.shingle", F.expr("slice(s, 1, k)").alias("earlier"))
-    # where few groups are left, the rows of all others go before anything is shuffled
-    order = order.join(broadcast_if_small(durable(mixed, "jaccard-mixed")), "shingle")
+    placed = placed.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("sizes", _size_class("n", percent))
+    held = placed.select("component", "sizes", F.explode("g.shingle").alias("shingle")).groupBy("shingle", "component", "sizes").agg(F.count("*").alias("m"))
+    held = durable(held, "jaccard-held")
+    mixed = held.groupBy("shingle", "component").agg(F.sum("m").alias("m")).groupBy("shingle").agg(F.max_by("component", F.struct("m", "component")).alias("major"), F.count("*").alias("k")).filter("k > 1")
+    # linked sets are of the same size class or the next, so a class of a large group is dealt to squares of X_ROWS by Y_ROWS with its neighbours only
+    counts = held.join(mixed.select("shingle", "major"), "shingle").groupBy("shingle", "major", "sizes").agg(F.sum("m").alias("all"), F.coalesce(F.sum(F.when(F.col("component") != F.col("major"), F.col("m"))), F.lit(0)).alias("apart"))
+    to = lambda: F.explode(F.array(F.col("sizes") - 1, F.col("sizes"), F.col("sizes") + 1)).alias("to")
+    squares = counts.select("shingle", "major", "apart", "all", "sizes", to()).groupBy("shingle", "major", "to").agg(F.sum("apart").alias("xs"), F.sum(F.when(F.col("to") == F.col("sizes"), F.col("all"))).alias("ys"))
+    squares = squares.filter("xs > 0 and ys > 0").select("shingle", "to", "major", F.ceil(F.col("xs") / X_ROWS).cast("int").alias("kx"), F.ceil(F.col("ys") / Y_ROWS).cast("int").alias("ky"))
+    squares = durable(squares, "jaccard-squares")
+    order = placed.select("node", "n", "component", "sizes", *maps, F.expr("transform(g, e -> e.shingle)").alias("s"), F.posexplode("g").alias("k", "g"))
+    order = order.select("node", "n", "component", "sizes", *maps, "g.pos", "g.shingle", F.expr("slice(s, 1, k)").alias("earlier"))
     own = lambda k: F.pmod(F.xxhash64("node", "shingle"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    x = order.filter("component != major").withColumn("bx", own("kx")).withColumn("by", every("ky")).alias("x")
-    y = order.withColumn("by", own("ky")).withColumn("bx", every("kx")).alias("y")
+    y = order.withColumn("to", F.col("sizes")).join(squares, ["shingle", "to"]).withColumn("by", own("ky")).withColumn("bx", every("kx")).alias("y")
+    x = order.select("*", to()).join(squares, ["shingle", "to"]).filter("component != major").withColumn("bx", own("kx")).withColumn("by", every("ky")).alias("x")
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
-    square = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.bx") == F.col("y.bx")) & (F.col("x.by") == F.col("y.by"))
+    square = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.to") == F.col("y.to")) & (F.col("x.bx") == F.col("y.bx")) & (F.col("x.by") == F.col("y.by"))
     far = x.join(y, square & apart & _may_link(percent, True) & _near_enough(percent) & ~F.arrays_overlap("x.earlier", "y.earlier"))
     far = far.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     far = durable(far.join(near, ["a", "b"], "left_anti"), "jaccard-far")
