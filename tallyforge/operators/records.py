@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, DecimalType, Int
 
 from tallyforge.functions.constants import EVENT_CATEGORIES
 from tallyforge.functions.text import digest, let
+from tallyforge.sources.shared import checkpointed
 
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -26,20 +27,24 @@ def payload_rows(payloads: DataFrame, schema: str) -> tuple[DataFrame, DataFrame
     (a word or a fraction for a whole number) rejects its payload; a null or missing one is null.
     """
     wanted = StructType.fromDDL(schema)
-    texts = ", ".join(f"`{f.name}` string" for f in wanted)
-    parsed = payloads.select("id", "payload", F.when(F.trim("payload").startswith("["), F.from_json("payload", f"array<struct<{texts.replace('` string', '`: string')}>>", {"mode": "PERMISSIVE"})).alias("rows"))
+    texts, exact = (StructType([StructField(f.name, t(f)) for f in wanted if t(f)]) for t in (lambda f: StringType(), lambda f: f.dataType if isinstance(f.dataType, DecimalType) else None))
+    read_as = lambda kind: F.when(F.trim("payload").startswith("["), F.from_json("payload", ArrayType(kind), {"mode": "PERMISSIVE"}))
+    parsed = payloads.select("id", "payload", read_as(texts).alias("rows"), (read_as(exact) if exact.fields else F.array().cast("array<string>")).alias("exact"))
 
-    def made(row: Column, field: StructField) -> Column:
+    def made(row: Column, digits: Column, field: StructField) -> Column:
         text, kind = row[field.name], field.dataType
         if isinstance(kind, StringType):
             return text
+        if isinstance(kind, DecimalType):
+            # the text of a number has the digits of a double; read as a decimal it has its own
+            return F.when(text.rlike(r"^\s*[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?\s*$"), digits[field.name])
         if isinstance(kind, IntegralType):
             return F.when(text.rlike(r"^\s*-?[0-9]+(?:\.0+)?\s*$"), F.regexp_replace(text, r"\.0+\s*$", "").try_cast(kind))
         if isinstance(kind, (ArrayType, MapType, StructType)):
             return F.from_json(text, kind, {"mode": "PERMISSIVE"})
         return text.try_cast(kind)
 
-    typed = F.transform("rows", lambda r: F.struct(r.alias("text"), F.struct(*(made(r, f).alias(f.name) for f in wanted)).alias("value")))
+    typed = F.transform("rows", lambda r, i: F.struct(r.alias("text"), F.struct(*(made(r, F.get("exact", i), f).alias(f.name) for f in wanted)).alias("value")))
     broken = lambda x: x["text"].isNull() | reduce(Column.__or__, [x["text"][f.name].isNotNull() & x["value"][f.name].isNull() for f in wanted], F.lit(False))
     # an explode binds what was read, so that no filter reads it again
     read = parsed.select("id", F.explode(F.array(F.struct("payload", typed.alias("rows")))).alias("x")).select("id", "x.*")
@@ -181,38 +186,91 @@ def upsert(existing: DataFrame, arriving: DataFrame, keys: list[str], order: str
     return first_per_key(both, keys, F.desc(order), F.desc("_new")).drop("_new")
 
 
-def scd2_versions(events: DataFrame, keys: list[str], order: list[str], digest_col: str = "digest") -> DataFrame:
+def in_chunks(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """rows with ``chunk``: numbers that rise with (keys, order) and cut large keys.
+
+    The rows are range-partitioned by keys and order together, so a key with most of all rows fills several ranges, and each range is a
+    chunk.  Equal rows stay together.  The result is a checkpoint, so that a range that is made again cannot cut elsewhere.
+    """
+    return checkpointed(rows.repartitionByRange(*keys, *order).withColumn("chunk", F.spark_partition_id()))
+
+
+def _same(columns: list[str]) -> Column:
+    """Equal, null included, to the columns that are named with _at_ before."""
+    return reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in columns])
+
+
+def changed_rows(rows: DataFrame, keys: list[str], order: list[str], digest_col: str, chunked: bool = False) -> DataFrame:
+    """The rows of each key whose digest differs from the one before (null-safe; before the first stands a null), with ``version`` and ``is_current``.
+
+    With ``chunked``, keys are cut (see ``in_chunks``): windows run inside chunks; one row a chunk then tells its first and last digest and its number of
+    changes, and a small pass over those rows gives each chunk what came before it.
+    """
+    key = F.col(digest_col)
+    if not chunked:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        changed = rows.withColumn("_before", F.lag(digest_col).over(w)).filter(~key.eqNullSafe(F.col("_before"))).drop("_before")
+        return changed.withColumn("version", F.row_number().over(w)).withColumn("is_current", F.lead("version").over(w).isNull())
+    part = [*keys, "chunk"]
+    w = Window.partitionBy(*part).orderBy(*order)
+    inside = in_chunks(rows, keys, order).withColumn("_row", F.row_number().over(w)).withColumn("_before", F.lag(digest_col).over(w))
+    inside = inside.withColumn("_changed", (F.col("_row") > 1) & ~key.eqNullSafe(F.col("_before")))
+    ends = inside.groupBy(*part).agg(F.min_by(F.struct(key.alias("d")), "_row").alias("first"), F.max_by(F.struct(key.alias("d")), "_row").alias("last"), F.count_if("_changed").alias("n"))
+    chunks = Window.partitionBy(*keys).orderBy("chunk")
+    ends = ends.withColumn("_opens", ~F.col("first.d").eqNullSafe(F.lag("last.d").over(chunks))).withColumn("n", F.col("n") + F.col("_opens").cast("int"))
+    ends = ends.select(*(F.col(k).alias(f"_at_{k}") for k in part), "_opens", (F.sum("n").over(chunks) - F.col("n")).alias("_base"), F.sum("n").over(Window.partitionBy(*keys)).alias("_all"))
+    found = inside.join(ends, _same(part)).filter(F.col("_changed") | ((F.col("_row") == 1) & F.col("_opens")))
+    version = (F.col("_base") + F.row_number().over(w)).cast("int")
+    return found.withColumn("version", version).withColumn("is_current", F.col("version") == F.col("_all")).drop("chunk", "_row", "_before", "_changed", "_opens", "_base", "_all", *(f"_at_{k}" for k in part))
+
+
+def scd2_versions(events: DataFrame, keys: list[str], order: list[str], digest_col: str = "digest", chunked: bool = False) -> DataFrame:
     """OP-64: versions of each key in order of arrival.
 
     A row equal to the one before it is unchanged and gives no version; every other row is one more
-    version.  A digest that an earlier, no longer current version had is marked as a reversion.
+    version.  A digest that an earlier, no longer current version had is marked as a reversion.  ``chunked`` is for keys with very many rows.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    changed = events.withColumn("_before", F.lag(digest_col).over(w)).filter(f"not ({digest_col} <=> _before)").drop("_before")
-    seen = Window.partitionBy(*keys, digest_col).orderBy(*order)
-    versions = changed.withColumn("version", F.row_number().over(w)).withColumn("is_current", F.lead("version").over(w).isNull())
-    return versions.withColumn("is_reversion", F.row_number().over(seen) > 1)
+    versions = changed_rows(events, keys, order, digest_col, chunked)
+    if not chunked:
+        seen = Window.partitionBy(*keys, digest_col).orderBy(*order)
+        return versions.withColumn("is_reversion", F.row_number().over(seen) > 1)
+    # the first version of a digest is an aggregate, which large keys combine before they move
+    part = [*keys, digest_col]
+    first = versions.groupBy(*part).agg(F.min("version").alias("_first")).select(*(F.col(k).alias(f"_at_{k}") for k in part), "_first")
+    return versions.join(first, _same(part)).select(*versions.columns, (F.col("version") > F.col("_first")).alias("is_reversion"))
 
 
 def first_seen_versions(rows: DataFrame, keys: list[str], identity: list[str], order: list[str]) -> DataFrame:
-    """OP-65: any earlier row of the same identity makes a row unchanged; the rest are versions 1, 2, ..."""
-    kept = first_per_key(rows, [*keys, *identity], *map(F.col, order))
+    """OP-65: any earlier row of the same identity makes a row unchanged; the rest are versions 1, 2, ...
+
+    The first row of an identity is an aggregate, so only one row of each moves to its key.
+    """
+    others = [c for c in rows.columns if c not in (*keys, *identity)]
+    first = F.min_by(F.struct(*others), F.struct(*order))
+    kept = rows.groupBy(*keys, *identity).agg(first.alias("_r")).select(*keys, *identity, "_r.*").select(*rows.columns)
     w = Window.partitionBy(*keys).orderBy(*order)
     return kept.withColumn("version", F.row_number().over(w)).withColumn("is_current", F.lead(order[0]).over(w).isNull())
 
 
-def change_log(rows: DataFrame, keys: list[str], order: list[str], compared: list[str]) -> DataFrame:
+def change_log(rows: DataFrame, keys: list[str], order: list[str], compared: list[str], chunked: bool = False) -> DataFrame:
     """OP-66: snapshots of each key's first row and of each row that differs from the one before (null-safe)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    marked = rows.withColumn("_d", digest(*compared)).withColumn("_p", F.lag("_d").over(w))
-    return marked.filter("not (_d <=> _p)").withColumn("kind", F.when(F.col("_p").isNull(), "insert").otherwise("update")).drop("_d", "_p")
+    marked = changed_rows(rows.withColumn("_d", digest(*compared)), keys, order, "_d", chunked)
+    return marked.withColumn("kind", F.when(F.col("version") == 1, "insert").otherwise("update")).drop("_d", "version", "is_current")
 
 
 def sliding_rate(activity: DataFrame, seconds: int, limit: int) -> DataFrame:
-    """OP-69: earlier events of the same user within the trailing seconds (both ends open), and whether the limit is reached."""
+    """OP-69: earlier events of the same user within the trailing seconds (both ends open), and whether the limit is reached.
+
+    Time is cut into stretches of that many seconds; a row counts in its own stretch and, for the rows after it, in the next.  So windows are those
+    of a user and a stretch, and a busy user is spread over as many tasks as there are stretches.
+    """
     micros = F.unix_micros(F.col("created_at").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy("micros").rangeBetween(-(seconds * 1_000_000 - 1), -1)
-    counted = activity.withColumn("micros", micros).withColumn("n", F.count("*").over(w))
+    stretch = F.floor(F.col("micros") / (seconds * 1_000_000))
+    timed = activity.withColumn("micros", micros).withColumn("_own", stretch)
+    # rows without a time are after no others, once
+    both = timed.withColumn("_in", F.explode(F.when(F.col("micros").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(F.col("_own"), F.col("_own") + 1))))
+    w = Window.partitionBy("user_id", "_in").orderBy("micros").rangeBetween(-(seconds * 1_000_000 - 1), -1)
+    counted = both.withColumn("n", F.count("micros").over(w)).filter("_in <=> _own").drop("_own", "_in")
     return counted.withColumn("over_limit", F.col("n") >= limit).drop("micros")
 
 

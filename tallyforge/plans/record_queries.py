@@ -375,7 +375,8 @@ _VERSIONS = """WITH a AS (SELECT event_type AS provider, user_id % 50 AS externa
 
 @_query(_VERSIONS + " SELECT provider, external_id, event_id, CAST(version AS INTEGER) AS version, is_current, is_reversion FROM c")
 def event_versions(s, d):
-    found = ops.scd2_versions(versioned_events(table(s, d, "events")), ["provider", "external_id"], ["ts", "event_id"])
+    # the keys of this adapter stay as few as they are, however many events there are
+    found = ops.scd2_versions(versioned_events(table(s, d, "events")), ["provider", "external_id"], ["ts", "event_id"], chunked=True)
     return found.select("provider", "external_id", "event_id", "version", "is_current", "is_reversion")
 
 
