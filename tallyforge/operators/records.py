@@ -180,12 +180,6 @@ def raw_dedupe(payloads: DataFrame, keys: list[str]) -> DataFrame:
     return payloads.withColumn("sha", F.sha2("payload", 256)).groupBy(*keys, "sha").agg(F.max("retrieved_at").alias("retrieved_at"), F.count("*").alias("row_count"))
 
 
-def upsert(existing: DataFrame, arriving: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """OP-04 and OP-05: the last write of each key wins over all columns; arrivals beat what exists on ties."""
-    both = existing.withColumn("_new", F.lit(0)).unionByName(arriving.withColumn("_new", F.lit(1)))
-    return first_per_key(both, keys, F.desc(order), F.desc("_new")).drop("_new")
-
-
 def in_chunks(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """rows with ``chunk``: numbers that rise with (keys, order) and cut large keys.
 

@@ -11,6 +11,8 @@ from tallyforge.functions import constants as K
 from tallyforge.functions.text import collapse, contains_any, digest, fold
 from tallyforge.operators import facts
 from tallyforge.operators import records as ops
+from tallyforge.sources import keyed
+from tallyforge.sources.shared import new_path
 from tallyforge.sources.tables import activity, jobs, table, versioned_events
 
 AS_OF = "2001-12-31 00:00:00"
@@ -90,6 +92,31 @@ def filing_upsert(s, d):
     return ops.first_per_key(rows, ["company_id", "fiscal_year", "scope"], F.desc("o_orderdate"), F.desc("filing")).drop("o_orderdate")
 
 
+@_query("""WITH k AS (SELECT o_custkey AS company_id, CAST(year(o_orderdate) AS INTEGER) AS fiscal_year, o_orderstatus AS scope, max(o_orderkey) AS filing FROM orders GROUP BY ALL)
+    SELECT company_id, fiscal_year, scope, filing, count(l_orderkey) AS lines, CAST(coalesce(sum(l_quantity), 0) AS BIGINT) AS quantity FROM k LEFT JOIN lineitem ON l_orderkey = filing GROUP BY ALL""")
+def filing_replace(s, d):
+    """OP-04, OP-05 and OP-16: filings with their lines, of which later batches replace whole keys.
+
+    The first batch has each key's first filing, the second its last one, twice; a third is written but not committed, as if it had failed.
+    """
+    keys = ["company_id", "fiscal_year", "scope"]
+    rows = table(s, d, "orders").select(F.col("o_custkey").alias("company_id"), F.year("o_orderdate").alias("fiscal_year"), F.col("o_orderstatus").alias("scope"), F.col("o_orderkey").alias("filing"))
+    items = table(s, d, "lineitem").select(F.col("l_orderkey").alias("filing"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"))
+
+    def batch(filings):
+        return {"filings": filings, "lines": filings.join(items, "filing")}
+
+    root = new_path(s, "filings")
+    first, last = (rows.groupBy(*keys).agg(pick("filing").alias("filing")) for pick in (F.min, F.max))
+    keyed.replace_keys(root, batch(first), keys, "first")
+    for _ in range(2):
+        keyed.replace_keys(root, batch(last.join(first, [*keys, "filing"], "left_anti")), keys, "second")
+    keyed.stage(root, batch(first), keys, "third")
+    lines = keyed.current(s, root, "lines", keys).groupBy(*keys).agg(F.count("*").alias("lines"), F.sum("quantity").cast("long").alias("quantity"))
+    found = keyed.current(s, root, "filings", keys).join(lines, keys, "left")
+    return found.select(*keys, "filing", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("quantity", F.lit(0)).alias("quantity"))
+
+
 @_query(r"""WITH listing AS (SELECT s_nationkey AS nation, s_name AS name, 'individual' AS scope, 1 AS scope_rank, s_suppkey AS ord FROM supplier
     UNION ALL SELECT c_nationkey, c_name, 'consolidated', 0, c_custkey FROM customer WHERE c_acctbal > 5000)
     SELECT *, CASE WHEN contains(lower(name), '1') THEN 'full' WHEN contains(lower(name), 'supplier') THEN 'unsupported' ELSE 'basic' END AS support_level FROM (

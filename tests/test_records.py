@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import records
+from tallyforge.sources import keyed
 
 
 def _hot(spark, parts):
@@ -96,3 +97,29 @@ def test_counter_of_rejects_is_whole(spark):
     data = spark.createDataFrame([(i, "[5]" if i % 3 else '[{"k":1}]') for i in range(30)], "id int, payload string")
     rows, rejects = records.payload_rows(data, "k int")
     assert Counter(r["id"] for r in rows.collect()) + Counter(r["id"] for r in rejects.collect()) == Counter(range(30))
+
+
+def test_keys_are_replaced_whole(spark, tmp_path):
+    root = str(tmp_path / "t")
+    parents = lambda *rows: spark.createDataFrame(rows, "k int, title string")
+    children = lambda *rows: spark.createDataFrame(rows, "k int, line int")
+
+    def now():
+        return tuple(sorted(map(tuple, keyed.current(spark, root, name, ["k"]).collect())) for name in ("parents", "children"))
+
+    def batch(version, p, c, step=keyed.replace_keys):
+        step(root, {"parents": parents(*p), "children": children(*c)}, ["k"], version)
+
+    batch("1", [(1, "a"), (2, "b")], [(1, 1), (1, 2), (2, 1)])
+    old = now()
+    assert old == ([(1, "a"), (2, "b")], [(1, 1), (1, 2), (2, 1)])
+    # a failure between the steps leaves the old state
+    batch("2", [(1, "a2"), (3, "c")], [(3, 9)], keyed.stage)
+    assert now() == old
+    keyed.commit(spark, root, "2")
+    new = ([(1, "a2"), (2, "b"), (3, "c")], [(2, 1), (3, 9)])
+    assert now() == new
+    # batches that are run again change nothing and keep their place
+    batch("2", [(1, "a2"), (3, "c")], [(3, 9)])
+    batch("1", [(1, "a"), (2, "b")], [(1, 1), (1, 2), (2, 1)])
+    assert now() == new
