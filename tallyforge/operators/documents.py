@@ -15,7 +15,8 @@ def link_discovery(pages: DataFrame, hosts: list[str] | None = None, suffix: str
     """OP-14: page_id, rank, link: hrefs resolved against the page, first seen only, best ``limit`` of a page.
 
     Links with one of ``words`` come first, then those with ``year``, then by address.  A link must be http(s), its
-    host (without user or port other than 443) among ``hosts`` if given, and its path end in ``suffix``.
+    host (without user or port other than 443) among ``hosts`` if given, and its path end in ``suffix``.  A page whose own address
+    is such a file is its only link.
     """
     base = F.regexp_extract("url", r"^(https?://[^/?#]*)", 1)
     folder = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "")
@@ -23,11 +24,14 @@ def link_discovery(pages: DataFrame, hosts: list[str] | None = None, suffix: str
     link = F.when(F.col("href").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("href")).when(F.col("href").startswith("//"), F.concat(F.regexp_extract("base", "^(https?:)", 1), F.col("href"))).when(F.col("href").startswith("/"), F.concat("base", "href")).otherwise(F.concat("folder", F.lit("/"), "href"))
     found = found.filter("href <> '' and not startswith(href, '#')").select("page_id", "ord", F.regexp_replace(link, "#.*$", "").alias("link"))
     host = F.regexp_extract("link", r"^https?://([^/?#]*)", 1)
-    kept = found.filter((host != "") & ~host.contains("@") & ~F.regexp_replace(host, ":443$", "").contains(":"))
+    fits = (host != "") & ~host.contains("@") & ~F.regexp_replace(host, ":443$", "").contains(":")
     if hosts:
-        kept = kept.filter(F.lower(F.regexp_replace(host, ":443$", "")).isin(*hosts))
+        fits = fits & F.lower(F.regexp_replace(host, ":443$", "")).isin(*hosts)
     if suffix:
-        kept = kept.filter(F.lower(F.regexp_replace("link", r"\?.*$", "")).endswith(suffix))
+        fits = fits & F.lower(F.regexp_replace("link", r"\?.*$", "")).endswith(suffix)
+        own = pages.select("page_id", F.lit(-1).alias("ord"), F.regexp_replace("url", "#.*$", "").alias("link")).filter(fits)
+        found = found.join(own.select("page_id"), "page_id", "left_anti").unionByName(own)
+    kept = found.filter(fits)
     first = kept.groupBy("page_id", "link").agg(F.min("ord").alias("ord"))
     low = F.lower("link")
     w = Window.partitionBy("page_id").orderBy(~contains_any(low, words), ~low.contains(year) if year else F.lit(True), "link")

@@ -248,3 +248,16 @@ def extracted_notes(sections: DataFrame) -> DataFrame:
     pages = F.array_sort(F.collect_list(F.struct("section_order", "section")))
     found = sections.groupBy("doc_id", "number", "title").agg((F.min("page") + 1).alias("start_page"), (F.max("page") + 1).alias("end_page"), F.array_join(F.transform(pages, lambda x: x["section"]), "\n\n").alias("content"))
     return found.withColumn("topic", topic(F.col("title"))).withColumn("is_priority", F.col("topic") != "other").select("doc_id", "number", "title", "topic", "is_priority", "start_page", "end_page", "content")
+
+
+def note_fragments(documents: DataFrame, sections: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """OP-11: searchable fragments of notes: company_id, doc_id, number, page (from 1), fragment_order, heading, body.
+
+    documents: doc_id, company_id; sections: as of ``note_sections``.  Sections of unknown documents give none.  ``known`` are fragments that exist: a fragment of
+    the same document, note, page and order takes its heading and body from the sections, all others stay.
+    """
+    key = ["doc_id", "number", "page", "fragment_order"]
+    made = sections.join(documents.select("doc_id", "company_id"), "doc_id").select("company_id", "doc_id", "number", (F.col("page") + 1).cast("int").alias("page"), F.col("section_order").alias("fragment_order"), F.col("title").alias("heading"), F.col("section").alias("body"))
+    if known is None:
+        return made
+    return made.unionByName(known.select(made.columns).join(made.select(*key), key, "left_anti"))

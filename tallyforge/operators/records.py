@@ -175,6 +175,14 @@ def canonical_digest(df: DataFrame, columns: list[str]) -> Column:
     return F.sha2(canonical(F.struct(*(F.col(f.name) for f in fields)), StructType(fields)), 256)
 
 
+def rows_of_key(df: DataFrame, column: str, key: object) -> DataFrame:
+    """OP-03: the rows of one key, compared as trimmed text; none at all is an error."""
+    found = df.filter(F.trim(F.col(column).cast("string")) == str(key).strip())
+    if found.isEmpty():
+        raise LookupError(f"no row has {column} {key}")
+    return found
+
+
 def raw_dedupe(payloads: DataFrame, keys: list[str]) -> DataFrame:
     """OP-02: one row for each (keys, sha-256 of payload), with the newest retrieval and the number of rows."""
     return payloads.withColumn("sha", F.sha2("payload", 256)).groupBy(*keys, "sha").agg(F.max("retrieved_at").alias("retrieved_at"), F.count("*").alias("row_count"))

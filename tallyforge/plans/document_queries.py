@@ -138,12 +138,6 @@ def note_list(s, d):
     return rows.select("doc_id", "company", "note_number", "topic", docs.excerpt("text").alias("excerpt")).orderBy("company", "note_number", "doc_id")
 
 
-@_query("SELECT conv_id * 1000 + turn AS fragment_id, conv_id AS doc_id, turn + 1 AS page, role AS heading, text AS body FROM conversations")
-def fragment_backfill(s, d):
-    """OP-11: fragments of documents (A4), one a page."""
-    return table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("fragment_id"), F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page"), F.col("role").alias("heading"), F.col("text").alias("body"))
-
-
 _PAGES = f"""n0 AS (SELECT doc_id, doc_id % 12 AS v, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
     n1 AS (SELECT doc_id, v, l[i + 1] AS line, i, CASE WHEN v = 5 AND i < 2 THEN 2 - i WHEN v = 10 AND i >= 5 THEN i + 2 ELSE i + 1 END AS number, {_list(NOTE_TITLES)}[(CASE WHEN v = 5 AND i < 2 THEN 1 - i ELSE i END + doc_id) % {len(NOTE_TITLES)} + 1] AS title FROM (SELECT *, unnest(range(0, len(l))) AS i FROM n0)),
     n2 AS (SELECT *, CASE WHEN v = 3 AND i = 1 THEN 'Título ilegible' ELSE number || CASE WHEN v IN (8, 10, 11) THEN '.' ELSE '' END || ' ' || CASE WHEN v = 6 THEN regexp_replace(title, '^([^ ]+) ', '\\1' || chr(10)) ELSE title END END AS heading FROM n1),
@@ -222,6 +216,20 @@ def note_sections(s, d):
     return notes_of.note_sections(pages, checkpointed(notes_of.note_headings(pages))).drop("section_order")
 
 
+@_query(f"""WITH RECURSIVE {_SECTIONS}, made AS (SELECT doc_id, number, page + 1 AS page, row_number() OVER (PARTITION BY doc_id, number ORDER BY page) - 1 AS fragment_order, title AS heading, section AS body FROM (SELECT doc_id, number, title, page, string_agg(line, chr(10) ORDER BY k) AS section FROM fl WHERE k >= first GROUP BY ALL)),
+    known AS (SELECT doc_id, number, page, fragment_order, 'old' AS heading, 'old' AS body FROM made WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 1, 900, 0, 'kept', 'kept' FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 <> 4)
+    SELECT source AS company_id, doc_id, number, page, fragment_order, heading, body FROM (SELECT * FROM made UNION ALL SELECT * FROM known WHERE NOT EXISTS (SELECT 1 FROM made m WHERE m.doc_id = known.doc_id AND m.number = known.number AND m.page = known.page AND m.fragment_order = known.fragment_order)) JOIN documents USING (doc_id) WHERE doc_id % 5 <> 4""")
+def fragment_backfill(s, d):
+    """OP-11: fragments of the sections of notes; every fifth document is not registered, and of every third there are fragments of an earlier run, and one more."""
+    pages = note_pages(table(s, d, "documents"))
+    sections = checkpointed(notes_of.note_sections(pages, checkpointed(notes_of.note_headings(pages))))
+    registered = table(s, d, "documents").filter("doc_id % 5 <> 4").select("doc_id", F.col("source").alias("company_id"))
+    old = F.lit("old")
+    before = notes_of.note_fragments(registered, sections.filter("doc_id % 3 = 0")).withColumns({"heading": old, "body": old})
+    more = registered.filter("doc_id % 3 = 0").select("company_id", "doc_id", F.lit(1).alias("number"), F.lit(900).alias("page"), F.lit(0).alias("fragment_order"), F.lit("kept").alias("heading"), F.lit("kept").alias("body"))
+    return notes_of.note_fragments(registered, sections, before.unionByName(more))
+
+
 @_query("""WITH h AS (SELECT conv_id, turn AS page, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations WHERE role = 'user')
     SELECT h.conv_id AS doc_id, h.page AS number, c.turn AS page, CASE WHEN c.turn = h.page THEN substr(c.text, 11) ELSE c.text END AS section FROM h JOIN conversations c ON c.conv_id = h.conv_id AND c.turn >= h.page AND (h.next IS NULL OR c.turn < h.next)
     WHERE trim(CASE WHEN c.turn = h.page THEN substr(c.text, 11) ELSE c.text END) <> ''""")

@@ -11,6 +11,7 @@ from tallyforge.functions import constants as K
 from tallyforge.functions.text import collapse, contains_any, digest, fold
 from tallyforge.operators import facts
 from tallyforge.operators import records as ops
+from tallyforge.plans import fact_queries
 from tallyforge.sources import keyed
 from tallyforge.sources.shared import new_path
 from tallyforge.sources.tables import activity, jobs, table, versioned_events
@@ -75,7 +76,7 @@ def raw_dedupe(s, d):
 
 @_query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE trim(CAST(l_suppkey AS VARCHAR)) = '7'")
 def key_filter(s, d):
-    return table(s, d, "lineitem").filter(F.col("l_suppkey") == 7).select("l_orderkey", "l_linenumber", "l_quantity")
+    return ops.rows_of_key(table(s, d, "lineitem"), "l_suppkey", 7).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @_query("""SELECT c_custkey AS company_id, c_name AS name, o_orderstatus AS state, o_orderdate AS updated_at FROM customer LEFT JOIN
@@ -194,15 +195,22 @@ def constraint_audit(s, d):
     return ops.constraint_audit(table(s, d, "orders"), rules).unionByName(unique).unionByName(current)
 
 
-@_query("""SELECT *, companies >= 5 AND filings >= 100 AND facts >= 1000 AND documents >= 100 AS complete FROM (SELECT count(*) AS companies FROM supplier), (SELECT count(*) AS filings FROM orders), (SELECT count(*) AS facts, count(*) FILTER (l_returnflag = 'N') AS computed FROM lineitem), (SELECT count(*) AS documents FROM documents), (SELECT count(*) AS events FROM events)""")
+@_query(f"""SELECT *, companies >= 5 AND filings >= 100 AND facts >= 1000 AND computed_metrics > 0 AND failed_validations < 100000 AND events > 0 AND note_documents > 0 AND notes >= 100 AS complete FROM (SELECT count(*) AS companies FROM supplier), (SELECT count(*) AS filings FROM orders), (SELECT count(*) AS facts FROM lineitem),
+    (SELECT CAST(sum(n) FILTER (status = 'computed') AS BIGINT) AS computed_metrics, CAST(coalesce(sum(n) FILTER (status <> 'computed'), 0) AS BIGINT) AS unavailable_metrics FROM ({fact_queries.ORACLE["metrics_status_counts"]})), (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS failed_validations FROM ({fact_queries.ORACLE["validations_failed"]}) WHERE status = 'failed'),
+    (SELECT count(DISTINCT (event_type, user_id % 50)) AS events FROM events), (SELECT count(DISTINCT (source, lang, doc_id // 20 % 2)) AS note_documents, count(*) AS notes FROM documents)""")
 def completeness_audit(s, d):
-    """OP-13: one row of counts against expected minima; each side of the cross join is one row."""
-    parts = [("supplier", [F.count("*").alias("companies")]), ("orders", [F.count("*").alias("filings")]), ("lineitem", [F.count("*").alias("facts"), F.count_if(F.col("l_returnflag") == "N").alias("computed")]), ("documents", [F.count("*").alias("documents")]), ("events", [F.count("*").alias("events")])]
-    out = None
-    for name, aggs in parts:
-        one = table(s, d, name).agg(*aggs)
-        out = one if out is None else out.crossJoin(one)
-    return out.withColumn("complete", F.expr("companies >= 5 and filings >= 100 and facts >= 1000 and documents >= 100"))
+    """OP-13: one row of nine counts against expected minima; each side of the cross join is one row."""
+    metrics = fact_queries.QUERIES["metrics_status_counts"](s, d)
+    failed = fact_queries.QUERIES["validations_failed"](s, d).filter("status = 'failed'")
+    whole = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    documents = table(s, d, "documents").select("source", "lang", F.pmod(F.floor(F.col("doc_id") / 20), F.lit(2)).alias("year"))
+    parts = [
+        table(s, d, "supplier").agg(F.count("*").alias("companies")), table(s, d, "orders").agg(F.count("*").alias("filings")), table(s, d, "lineitem").agg(F.count("*").alias("facts")),
+        metrics.agg(whole(F.col("status") == "computed").alias("computed_metrics"), whole(F.col("status") != "computed").alias("unavailable_metrics")), failed.agg(whole(F.lit(True)).alias("failed_validations")),
+        versioned_events(table(s, d, "events")).agg(F.countDistinct("provider", "external_id").alias("events")), documents.agg(F.countDistinct("source", "lang", "year").alias("note_documents"), F.count("*").alias("notes")),
+    ]
+    out = reduce(lambda a, b: a.crossJoin(b), parts)
+    return out.withColumn("complete", F.expr("companies >= 5 and filings >= 100 and facts >= 1000 and computed_metrics > 0 and failed_validations < 100000 and events > 0 and note_documents > 0 and notes >= 100"))
 
 
 @_query("SELECT c_custkey, c_mktsegment, n_name, CASE WHEN contains(lower(c_mktsegment), 'mach') THEN 'PEN' WHEN contains(lower(c_mktsegment), 'auto') THEN 'USD' END AS currency, CASE WHEN n_regionkey = 0 THEN 'individual' WHEN n_regionkey = 1 THEN 'consolidated' END AS scope FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -381,6 +389,14 @@ def user_list(s, d):
     return table(s, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("user_id"), "c_name", "last_at", F.coalesce("requests", F.lit(0)).alias("requests")).orderBy(F.desc_nulls_last("last_at"), "c_name")
 
 
+@_query("""SELECT c_custkey AS company_id, c_name AS name, max(o_orderdate) AS last_completed_at FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL HAVING bool_or(o_orderstatus = 'F') AND NOT bool_or(o_orderstatus = 'O') ORDER BY last_completed_at DESC, name LIMIT 6""")
+def panel_available(s, d):
+    """OP-58: the six companies of the panel whose analysis was completed last, of those that are available and not active; six are the panel's own limit."""
+    o = table(s, d, "orders").groupBy(F.col("o_custkey").alias("company_id")).agg(F.bool_or(F.col("o_orderstatus") == "O").alias("active"), F.bool_or(F.col("o_orderstatus") == "F").alias("done"), F.max("o_orderdate").alias("last_completed_at"))
+    named = table(s, d, "customer").select(F.col("c_custkey").alias("company_id"), F.col("c_name").alias("name"))
+    return named.join(o.filter("done and not active"), "company_id").select("company_id", "name", "last_completed_at").orderBy(F.desc_nulls_last("last_completed_at"), "name").limit(6)
+
+
 @_query("""WITH j AS (SELECT c_custkey, c_acctbal, count(o_orderkey) FILTER (o_orderstatus = 'O') > 0 AS active, count(o_orderkey) FILTER (o_orderstatus = 'F') > 0 AS done FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)
     SELECT count(*) FILTER (active) AS active, count(*) FILTER (NOT active AND done) AS available, count(*) FILTER (NOT active AND NOT done AND c_acctbal >= 0) AS compatible, count(*) FILTER (NOT active AND NOT done AND c_acctbal < 0) AS attention FROM j""")
 def panel_overview(s, d):
@@ -478,13 +494,13 @@ def audit_page(s, d):
     return ops.page(rows, [F.desc("ts"), F.desc("event_id")], 1, 25).select("event_id", "ts", "total")
 
 
-_FEED = """SELECT 'event:' || event_id AS feed_id, user_id, event_type AS action, CASE event_type WHEN 'error' THEN 'system' ELSE 'human' END AS actor_type, 'recorded' AS source, ts AS created_at FROM events
-    UNION ALL SELECT 'registration:' || c_custkey, c_custkey, 'signup', 'human', 'historical', TIMESTAMP '1995-01-01' FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type = 'signup')
-    UNION ALL SELECT 'analysis:' || o_orderkey, o_custkey, 'analysis.request', 'human', 'historical', o_orderdate FROM orders o WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = o.o_custkey AND event_type = 'view' AND event_id = o.o_orderkey)
-    UNION ALL SELECT 'report:' || o_orderkey, o_custkey, 'report.request', 'human', 'historical', o_orderdate FROM orders o WHERE o_orderpriority = '1-URGENT' AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = o.o_custkey AND event_type = 'click' AND event_id = o.o_orderkey)
-    UNION ALL SELECT 'job-state:' || o_orderkey, o_custkey, 'analysis.state', 'system', CASE o_orderstatus WHEN 'P' THEN 'baseline' ELSE 'recorded' END, o_orderdate FROM orders
-    UNION ALL SELECT 'report-state:' || o_orderkey, o_custkey, 'report.state', 'system', 'snapshot', o_orderdate FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'
-    UNION ALL SELECT 'audit:' || event_id, user_id, event_type, 'admin', 'audit', ts FROM events WHERE event_type NOT IN ('view', 'click')"""
+_FEED = """SELECT 'event:' || event_id AS feed_id, user_id, event_type AS action, CASE event_type WHEN 'error' THEN 'system' ELSE 'human' END AS actor_type, 'recorded' AS source, ts AS created_at, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'failed' ELSE 'success' END AS outcome FROM events
+    UNION ALL SELECT 'registration:' || c_custkey, c_custkey, 'signup', 'human', 'historical', TIMESTAMP '1995-01-01', 'success' FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type = 'signup')
+    UNION ALL SELECT 'analysis:' || o_orderkey, o_custkey, 'analysis.request', 'human', 'historical', o_orderdate, 'created' FROM orders o WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = o.o_custkey AND event_type = 'view' AND event_id = o.o_orderkey)
+    UNION ALL SELECT 'report:' || o_orderkey, o_custkey, 'report.request', 'human', 'historical', o_orderdate, 'created' FROM orders o WHERE o_orderpriority = '1-URGENT' AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = o.o_custkey AND event_type = 'click' AND event_id = o.o_orderkey)
+    UNION ALL SELECT 'job-state:' || o_orderkey, o_custkey, 'analysis.state', 'system', CASE o_orderstatus WHEN 'P' THEN 'baseline' ELSE 'recorded' END, o_orderdate, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END FROM orders
+    UNION ALL SELECT 'report-state:' || o_orderkey, o_custkey, 'report.state', 'system', 'snapshot', o_orderdate, o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'
+    UNION ALL SELECT 'audit:' || event_id, user_id, event_type, 'admin', 'audit', ts, 'success' FROM events WHERE event_type NOT IN ('view', 'click')"""
 
 
 @_query(_FEED)
@@ -492,21 +508,24 @@ def activity_feed(s, d):
     """OP-82: seven branches in one feed; history is suppressed where an event was recorded."""
     e, o, c = table(s, d, "events"), table(s, d, "orders"), table(s, d, "customer")
 
-    def branch(df, prefix, key, user, action, actor, source, at):
+    # a job's state is in the JSON snapshot of its event; some snapshots have none
+    snapshot = F.when(F.pmod("o_orderkey", F.lit(5)) > 0, F.to_json(F.struct(F.col("o_orderstatus").alias("status")))).otherwise("{}")
+
+    def branch(df, prefix, key, user, action, actor, source, at, outcome):
         as_col = lambda x: F.lit(x) if isinstance(x, str) else x
-        return df.select(F.concat(F.lit(prefix), F.col(key)).alias("feed_id"), F.col(user).cast("long").alias("user_id"), as_col(action).alias("action"), as_col(actor).alias("actor_type"), as_col(source).alias("source"), at.alias("created_at"))
+        return df.select(F.concat(F.lit(prefix), F.col(key)).alias("feed_id"), F.col(user).cast("long").alias("user_id"), as_col(action).alias("action"), as_col(actor).alias("actor_type"), as_col(source).alias("source"), at.alias("created_at"), as_col(outcome).alias("outcome"))
 
     seen = lambda kind: e.filter(F.col("event_type") == kind).select(F.col("user_id").alias("o_custkey"), F.col("event_id").alias("o_orderkey"))
     urgent = o.filter("o_orderpriority = '1-URGENT'")
     signed = e.filter("event_type = 'signup'").select(F.col("user_id").alias("c_custkey"))
     branches = [
-        branch(e, "event:", "event_id", "user_id", F.col("event_type"), F.when(F.col("event_type") == "error", "system").otherwise("human"), "recorded", F.col("ts")),
-        branch(c.join(signed, "c_custkey", "left_anti"), "registration:", "c_custkey", "c_custkey", "signup", "human", "historical", F.lit("1995-01-01").cast("timestamp_ntz")),
-        branch(o.join(seen("view"), ["o_custkey", "o_orderkey"], "left_anti"), "analysis:", "o_orderkey", "o_custkey", "analysis.request", "human", "historical", F.col("o_orderdate")),
-        branch(urgent.join(seen("click"), ["o_custkey", "o_orderkey"], "left_anti"), "report:", "o_orderkey", "o_custkey", "report.request", "human", "historical", F.col("o_orderdate")),
-        branch(o, "job-state:", "o_orderkey", "o_custkey", "analysis.state", "system", F.when(F.col("o_orderstatus") == "P", "baseline").otherwise("recorded"), F.col("o_orderdate")),
-        branch(urgent.filter("o_orderstatus = 'F'"), "report-state:", "o_orderkey", "o_custkey", "report.state", "system", "snapshot", F.col("o_orderdate")),
-        branch(e.filter(~F.col("event_type").isin("view", "click")), "audit:", "event_id", "user_id", F.col("event_type"), "admin", "audit", F.col("ts")),
+        branch(e, "event:", "event_id", "user_id", F.col("event_type"), F.when(F.col("event_type") == "error", "system").otherwise("human"), "recorded", F.col("ts"), F.when(F.get_json_object("props", "$.k").isNull(), "failed").otherwise("success")),
+        branch(c.join(signed, "c_custkey", "left_anti"), "registration:", "c_custkey", "c_custkey", "signup", "human", "historical", F.lit("1995-01-01").cast("timestamp_ntz"), "success"),
+        branch(o.join(seen("view"), ["o_custkey", "o_orderkey"], "left_anti"), "analysis:", "o_orderkey", "o_custkey", "analysis.request", "human", "historical", F.col("o_orderdate"), "created"),
+        branch(urgent.join(seen("click"), ["o_custkey", "o_orderkey"], "left_anti"), "report:", "o_orderkey", "o_custkey", "report.request", "human", "historical", F.col("o_orderdate"), "created"),
+        branch(o, "job-state:", "o_orderkey", "o_custkey", "analysis.state", "system", F.when(F.col("o_orderstatus") == "P", "baseline").otherwise("recorded"), F.col("o_orderdate"), F.get_json_object(snapshot, "$.status")),
+        branch(urgent.filter("o_orderstatus = 'F'"), "report-state:", "o_orderkey", "o_custkey", "report.state", "system", "snapshot", F.col("o_orderdate"), F.col("o_orderstatus")),
+        branch(e.filter(~F.col("event_type").isin("view", "click")), "audit:", "event_id", "user_id", F.col("event_type"), "admin", "audit", F.col("ts"), "success"),
     ]
     out = branches[0]
     for b in branches[1:]:

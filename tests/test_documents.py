@@ -232,3 +232,13 @@ def test_presentation_policy(spark):
     ]
     rows = docs.presentation_policy(spark.createDataFrame(pages, "doc_id int, page int, text string"), "PEN").collect()
     assert [(r["doc_id"], r["scale"], r["page"], r["exception"]) for r in rows] == [(1, "thousands", 2, "excepto donde se indique de otro modo")]
+
+
+def test_links_by_host_and_suffix(spark):
+    html = '<a href="/b.pdf"><a href="https://other.org/c.pdf"><a href="d.PDF?x=1"><a href="e.html"><a href="https://u@site.org/f.pdf"><a href="https://site.org:443/g.pdf">'
+    rows = [(1, "https://site.org/x/page.html", html), (2, "https://site.org/own.pdf#p", html), (3, "https://away.org/own.pdf", html)]
+    got = {}
+    for r in docs.link_discovery(spark.createDataFrame(rows, "page_id int, url string, html string"), hosts=["site.org"], suffix=".pdf").orderBy("page_id", "rank").collect():
+        got.setdefault(r["page_id"], []).append(r["link"])
+    # a page that is the file itself is its only link, if its host may be read
+    assert got == {1: ["https://site.org/b.pdf", "https://site.org/x/d.PDF?x=1", "https://site.org:443/g.pdf"], 2: ["https://site.org/own.pdf"], 3: ["https://site.org:443/g.pdf"]}

@@ -201,3 +201,12 @@ def test_headings_against_a_plain_version(spark):
     want = {d: plain_headings(pages) for d, pages in docs.items()}
     assert {d: (got[d], want[d], docs[d]) for d in docs if got[d] != want[d]} == {}
     assert {w[:2] for w in want.values()} >= {("contents", s) for s in ("ok", "missing", "ambiguous", "contradictory", "incomplete")} | {("sequence", s) for s in ("ok", "too_few", "incomplete")}
+
+
+def test_fragments_replace_those_of_the_same_place(spark):
+    docs = spark.createDataFrame([("a", 7)], "doc_id string, company_id int")
+    sections = spark.createDataFrame([("a", 1, "T", 0, 0, "uno"), ("a", 1, "T", 1, 1, "dos"), ("b", 1, "U", 0, 0, "no")], "doc_id string, number int, title string, page int, section_order int, section string")
+    known = spark.createDataFrame([(7, "a", 1, 2, 1, "old", "old"), (7, "a", 9, 1, 0, "kept", "kept"), (8, "c", 1, 1, 0, "kept", "kept")], "company_id int, doc_id string, number int, page int, fragment_order int, heading string, body string")
+    got = sorted(map(tuple, notes.note_fragments(docs, sections, known).collect()))
+    assert got == [(7, "a", 1, 1, 0, "T", "uno"), (7, "a", 1, 2, 1, "T", "dos"), (7, "a", 9, 1, 0, "kept", "kept"), (8, "c", 1, 1, 0, "kept", "kept")]
+    assert notes.note_fragments(docs, sections).count() == 2

@@ -123,3 +123,10 @@ def test_keys_are_replaced_whole(spark, tmp_path):
     batch("2", [(1, "a2"), (3, "c")], [(3, 9)])
     batch("1", [(1, "a"), (2, "b")], [(1, 1), (1, 2), (2, 1)])
     assert now() == new
+
+
+def test_no_rows_of_a_key_is_an_error(spark):
+    df = spark.createDataFrame([(" 7 ", 1), ("8", 2)], "k string, v int")
+    assert [r["v"] for r in records.rows_of_key(df, "k", 7).collect()] == [1]
+    with pytest.raises(LookupError):
+        records.rows_of_key(df, "k", "9")
