@@ -18,8 +18,8 @@ component.  The steps, each a Spark job over the whole table:
    difference, from the parity bitmaps) thin out candidates inside the join; survivors are verified
    once, on the sets themselves.  What moves for that is the compressed texts, of which the tasks make the sets anew.
 
-Nothing is broadcast by hint: joins are shuffled, at any size, unless Spark finds a side to be below its own threshold; its skew
-handling splits shingles that many classes hold.
+Tables of two or three numbers a row are broadcast where they were counted to be small; beyond that Spark shuffles both sides, with
+the same result, and its skew handling splits shingles that many classes hold.
 
 Hash collisions: shingles are 64-bit hashes, classes 128-bit signatures; a row is found again by its doc_id and a 64-bit
 hash of its text.
@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import durable, merged, packed
+from ._spark import broadcast_if_small, durable, merged, packed
 from .components import connected_components
 
 SKETCH_BITS = 20
@@ -52,6 +52,8 @@ BITMAP_WORDS = 16
 BLOCK = 12
 #: Sides of the squares of pairs that one task checks of a group whose classes are still apart.
 X_ROWS, Y_ROWS = 256, 2048
+#: Size of the bitmap of rows whose texts are wanted.
+MARK_BYTES = 1 << 22
 #: Texts that a task holds compressed at once while packing, and pairs whose texts it holds while checking.
 PACKED_ROWS, CHECKED_PAIRS = 256, 16
 
@@ -121,17 +123,38 @@ def _profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text", "h").mapInArrow(profile, schema)
 
 
-def _packed_texts(docs: DataFrame) -> DataFrame:
-    """node and the compressed text of each row of docs (node, text): a set of hashes takes several times the bytes."""
+def _marks(wanted: DataFrame) -> np.ndarray:
+    """The low bits of a hash of each wanted row, or-ed over all tasks: MARK_BYTES, whatever the input."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(MARK_BYTES, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy() & (MARK_BYTES * 8 - 1)
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        if bits.any():
+            yield packed(bits)
+
+    return merged(wanted.select(F.xxhash64("doc_id", "h")).mapInArrow(mark, "part int, data binary"), MARK_BYTES, np.uint8, np.bitwise_or)
+
+
+def _packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and the compressed text of the rows of docs (doc_id, text, h) that are wanted (doc_id, h, node): a set of hashes takes several times the bytes.
+
+    A bitmap of the wanted rows leaves most other texts where they are; the join decides.
+    """
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            for at in range(0, batch.num_rows, PACKED_ROWS):
-                data = pa.array([zlib.compress(x.as_py() or b"") for x in texts.slice(at, PACKED_ROWS)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, PACKED_ROWS), data], ["node", "data"])
+            at = batch.column(3).to_numpy() & (MARK_BYTES * 8 - 1)
+            kept = np.flatnonzero(marks.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            for k in range(0, len(kept), PACKED_ROWS):
+                block = batch.take(pa.array(kept[k : k + PACKED_ROWS]))
+                data = pa.array([zlib.compress(x.as_py() or b"") for x in block.column(2).cast(pa.binary())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*block.columns[:2], data], ["doc_id", "h", "data"])
 
-    return docs.select("node", "text").mapInArrow(pack, "node long, data binary")
+    rows = docs.select("doc_id", "h", "text", F.xxhash64("doc_id", "h").alias("mark")).mapInArrow(pack, "doc_id long, h long, data binary")
+    return rows.join(broadcast_if_small(wanted), ["doc_id", "h"]).select("node", "data")
 
 
 def _set_of_each(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -144,8 +167,8 @@ def _set_of_each(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that link, each verified once on the whole sets of its texts (node, data)."""
-    first = texts.select(F.col("node").alias("a"), F.col("data").alias("ta")).join(pairs, "a")
-    asked = pairs.select("b").distinct()
+    first = texts.select(F.col("node").alias("a"), F.col("data").alias("ta")).join(broadcast_if_small(pairs), "a")
+    asked = broadcast_if_small(pairs.select("b").distinct())
     second = texts.select(F.col("node").alias("b"), F.col("data").alias("tb")).join(asked, "b", "left_semi")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +224,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     # each class has a number of its own, and is read from the row (doc_id, hash of its text) with the smallest doc_id
     classes = with_sets.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "h")).alias("r")).select("s1", "s2", "n", F.col("r.doc_id").alias("doc_id"), F.col("r.h").alias("h"))
     classes = durable(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
-    chosen = with_sets.join(classes, ["doc_id", "h", "s1", "s2", "n"])
+    chosen = with_sets.join(broadcast_if_small(classes), ["doc_id", "h", "s1", "s2", "n"])
     copied = not profiles.groupBy("doc_id", "h").count().filter("count > 1 and doc_id is not null").isEmpty()
     if copied:
         chosen = chosen.dropDuplicates(["node"])
@@ -225,7 +248,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     large = cards.filter(F.exists("g", lambda e: e["c"] > BLOCK)).select("node")
     asked = large.unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     wanted = durable(classes.select("doc_id", "h", "node").join(asked, "node", "left_semi"), "jaccard-ids")
-    texts = _packed_texts(docs.join(wanted, ["doc_id", "h"]))
+    texts = _packed_texts(docs, wanted)
     texts = durable(texts.dropDuplicates(["node"]) if copied else texts, "jaccard-texts")
 
     # one or two partners of each class first: that connects most, and spares most other checks
@@ -253,8 +276,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     order = order.select("node", "n", "component", "sizes", *maps, "g.pos", "g.shingle", F.expr("slice(s, 1, k)").alias("earlier"))
     own = lambda k: F.pmod(F.xxhash64("node", "shingle"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    y = order.withColumn("to", F.col("sizes")).join(squares, ["shingle", "to"]).withColumn("by", own("ky")).withColumn("bx", every("kx")).alias("y")
-    x = order.select("*", to()).join(squares, ["shingle", "to"]).filter("component != major").withColumn("bx", own("kx")).withColumn("by", every("ky")).alias("x")
+    # where few groups are left, the rows of all others go before anything is shuffled
+    few = broadcast_if_small(squares)
+    y = order.withColumn("to", F.col("sizes")).join(few, ["shingle", "to"]).withColumn("by", own("ky")).withColumn("bx", every("kx")).alias("y")
+    x = order.select("*", to()).join(few, ["shingle", "to"]).filter("component != major").withColumn("bx", own("kx")).withColumn("by", every("ky")).alias("x")
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
     square = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.to") == F.col("y.to")) & (F.col("x.bx") == F.col("y.bx")) & (F.col("x.by") == F.col("y.by"))
     far = x.join(y, square & apart & _may_link(percent, True) & _near_enough(percent) & ~F.arrays_overlap("x.earlier", "y.earlier"))
