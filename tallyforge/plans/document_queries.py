@@ -337,9 +337,9 @@ _SENTENCES = rf"""s0 AS (SELECT doc_id, regexp_replace(text || {_list(ADDED)}[do
     sent AS MATERIALIZED (SELECT doc_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS ord, unnest(l) AS sentence FROM (SELECT doc_id, list_filter(list_transform(l, lambda x: regexp_replace(x, '^[ \-]+|[ \-]+$', '', 'g')), lambda x: x <> '') AS l FROM s1))"""
 
 
-def _sentences(s, d):
+def _sentences(s, d, *more):
     added = F.element_at(F.array(*map(F.lit, ADDED)), (F.pmod("doc_id", F.lit(len(ADDED))) + 1).cast("int"))
-    return docs.sentences(table(s, d, "documents").select("doc_id", F.concat("text", added).alias("text")))
+    return docs.sentences(table(s, d, "documents").select("doc_id", *more, F.concat("text", added).alias("text")))
 
 
 @_query(f"WITH {_SENTENCES} SELECT * FROM sent")
@@ -363,8 +363,9 @@ def narrative_filter(s, d):
 
 def _scored(s, d):
     title = F.element_at(F.array(*map(F.lit, NOTE_TITLES)), (F.pmod(F.floor(F.col("doc_id") / 2), F.lit(len(NOTE_TITLES))) + 1).cast("int"))
-    rows = docs.narrative(_sentences(s, d))
-    score = docs.sentence_score(F.col("sentence"), F.col("plain"), F.lit(2024) + F.pmod("doc_id", F.lit(2)), docs.topic_terms(F.col("plain"), docs.topic(title)))
+    # the topic is found once a document, before its sentences are told apart
+    rows = docs.narrative(_sentences(s, d, docs.topic(title).alias("topic")))
+    score = docs.sentence_score(F.col("sentence"), F.col("plain"), F.lit(2024) + F.pmod("doc_id", F.lit(2)), docs.topic_terms(F.col("plain"), F.col("topic")))
     return rows.select("doc_id", "ord", "sentence", F.round(score.cast("double"), 6).alias("score"))
 
 

@@ -8,7 +8,7 @@ writes the same files and keeps its place, and what a failed batch left behind i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -22,10 +22,14 @@ def _commits(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], COMMITS)
 
 
-def stage(root: str, tables: dict[str, DataFrame], keys: list[str], version: str) -> None:
-    """First step: the batch's tables and, from the first of them (the parents), the keys that it replaces."""
+def stage(root: str, tables: dict[str, DataFrame], keys: list[str], version: str, parts: dict[str, str] | None = None) -> None:
+    """First step: the batch's tables and, from the first of them (the parents), the keys that it replaces.
+
+    ``parts`` names a column for tables whose files are to be apart by it.
+    """
     for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{root}/{name}/version=v-{version}")
+        writer = rows.write.mode("overwrite")
+        (writer.partitionBy(parts[name]) if parts and name in parts else writer).parquet(f"{root}/{name}/version=v-{version}")
     parents = next(iter(tables.values()))
     parents.sparkSession.read.parquet(f"{root}/{next(iter(tables))}/version=v-{version}").select(*keys).distinct().write.mode("overwrite").parquet(f"{root}/manifest/version=v-{version}")
 
@@ -37,14 +41,15 @@ def commit(spark: SparkSession, root: str, version: str) -> None:
     spark.createDataFrame([(f"v-{version}", place)], COMMITS).coalesce(1).write.mode("overwrite").parquet(f"{root}/commits/of=v-{version}")
 
 
-def replace_keys(root: str, tables: dict[str, DataFrame], keys: list[str], version: str) -> None:
+def replace_keys(root: str, tables: dict[str, DataFrame], keys: list[str], version: str, parts: dict[str, str] | None = None) -> None:
     """OP-05: replace the keys of the first table, with all that hangs on them in the others."""
-    stage(root, tables, keys, version)
+    stage(root, tables, keys, version, parts)
     commit(next(iter(tables.values())).sparkSession, root, version)
 
 
-def current(spark: SparkSession, root: str, name: str, keys: list[str]) -> DataFrame:
-    """The rows of a table that are in force; versions that are not committed are not read."""
+def current(spark: SparkSession, root: str, name: str, keys: list[str], only: Column | None = None) -> DataFrame:
+    """The rows of a table that are in force, of those that ``only`` holds for; versions that are not committed are not read."""
     listed = spark.read.parquet(f"{root}/manifest").join(_commits(spark, root), "version")
     last = listed.groupBy(*keys).agg(F.max_by("version", "place").alias("version"))
-    return spark.read.parquet(f"{root}/{name}").join(last, [*keys, "version"]).drop("version")
+    rows = spark.read.parquet(f"{root}/{name}")
+    return (rows if only is None else rows.filter(only)).join(last, [*keys, "version"]).drop("version")

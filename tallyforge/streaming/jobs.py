@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyforge.functions.text import digest
 from tallyforge.operators.search import postings
+from tallyforge.sources.keyed import current, replace_keys
 
 
 def ingest_activity(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -98,11 +99,30 @@ def change_log_stream(rows: DataFrame, keys: list[str], order: list[str], compar
     return _append(found.withColumn("kind", F.when(F.col("version") == 1, "insert").otherwise("update")), target, checkpoint)
 
 
+#: Parts of a stored posting table; a search reads those of its terms.
+BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 def index_fragments(fragments: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """ST-4: postings of new fragments, appended to ``target``; a repeated batch replaces its own partition."""
+    """ST-4: the posting table of a stream of fragments (fragment_id, heading, body), kept in ``target``.
+
+    A fragment that comes again replaces its postings, also by none; fragments and postings of a batch are committed together, and a batch that
+    runs again changes nothing.  Where a batch has a fragment twice, the larger (heading, body) counts.  Files are apart by hashed term.
+    """
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        one = batch.groupBy("fragment_id").agg(F.max(F.struct("heading", "body")).alias("f")).select("fragment_id", "f.*")
+        rows = postings(one).withColumn("bucket", _bucket(F.col("term")))
+        replace_keys(target, {"fragments": one.select("fragment_id"), "postings": rows.repartition("bucket")}, ["fragment_id"], f"{batch_id:012d}", {"postings": "bucket"})
+
+    return fragments.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def append(batch: DataFrame, batch_id: int) -> None:
-        rows = postings(batch).withColumn("batch", F.lit(batch_id))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
 
-    return fragments.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stored_postings(spark: SparkSession, target: str, terms: list[str]) -> DataFrame:
+    """OP-88 over ST-4: the postings in force of some terms, from the files of their parts only; what ``search_terms`` and ``search_ranked`` take."""
+    parts = sorted(r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"))).distinct().collect())
+    return current(spark, target, "postings", ["fragment_id"], F.col("bucket").isin(parts)).filter(F.col("term").isin(terms)).drop("bucket")

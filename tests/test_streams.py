@@ -4,7 +4,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.records import change_log, scd2_versions
+from tallyforge.operators import search
 from tallyforge.operators.search import postings
+from tallyforge.sources import keyed
 from tallyforge.sources.tables import activity, table, versioned_events
 from tallyforge.streaming import jobs
 
@@ -59,11 +61,24 @@ def test_change_log(spark, tmp_path):
     assert _rows(spark.read.parquet(target), *names) == _rows(change_log(rows, ["user_id"], ["ts", "event_id"], ["event_type", "odd"]), *names)
 
 
-def test_index_and_ingest(spark, tmp_path):
+def test_stored_postings(spark, tmp_path):
+    """Fragments that change leave no stale postings; a search reads the parts of its terms only."""
     f = table(spark, D, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("fragment_id"), F.col("role").alias("heading"), F.col("text").alias("body"))
-    target = str(tmp_path / "out")
-    jobs.index_fragments(_stream(spark, tmp_path, f), target, str(tmp_path / "check")).awaitTermination(120)
-    assert spark.read.parquet(target).count() == postings(f).count()
+    target, check, path = str(tmp_path / "out"), str(tmp_path / "check"), str(tmp_path / "in")
+    f.coalesce(1).write.parquet(path)
+    source = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.index_fragments(source, target, check).awaitTermination(240)
+    changed = f.filter("fragment_id % 3 = 0").withColumn("body", F.when(F.col("fragment_id") % 2 == 0, F.concat(F.lit("the new "), "body")))
+    changed.coalesce(1).write.mode("append").parquet(path)
+    jobs.index_fragments(source, target, check).awaitTermination(240)
+    want = postings(f.join(changed.select("fragment_id"), "fragment_id", "left_anti").unionByName(changed))
+    every = keyed.current(spark, target, "postings", ["fragment_id"])
+    names = ["term", "fragment_id", "pos", "part"]
+    assert _rows(every, *names) == _rows(want, *names)
+    found = jobs.stored_postings(spark, target, ["the", "new"])
+    assert _rows(found, *names) == _rows(want.filter("term in ('the', 'new')"), *names)
+    assert "bucket" in found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [", 1)[1].split("]")[0]
+    assert _rows(search.search_terms(found, "the new"), "fragment_id", "score") == _rows(search.search_terms(want, "the new"), "fragment_id", "score")
 
 
 def test_dedupe_and_rate(spark, tmp_path):
