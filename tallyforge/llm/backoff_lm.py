@@ -174,11 +174,12 @@ def backoff_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, block_
     spark = docs.sparkSession
     # a table that is dealt by block, so that blocks stay where they are when their answers come
     name, parts = f"lm_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _blocks(docs, block_words).write.bucketBy(parts, "block").option("path", new_path(spark, "lm-blocks")).saveAsTable(name)
-    blocks = spark.table(name)
-    total = blocks.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
-    bits = max(0, (-(-total * order // bucket_entries) - 1).bit_length())
-    found = _scored(blocks, _answered(_asked(blocks, order, bits)), order, backoff, total)
-    found = durable(found.withColumn("score", F.round("score", 6)), "lm-scores")
-    spark.sql(f"drop table {name}")
-    return found
+    try:
+        _blocks(docs, block_words).write.bucketBy(parts, "block").option("path", new_path(spark, "lm-blocks")).saveAsTable(name)
+        blocks = spark.table(name)
+        total = blocks.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
+        bits = max(0, (-(-total * order // bucket_entries) - 1).bit_length())
+        found = _scored(blocks, _answered(_asked(blocks, order, bits)), order, backoff, total)
+        return durable(found.withColumn("score", F.round("score", 6)), "lm-scores")
+    finally:
+        spark.sql(f"drop table if exists {name}")
