@@ -60,11 +60,11 @@ def _attribute(tag: Column, name: str) -> Column:
     return _entities(F.regexp_extract(tag, rf'(?is)\s{name}\s*=\s*"([^"]*)"', 1))
 
 
-def form_fields(pages: DataFrame, select: str, link_id: str, not_titled: str = "XBRL") -> DataFrame:
+def form_fields(pages: DataFrame, select: str, link_id: str, not_titled: str = "XBRL", limit: int = 12) -> DataFrame:
     """OP-15: page_id, hidden (name -> value), options (code, label) of the list named ``select``, links.
 
     Of hidden fields with one name the last counts.  An option without a value is none.  Links are those whose id has
-    ``link_id`` in it and whose title does not have ``not_titled``, in any case, in the page's order.
+    ``link_id`` in it and whose title does not have ``not_titled``, in any case, in the page's order, each once and ``limit`` at most.
     A page without html has empty fields.
     """
     html = F.coalesce("html", F.lit(""))
@@ -77,7 +77,7 @@ def form_fields(pages: DataFrame, select: str, link_id: str, not_titled: str = "
     each = F.filter(F.regexp_extract_all(body, F.lit(r"(?is)<option\s[^>]*>[^<]*"), F.lit(0)), lambda o: o.rlike(r'(?is)^<option\s(?:[^>]*\s)?value\s*=\s*"'))
     options = F.transform(each, lambda o: F.struct(_attribute(o, "value").alias("code"), F.trim(_entities(F.regexp_replace(o, r"(?s)^[^>]*>", ""))).alias("label")))
     anchors = F.filter(tags(r"(?is)<a\s[^>]*>"), lambda t: F.contains(_attribute(t, "id"), F.lit(link_id)) & ~F.contains(F.upper(_attribute(t, "title")), F.lit(not_titled.upper())))
-    return pages.select("page_id", F.map_from_entries(last).alias("hidden"), options.alias("options"), F.transform(anchors, lambda t: F.trim(_attribute(t, "href"))).alias("links"))
+    return pages.select("page_id", F.map_from_entries(last).alias("hidden"), options.alias("options"), F.slice(F.array_distinct(F.transform(anchors, lambda t: F.trim(_attribute(t, "href")))), 1, limit).alias("links"))
 
 
 def match_option(forms: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -78,11 +78,11 @@ _squash_sql = lambda c: f"regexp_replace({_fold_sql(c)}, '[^a-z0-9]', '', 'g')"
 @_query(rf"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS h, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS l FROM pages),
     o AS (SELECT page_id, i, h[i] AS code, trim({_plain_sql("l[i]")}) AS label FROM (SELECT page_id, h, l, unnest(range(1, len(l) + 1)) AS i FROM a)),
     m AS (SELECT w.page_id, count(*) AS n, min({_plain_sql("o.code")}) AS code FROM o w JOIN o ON o.page_id = w.page_id AND {_squash_sql("o.label")} = {_squash_sql("w.label")} WHERE w.i = 1 GROUP BY 1),
-    x AS (SELECT page_id, count(*) AS n, min(label) FILTER (i = 1) AS name, count(*) FILTER (i % 3 <> 0) AS files FROM o GROUP BY 1)
+    x AS (SELECT page_id, count(*) AS n, min(label) FILTER (i = 1) AS name, least(12, count(DISTINCT CASE WHEN i % 3 <> 0 THEN trim({_plain_sql("code")}) END)) AS files FROM o GROUP BY 1)
     SELECT a.page_id, x.name, CAST(m.n AS INTEGER) AS matches, CASE WHEN m.n = 1 THEN m.code END AS code, CAST(x.n AS INTEGER) AS options, {_plain_sql("url")} AS address, CAST(x.files AS INTEGER) AS files
     FROM a JOIN x USING (page_id) JOIN m USING (page_id)""")
 def form_match(s, d):
-    """OP-15: each page's links stand as the options of its form; the page asks for its first label.  Every third attachment is XBRL."""
+    """OP-15: each page's links stand as the options of its form; the page asks for its first label.  Every third attachment is XBRL; twelve files a page are the operator's own limit."""
     pages = table(s, d, "pages")
     found = lambda k: F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">([^<]*)</a>'), F.lit(k))
     both = F.zip_with(found(1), found(2), lambda h, t: F.struct(h.alias("h"), t.alias("t")))
