@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.constants import CONCEPTS
+from tallyforge.sources.shared import checkpointed
 
 ALL_CONCEPTS = [c for codes in CONCEPTS.values() for c in codes.values()]
 AMOUNT = "decimal(20,6)"
@@ -254,16 +255,22 @@ def compatible_pairs(pairs: DataFrame, filings: DataFrame, formulas: DataFrame)
     return both.join(changed, ["a", "b", *year], "left").select("a", "b", *year, F.coalesce(same & F.col("changed").isNull(), F.lit(False)).alias("compatible"))
 
 
-def apply_scale(facts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """OP-52: facts with an unknown scale get the one that verified evidence names, if nothing has changed since.
+def apply_scale(filings: DataFrame, facts: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """OP-52: (filings, facts) of which those with an unknown scale have the one that verified evidence names, if nothing has changed since.
 
-    evidence: company_id, fiscal_year, found (scale), digest (of the facts as they were, see ``facts_digest``).  Only
+    filings: company_id, fiscal_year, scale; evidence: company_id, fiscal_year, found (scale), source, digest (of the facts as they were, see
+    ``facts_digest``).  A filing of known scale stays as it is, with its facts.  Of a filing that is verified, ``scale_source`` is given, and all
     monetary facts are rewritten; figures per share keep their units.
     """
     now = facts_digest(facts)
-    fits = evidence.join(now, list(KEY)).filter(F.col("digest") == F.col("now")).select(*KEY, "found")
-    rewritten = F.when((F.col("value_kind") == "monetary") & (F.col("scale") == "unknown") & F.col("found").isNotNull(), F.col("found")).otherwise(F.col("scale"))
-    return facts.join(fits, list(KEY), "left").withColumn("scale", rewritten).drop("found")
+    unknown = filings.filter("scale = 'unknown'").select(*KEY)
+    fits = checkpointed(evidence.join(now, list(KEY)).filter(F.col("digest") == F.col("now")).join(unknown, list(KEY), "left_semi").select(*KEY, "found", "source"))
+    of = fits.select(*KEY, "found")
+    rewritten = F.when((F.col("value_kind") == "monetary") & F.col("found").isNotNull(), F.col("found")).otherwise(F.col("scale"))
+    return (
+        filings.join(fits, list(KEY), "left").withColumn("scale", F.coalesce("found", "scale")).withColumnRenamed("source", "scale_source").drop("found"),
+        facts.join(of, list(KEY), "left").withColumn("scale", rewritten).drop("found"),
+    )
 
 
 def facts_digest(facts: DataFrame) -> DataFrame:

@@ -110,15 +110,25 @@ def company_compatible(s, d):
     return ops.compatible_pairs(pairs, filings, formulas)
 
 
-def scale_apply(s, d):
-    """OP-52: every tenth company has evidence of thousands; that of every twentieth was taken of other facts."""
+def _applied(s, d):
     facts = _facts(s, d)
-    seen = ops.facts_digest(facts).filter("company_id % 10 = 0")
-    evidence = seen.select(*KEY, F.lit("thousands").alias("found"), F.when(F.col("company_id") % 20 == 0, "other").otherwise(F.col("now")).alias("digest"))
-    return ops.apply_scale(facts, evidence).groupBy(*KEY, "scale").agg(F.count("*").alias("n"))
+    seen = ops.facts_digest(facts).filter("company_id % 10 = 0 or company_id % 3 = 0")
+    evidence = seen.select(*KEY, F.lit("thousands").alias("found"), F.concat_ws("/", F.lit("report"), "company_id", "fiscal_year").alias("source"), F.when(F.col("company_id") % 20 == 0, "other").otherwise(F.col("now")).alias("digest"))
+    filings = facts.select(*KEY).distinct().withColumn("scale", F.when(F.col("company_id") % 5 == 0, "unknown").otherwise("thousands"))
+    return ops.apply_scale(filings, facts, evidence)
+
+
+def scale_apply(s, d):
+    """OP-52: facts where every tenth company and every third has evidence of thousands; that of every twentieth was taken of other facts."""
+    return _applied(s, d)[1].select(*KEY, "statement", "account_code", "scale")
+
+
+def scale_filings(s, d):
+    """OP-52: the filings of ``scale_apply``, with what proved their scale."""
+    return _applied(s, d)[0].select(*KEY, "scale", "scale_source")
 
 
-QUERIES = {f.__name__: f for f in (concept_map, fact_normalise, concept_pivot, metrics_15, metrics_status_counts, metrics_comparative, annual_change, statement_change, validations, validations_failed, metric_summary, statement_view, metric_format, company_compare, company_compatible, scale_apply)}
+QUERIES = {f.__name__: f for f in (concept_map, fact_normalise, concept_pivot, metrics_15, metrics_status_counts, metrics_comparative, annual_change, statement_change, validations, validations_failed, metric_summary, statement_view, metric_format, company_compare, company_compatible, scale_apply, scale_filings)}
 
 
 # ---- SQL
@@ -203,6 +213,8 @@ _RULES = [("balance_sheet", "balance_equation", "total_assets", "total_liabiliti
 _V = _A1 + ", v AS (" + " UNION ALL ".join(f"SELECT company_id, fiscal_year, '{s}' AS statement, '{r}' AS rule_code, CASE WHEN {a} IS NULL OR {e} IS NULL THEN 'not_applicable' WHEN {a} = {e} THEN 'passed' ELSE 'failed' END AS status, round({a}::DOUBLE, 6) AS actual, round(({e})::DOUBLE, 6) AS expected FROM w" for s, r, a, e in _RULES) + ")"
 _SHOWN = ["company_id, fiscal_year, metric_code, status, round(raw, 8) AS value, currency_code, value_scale, reason"]
 
+#: A filing of unknown scale with evidence of its own facts.
+_PROVED = "(company_id % 5 = 0 AND (company_id % 10 = 0 OR company_id % 3 = 0) AND company_id % 20 <> 0)"
 ORACLE = {
     "concept_map": f"{_A1} SELECT statement, account_code, concept, count(*) AS n, round(sum(current)::DOUBLE, 6) AS total FROM facts GROUP BY ALL",
     "fact_normalise": f"{_A1} SELECT company_id, fiscal_year, account_code, label, round(current::DOUBLE, 6) AS current, round(comparative::DOUBLE, 6) AS comparative, 'monetary' AS value_kind, scale, 'mapped' AS status FROM facts",
@@ -230,5 +242,6 @@ ORACLE = {
     "company_compatible": f"""{_A1}, f AS (SELECT company_id AS i, fiscal_year, min(cur) AS c, min(scale) AS s FROM facts WHERE statement = 'balance_sheet' GROUP BY ALL)
         SELECT x.i AS a, x.i + 1 AS b, x.fiscal_year, coalesce(x.c = y.c AND x.s = y.s AND x.s <> 'unknown' AND (x.i % 7 = 0) = (y.i % 7 = 0) AND (x.i % 3 = 0) = (y.i % 3 = 0) AND (x.i % 4 = 0) = (y.i % 4 = 0), false) AS compatible
         FROM f x LEFT JOIN f y ON y.i = x.i + 1 AND y.fiscal_year = x.fiscal_year""",
-    "scale_apply": f"""{_A1} SELECT company_id, fiscal_year, CASE WHEN scale = 'unknown' AND company_id % 10 = 0 AND company_id % 20 <> 0 THEN 'thousands' ELSE scale END AS scale, count(*) AS n FROM facts GROUP BY ALL""",
+    "scale_apply": f"""{_A1} SELECT company_id, fiscal_year, statement, account_code, CASE WHEN {_PROVED} THEN 'thousands' ELSE scale END AS scale FROM facts""",
+    "scale_filings": f"""{_A1} SELECT DISTINCT company_id, fiscal_year, CASE WHEN {_PROVED} OR company_id % 5 <> 0 THEN 'thousands' ELSE 'unknown' END AS scale, CASE WHEN {_PROVED} THEN 'report/' || company_id || '/' || fiscal_year END AS scale_source FROM facts""",
 }

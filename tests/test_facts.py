@@ -87,3 +87,18 @@ def test_compatible_pairs(spark):
     pairs = spark.createDataFrame([(a, b, 2024) for a, b in asked], "a int, b int, fiscal_year int")
     got = ops.compatible_pairs(pairs, rows, formulas).collect()
     assert len(got) == len(asked) and {(r["a"], r["b"]) for r in got if r["compatible"]} == {(1, 2), (9, 1)}
+
+
+def test_scale_evidence_rewrites_filings_and_facts(spark):
+    schema = "company_id int, fiscal_year int, statement string, account_code string, current decimal(20,6), comparative decimal(20,6), value_kind string, scale string"
+    facts = spark.createDataFrame([(c, 2025, "s", code, None, None, kind, scale) for c in (1, 2, 3) for code, kind, scale in (("a", "monetary", "unknown"), ("b", "monetary", "millions"), ("c", "per_share", "units"))], schema)
+    filings = spark.createDataFrame([(1, 2025, "unknown"), (2, 2025, "thousands"), (3, 2025, "unknown"), (4, 2025, "unknown")], "company_id int, fiscal_year int, scale string")
+    seen = {r["company_id"]: r["now"] for r in ops.facts_digest(facts).collect()}
+    evidence = spark.createDataFrame([(1, 2025, "thousands", "x", seen[1]), (2, 2025, "units", "y", seen[2]), (3, 2025, "thousands", "z", "stale")], "company_id int, fiscal_year int, found string, source string, digest string")
+    new, rows = ops.apply_scale(filings, facts, evidence)
+    assert sorted((r["company_id"], r["scale"], r["scale_source"]) for r in new.collect()) == [(1, "thousands", "x"), (2, "thousands", None), (3, "unknown", None), (4, "unknown", None)]
+    scales = {}
+    for r in rows.collect():
+        scales.setdefault(r["company_id"], []).append((r["account_code"], r["scale"]))
+    before = [("a", "unknown"), ("b", "millions"), ("c", "units")]
+    assert {c: sorted(x) for c, x in scales.items()} == {1: [("a", "thousands"), ("b", "thousands"), ("c", "units")], 2: before, 3: before}
