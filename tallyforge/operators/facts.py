@@ -217,7 +217,9 @@ def validations(wide: DataFrame) -> DataFrame:
 def format_metrics(found: DataFrame) -> DataFrame:
     """OP-24 and OP-23: the text of each metric, and whether a money figure's scale is unverified."""
     v = F.col("value").cast("double")
-    trim = lambda c, places: F.regexp_replace(F.format_string(f"%.{places}f", F.round(c, places)), r"\.?0+$", "")
+    # a negative figure keeps its sign when it rounds to nought, which F.round takes from it
+    signed = lambda c, places: F.when(c < 0, -F.round(-c, places)).otherwise(F.round(c, places))
+    trim = lambda c, places: F.regexp_replace(F.format_string(f"%.{places}f", signed(c, places)), r"\.?0+$", "")
     prefix = F.when(F.col("currency_code") == "PEN", "S/ ").when(F.col("currency_code") == "USD", "US$ ").otherwise("")
     # in decimals, so that halves round the same way everywhere
     money = F.round(F.col("value").cast(AMOUNT) * F.when(F.col("value_scale") == "thousands", F.lit(Decimal("0.001"))).otherwise(F.lit(Decimal("1.000"))), 1).cast("double")

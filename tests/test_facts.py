@@ -102,3 +102,10 @@ def test_scale_evidence_rewrites_filings_and_facts(spark):
         scales.setdefault(r["company_id"], []).append((r["account_code"], r["scale"]))
     before = [("a", "unknown"), ("b", "millions"), ("c", "units")]
     assert {c: sorted(x) for c, x in scales.items()} == {1: [("a", "thousands"), ("b", "thousands"), ("c", "units")], 2: before, 3: before}
+
+
+def test_negative_figures_that_round_to_nought_keep_their_sign(spark):
+    rows = [(k, "percentage", Decimal(v)) for k, v in enumerate(("-0.0004", "0.0004", "0", "-0.0006", "0.125"))]
+    data = spark.createDataFrame(rows, "company_id long, kind string, value decimal(38,12)")
+    data = data.selectExpr("company_id", "2025 as fiscal_year", "'m' as metric_code", "kind", "'computed' as status", "value", "'USD' as currency_code", "'thousands' as value_scale")
+    assert [r["shown"] for r in ops.format_metrics(data).orderBy("company_id").collect()] == ["-0%", "0%", "0%", "-0.1%", "12.5%"]
