@@ -10,13 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import constants as K
-from tallyforge.functions.text import let, unaccent, words_key
+from tallyforge.functions.text import folded_like, let, may_begin, unaccent, words_key
 from tallyforge.operators.documents import accept_sequence, topic
 from tallyforge.sources.shared import checkpointed
 
 #: White space of any script, and what ends a line besides the line feed.
-BLANK = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+# The range before && tells most characters at once.
+_BLANKS = r"\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+BLANK = rf"[\x00-\x20\x{{80}}-\x{{3000}}&&[{_BLANKS}]]"
+SHOWN = f"[^{_BLANKS}]"
+LINE_END = r"\r\n|[\n-\x1E\x{85}-\x{2029}&&[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]]"
 # Patterns over a page: ^ stands behind line feeds only (d), in every line (m).
 NUMBERED = r"[ \t]*([0-9]{1,2})(\.?)[ \t]+([^\n]{3,180})"
 UNNUMBERED = rf"[ \t]*\.[ \t]+((?iu:{K.UNNUMBERED_HEADING[1]}))[ \t]*$"
@@ -55,24 +58,47 @@ def is_contents(text: Column) -> Column:
     return let(entries, lambda e: (F.size(e) >= 3) & F.forall(e, lambda x: x.rlike(rf"{BLANK}[0-9]+{BLANK}*$")))
 
 
-def note_candidates(pages: DataFrame) -> DataFrame:
-    """OP-72: doc_id, page, start, end, number, dotted, numbered, title, plausible, tail, contents, scope of each heading candidate.
+#: Letters and digits that a title in the contents can have when it is folded: 180 characters, of which each stands for 18 at most.
+LONGEST_KEY = 180 * 18
 
-    start and end are places in the page, tail the (up to three) lines behind the candidate, contents whether its page is a contents page.
-    scope: it stands between the page on which the notes begin and the first appendix.  goes_on: the title ends in the next line, with its end
-    at wrapped_end.
-    """
-    text = F.translate(F.coalesce("text", F.lit("")), MARK, " ")
+
+def _plain_letters(c: Column) -> Column:
+    """The number of letters and digits that folding surely leaves."""
+    return F.length(F.regexp_replace(c, "[^A-Za-z0-9]+", ""))
+
+
+def _parts(pages: DataFrame) -> DataFrame:
+    """The candidates of ``note_candidates``, and one row without a number for the beginning of each page."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))
     marked = F.split(F.regexp_replace("text", CANDIDATE, MARK), MARK, -1)
     cut = pages.select("doc_id", F.col("page").cast("int"), text.alias("text"))
-    begun = F.contains(plain(F.col("text")), F.lit(K.NOTES_MARKER)) & F.col("text").rlike(r"(?dm)^\s*1[.\s]")
+    begun = F.col("text").rlike(r"(?dm)^\s*1[.\s]") & folded_like(F.col("text"), K.NOTES_MARKER)
     facts = cut.select(
         "doc_id", "page", marked.alias("parts"), is_contents(F.col("text")).alias("contents"), begun.alias("begun"),
         F.when(F.col("text").rlike(APPENDIX), F.length(F.split("text", APPENDIX, 2)[0])).alias("appendix"),
     )
     # four parts hold at least the three lines behind the first one's own
-    part = F.transform("parts", lambda x, k: F.struct(F.length(x).alias("n"), F.regexp_extract(F.array_join(F.slice("parts", k + 1, 4), ""), r"(?d)^[^\n]*(?:\n[^\n]+){0,3}", 0).alias("lines")))
+    behind = lambda k: F.regexp_extract(F.array_join(F.slice("parts", k + 1, 4), ""), r"(?d)^[^\n]*(?:\n[^\n]+){0,3}", 0)
+    part = F.transform("parts", lambda x, k: F.struct(F.length(x).alias("n"), F.when(k > 0, behind(k)).alias("lines")))
     rows = facts.select("doc_id", "page", "contents", "begun", "appendix", F.posexplode(part).alias("k", "x")).select("doc_id", "page", "contents", "begun", "appendix", "k", "x.*")
+    line = F.col("lines")
+    group = lambda k: F.regexp_extract(line, rf"(?d)^{NUMBERED}", k)
+    lost = rf"(?dm)^{UNNUMBERED}"
+    numbered = F.col("numbered")
+    rows = rows.withColumn("numbered", group(1) != "")
+    rows = rows.withColumns({
+        "own": F.when(numbered, group(0)).otherwise(F.regexp_extract(line, lost, 0)), "dotted": ~numbered | (group(2) != ""),
+        "number": F.when(numbered, group(1).cast("int")).when(~numbered, K.UNNUMBERED_HEADING[0]), "title": clean_title(F.when(numbered, group(3)).otherwise(F.regexp_extract(line, lost, 1))),
+    })
+    # one title goes on in a line of its own
+    rows = rows.withColumn("tail", F.substr("lines", F.length("own") + 1)).drop("lines")
+    wrapped = F.regexp_extract("tail", rf"(?d)^\r?\n[ \t]*({K.WRAPPED_TITLE[1]})[ \t]*(?:\r?\n|$)", 0)
+    goes_on = (wrapped != "") & F.endswith(plain(F.col("title")), F.lit(K.WRAPPED_TITLE[0]))
+    rows = rows.withColumns({"goes_on": goes_on, "wrapped": F.length(wrapped)})
+    rows = rows.withColumn("plausible", plausible(F.when(F.col("goes_on"), F.concat_ws(" ", "title", F.lit(K.WRAPPED_TITLE[1]))).otherwise(F.col("title")), F.col("dotted")))
+    # what no title of the contents is long enough for stays behind, and so does what is no line of its own
+    fits = lambda x: (F.length("tail") <= LONGEST_KEY) | (_plain_letters(x) <= LONGEST_KEY)
+    rows = rows.withColumn("tail", F.when(F.col("tail").rlike(r"^\r?\n") & fits(F.regexp_extract("tail", r"(?d)^\r?\n[^\n]+", 0)), F.col("tail")).otherwise(F.when(F.col("k") > 0, "")))
     # one shuffle, by document; all windows and joins that follow stand on it
     by_doc = rows.repartition("doc_id")
     before = F.sum("n").over(Window.partitionBy("doc_id", "page").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
@@ -80,26 +106,24 @@ def note_candidates(pages: DataFrame) -> DataFrame:
     opens = F.min(F.when(F.col("begun") & ~F.col("contents"), F.col("page"))).over(whole)
     placed = by_doc.withColumn("start", F.coalesce(before, F.lit(0)).cast("int")).withColumn("opens", opens)
     closes = F.min(F.when((F.col("page") >= F.col("opens")) & ~F.col("contents") & F.col("appendix").isNotNull(), F.struct("page", "appendix"))).over(whole)
-    line = F.col("lines")
-    group = lambda k: F.regexp_extract(line, rf"(?d)^{NUMBERED}", k)
-    numbered = group(1) != ""
-    lost = rf"(?dm)^{UNNUMBERED}"
-    found = F.when(numbered, group(0)).otherwise(F.regexp_extract(line, lost, 0))
-    placed = placed.withColumn("closes", closes).withColumn("own", F.when(F.col("k") > 0, found))
-    raw = F.when(numbered, group(3)).otherwise(F.regexp_extract(line, lost, 1))
-    end = F.col("start") + F.length("own")
-    tail = F.substr("lines", F.length("own") + 1)
-    # one title goes on in a line of its own
-    wrapped = F.regexp_extract("tail", rf"(?d)^\r?\n[ \t]*({K.WRAPPED_TITLE[1]})[ \t]*(?:\r?\n|$)", 0)
-    goes_on = (wrapped != "") & F.endswith(plain(F.col("title")), F.lit(K.WRAPPED_TITLE[0]))
-    kept = placed.filter("k > 0").select(
-        "doc_id", "page", "start", end.cast("int").alias("end"), F.when(numbered, group(1).cast("int")).otherwise(K.UNNUMBERED_HEADING[0]).alias("number"),
-        (~numbered | (group(2) != "")).alias("dotted"), numbered.alias("numbered"), clean_title(raw).alias("title"), tail.alias("tail"), "contents", "opens", "closes",
-    )
+    placed = placed.withColumn("closes", closes)
+    end = (F.col("start") + F.length("own")).cast("int")
     after = (F.col("page") > F.col("closes.page")) | ((F.col("page") == F.col("closes.page")) & (F.col("start") >= F.col("closes.appendix")))
     inside = ~F.col("contents") & (F.col("page") >= F.col("opens")) & ~F.coalesce(after, F.lit(False))
-    kept = kept.withColumn("goes_on", goes_on).withColumn("wrapped_end", (F.col("end") + F.length(wrapped)).cast("int"))
-    return kept.withColumns({"plausible": plausible(F.when(F.col("goes_on"), F.concat_ws(" ", "title", F.lit(K.WRAPPED_TITLE[1]))).otherwise(F.col("title")), F.col("dotted")), "scope": F.coalesce(inside, F.lit(False))}).drop("opens", "closes")
+    return placed.select(
+        "doc_id", "page", "start", end.alias("end"), "number", "dotted", "numbered", "title", "tail", "contents", "goes_on", (end + F.col("wrapped")).alias("wrapped_end"),
+        "plausible", F.coalesce(inside, F.lit(False)).alias("scope"),
+    )
+
+
+def note_candidates(pages: DataFrame) -> DataFrame:
+    """OP-72: doc_id, page, start, end, number, dotted, numbered, title, plausible, tail, contents, scope of each heading candidate.
+
+    start and end are places in the page, tail the (up to three) lines behind the candidate, contents whether its page is a contents page; a tail that
+    begins with more than a contents title can have is left out.  scope: it stands between the page on which the notes begin and the first appendix.
+    goes_on: the title ends in the next line, with its end at wrapped_end.
+    """
+    return _parts(pages).filter("number is not null")
 
 
 def contents_entries(candidates: DataFrame) -> DataFrame:
@@ -121,14 +145,19 @@ def match_contents(entries: DataFrame, candidates: DataFrame, more: int = 3) ->
     for k in range(more + 1):
         rows = rows.withColumn(f"k{k}", words_key(f"t{k}"))
         if k < more:
-            line = F.regexp_extract(f"r{k}", r"(?d)^\r?\n[ \t]*([^\n]+)", 0)
-            goes_on = F.col(f"on{k}") & F.startswith("key", F.concat(f"k{k}", F.lit(" "))) & (F.col("line") != "")
-            rows = rows.withColumn("line", line).withColumns({
-                f"on{k + 1}": goes_on, f"t{k + 1}": clean_title(F.concat_ws(" ", f"t{k}", F.regexp_replace("line", r"(?d)^\r?\n[ \t]*", ""))),
-                f"r{k + 1}": F.substr(f"r{k}", F.length("line") + 1), f"e{k + 1}": (F.col(f"e{k}") + F.length("line")).cast("int"),
+            prefix = F.col(f"on{k}") & F.startswith("key", F.concat(f"k{k}", F.lit(" ")))
+            rows = rows.withColumn("line", F.when(prefix, F.regexp_extract(f"r{k}", r"(?d)^\r?\n[ \t]*([^\n]+)", 0)).otherwise(""))
+            # a line with more letters than the entry does not end it
+            goes_on = (F.col("line") != "") & (_plain_letters(F.col("line")) <= F.length("key"))
+            rows = rows.withColumn(f"on{k + 1}", goes_on)
+            on = lambda c, k=k: F.when(F.col(f"on{k + 1}"), c)
+            rows = rows.withColumns({
+                f"t{k + 1}": on(clean_title(F.concat_ws(" ", f"t{k}", F.regexp_replace("line", r"(?d)^\r?\n[ \t]*", "")))),
+                f"r{k + 1}": on(F.substr(f"r{k}", F.length("line") + 1)), f"e{k + 1}": on((F.col(f"e{k}") + F.length("line")).cast("int")),
             })
-    hit = F.coalesce(*(F.when(F.col(f"on{k}") & (F.col(f"k{k}") == F.col("key")), F.struct(F.col(f"t{k}").alias("title"), F.col(f"e{k}").alias("end"))) for k in range(more + 1)))
-    return rows.withColumn("hit", hit).filter("hit is not null").select("doc_id", "number", "hit.title", "page", "start", "hit.end")
+    hits = [F.when(F.col(f"on{k}") & (F.col(f"k{k}") == F.col("key")), F.struct(F.col(f"t{k}").alias("title"), F.col(f"e{k}").alias("end"))) for k in range(more + 1)]
+    # rows without a hit go by ``inline``: a filter would be moved down and make every step again
+    return rows.select("doc_id", "number", "page", "start", F.inline(F.array_compact(F.array(F.coalesce(*hits))))).select("doc_id", "number", "title", "page", "start", "end")
 
 
 def reconcile_contents(entries: DataFrame, matched: DataFrame, least: int = 5) -> DataFrame:
@@ -157,7 +186,8 @@ def note_headings(pages: DataFrame, least: int = 5) -> DataFrame:
     page on which the notes begin.  status is that of ``reconcile_contents`` or ``accept_sequence``, or no_start.  tail is where a last heading was
     left out because a later number follows it: the note before it ends there.
     """
-    found = checkpointed(note_candidates(pages))
+    every = checkpointed(_parts(pages))
+    found = every.filter("number is not null")
     entries = contents_entries(found)
     listed = reconcile_contents(entries, match_contents(entries, found), least).filter("status != 'short'")
     goes_on = F.col("goes_on")
@@ -167,7 +197,7 @@ def note_headings(pages: DataFrame, least: int = 5) -> DataFrame:
     place = F.struct(F.col("tail.page").alias("page"), F.col("tail.start").alias("start"))
     sequence = accepted.select("doc_id", F.struct(F.lit("sequence").alias("source"), "status", F.transform("headings", _heading).alias("headings"), F.when(F.col("tail").isNotNull(), place).alias("tail")).alias("s"))
     by_contents = listed.select("doc_id", F.struct(F.lit("contents").alias("source"), "status", F.transform("headings", _heading).alias("headings")).alias("c"))
-    both = pages.select("doc_id").distinct().join(by_contents, "doc_id", "left").join(sequence, "doc_id", "left")
+    both = every.select("doc_id").distinct().join(by_contents, "doc_id", "left").join(sequence, "doc_id", "left")
     either = lambda field: F.coalesce(F.col(f"c.{field}"), F.when(F.col("c").isNull(), F.col(f"s.{field}")))
     none = F.expr("cast(array() as array<struct<number: int, title: string, page: int, start: int, end: int>>)")
     return both.select(
@@ -183,9 +213,14 @@ def _heading(h: Column) -> Column:
 # ---- sections
 
 
+def _spaced(line: Column) -> Column:
+    """White space collapsed."""
+    return F.btrim(F.regexp_replace(line, f"{BLANK}+", " "))
+
+
 def _lines(text: Column) -> Column:
     """Lines that are not blank, their white space collapsed."""
-    return F.filter(F.transform(F.split(text, LINE_END, -1), lambda x: F.btrim(F.regexp_replace(x, f"{BLANK}+", " "))), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, LINE_END, -1), _spaced), lambda x: x != "")
 
 
 def repeated_headers(pages: DataFrame, least: int = 3) -> DataFrame:
@@ -193,15 +228,25 @@ def repeated_headers(pages: DataFrame, least: int = 3) -> DataFrame:
 
     Of a page whose first four lines hold the marker, the lines up to two behind it count.
     """
-    top = pages.select("doc_id", F.slice(_lines(F.coalesce("text", F.lit(""))), 1, 6).alias("top"))
-    place = F.array_position(F.transform(F.slice("top", 1, 4), lambda x: F.startswith(plain(x), F.lit(K.NOTES_MARKER))), True)
-    heads = top.withColumn("place", place).filter("place > 0").select("doc_id", F.explode(F.array_distinct(F.slice("top", F.lit(1), F.col("place").cast("int") + 2))).alias("line"))
+    return _repeated(pages.select("doc_id", _heads(F.coalesce("text", F.lit(""))).alias("heads")), least)
+
+
+def _heads(text: Column) -> Column:
+    """The lines that a page begins with, to two behind the marker; none without a marker in the first four."""
+    shown = F.slice(F.filter(F.split(text, LINE_END, -1), lambda x: x.rlike(SHOWN)), 1, 6)
+    place = lambda top: F.array_position(F.transform(F.slice(top, 1, 4), lambda x: folded_like(x, K.NOTES_MARKER, begins=True)), True).cast("int")
+    return let(F.transform(shown, _spaced), lambda top: let(place(top), lambda k: F.when(k > 0, F.array_distinct(F.slice(top, F.lit(1), k + 2))).otherwise(F.slice(top, 1, 0))))
+
+
+def _repeated(pages: DataFrame, least: int = 3) -> DataFrame:
+    heads = pages.select("doc_id", F.explode("heads").alias("line"))
     return heads.groupBy("doc_id", "line").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least).select("doc_id", "line")
 
 
 def _body(text: Column, headers: Column) -> Column:
     """A section's lines without markers and page numbers, and without the repeated headers that it begins with."""
-    kept = F.filter(_lines(text), lambda x: let(plain(x), lambda t: ~F.startswith(t, F.lit(K.NOTES_MARKER)) & ~t.rlike(K.PAGE_NUMBER_LINE)))
+    numbered = lambda x: F.when(may_begin(x, "p"), plain(x).rlike(K.PAGE_NUMBER_LINE)).otherwise(F.lit(False))
+    kept = F.filter(_lines(text), lambda x: ~folded_like(x, K.NOTES_MARKER, begins=True) & ~numbered(x))
 
     def from_first(lines: Column) -> Column:
         first = F.array_position(F.transform(lines, lambda x: F.array_contains(headers, x)), False)
@@ -217,9 +262,10 @@ def note_sections(pages: DataFrame, headings: DataFrame) -> DataFrame:
     headings come after that; at an appendix; and at the tail, whichever is first.  Sections without text have no row.
     """
     texts = pages.select("doc_id", F.col("page").cast("int"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = F.max(F.when(F.contains(plain(F.col("text")), F.lit(K.NOTES_MARKER)), F.col("page")))
-    ends = texts.groupBy("doc_id").agg(F.max("page").alias("last"), marked.alias("marked"))
-    headers = repeated_headers(pages).groupBy("doc_id").agg(F.collect_set("line").alias("headers"))
+    # texts are read twice: for what each page says of its document, which is kept, and for the sections
+    facts = checkpointed(texts.select("doc_id", "page", folded_like(F.col("text"), K.NOTES_MARKER).alias("marked"), _heads(F.col("text")).alias("heads")))
+    ends = facts.groupBy("doc_id").agg(F.max("page").alias("last"), F.max(F.when(F.col("marked"), F.col("page"))).alias("marked"))
+    headers = _repeated(facts).groupBy("doc_id").agg(F.collect_set("line").alias("headers"))
     each = headings.select("doc_id", "headings", "tail", F.posexplode("headings").alias("k", "h"))
     each = each.select("doc_id", "tail", "h.*", F.try_element_at("headings", F.col("k") + 2).alias("next")).join(ends, "doc_id")
     final = F.when(F.coalesce(F.col("marked") < F.col("page"), F.lit(True)), F.col("last")).otherwise(F.col("marked"))
@@ -238,7 +284,8 @@ def note_sections(pages: DataFrame, headings: DataFrame) -> DataFrame:
     rows = rows.withColumn("over", over).filter("over is null or on <= over").withColumn("stop", F.least("stop", "cut"))
     section = F.substr("text", F.col("begin") + 1, F.greatest(F.col("stop") - F.col("begin"), F.lit(0)))
     rows = rows.select("doc_id", "number", "title", F.col("on").alias("page"), section.alias("section"), F.coalesce("headers", F.array().cast("array<string>")).alias("headers"))
-    rows = rows.withColumn("section", _body(F.col("section"), F.col("headers"))).drop("headers").filter("section <> ''")
+    # not by a filter, which would be moved down and make each body twice
+    rows = rows.select("doc_id", "number", "title", "page", F.explode(F.filter(F.array(_body(F.col("section"), F.col("headers"))), lambda x: x != "")).alias("section"))
     order = F.row_number().over(Window.partitionBy("doc_id", "number").orderBy("page")) - 1
     return rows.select("doc_id", "number", "title", "page", order.alias("section_order"), "section")
 

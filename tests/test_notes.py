@@ -210,3 +210,25 @@ def test_fragments_replace_those_of_the_same_place(spark):
     got = sorted(map(tuple, notes.note_fragments(docs, sections, known).collect()))
     assert got == [(7, "a", 1, 1, 0, "T", "uno"), (7, "a", 1, 2, 1, "T", "dos"), (7, "a", 9, 1, 0, "kept", "kept"), (8, "c", 1, 1, 0, "kept", "kept")]
     assert notes.note_fragments(docs, sections).count() == 2
+
+
+def test_steps_of_contents_are_made_once(spark):
+    """A filter on the hit would be moved down to the join and hold every step over, so that titles are folded many times."""
+    schema = "doc_id long, page int, start int, end int, number int, numbered boolean, contents boolean, title string, tail string"
+    rows = spark.createDataFrame([(1, 1, 0, 9, 1, True, False, "Cuentas", "\npor cobrar\na terceros\ntexto"), (1, 2, 0, 9, 2, True, False, "Caja", "\n" + "x" * 4000), (1, 3, 0, 9, 3, True, False, "Otros", "\npasivos")], schema)
+    entries = spark.createDataFrame([(1, 1, "cuentas por cobrar a terceros"), (1, 2, "caja"), (1, 3, "otros activos")], "doc_id long, number int, key string")
+    matched = notes.match_contents(entries, rows)
+    assert {(r["number"], r["title"], r["end"]) for r in matched.collect()} == {(1, "Cuentas por cobrar a terceros", 9 + 11 + 11), (2, "Caja", 9)}
+    plan = matched._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") < 14
+
+
+def test_phrases_in_texts_as_they_stand(spark):
+    from tallyforge.functions.text import folded_like, may_begin
+
+    texts = ["NOTAS a los Estados", "ñótàs á lös èstados", "ｎotas a los estados", "notas a los", "xx notas a los estados", "ñotas a los estados", ""]
+    c = F.col("t")
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", folded_like(c, "notas a los estados").alias("holds"), folded_like(c, "notas a los estados", begins=True).alias("begins"), may_begin(c, "n").alias("may"), notes.plain(c).alias("plain"))
+    for r in found.collect():
+        assert (r["holds"], r["begins"]) == ("notas a los estados" in r["plain"], r["plain"].startswith("notas a los estados")), r
+        assert r["may"] or not r["plain"].startswith("n")
