@@ -242,3 +242,16 @@ def test_links_by_host_and_suffix(spark):
         got.setdefault(r["page_id"], []).append(r["link"])
     # a page that is the file itself is its only link, if its host may be read
     assert got == {1: ["https://site.org/b.pdf", "https://site.org/x/d.PDF?x=1", "https://site.org:443/g.pdf"], 2: ["https://site.org/own.pdf"], 3: ["https://site.org:443/g.pdf"]}
+
+
+def test_tokens_that_cannot_fold_to_a_word_are_passed_over(spark):
+    from tallyforge.functions.text import may_squash_to, squash
+
+    tokens = ["With", "«wíth»,", "w-i-t-h", "ｗith", "within", "swith", "", "--", "ŵith", "fr0m", "FROM.", "日本", "ẃith"]
+    c = F.col("t")
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", may_squash_to(c, ["with", "from"]).alias("may"), squash(c).isin("with", "from").alias("is"))
+    found = rows.collect()
+    assert all(r["may"] for r in found if r["is"]) and {r["t"] for r in found if r["is"]} == {"With", "«wíth»,", "w-i-t-h", "ｗith", "ŵith", "FROM.", "ẃith"}
+    assert not any(r["may"] for r in found if r["t"] in ("within", "swith", "fr0m", "", "--"))
+    one = spark.createDataFrame([(1, "no hit here"), (2, "a b <i>With</i> c d")], "fragment_id long, body string")
+    assert [tuple(r) for r in search.headline(one, ["with"]).collect()] == [(2, "a b With c d")]
