@@ -13,7 +13,7 @@ from tallyforge.operators import facts
 from tallyforge.operators import records as ops
 from tallyforge.plans import fact_queries
 from tallyforge.sources import keyed
-from tallyforge.sources.shared import new_path
+from tallyforge.sources.shared import checkpointed, new_path
 from tallyforge.sources.tables import activity, jobs, table, versioned_events
 
 AS_OF = "2001-12-31 00:00:00"
@@ -108,10 +108,12 @@ def filing_replace(s, d):
         return {"filings": filings, "lines": filings.join(items, "filing")}
 
     root = new_path(s, "filings")
-    first, last = (rows.groupBy(*keys).agg(pick("filing").alias("filing")) for pick in (F.min, F.max))
+    # made once for all batches; a key whose last filing is its first one has nothing to replace
+    ends = checkpointed(rows.groupBy(*keys).agg(F.min("filing").alias("first"), F.max("filing").alias("last")))
+    first, later = ends.select(*keys, F.col("first").alias("filing")), ends.filter("first <> last").select(*keys, F.col("last").alias("filing"))
     keyed.replace_keys(root, batch(first), keys, "first")
     for _ in range(2):
-        keyed.replace_keys(root, batch(last.join(first, [*keys, "filing"], "left_anti")), keys, "second")
+        keyed.replace_keys(root, batch(later), keys, "second")
     keyed.stage(root, batch(first), keys, "third")
     lines = keyed.current(s, root, "lines", keys).groupBy(*keys).agg(F.count("*").alias("lines"), F.sum("quantity").cast("long").alias("quantity"))
     found = keyed.current(s, root, "filings", keys).join(lines, keys, "left")
