@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -76,20 +77,31 @@ def _tied_blocks(top: DataFrame) -> DataFrame:
 
 
 PAIR = [*GROUP, "current_number", "previous_number", "score"]
-#: Pairs of a group, or of one of its components, that one task chooses from: some tens of MB.
+#: Pairs of a group, or of one of its components, that one task chooses from.
 IN_TASK = 200_000
 
 
-def _one_by_one(pairs: pd.DataFrame) -> pd.DataFrame:
-    """The choice inside one component: pairs by falling score, then lower numbers, each if both its ends are free."""
-    ordered = pairs.sort_values(["score", "current_number", "previous_number"], ascending=[False, True, True])
-    current, previous, kept = set(), set(), []
-    for i, (c, p) in enumerate(zip(ordered["current_number"], ordered["previous_number"], strict=True)):
-        if c not in current and p not in previous:
-            current.add(c)
-            previous.add(p)
-            kept.append(i)
-    return ordered.iloc[kept]
+def _one_by_one(pairs: DataFrame, *within: str) -> DataFrame:
+    """The choice inside each group or component (``within``): pairs by falling score, then lower numbers, each if both its ends are free.
+
+    Groups lie one behind the other in sorted partitions and are read in one go, as most of them have a few pairs only.
+    """
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, current, previous = None, set(), set()
+        for rows in batches:
+            kept = []
+            for i, (of, c, p) in enumerate(zip(zip(*(rows[k] for k in within), strict=True), rows["current_number"], rows["previous_number"], strict=True)):
+                if of != now:
+                    now, current, previous = of, set(), set()
+                if c not in current and p not in previous:
+                    current.add(c)
+                    previous.add(p)
+                    kept.append(i)
+            yield rows.iloc[kept][PAIR]
+
+    ordered = pairs.select(*PAIR, *(k for k in within if k not in PAIR)).repartition(*within).sortWithinPartitions(*within, F.desc("score"), "current_number", "previous_number")
+    return ordered.mapInPandas(choose, pairs.select(*PAIR).schema)
 
 
 def _components(pairs: DataFrame) -> DataFrame:
@@ -135,23 +147,24 @@ def greedy_pairs(scored: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """
     pairs = checkpointed(scored.select(*PAIR).dropna())
     counted = pairs.withColumn("n", F.count("*").over(Window.partitionBy(*GROUP)))
-    taken = counted.filter(F.col("n") <= in_task).select(*PAIR).groupBy(*GROUP).applyInPandas(_one_by_one, pairs.schema)
+    taken = _one_by_one(counted.filter(F.col("n") <= in_task), *GROUP)
     large = counted.filter(F.col("n") > in_task).select(*PAIR)
     if large.isEmpty():
         return taken
     parts = checkpointed(_components(checkpointed(large)).withColumn("n", F.count("*").over(Window.partitionBy(*GROUP, "component"))))
-    taken = taken.unionByName(parts.filter(F.col("n") <= in_task).select(*PAIR, "component").groupBy(*GROUP, "component").applyInPandas(lambda x: _one_by_one(x)[PAIR], pairs.schema))
+    taken = taken.unionByName(_one_by_one(parts.filter(F.col("n") <= in_task), *GROUP, "component"))
     rest = _in_rounds(parts.filter(F.col("n") > in_task).select(*PAIR))
     return taken if rest is None else taken.unionByName(rest)
 
 
 def match_notes(current: DataFrame, previous: DataFrame) -> DataFrame:
     """OP-43 and OP-44 together: every note of both years once, matched, current_only or previous_only."""
-    exact = match_exact(current, previous).withColumn("score", F.lit(1.0)).withColumn("method", F.lit("normalized_title"))
+    current, previous = (checkpointed(notes.select(*GROUP, "note_number", "title", "topic")) for notes in (current, previous))
+    exact = checkpointed(match_exact(current, previous)).withColumn("score", F.lit(1.0)).withColumn("method", F.lit("normalized_title"))
     rest_c = current.join(exact.select(*GROUP, F.col("current_number").alias("note_number")), [*GROUP, "note_number"], "left_anti")
     rest_p = previous.join(exact.select(*GROUP, F.col("previous_number").alias("note_number")), [*GROUP, "note_number"], "left_anti")
     near = greedy_pairs(similar_pairs(rest_c, rest_p)).withColumn("method", F.lit("similar_title"))
-    pairs = exact.unionByName(near)
+    pairs = checkpointed(exact.unionByName(near))  # three steps below read them
     only_c = current.select(*GROUP, F.col("note_number").alias("current_number")).join(pairs, [*GROUP, "current_number"], "left_anti")
     only_p = previous.select(*GROUP, F.col("note_number").alias("previous_number")).join(pairs, [*GROUP, "previous_number"], "left_anti")
     out = pairs.withColumn("status", F.lit("matched")).unionByName(only_c.withColumn("status", F.lit("current_only")), allowMissingColumns=True).unionByName(only_p.withColumn("status", F.lit("previous_only")), allowMissingColumns=True)

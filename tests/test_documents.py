@@ -137,6 +137,23 @@ def test_quotes_are_found_by_their_runs(spark):
     assert docs.find_quotes(q.limit(0), f).collect() == []
 
 
+def test_small_groups_share_tasks_and_are_matched_once(spark, capsys):
+    rng = random.Random(12)
+    data = [(f"c{g}", "s", c, p, rng.choice([0.5, 0.7, 0.9])) for g in range(300) for c in range(3) for p in range(3)]
+    taken, free = set(), set()
+    for company, _, c, p, _ in sorted(data, key=lambda r: (-r[4], r[2], r[3])):
+        if (company, "c", c) not in free and (company, "p", p) not in free:
+            free |= {(company, "c", c), (company, "p", p)}
+            taken.add((company, c, p))
+    got = matching.greedy_pairs(spark.createDataFrame(data, "company string, scope string, current_number int, previous_number int, score double"))
+    assert {(r["company"], r["current_number"], r["previous_number"]) for r in got.collect()} == taken
+    got.explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out  # one call of Python a group took most of the time
+    notes = spark.createDataFrame([("c", "s", 1, "Deuda financiera", "debt")], "company string, scope string, note_number int, title string, topic string")
+    matching.match_notes(notes, notes).explain()
+    assert "InPandas" not in capsys.readouterr().out  # the choice is kept, not made again for each side
+
+
 def test_tied_notes_are_all_matched(spark):
     schema = "company string, scope string, note_number int, title string, topic string"
     cur = spark.createDataFrame([("c", "s", i, "Deuda financiera corriente", "debt") for i in range(150)], schema)
