@@ -9,6 +9,7 @@ from tallyforge.functions import constants as K
 from tallyforge.functions.text import let
 from tallyforge.operators.documents import explicit_scale, number_tokens, presentation_policy
 from tallyforge.operators.notes import LINE_END, plain
+from tallyforge.sources.shared import checkpointed
 
 AMOUNT = "decimal(30,6)"
 #: What is known while reading down a page.
@@ -98,7 +99,7 @@ def verify_policy(pages: DataFrame, filings: DataFrame, facts: DataFrame, least_
     # only documents with a policy have their tables read
     policy = presentation_policy(pages.join(each, "doc_id").select("doc_id", (F.col("page") + 1).alias("page"), "text", "currency"), F.col("currency"))
     read = pages.select("doc_id", "page", "text").join(each.join(policy.select("doc_id", "scale"), "doc_id"), "doc_id")
-    anchors = fact_anchors(table_rows(read), facts)
+    anchors = checkpointed(fact_anchors(table_rows(read), facts))  # tables are read once, though two steps need the anchors
     whole = anchors.groupBy("doc_id").agg(F.countDistinct("label", "current", "comparative").alias("amounts"), F.countDistinct("filing_id").alias("filings")).filter((F.col("amounts") >= least_amounts) & (F.col("filings") >= least_filings))
     own = anchors.groupBy("doc_id", "filing_id").agg(F.array_sort(F.collect_list(F.struct("account_code", "page", "line_no", "line", "label", "years", "current", "comparative"))).alias("anchors"))
     return own.join(whole.select("doc_id", "amounts"), "doc_id").join(policy, "doc_id").select("doc_id", "filing_id", "scale", "page", "declaration", "exception", "anchors", "amounts")

@@ -91,3 +91,13 @@ def test_rows_against_a_plain_reader(spark, seed):
     want = {i: rows for i, t in enumerate(texts) if (rows := plain_rows(t, 2025, "thousands"))}
     assert {i: (got.get(i), want.get(i), texts[i]) for i in set(got) | set(want) if sorted(got.get(i, [])) != want.get(i, [])} == {}
     assert sum(map(len, want.values())) > 150 and any(len(r[1]) == 2 for rows in want.values() for r in rows)
+
+
+def test_tables_are_read_once(spark, capsys):
+    pages = spark.createDataFrame([(1, 0, "x")], "doc_id int, page int, text string")
+    filings = spark.createDataFrame([(1, 10, "PEN", 2025, "consolidated", "annual")], "doc_id int, filing_id int, currency_code string, fiscal_year int, scope string, period_code string")
+    facts = spark.createDataFrame([(1, 10, "c", "Caja", "cash", "monetary", 10, 9)], "doc_id int, filing_id int, account_code string, label string, concept string, value_kind string, current int, comparative int")
+    found = evidence.verify_policy(pages, filings, facts)
+    found.explain()
+    assert "Generate inline" not in capsys.readouterr().out  # anchors are kept; two steps need them
+    assert found.count() == 0
