@@ -50,11 +50,12 @@ def _unpack(data: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(dtype)
 
 
-def _pack_sorted(keys: np.ndarray) -> bytes:
+def _pack_steps(keys: np.ndarray) -> bytes:
+    """Numbers as steps from one to the next, which are small where they ascend; where they fall, the step wraps around."""
     return _pack(np.diff(keys, prepend=keys[:1] - keys[:1]))
 
 
-def _unpack_sorted(data: bytes) -> np.ndarray:
+def _unpack_steps(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
 
 
@@ -69,7 +70,8 @@ def _blocks(docs: DataFrame, block_words: int) -> DataFrame:
         size = np.concatenate(sizes).astype(np.int32)
         one = pa.array([0, len(size)], pa.int32())
         lists = [pa.ListArray.from_arrays(one, x) for x in (pa.concat_arrays(ids), pa.array(size))]
-        return pa.RecordBatch.from_arrays([*lists, *(pa.array([_pack(x)], pa.binary()) for x in (every[order], rank[place]))], ["doc_id", "size", "vocabulary", "word"])
+        # words that occur equally often, above all those that occur once, stand by hash: their steps take fewer bytes
+        return pa.RecordBatch.from_arrays([*lists, pa.array([_pack_steps(every[order])], pa.binary()), pa.array([_pack(rank[place])], pa.binary())], ["doc_id", "size", "vocabulary", "word"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, words, n, rows = [], [], [], 0, 0
@@ -93,7 +95,7 @@ def _blocks(docs: DataFrame, block_words: int) -> DataFrame:
 def _grams(size: pa.Array, vocabulary: bytes, word: bytes, order: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Documents' sizes and word offsets, and for each order the n-grams' hashes and first words."""
     size = np.asarray(size).astype(np.int64)
-    hashes, offsets = _unpack(vocabulary, np.uint64)[_unpack(word, np.int32)], np.concatenate([[0], np.cumsum(size)])
+    hashes, offsets = _unpack_steps(vocabulary)[_unpack(word, np.int32)], np.concatenate([[0], np.cumsum(size)])
     return size, offsets, [tx.ngrams(hashes, offsets, n) for n in range(1, order + 1)]
 
 
@@ -109,7 +111,7 @@ def _asked(blocks: DataFrame, order: int, bits: int) -> DataFrame:
                 full = np.flatnonzero(np.diff(edge))
                 spans = [slice(edge[k], edge[k + 1]) for k in full.tolist()]
                 n = n.astype(np.int32)
-                columns = [pa.array([_pack_sorted(keys[x]) for x in spans], pa.binary()), pa.array([_pack(n[x]) for x in spans], pa.binary())]
+                columns = [pa.array([_pack_steps(keys[x]) for x in spans], pa.binary()), pa.array([_pack(n[x]) for x in spans], pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block.as_py()] * len(full), pa.int64()), *columns], ["bucket", "block", "key", "n"])
 
     return blocks.select("block", "size", "vocabulary", "word").mapInArrow(ask, "bucket int, block long, key binary, n binary")
@@ -120,7 +122,7 @@ def _answered(asked: DataFrame) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         # one bucket's part of the count table, and its join with the lists
-        keys = [_unpack_sorted(x.as_py()) for x in table.column("key")]
+        keys = [_unpack_steps(x.as_py()) for x in table.column("key")]
         at = np.unique(np.concatenate(keys), return_inverse=True)[1]
         total = np.bincount(at, weights=np.concatenate([_unpack(x.as_py(), np.int32) for x in table.column("n")])).astype(np.int64)
         edge = np.cumsum([0, *map(len, keys)])

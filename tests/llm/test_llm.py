@@ -21,6 +21,7 @@ from tokenizers import Tokenizer
 from tallyforge.llm import _spark, jaccard_join, language_id, license_scan, toxicity
 from tallyforge.llm import token_file as token_files
 from tallyforge.llm import _text as tx
+from tallyforge.llm import backoff_lm
 from tallyforge.llm.backoff_lm import backoff_scores
 from tallyforge.llm.components import connected_components
 from tallyforge.llm.decontaminate import decontaminate, winnow
@@ -511,6 +512,15 @@ def test_backoff_matches_brute_force(spark, order, block_words, bucket_entries):
         assert a[:3] == b[:3] and abs(a[3] - b[3]) < 2e-5
 
 
+def test_backoff_vocabulary_takes_the_bytes_of_its_steps(spark):
+    rare, common = [f"word{i}" for i in range(20_000)], ["the", "of"] * 30
+    row = backoff_lm._blocks(table(spark, [(1, " ".join(rare + common), "en")]), 1_000_000).first()
+    words = backoff_lm._unpack_steps(bytes(row["vocabulary"]))
+    assert len(set(words.tolist())) == len(words) == 20_002 and len(row["vocabulary"]) < 7 * len(words)  # eight bytes a word before
+    falling = np.array([5, 3, 2**64 - 1, 0, 9], np.uint64)
+    assert backoff_lm._unpack_steps(backoff_lm._pack_steps(falling)).tolist() == falling.tolist()
+
+
 def test_backoff_odd(spark, odd, empty):
     got = backoff_scores(odd).collect()
     assert len(got) == 10 and all((r["score"] is None) == (r["n_words"] == 0) for r in got) and backoff_scores(empty).count() == 0
