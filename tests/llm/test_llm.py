@@ -521,6 +521,23 @@ def test_backoff_vocabulary_takes_the_bytes_of_its_steps(spark):
     assert backoff_lm._unpack_steps(backoff_lm._pack_steps(falling)).tolist() == falling.tolist()
 
 
+def test_backoff_block_of_several_parts_sends_an_ngram_once(spark):
+    rows = [(i, "one two three four five six seven eight", "en") for i in range(12)]
+    blocks = backoff_lm._blocks(table(spark, rows).coalesce(1), 96)
+    lists = backoff_lm._asked(blocks, 3, 2, 8).collect()  # twelve parts of eight words
+    keys = np.concatenate([backoff_lm._unpack_steps(bytes(r["key"])) for r in lists])
+    assert blocks.count() == 1 and len(keys) == len(set(keys.tolist())) == 8 + 7 + 6
+    assert set(np.concatenate([backoff_lm._unpack(bytes(r["n"]), np.int32) for r in lists]).tolist()) == {12}
+    whole = backoff_lm._asked(blocks, 3, 2, 96).collect()
+    assert sorted(map(tuple, lists)) == sorted(map(tuple, whole))
+
+
+@pytest.mark.parametrize(("rows", "sizes"), [(11_000, [11_000]), (24_000, [10_000, 14_000]), (26_000, [6_000, 10_000, 10_000])])
+def test_backoff_blocks_take_a_small_rest(spark, rows, sizes):
+    blocks = backoff_lm._blocks(spark.range(0, rows, 1, 1).selectExpr("id as doc_id", "'word' as text"), 10_000).collect()
+    assert sorted(len(r["size"]) for r in blocks) == sizes and sorted(i for r in blocks for i in r["doc_id"]) == list(range(rows))
+
+
 def test_backoff_odd(spark, odd, empty):
     got = backoff_scores(odd).collect()
     assert len(got) == 10 and all((r["score"] is None) == (r["n_words"] == 0) for r in got) and backoff_scores(empty).count() == 0
