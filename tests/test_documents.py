@@ -2,10 +2,13 @@
 
 import itertools
 import random
+import re
+import unicodedata
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+from tallyforge.functions import constants as K
 from tallyforge.functions.text import digest, fold, squash
 from tallyforge.operators import documents as docs
 from tallyforge.operators import matching, records, search
@@ -71,6 +74,38 @@ def test_select_evidence_is_the_greedy_choice(spark):
     assert got == expected
 
 
+def test_evidence_words_do_not_move(spark):
+    df = spark.createDataFrame([(1, 0, 0, 0, "alfa beta", 1.0)], "g int, fragment int, page int, ord int, sentence string, score double")
+    plan = docs.select_evidence(df, ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    # they were made of every sentence before its group was known
+    assert "regexp_extract_all" in plan.split("Aggregate [", 1)[0] and "regexp_extract_all" not in plan.split("Aggregate [", 1)[1]
+
+
+def test_sentences_by_plain_patterns(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choices([" ", " ", "\t", "\n", "\x85", " ", "\x1c", " ", "a", "é", "-", ".", "!", "B", "(", ")", "1"], k=rng.randint(0, 40))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    white = F.trim(F.regexp_replace(F.regexp_replace("text", K.LEADING_PAGE_NUMBER, ""), "[\\x00-\\x20\\x{85}-\\x{2029}&&[\\s\\x1C-\\x1F\\x{85}\\x{1680}\\x{2028}\\x{2029}]]+", " "))
+    parts = F.transform(F.split(white, K.SENTENCE_BOUNDARY, -1), lambda x: F.regexp_replace(x, r"^[ \-]+|[ \-]+$", ""))
+    want = df.select("id", F.posexplode(F.filter(parts, lambda x: x != "")).alias("ord", "sentence"))
+    assert sorted(map(tuple, docs.sentences(df).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_narrative_counts_as_told(spark):
+    def prose(c):
+        n, numbers = len(c), len(re.findall(r"\b[0-9][0-9.,]*", c, re.ASCII))
+        letters, digits = sum(unicodedata.category(x)[0] == "L" for x in c), sum(unicodedata.category(x) == "Nd" for x in c)
+        return 70 <= n <= 560 and letters >= 0.48 * n and digits <= 0.18 * n and numbers < 4 and c.count("_") <= 3 and len(re.split(r"\s+", c, flags=re.ASCII)) >= 11
+
+    rng = random.Random(12)
+    pieces = ["casa", "y", "añil", "ab", ".", "- -", "(x)", "...", "12", "_", "٣٣", "𝒳𝒴", "1,5"]
+    texts = [" ".join(rng.choices(pieces, weights=[rng.choice((5, 9) if k < 4 else (0.01, 0.01, 1)) for k in range(len(pieces))], k=rng.randint(8, 60))) for _ in range(800)]
+    texts += [" ".join(["letra"] * k) for k in (10, 11, 12)] + ["_ a_ b_ " + " ".join(["palabra"] * 12) + x for x in ("", " _", " ____")]
+    got = {r["id"] for r in docs.narrative(spark.createDataFrame(list(enumerate(texts)), "id int, sentence string")).collect()}
+    want = {i for i, c in enumerate(texts) if prose(c)}
+    assert got == want and 50 < len(want) < 750
+
+
 def test_greedy_pairs_is_one_by_one(spark):
     rng = random.Random(3)
     data, expected = [], set()
