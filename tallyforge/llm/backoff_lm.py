@@ -117,8 +117,13 @@ def _all_grams(offsets: np.ndarray, hashes: np.ndarray, order: int) -> np.ndarra
     return np.concatenate([tx.ngrams(hashes, offsets, n)[0] for n in range(1, order + 1)])
 
 
-def _distinct(hashes: np.ndarray) -> np.ndarray:
-    return np.unique(hashes, return_counts=True)[0]  # asked for counts, numpy sorts; else it hashes, which takes four times as long here
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, ascending, and the place of the first of each; sorts in place, as copies count here."""
+    hashes.sort()
+    new = np.ones(len(hashes), bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return hashes[first], first
 
 
 def _edges(keys: np.ndarray, bits: int) -> list[int]:
@@ -148,8 +153,10 @@ def _asked(blocks: DataFrame, order: int, bits: int, part_words: int) -> DataFra
             for block, size, vocabulary, word in zip(*batch.columns, strict=True):
                 parts = []
                 for offsets, hashes in _parts(size.values, vocabulary.as_py(), word.as_py(), part_words):
-                    keys, n = np.unique(_all_grams(offsets, hashes, order), return_counts=True)
-                    parts.append((keys, n.astype(np.int32), _edges(keys, bits)))
+                    grams = _all_grams(offsets, hashes, order)
+                    keys, at = _distinct(grams)
+                    parts.append((keys, np.diff(at, append=len(grams)).astype(np.int32), _edges(keys, bits)))
+                    del grams, at
                 found, held = [], 0
                 for bucket in range(1 << bits):
                     spans = [slice(edge[bucket], edge[bucket + 1]) for _, _, edge in parts]
@@ -182,8 +189,9 @@ def _answered(asked: DataFrame) -> DataFrame:
 def _scored(blocks: DataFrame, answers: DataFrame, order: int, backoff: float, total: int, bits: int, part_words: int) -> DataFrame:
     """doc_id, n_words, n_backoff and score of each document of each block."""
 
-    def part(offsets: np.ndarray, hashes: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def part(offsets: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words that back off, and the sum of logs, of each document of a part; counts: of its distinct n-grams, ascending."""
+        keys = _distinct(_all_grams(offsets, hashes, order))[0]
         size, m = np.diff(offsets), int(offsets[-1])
         doc = np.repeat(np.arange(len(size)), size)
         others = np.zeros((order + 1, m), np.int64)  # of the n-gram that begins at a word: its count in other documents
@@ -195,7 +203,7 @@ def _scored(blocks: DataFrame, answers: DataFrame, order: int, backoff: float, t
             del found, sort
             _, own, times = np.unique(doc[at] * len(keys) + place, return_inverse=True, return_counts=True)
             others[n, at] = counts[place] - times[own]
-        del at, place, own, times
+        del keys, counts, at, place, own, times
         longest = np.minimum(np.arange(m) - offsets[doc] + 1, order)  # the longest n-gram that ends at a word
         rest = np.maximum(1, total - size)[doc]
         logs, steps, left_over = np.zeros(m), np.zeros(m, np.int64), np.ones(m, bool)
@@ -217,14 +225,15 @@ def _scored(blocks: DataFrame, answers: DataFrame, order: int, backoff: float, t
         size = left.column("size")[0].values
         parts = lambda: _parts(size, left.column("vocabulary")[0].as_py(), left.column("word")[0].as_py(), part_words)
         # what the block asked for, bucket by bucket, and of it what each part holds
-        keys = [_distinct(_all_grams(*x, order)) for x in parts()]
+        keys = [_distinct(_all_grams(*x, order))[0] for x in parts()]
         edges, counts = [_edges(k, bits) for k in keys], [np.zeros(len(k), np.uint32 if total < 1 << 32 else np.int64) for k in keys]
         for bucket, answer in zip(right.column("bucket").to_pylist(), right.column("count"), strict=True):
             spans = [slice(edge[bucket], edge[bucket + 1]) for edge in edges]
-            every, answer = _distinct(np.concatenate([k[x] for k, x in zip(keys, spans, strict=True)])), _unpack(answer.as_py(), np.int64)
+            every, answer = _distinct(np.concatenate([k[x] for k, x in zip(keys, spans, strict=True)]))[0], _unpack(answer.as_py(), np.int64)
             for k, c, x in zip(keys, counts, spans, strict=True):
                 c[x] = answer[np.searchsorted(every, k[x])]
-        back, sums = (np.concatenate(x) for x in zip(*(part(*x, keys.pop(0), counts.pop(0)) for x in parts()), strict=True))
+        del keys, edges
+        back, sums = (np.concatenate(x) for x in zip(*(part(*x, counts.pop(0)) for x in parts()), strict=True))
         n = np.asarray(size).astype(np.int64)
         mean = np.divide(sums, n, out=np.zeros(len(n)), where=n > 0)
         return pa.table({"doc_id": left.column("doc_id")[0].values, "n_words": pa.array(n), "n_backoff": pa.array(back), "score": pa.array(mean, mask=n == 0)})
