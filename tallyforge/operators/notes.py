@@ -29,6 +29,14 @@ MARK = "\x01"
 LETTERS = "[A-Za-zÁÉÍÓÚÑáéíóúñ]"
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that grow with the documents, none of which goes through the driver.
+
+    Spark guesses a table by its file, which is many times smaller than its rows where titles are alike, and would broadcast it.
+    """
+    return left.hint("merge").join(right, on, how)
+
+
 def plain(c: Column) -> Column:
     """Folded, but with its white space."""
     return F.lower(unaccent(c))
@@ -139,7 +147,7 @@ def match_contents(entries: DataFrame, candidates: DataFrame, more: int = 3) ->
 
     A title may go on over up to ``more`` lines, as long as what is read so far begins the entry.
     """
-    body = candidates.filter("numbered and not contents").join(entries.select("doc_id", "number", "key"), ["doc_id", "number"])
+    body = _met(candidates.filter("numbered and not contents"), entries.select("doc_id", "number", "key"), ["doc_id", "number"])
     # one column a step, so that each title is folded once: what is read, its key, the rest, and whether reading may go on
     rows = body.select("doc_id", "number", "key", "page", "start", F.col("end").alias("e0"), F.col("title").alias("t0"), F.col("tail").alias("r0"), F.lit(True).alias("on0"))
     for k in range(more + 1):
@@ -166,7 +174,7 @@ def reconcile_contents(entries: DataFrame, matched: DataFrame, least: int = 5) -
     status: contradictory (one number, two titles), incomplete (not 1..n), short (fewer than ``least`` entries: not used), missing or ambiguous (an
     entry without exactly one heading), disordered, or ok; only ok has headings.
     """
-    each = entries.join(matched.groupBy("doc_id", "number").agg(F.count("*").alias("m"), F.min(F.struct("page", "start", "end", "title")).alias("at")), ["doc_id", "number"], "left")
+    each = _met(entries, matched.groupBy("doc_id", "number").agg(F.count("*").alias("m"), F.min(F.struct("page", "start", "end", "title")).alias("at")), ["doc_id", "number"], "left")
     back = F.coalesce(F.struct("at.page", "at.start") < F.lag(F.struct("at.page", "at.start")).over(Window.partitionBy("doc_id").orderBy("number")), F.lit(False))
     each = each.withColumn("back", back)
     row = F.struct("number", "at.title", "at.page", "at.start", "at.end")
@@ -197,7 +205,7 @@ def note_headings(pages: DataFrame, least: int = 5) -> DataFrame:
     place = F.struct(F.col("tail.page").alias("page"), F.col("tail.start").alias("start"))
     sequence = accepted.select("doc_id", F.struct(F.lit("sequence").alias("source"), "status", F.transform("headings", _heading).alias("headings"), F.when(F.col("tail").isNotNull(), place).alias("tail")).alias("s"))
     by_contents = listed.select("doc_id", F.struct(F.lit("contents").alias("source"), "status", F.transform("headings", _heading).alias("headings")).alias("c"))
-    both = every.select("doc_id").distinct().join(by_contents, "doc_id", "left").join(sequence, "doc_id", "left")
+    both = _met(_met(every.select("doc_id").distinct(), by_contents, "doc_id", "left"), sequence, "doc_id", "left")
     either = lambda field: F.coalesce(F.col(f"c.{field}"), F.when(F.col("c").isNull(), F.col(f"s.{field}")))
     none = F.expr("cast(array() as array<struct<number: int, title: string, page: int, start: int, end: int>>)")
     return both.select(
@@ -266,12 +274,13 @@ def note_sections(pages: DataFrame, headings: DataFrame) -> DataFrame:
     facts = checkpointed(texts.select("doc_id", "page", folded_like(F.col("text"), K.NOTES_MARKER).alias("marked"), _heads(F.col("text")).alias("heads")))
     ends = facts.groupBy("doc_id").agg(F.max("page").alias("last"), F.max(F.when(F.col("marked"), F.col("page"))).alias("marked"))
     headers = _repeated(facts).groupBy("doc_id").agg(F.collect_set("line").alias("headers"))
-    each = headings.select("doc_id", "headings", "tail", F.posexplode("headings").alias("k", "h"))
-    each = each.select("doc_id", "tail", "h.*", F.try_element_at("headings", F.col("k") + 2).alias("next")).join(ends, "doc_id")
+    each = _met(_met(headings.select("doc_id", "headings", "tail"), ends, "doc_id"), headers, "doc_id", "left")
+    each = each.select("doc_id", "headings", "tail", "last", "marked", "headers", F.posexplode("headings").alias("k", "h"))
+    each = each.select("doc_id", "tail", "last", "marked", "headers", "h.*", F.try_element_at("headings", F.col("k") + 2).alias("next"))
     final = F.when(F.coalesce(F.col("marked") < F.col("page"), F.lit(True)), F.col("last")).otherwise(F.col("marked"))
     final = F.coalesce("next.page", F.least(final, "tail.page"))
-    spans = each.withColumn("on", F.explode(F.sequence("page", F.greatest(final, F.col("page"))))).join(headers, "doc_id", "left")
-    rows = spans.join(texts.withColumnRenamed("page", "on"), ["doc_id", "on"])
+    spans = each.withColumn("on", F.explode(F.sequence("page", F.greatest(final, F.col("page")))))
+    rows = _met(spans, texts.withColumnRenamed("page", "on"), ["doc_id", "on"])
     begin = F.when(F.col("on") == F.col("page"), F.col("end")).otherwise(F.lit(0))
     stop = F.when(F.col("on") == F.col("next.page"), F.col("next.start")).when(F.col("next").isNull() & (F.col("on") == F.col("tail.page")), F.col("tail.start")).otherwise(F.length("text"))
     # the character before tells whether a line begins here

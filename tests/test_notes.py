@@ -232,3 +232,16 @@ def test_phrases_in_texts_as_they_stand(spark):
     for r in found.collect():
         assert (r["holds"], r["begins"]) == ("notas a los estados" in r["plain"], r["plain"].startswith("notas a los estados")), r
         assert r["may"] or not r["plain"].startswith("n")
+
+
+def test_no_table_of_documents_goes_through_the_driver(spark, tmp_path):
+    """The file of kept headings is small, as titles are alike; its rows are not, so its size must choose no broadcast."""
+    data = spark.createDataFrame([(str(d), i, t) for d in range(40) for i, t in enumerate(book())], SCHEMA)
+    data.write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    heads = notes.note_headings(pages)
+    heads.write.parquet(str(tmp_path / "heads"))
+    sections = notes.note_sections(pages, spark.read.parquet(str(tmp_path / "heads")))
+    plans = [str(x._jdf.queryExecution().executedPlan()) for x in (heads, sections)]
+    assert [p.count("Broadcast") for p in plans] == [0, 0] and all("SortMergeJoin" in p for p in plans)
+    assert sections.count() == 240
