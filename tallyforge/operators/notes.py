@@ -6,6 +6,8 @@ only candidates travel, once, to their document.  A null text is an empty page;
 
 from __future__ import annotations
 
+from string import ascii_letters, digits
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ from tallyforge.sources.shared import checkpointed
 # The range before && tells most characters at once.
 _BLANKS = r"\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 BLANK = rf"[\x00-\x20\x{{80}}-\x{{3000}}&&[{_BLANKS}]]"
-SHOWN = f"[^{_BLANKS}]"
-LINE_END = r"\r\n|[\n-\x1E\x{85}-\x{2029}&&[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]]"
+_END = r"[\n-\x1E\x{85}-\x{2029}&&[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]]"
+LINE_END = rf"\r\n|{_END}"
 # Patterns over a page: ^ stands behind line feeds only (d), in every line (m).
 NUMBERED = r"[ \t]*([0-9]{1,2})(\.?)[ \t]+([^\n]{3,180})"
 UNNUMBERED = rf"[ \t]*\.[ \t]+((?iu:{K.UNNUMBERED_HEADING[1]}))[ \t]*$"
@@ -66,17 +68,17 @@ def is_contents(text: Column) -> Column:
     return let(entries, lambda e: (F.size(e) >= 3) & F.forall(e, lambda x: x.rlike(rf"{BLANK}[0-9]+{BLANK}*$")))
 
 
-#: Letters and digits that a title in the contents can have when it is folded: 180 characters, of which each stands for 18 at most.
-LONGEST_KEY = 180 * 18
+#: Letters and digits that a title in the contents can have when it is folded: 180 characters, of which each stands for 18 at most, and nearly always for one.
+LONGEST_KEY, USUAL_KEY = 180 * 18, 180
 
 
 def _plain_letters(c: Column) -> Column:
     """The number of letters and digits that folding surely leaves."""
-    return F.length(F.regexp_replace(c, "[^A-Za-z0-9]+", ""))
+    return F.length(F.regexp_replace(c, f"[^{ascii_letters}{digits}]+", ""))
 
 
-def _parts(pages: DataFrame) -> DataFrame:
-    """The candidates of ``note_candidates``, and one row without a number for the beginning of each page."""
+def _parts(pages: DataFrame, longest: int = LONGEST_KEY) -> DataFrame:
+    """The candidates of ``note_candidates``, and one row without a number for the beginning of each page; tails end before a line with more than ``longest`` letters and digits."""
     text = F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))
     marked = F.split(F.regexp_replace("text", CANDIDATE, MARK), MARK, -1)
     cut = pages.select("doc_id", F.col("page").cast("int"), text.alias("text"))
@@ -104,9 +106,12 @@ def _parts(pages: DataFrame) -> DataFrame:
     goes_on = (wrapped != "") & F.endswith(plain(F.col("title")), F.lit(K.WRAPPED_TITLE[0]))
     rows = rows.withColumns({"goes_on": goes_on, "wrapped": F.length(wrapped)})
     rows = rows.withColumn("plausible", plausible(F.when(F.col("goes_on"), F.concat_ws(" ", "title", F.lit(K.WRAPPED_TITLE[1]))).otherwise(F.col("title")), F.col("dotted")))
-    # what no title of the contents is long enough for stays behind, and so does what is no line of its own
-    fits = lambda x: (F.length("tail") <= LONGEST_KEY) | (_plain_letters(x) <= LONGEST_KEY)
-    rows = rows.withColumn("tail", F.when(F.col("tail").rlike(r"^\r?\n") & fits(F.regexp_extract("tail", r"(?d)^\r?\n[^\n]+", 0)), F.col("tail")).otherwise(F.when(F.col("k") > 0, "")))
+    # what no title of the contents is long enough for stays behind, and so does what is no line of its own, or stands in the contents
+    over = lambda x: (F.length(x) > longest) & ((_plain_letters(F.left(x, F.lit(2 * longest))) > longest) | ((F.length(x) > 2 * longest) & (_plain_letters(x) > longest)))
+    first = lambda x, n: F.array_join(F.slice(x, 1, n), "\n")
+    upto = lambda x: F.when(over(x[1]), "").when(over(F.get(x, F.lit(2))), first(x, 2)).when(over(F.get(x, F.lit(3))), first(x, 3)).otherwise(F.col("tail"))
+    short = F.when(F.length("tail") > longest, let(F.split("tail", "\n", -1), upto)).otherwise(F.col("tail"))
+    rows = rows.withColumn("tail", F.when(~F.col("contents") & F.col("tail").rlike(r"^\r?\n"), short).otherwise(F.when(F.col("k") > 0, "")))
     # one shuffle, by document; all windows and joins that follow stand on it
     by_doc = rows.repartition("doc_id")
     before = F.sum("n").over(Window.partitionBy("doc_id", "page").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
@@ -127,8 +132,8 @@ def _parts(pages: DataFrame) -> DataFrame:
 def note_candidates(pages: DataFrame) -> DataFrame:
     """OP-72: doc_id, page, start, end, number, dotted, numbered, title, plausible, tail, contents, scope of each heading candidate.
 
-    start and end are places in the page, tail the (up to three) lines behind the candidate, contents whether its page is a contents page; a tail that
-    begins with more than a contents title can have is left out.  scope: it stands between the page on which the notes begin and the first appendix.
+    start and end are places in the page, tail the (up to three) lines behind the candidate, contents whether its page is a contents page (which leaves
+    tails out); a tail ends before a line with more than a contents title can have.  scope: it stands between the page on which the notes begin and the first appendix.
     goes_on: the title ends in the next line, with its end at wrapped_end.
     """
     return _parts(pages).filter("number is not null")
@@ -194,9 +199,13 @@ def note_headings(pages: DataFrame, least: int = 5) -> DataFrame:
     page on which the notes begin.  status is that of ``reconcile_contents`` or ``accept_sequence``, or no_start.  tail is where a last heading was
     left out because a later number follows it: the note before it ends there.
     """
-    every = checkpointed(_parts(pages))
+    every = checkpointed(_parts(pages, USUAL_KEY))
+    entries = checkpointed(contents_entries(every.filter("number is not null")))
+    longest = entries.agg(F.max(F.length("key"))).first()[0]
+    if longest is not None and longest > USUAL_KEY:
+        # an entry in forms that fold to several characters: lines behind candidates may be as long
+        every = checkpointed(_parts(pages, longest))
     found = every.filter("number is not null")
-    entries = contents_entries(found)
     listed = reconcile_contents(entries, match_contents(entries, found), least).filter("status != 'short'")
     goes_on = F.col("goes_on")
     title = F.when(goes_on, F.concat_ws(" ", "title", F.lit(K.WRAPPED_TITLE[1]))).otherwise(F.col("title"))
@@ -241,9 +250,11 @@ def repeated_headers(pages: DataFrame, least: int = 3) -> DataFrame:
 
 def _heads(text: Column) -> Column:
     """The lines that a page begins with, to two behind the marker; none without a marker in the first four."""
-    shown = F.slice(F.filter(F.split(text, LINE_END, -1), lambda x: x.rlike(SHOWN)), 1, 6)
-    place = lambda top: F.array_position(F.transform(F.slice(top, 1, 4), lambda x: folded_like(x, K.NOTES_MARKER, begins=True)), True).cast("int")
-    return let(F.transform(shown, _spaced), lambda top: let(place(top), lambda k: F.when(k > 0, F.array_distinct(F.slice(top, F.lit(1), k + 2))).otherwise(F.slice(top, 1, 0))))
+    # six lines and the rest: blanks go with the line end before them, so that a line begins with what it shows
+    shown = F.filter(F.slice(F.split(F.concat(F.lit("\n"), text), f"{_END}{BLANK}*+", 8), 2, 6), lambda x: x != "")
+    marks = lambda x: F.when(may_begin(x, K.NOTES_MARKER[0]), folded_like(_spaced(x), K.NOTES_MARKER, begins=True)).otherwise(F.lit(False))
+    place = lambda top: F.array_position(F.transform(F.slice(top, 1, 4), marks), True).cast("int")
+    return let(shown, lambda top: let(place(top), lambda k: F.array_distinct(F.transform(F.slice(top, F.lit(1), F.when(k > 0, k + 2).otherwise(0)), _spaced))))
 
 
 def _repeated(pages: DataFrame, least: int = 3) -> DataFrame:
@@ -274,13 +285,18 @@ def note_sections(pages: DataFrame, headings: DataFrame) -> DataFrame:
     facts = checkpointed(texts.select("doc_id", "page", folded_like(F.col("text"), K.NOTES_MARKER).alias("marked"), _heads(F.col("text")).alias("heads")))
     ends = facts.groupBy("doc_id").agg(F.max("page").alias("last"), F.max(F.when(F.col("marked"), F.col("page"))).alias("marked"))
     headers = _repeated(facts).groupBy("doc_id").agg(F.collect_set("line").alias("headers"))
-    each = _met(_met(headings.select("doc_id", "headings", "tail"), ends, "doc_id"), headers, "doc_id", "left")
-    each = each.select("doc_id", "headings", "tail", "last", "marked", "headers", F.posexplode("headings").alias("k", "h"))
-    each = each.select("doc_id", "tail", "last", "marked", "headers", "h.*", F.try_element_at("headings", F.col("k") + 2).alias("next"))
-    final = F.when(F.coalesce(F.col("marked") < F.col("page"), F.lit(True)), F.col("last")).otherwise(F.col("marked"))
-    final = F.coalesce("next.page", F.least(final, "tail.page"))
-    spans = each.withColumn("on", F.explode(F.sequence("page", F.greatest(final, F.col("page")))))
-    rows = _met(spans, texts.withColumnRenamed("page", "on"), ["doc_id", "on"])
+    known = _met(_met(headings.select("doc_id", "headings", "tail"), ends, "doc_id"), headers, "doc_id", "left")
+
+    def span(h: Column, k: Column) -> Column:
+        follows = F.try_element_at("headings", k + 2)
+        final = F.when(F.coalesce(F.col("marked") < h["page"], F.lit(True)), F.col("last")).otherwise(F.col("marked"))
+        final = F.coalesce(follows["page"], F.least(final, "tail.page"))
+        return F.struct(h["number"].alias("number"), h["title"].alias("title"), h["page"].alias("page"), h["end"].alias("end"), follows.alias("next"), F.greatest(final, h["page"]).alias("final"))
+
+    spans = known.select("doc_id", "tail", "headers", F.transform("headings", span).alias("spans"))
+    # texts move once, by document: each page takes the notes that stand on it, and windows over notes stand on the same shuffle
+    here = F.filter("spans", lambda x: F.col("on").between(x["page"], x["final"]))
+    rows = _met(texts.withColumnRenamed("page", "on"), spans, "doc_id").select("doc_id", "on", "text", "tail", "headers", F.inline(here))
     begin = F.when(F.col("on") == F.col("page"), F.col("end")).otherwise(F.lit(0))
     stop = F.when(F.col("on") == F.col("next.page"), F.col("next.start")).when(F.col("next").isNull() & (F.col("on") == F.col("tail.page")), F.col("tail.start")).otherwise(F.length("text"))
     # the character before tells whether a line begins here
@@ -288,11 +304,11 @@ def note_sections(pages: DataFrame, headings: DataFrame) -> DataFrame:
     appendix = F.greatest(F.col("begin") - 1, F.lit(0)) + F.length(F.split(F.col("chunk"), APPENDIX, 2)[0])
     last = F.col("next").isNull()
     rows = rows.withColumn("begin", begin).withColumn("stop", stop).withColumn("chunk", F.when(last, chunk)).withColumn("cut", F.when(last & F.col("chunk").rlike(APPENDIX), appendix))
+    section = F.substr("text", F.col("begin") + 1, F.greatest(F.least("stop", "cut") - F.col("begin"), F.lit(0)))
+    rows = rows.select("doc_id", "number", "title", F.col("on").alias("page"), "cut", section.alias("section"), F.coalesce("headers", F.array().cast("array<string>")).alias("headers"))
     # a last section does not go on behind the page with the appendix
-    over = F.min(F.when(F.col("cut").isNotNull(), F.col("on"))).over(Window.partitionBy("doc_id", "number"))
-    rows = rows.withColumn("over", over).filter("over is null or on <= over").withColumn("stop", F.least("stop", "cut"))
-    section = F.substr("text", F.col("begin") + 1, F.greatest(F.col("stop") - F.col("begin"), F.lit(0)))
-    rows = rows.select("doc_id", "number", "title", F.col("on").alias("page"), section.alias("section"), F.coalesce("headers", F.array().cast("array<string>")).alias("headers"))
+    over = F.min(F.when(F.col("cut").isNotNull(), F.col("page"))).over(Window.partitionBy("doc_id", "number"))
+    rows = rows.withColumn("over", over).filter("over is null or page <= over")
     # not by a filter, which would be moved down and make each body twice
     rows = rows.select("doc_id", "number", "title", "page", F.explode(F.filter(F.array(_body(F.col("section"), F.col("headers"))), lambda x: x != "")).alias("section"))
     order = F.row_number().over(Window.partitionBy("doc_id", "number").orderBy("page")) - 1

@@ -245,3 +245,42 @@ def test_no_table_of_documents_goes_through_the_driver(spark, tmp_path):
     plans = [str(x._jdf.queryExecution().executedPlan()) for x in (heads, sections)]
     assert [p.count("Broadcast") for p in plans] == [0, 0] and all("SortMergeJoin" in p for p in plans)
     assert sections.count() == 240
+
+
+def plain_heads(text):
+    top = [x for x in (" ".join(x.split()) for x in text.splitlines()) if x][:6]
+    at = next((k for k, x in enumerate(top[:4]) if bare(x).lower().startswith(MARKER.lower())), None)
+    return set() if at is None else set(top[: at + 3])
+
+
+def test_lines_around_the_marker_against_a_plain_version(spark):
+    rng = random.Random(5)
+    piece = lambda: rng.choice([MARKER, MARKER.upper(), "Nótas  a\tlos estados financieros", "notas", "Empresa S.A.", "  x  y", "\u3000", " ", "", "ｎotas a los estados financieros", "\xa0" + MARKER])
+    texts = ["".join(piece() + rng.choice(["\n", "\r\n", "\r", "\x0b", "\x85", "\u2028", "\n \n"]) for _ in range(rng.randint(0, 11))) + piece() for _ in range(400)]
+    found = notes.repeated_headers(spark.createDataFrame([(str(k), 0, t) for k, t in enumerate(texts)], SCHEMA), 1)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["doc_id"], set()).add(r["line"])
+    assert {k: (got.get(str(k), set()), plain_heads(t), t) for k, t in enumerate(texts) if got.get(str(k), set()) != plain_heads(t)} == {}
+
+
+def test_tails_end_before_a_line_that_no_title_has(spark):
+    """An entry in forms that fold to several characters lets titles go on in longer lines; else what is kept stays short."""
+    wide = "㎉" * 60
+    one = [p.replace("Bases de preparación", f"Bases {wide}") if k == 0 else p.replace("Bases de preparación", "Bases\n" + "kcal" * 60) for k, p in enumerate(book())]
+    long = [p.replace("\n\nContenido", "\ndos\n" + "largo " * 50 + "\nContenido") for p in book()]
+    data = spark.createDataFrame([(d, k, t) for d, pages in (("wide", one), ("long", long)) for k, t in enumerate(pages)], SCHEMA)
+    tails = {r["tail"] for r in notes._parts(data.filter("doc_id = 'long'"), notes.USUAL_KEY).collect() if r["number"] is not None}
+    assert tails == {"", "\ndos"}
+    assert {(r["tail"] or "").count("\n") for r in notes.note_candidates(data.filter("doc_id = 'long'")).collect()} == {0, 3}
+    found = {r["doc_id"]: (r["status"], [h["title"] for h in r["headings"]]) for r in notes.note_headings(data).collect()}
+    assert found == {"wide": ("ok", [TITLES[0], "Bases " + "kcal" * 60, *TITLES[2:]]), "long": ("ok", TITLES)}
+
+
+def test_texts_of_sections_move_once(spark):
+    data = spark.createDataFrame([(str(d), i, t) for d in range(3) for i, t in enumerate(book())], SCHEMA)
+    sections = notes.note_sections(data, notes.checkpointed(notes.note_headings(data)))
+    plan = str(sections._jdf.queryExecution().executedPlan())
+    keys = {re.sub(r"#\d+L?", "", x) for x in re.findall(r"hashpartitioning\((.*?), \d+\)", plan)}
+    assert keys == {"doc_id", "doc_id, line"}
+    assert sections.count() == 18
