@@ -20,6 +20,8 @@ from tallyforge.sources.shared import checkpointed
 # The range before && tells most characters at once.
 _BLANKS = r"\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 BLANK = rf"[\x00-\x20\x{{80}}-\x{{3000}}&&[{_BLANKS}]]"
+#: Runs of it other than one plain space, which stands already as it should.
+BLANKS = rf"{BLANK}(?:(?<! ){BLANK}*+|{BLANK}++)"
 _END = r"[\n-\x1E\x{85}-\x{2029}&&[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]]"
 LINE_END = rf"\r\n|{_END}"
 # Patterns over a page: ^ stands behind line feeds only (d), in every line (m).
@@ -91,7 +93,9 @@ def _parts(pages: DataFrame, longest: int = LONGEST_KEY) -> DataFrame:
     behind = lambda k: F.regexp_extract(F.array_join(F.slice("parts", k + 1, 4), ""), r"(?d)^[^\n]*(?:\n[^\n]+){0,3}", 0)
     part = F.transform("parts", lambda x, k: F.struct(F.length(x).alias("n"), F.when(k > 0, behind(k)).alias("lines")))
     rows = facts.select("doc_id", "page", "contents", "begun", "appendix", F.posexplode(part).alias("k", "x")).select("doc_id", "page", "contents", "begun", "appendix", "k", "x.*")
-    line = F.col("lines")
+    # patterns see the line of the candidate only, as long lines behind it would be read by each
+    rows = rows.withColumn("line", F.substring_index("lines", "\n", 1))
+    line = F.col("line")
     group = lambda k: F.regexp_extract(line, rf"(?d)^{NUMBERED}", k)
     lost = rf"(?dm)^{UNNUMBERED}"
     numbered = F.col("numbered")
@@ -101,17 +105,20 @@ def _parts(pages: DataFrame, longest: int = LONGEST_KEY) -> DataFrame:
         "number": F.when(numbered, group(1).cast("int")).when(~numbered, K.UNNUMBERED_HEADING[0]), "title": clean_title(F.when(numbered, group(3)).otherwise(F.regexp_extract(line, lost, 1))),
     })
     # one title goes on in a line of its own
-    rows = rows.withColumn("tail", F.substr("lines", F.length("own") + 1)).drop("lines")
+    rows = rows.withColumn("tail", F.substr("lines", F.length("own") + 1)).drop("lines", "line")
     wrapped = F.regexp_extract("tail", rf"(?d)^\r?\n[ \t]*({K.WRAPPED_TITLE[1]})[ \t]*(?:\r?\n|$)", 0)
-    goes_on = (wrapped != "") & F.endswith(plain(F.col("title")), F.lit(K.WRAPPED_TITLE[0]))
-    rows = rows.withColumns({"goes_on": goes_on, "wrapped": F.length(wrapped)})
+    rows = rows.withColumn("wrapped", F.when(F.endswith(plain(F.col("title")), F.lit(K.WRAPPED_TITLE[0])), F.length(wrapped)).otherwise(0))
+    rows = rows.withColumn("goes_on", F.col("wrapped") > 0)
     rows = rows.withColumn("plausible", plausible(F.when(F.col("goes_on"), F.concat_ws(" ", "title", F.lit(K.WRAPPED_TITLE[1]))).otherwise(F.col("title")), F.col("dotted")))
     # what no title of the contents is long enough for stays behind, and so does what is no line of its own, or stands in the contents
     over = lambda x: (F.length(x) > longest) & ((_plain_letters(F.left(x, F.lit(2 * longest))) > longest) | ((F.length(x) > 2 * longest) & (_plain_letters(x) > longest)))
     first = lambda x, n: F.array_join(F.slice(x, 1, n), "\n")
     upto = lambda x: F.when(over(x[1]), "").when(over(F.get(x, F.lit(2))), first(x, 2)).when(over(F.get(x, F.lit(3))), first(x, 3)).otherwise(F.col("tail"))
-    short = F.when(F.length("tail") > longest, let(F.split("tail", "\n", -1), upto)).otherwise(F.col("tail"))
-    rows = rows.withColumn("tail", F.when(~F.col("contents") & F.col("tail").rlike(r"^\r?\n"), short).otherwise(F.when(F.col("k") > 0, "")))
+    # most tails begin with a line that its first letters tell to be too long
+    begins = F.regexp_extract(F.left("tail", F.lit(2 * longest)), r"(?d)^\r?\n[^\n]*", 0)
+    short = F.when(F.length("tail") <= longest, F.col("tail")).when(_plain_letters(begins) > longest, "").otherwise(let(F.split("tail", "\n", -1), upto))
+    own_line = F.startswith("tail", F.lit("\n")) | F.startswith("tail", F.lit("\r\n"))
+    rows = rows.withColumn("tail", F.when(~F.col("contents") & own_line, short).otherwise(F.when(F.col("k") > 0, "")))
     # one shuffle, by document; all windows and joins that follow stand on it
     by_doc = rows.repartition("doc_id")
     before = F.sum("n").over(Window.partitionBy("doc_id", "page").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
@@ -232,7 +239,7 @@ def _heading(h: Column) -> Column:
 
 def _spaced(line: Column) -> Column:
     """White space collapsed."""
-    return F.btrim(F.regexp_replace(line, f"{BLANK}+", " "))
+    return F.btrim(F.regexp_replace(line, BLANKS, " "))
 
 
 def _lines(text: Column) -> Column:
